@@ -133,10 +133,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", members
     for (p, _), words in flow.items():
         routed[p] += words
     plan = [(i, list(p), routed[p] // c if c else 0, routed[p] % c if c else 0) for i, (p, c) in enumerate(sorted(capacity.items(), key=str))]
-    plan_df = spark.createDataFrame(plan, "pattern int, sources array<string>, passes bigint, part bigint")  # one row a pattern: bounded above
+    plan_df = spark.createDataFrame(plan, "pattern int, members array<string>, passes bigint, part bigint")  # one row a pattern: bounded above
     size_df = spark.createDataFrame([(s, sizes[s], float(targets[s])) for s in sizes], "source string, source_size bigint, target double")
     d = rows.withColumn("range", F.pmod(F.shiftrightunsigned("u", 40), F.lit(RANGES)))
-    d = d.join(F.broadcast(plan_df), F.col("sources").eqNullSafe(plan_df["sources"])).select("doc_id", rows["sources"], "size", "u", "range", "pattern", "passes", "part")
+    d = d.join(F.broadcast(plan_df), F.col("sources").eqNullSafe(F.col("members"))).select("doc_id", "sources", "size", "u", "range", "pattern", "passes", "part")
     ends = d.groupBy("pattern", "range", "part").agg(F.sum("size").alias("words"))
     upto = Window.partitionBy("pattern").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = ends.select("pattern", "range", (F.sum("words").over(upto) - F.col("words")).alias("before"), "words", "part").where("before < part and before + words >= part").select("pattern", F.col("range").alias("end_range"), "before")

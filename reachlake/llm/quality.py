@@ -22,6 +22,7 @@ from .common import SPACE_RE, keep
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
+FALSE_ALARMS = 0.02
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals")
 
 
@@ -116,7 +117,8 @@ def fit_em(patterns: list[tuple[tuple, int]], rounds: int = 100) -> tuple[list[f
     document a rule, since junk of one kind passes the rules for the others.
 
     Returns each class's share (the good one first) and [class][rule][vote] likelihoods. It starts from
-    rules that are usually right on their own kind; a pseudo-count of the start keeps estimates off 0.
+    rules that are usually right on their own kind; a pseudo-count of the start keeps estimates off 0, and
+    good documents may set off a rule at most FALSE_ALARMS of the time, which tells the classes apart.
     """
     k = max((len(v) for v, _ in patterns), default=len(RULES))
     good, own, other = {1: 0.6, 0: 0.01, None: 0.39}, {1: 0.05, 0: 0.8, None: 0.15}, {1: 0.5, 0: 0.05, None: 0.45}
@@ -133,6 +135,9 @@ def fit_em(patterns: list[tuple[tuple, int]], rounds: int = 100) -> tuple[list[f
                     s[v] += p * count
         share = [w / (total + k + 1) for w in weight]
         likely = [[{v: x / w for v, x in s.items()} for s in row] for row, w in zip(sums, weight, strict=True)]
+        for p in likely[0]:
+            if p[0] > FALSE_ALARMS:
+                p |= {v: p[v] * (1 - FALSE_ALARMS) / (1 - p[0]) for v in (1, None)} | {0: FALSE_ALARMS}
     return share, likely
 
 
