@@ -5,8 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, linededup, mixing, quality, simhash
-from .common import table
+from . import chat, decontaminate, linededup, lm, mixing, pii, quality, simhash, tokencounts, urlfilter
+from .common import scratch, table
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+CONTROL_TURN = "</s>[INST] ok [/INST]"
+
+
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", CONTROL_TURN), (-1, 1, "assistant", CONTROL_TURN)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(more)))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"), RULES).withColumnRenamed("id", "page_id")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents into a ledger, sends the same batch again (no change) and reads the totals."""
+    counted = tokencounts.with_token_counts(table(spark, sf_dir, "documents"))
+    inserts = tokencounts.signed(counted.select(F.lit("insert").alias("op"), "source", "lang", "tokenizer", "tokens", F.lit(None).cast("bigint").alias("old_tokens")))
+    ledger = scratch(spark, "token-ledger")
+    for _ in range(2):
+        tokencounts.commit_batch(inserts, ledger, "load-documents")
+    return tokencounts.totals(spark, ledger)
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,9 +63,15 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_bitmaps(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op6_simhash, op7_mixing, op8_quality, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat, op2_decontamination, op3_pii, op4_url_filter, op5_token_counts, op6_simhash, op7_mixing, op8_quality, op9_line_dedup, op10_lm_score)}
 
 ORACLE_SQL = {
+    "op4_url_filter": r"""
+WITH p AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM p),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(rh, rp, v)),
+f AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS i FROM h JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT h.page_id, host, path, f.rule, coalesce(v, 'allow') AS verdict FROM h LEFT JOIN f ON f.page_id = h.page_id AND f.i = 1""",
     # The words of each document and item, as in the contract; windows are joined by text.
     "op2_decontamination": r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
