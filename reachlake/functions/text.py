@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def filled(c: Column) -> Column:
@@ -34,7 +35,7 @@ def address_text(addresses: Column) -> Column:
     return F.coalesce(*(filled(a[k]) for k in ("freeform", "value", "locality", "street", "postcode")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFKC; Spark has no built-in form."""
     for s in batches:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from .spatial import cell_of
@@ -30,7 +31,7 @@ def _clip(ring: list[tuple[float, float]], x0: float, y0: float, x1: float, y1:
     return sum(ring[i - 1][0] * p[1] - p[0] * ring[i - 1][1] for i, p in enumerate(ring)) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def clipped_area(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
     """Area of polygon (parts, rings, x-y pairs) inside a box; shells count plus, holes minus."""
     for polygon, x0, y0, x1, y1 in batches:

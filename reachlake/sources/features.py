@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import address_text, choose_name, filled
 from ..operators.publish import finite
@@ -59,7 +60,7 @@ def read_geojsonl(spark: SparkSession, path: str) -> DataFrame:
     return d.select("_pos", F.lit(0).alias("i"), *(F.col(f"f.{c}").alias(c) for c in FIELDS))
 
 
-@F.pandas_udf("struct<type:string,coordinates:array<double>>")
+@F.pandas_udf(T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))]))
 def wkb_point(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     """Point of WKB bytes (either byte order, Z or SRID allowed); null coordinates for anything else."""
 
