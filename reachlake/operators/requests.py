@@ -20,7 +20,7 @@ def strict_ranges(c: Column, most: int = 10) -> Column:
 
 def normal_categories(c: Column) -> Column:
     """Trimmed, no blanks, first occurrences in order."""
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def validate_isochrones(isochrones: DataFrame, analysis: DataFrame) -> DataFrame:
