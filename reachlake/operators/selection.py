@@ -115,3 +115,41 @@ def merge_pieces(results: DataFrame, pieces: DataFrame) -> tuple[DataFrame, Data
     first = dedupe_first(r, ["plan_id", "source", "_key"], "piece", "pos").drop("_key")
     counts = r.groupBy("plan_id").agg(F.count("*").alias("raw"), F.countDistinct("source", "_key").alias("merged")).withColumn("duplicate", F.col("raw") - F.col("merged"))
     return first, counts
+
+
+def filter_visible(df: DataFrame, column: str, values: list[str] | None) -> DataFrame:
+    """Rows whose column is one of the values; None shows all."""
+    return df if values is None else df.where(F.col(column).isin(list(values)))
+
+
+def sample_rows(df: DataFrame, n: int, keys: list[str], *order: str) -> DataFrame:
+    """The first n rows of each key in order, for audits."""
+    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_i") <= n).drop("_i")
+
+
+def guard_area(analysis: DataFrame, most_km2: float = 45.0) -> DataFrame:
+    """status area-limit where area_km2 is above the limit, else ok."""
+    return analysis.withColumn("status", F.when(F.col("area_km2") > most_km2, "area-limit").otherwise("ok"))
+
+
+def provider_coverage(df: DataFrame, seen: str = "source_id") -> DataFrame:
+    """Per analysis: received, deduplicated, a count by reason (unnamed, invalid), matched and returned rows.
+
+    Columns reason (null is valid), is_match, is_selected. Ids are counted once through a grouping by id first.
+    """
+    by = df.groupBy("analysis_id", F.coalesce(F.col(seen), F.lit("")).alias("_id")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("reason") == "name-missing").alias("unnamed"), F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "name-missing")).alias("invalid"),
+        F.max(F.col("reason").isNull() & F.col("is_match")).alias("m"), F.max(F.col("reason").isNull() & F.col("is_selected")).alias("s"),
+    )
+    return by.groupBy("analysis_id").agg(F.sum("n").alias("received"), F.count_if(F.col("_id") != "").alias("deduplicated"), F.sum("unnamed").alias("unnamed"), F.sum("invalid").alias("invalid"), F.count_if("m").alias("matched"), F.count_if("s").alias("returned"))
+
+
+def merge_preview(results: DataFrame, preview: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): an analysis's rows are replaced by its preview rows if it has any, and rings are counted anew.
+
+    Both have analysis_id, ring_id, poi_id, warning; distinct warnings of both sides are united in counts.
+    """
+    has = preview.select("analysis_id").distinct()
+    rows = results.join(has, "analysis_id", "left_anti").unionByName(preview)
+    warn = results.unionByName(preview).groupBy("analysis_id").agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
+    return rows, rows.groupBy("analysis_id", "ring_id").agg(F.count("*").alias("n")).join(warn, "analysis_id")

@@ -763,3 +763,100 @@ def h13_fnv1a32(s, d):
 @query("SELECT p_partkey, ROUND(10 * ((LENGTH(p_name) - LENGTH(REPLACE(p_name, ' ', ''))) * 0.36 + LENGTH(REPLACE(p_name, ' ', '')) * 0.58), 6) AS width FROM part")
 def h19_label_width(s, d):
     return run_sql(s, d, "SELECT p_partkey, p_name FROM part").select("p_partkey", F.round(text.label_width(F.col("p_name"), F.lit(10.0)), 6).alias("width"))
+
+
+# ---- provider rules, guards, previews ----
+
+
+@query("SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'not-feature' WHEN event_id % 11 = 0 THEN 'point-missing' WHEN event_id % 7 = 0 THEN 'coordinates-invalid' WHEN event_id % 5 = 0 THEN 'stable-id-missing' WHEN event_id % 3 = 0 THEN 'name-missing' END AS reason FROM events")
+def b9_provider_reasons(s, d):
+    e = run_sql(s, d, "SELECT event_id FROM events")
+    k = F.col("event_id")
+    e = e.withColumns({"type": F.when(k % 13 == 0, "Other").otherwise("Feature"), "gtype": F.when(k % 11 != 0, "Point"), "lon": F.when(k % 7 == 0, "east").otherwise("114.5"), "lat": F.lit("30.5"), "ident": F.when(k % 5 != 0, k), "name": F.when(k % 3 == 0, " ").otherwise("n")})
+    return features.normalize_provider_features(e).select("event_id", "reason")
+
+
+@query("SELECT a.analysis_id, 'g' || (a.analysis_id % 4) || ',h' AS groups FROM v_analysis a")
+def b8_expand_category_filter(s, d):
+    mapping = s.createDataFrame([(f"c{i}", g) for i in range(4) for g in (f"g{i}", "h")], "category_id string, group_id string")
+    req = view(s, d, "v_analysis").select("analysis_id", F.array(F.concat(F.lit("c"), (F.col("analysis_id") % 4).cast("string")), F.lit("unknown")).alias("requested"))
+    return categories.expand_category_filter(req, mapping).select("analysis_id", F.array_join("groups", ",").alias("groups"))
+
+
+@query("SELECT top_id, COUNT(*) AS n FROM v_poi_category WHERE top_id IN ('ASIA', 'EUROPE') GROUP BY 1")
+def b11_filter_visible(s, d):
+    return selection.filter_visible(view(s, d, "v_poi_category"), "top_id", ["ASIA", "EUROPE"]).groupBy("top_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT poi_id, 'Place ' || k AS label, 'poi:' || k AS candidate_id FROM v_poi")
+def b16_normalize_geocoder(s, d):
+    p = view(s, d, "v_poi").select("poi_id", F.col("poi_id").alias("id"), F.lit(" ").alias("label"), F.concat(F.lit("Place "), F.col("k").cast("string")).alias("name"), "lon", "lat", F.array(F.lit("City"), F.lit(" City "), F.lit("")).alias("context"))
+    return requests.normalize_geocoder(p).select("poi_id", "label", "candidate_id")
+
+
+@query("SELECT k AS row_id, CASE WHEN k % 3 = 0 THEN 'g2' WHEN k % 3 = 1 THEN 'g1' END AS group_id FROM v_poi")
+def c19_map_provider_category(s, d):
+    catalog = s.createDataFrame([("c1", "g1"), ("c2", "g2")], "category_id string, group_id string")
+    k = F.col("k")
+    p = view(s, d, "v_poi").select(k.alias("row_id"), F.when(k % 3 == 0, F.array(F.lit("zz"), F.lit("c2"), F.lit("c1"))).otherwise(F.array(F.lit("zz"))).alias("category_ids"), F.when(k % 3 == 1, F.array(F.lit("q"), F.lit("g1"))).otherwise(F.array(F.lit("q"))).alias("group_ids"))
+    return categories.map_provider_category(p, catalog).select("row_id", "group_id")
+
+
+@query("""WITH t AS (SELECT plan_id AS analysis_id, source_id, pos, CASE WHEN pos % 6 = 0 THEN 'name-missing' WHEN pos % 7 = 0 THEN 'coordinates-invalid' END AS reason, pos % 2 = 0 AS is_match, pos % 4 = 0 AS is_selected FROM v_piece_result WHERE source_id IS NOT NULL)
+SELECT analysis_id, COUNT(*) AS received, COUNT(DISTINCT source_id) AS deduplicated, COUNT(*) FILTER (reason = 'name-missing') AS unnamed, COUNT(*) FILTER (reason = 'coordinates-invalid') AS invalid, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_match) AS matched, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_selected) AS returned FROM t GROUP BY 1""")
+def d14_provider_coverage(s, d):
+    p = F.col("pos")
+    t = view(s, d, "v_piece_result").where("source_id is not null").select(F.col("plan_id").alias("analysis_id"), "source_id", F.when(p % 6 == 0, "name-missing").when(p % 7 == 0, "coordinates-invalid").alias("reason"), (p % 2 == 0).alias("is_match"), (p % 4 == 0).alias("is_selected"))
+    return selection.provider_coverage(t)
+
+
+@query("SELECT analysis_id, ring_id, poi_id FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY analysis_id, ring_id ORDER BY travel_time_s, poi_id) AS i FROM v_score) t WHERE i <= 5")
+def f6_sample_rows(s, d):
+    return selection.sample_rows(view(s, d, "v_score"), 5, ["analysis_id", "ring_id"], "travel_time_s", "poi_id").select("analysis_id", "ring_id", "poi_id")
+
+
+@query("SELECT analysis_id, range_minutes, CASE WHEN range_minutes = 10 THEN 'ok' ELSE 'area-limit' END AS status FROM (SELECT DISTINCT analysis_id, range_minutes FROM v_edge) t")
+def f7_guard_area(s, d):
+    p = isochrone_polygons(s, d).withColumn("area_km2", geo.area_km2(F.col("polygon")))
+    return selection.guard_area(p, 150.0).select("analysis_id", "range_minutes", "status")
+
+
+@query("""WITH r AS (SELECT analysis_id, ring_id, poi_id FROM v_score), p AS (SELECT analysis_id, CONCAT('ring-0-', outer_minutes) AS ring_id, poi_id FROM v_ring_poi WHERE analysis_id < 10), u AS (SELECT * FROM r WHERE analysis_id >= 10 UNION ALL SELECT * FROM p)
+SELECT analysis_id, ring_id, COUNT(*) AS n, CASE WHEN analysis_id < 10 THEN 'old,preview' ELSE 'old' END AS warnings FROM u GROUP BY 1, 2""")
+def g7_merge_preview(s, d):
+    r = view(s, d, "v_score").select("analysis_id", "ring_id", "poi_id", F.lit("old").alias("warning"))
+    p = assigned(s, d).where("analysis_id < 10").select("analysis_id", F.concat(F.lit("ring-0-"), F.col("outer_minutes").cast("string")).alias("ring_id"), "poi_id", F.lit("preview").alias("warning"))
+    return selection.merge_preview(r, p)[1].select("analysis_id", "ring_id", "n", F.array_join("warnings", ",").alias("warnings"))
+
+
+@query("SELECT analysis_id, range_minutes, CAST(COUNT(*) AS BIGINT) AS n_vertices, CAST(1 AS BIGINT) AS n_parts, CAST(1 AS BIGINT) AS n_rings FROM v_edge GROUP BY 1, 2")
+def k8_piece_report(s, d):
+    return tiles.piece_report(isochrone_polygons(s, d)).select("analysis_id", "range_minutes", *(F.col(c).cast("bigint").alias(c) for c in ("n_vertices", "n_parts", "n_rings")))
+
+
+@query("SELECT analysis_id, CAST(COUNT(*) AS BIGINT) AS n_parts, TRUE AS conserved FROM (SELECT DISTINCT analysis_id, range_minutes FROM v_edge) t GROUP BY 1")
+def k6_split_parts(s, d):
+    """The cumulative polygons of an analysis as parts of one; each part comes back with its area."""
+    multi = isochrone_polygons(s, d).groupBy("analysis_id").agg(F.flatten(F.array_sort(F.collect_list("polygon"))).alias("polygon"))
+    p = tiles.split_parts(multi)
+    return p.groupBy("analysis_id").agg(F.count("*").alias("n_parts"), (F.abs(F.sum("area") - F.first("whole_area")) < 1e-9).alias("conserved"))
+
+
+@query("SELECT poi_id, CAST(FLOOR(((deg + 22.5) - FLOOR((deg + 22.5) / 360) * 360) / 45) AS BIGINT) AS sector FROM (SELECT poi_id, DEGREES(ATAN2(lat - 30.5003, lon - 114.0007)) AS deg FROM v_poi) t")
+def h10_sector(s, d):
+    a = F.degrees(F.atan2(F.col("lat") - 30.5003, F.col("lon") - 114.0007))
+    return view(s, d, "v_poi").select("poi_id", geo.sector(a, 8).cast("bigint").alias("sector"))
+
+
+@query("SELECT poi_id, ROUND(b - FLOOR(b / 360) * 360, 6) AS bearing FROM (SELECT poi_id, DEGREES(ATAN2(SIN(RADIANS(lon - 114.3)) * COS(RADIANS(lat)), COS(RADIANS(30.6)) * SIN(RADIANS(lat)) - SIN(RADIANS(30.6)) * COS(RADIANS(lat)) * COS(RADIANS(lon - 114.3)))) AS b FROM v_poi) t")
+def h9_bearing(s, d):
+    return view(s, d, "v_poi").select("poi_id", F.round(geo.bearing(F.lit(114.3), F.lit(30.6), F.col("lon"), F.col("lat")), 6).alias("bearing"))
+
+
+@query("SELECT range_minutes, COUNT(DISTINCT analysis_id) AS n FROM v_edge GROUP BY 1")
+def h21_geometry_hash(s, d):
+    """Hashes are as many as polygons, whether rings are turned round or not."""
+    p = isochrone_polygons(s, d)
+    turned = F.transform("polygon", lambda part: F.transform(part, lambda r: F.concat(F.slice(F.reverse(r), 3, 99), F.slice(F.reverse(r), 1, 2))))
+    h = p.select("range_minutes", geo.geometry_hash(F.col("polygon")).alias("h")).union(p.select("range_minutes", geo.geometry_hash(turned).alias("h")))
+    return h.groupBy("range_minutes").agg(F.countDistinct("h").alias("n"))
