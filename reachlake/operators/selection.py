@@ -73,7 +73,7 @@ def time_visual_model(df: DataFrame) -> DataFrame:
     order = ("travel_time_s", "poi_id")
     d = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w), "_j": F.row_number().over(r.orderBy(*order)) - 1, "_m": F.count("*").over(r)})
     font = 12 + 14 * F.pow(1 - F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(0.75))
-    return d.withColumns({"font_size": F.round(font, 3), "opacity": F.round(1 - 0.45 * F.col("_j") / F.greatest(F.col("_m") - 1, F.lit(1)), 3)}).drop("_i", "_n", "_j", "_m")
+    return d.withColumns({"font_size": F.round(font, 6), "opacity": F.round(1 - 0.45 * F.col("_j") / F.greatest(F.col("_m") - 1, F.lit(1)), 6)}).drop("_i", "_n", "_j", "_m")
 
 
 def matrix_batches(poi: DataFrame, size: int = 500) -> DataFrame:
