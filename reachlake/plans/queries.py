@@ -256,7 +256,7 @@ def e3_round_robin_exact(s, d):
     return selection.round_robin_limit(matches(s, d), 100, exact=True).select("analysis_id", "poi_id", "position")
 
 
-@query("""SELECT analysis_id, poi_id, ROUND(12 + 14 * POWER(1 - i / CAST(GREATEST(n - 1, 1) AS DOUBLE), 0.75), 6) AS font_size, ROUND(1 - 0.45 * j / CAST(GREATEST(m - 1, 1) AS DOUBLE), 6) AS opacity FROM (SELECT analysis_id, poi_id,
+@query("""SELECT analysis_id, poi_id, ROUND(12 + 14 * POWER(1 - i / CAST(GREATEST(n - 1, 1) AS DOUBLE), 0.75), 6) AS font_size, ROUND(1 - CAST(0.45 AS DOUBLE) * j / CAST(GREATEST(m - 1, 1) AS DOUBLE), 6) AS opacity FROM (SELECT analysis_id, poi_id,
  ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY travel_time_s, poi_id) - 1 AS i, COUNT(*) OVER (PARTITION BY analysis_id) AS n, ROW_NUMBER() OVER (PARTITION BY analysis_id, ring_id ORDER BY travel_time_s, poi_id) - 1 AS j, COUNT(*) OVER (PARTITION BY analysis_id, ring_id) AS m FROM v_score) t""")
 def e4_time_visual_model(s, d):
     return selection.time_visual_model(view(s, d, "v_score")).select("analysis_id", "poi_id", "font_size", "opacity")
