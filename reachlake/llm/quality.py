@@ -79,9 +79,7 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     plain = F.col("t")
     for s in SYMBOLS:
         plain = F.replace(plain, F.lit(s), F.lit(""))
-    return d.select(
-        "doc_id",
-        *carry,
+    counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(plain)).cast("long").alias("n_symbols"),
@@ -90,6 +88,8 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.size("lines").cast("long").alias("n_lines"),
         (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
     )
+    # The generator keeps later filters from being pushed below the counts, which would compute them once for each use.
+    return d.select("doc_id", *carry, F.explode(F.array(counts)).alias("f")).select("doc_id", *carry, "f.*")
 
 
 def rule_votes() -> dict[str, Column]:
