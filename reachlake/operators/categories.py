@@ -19,13 +19,13 @@ def filter_categories(poi: DataFrame, requested: Column) -> DataFrame:
 def expand_category_filter(requests: DataFrame, mapping: DataFrame) -> DataFrame:
     """(analysis_id, groups): requested ids through mapping (category_id, group_id), unknown ids dropped."""
     r = requests.select("analysis_id", F.explode("requested").alias("category_id"))
-    g = r.join(mapping, "category_id").groupBy("analysis_id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
-    return requests.select("analysis_id").distinct().join(g, "analysis_id", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
+    g = r.join(mapping.hint("merge"), "category_id").groupBy("analysis_id").agg(F.array_sort(F.collect_set("group_id")).alias("groups"))
+    return requests.select("analysis_id").distinct().join(g.hint("merge"), "analysis_id", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
 
 
 def unknown_categories(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     """Requested ids that no node has."""
-    return requests.select("analysis_id", F.explode("requested").alias("category_id")).distinct().join(nodes.select("category_id").distinct(), "category_id", "left_anti")
+    return requests.select("analysis_id", F.explode("requested").alias("category_id")).distinct().join(nodes.select("category_id").distinct().hint("merge"), "category_id", "left_anti")
 
 
 def path_edges(poi: DataFrame) -> DataFrame:
@@ -77,13 +77,13 @@ def ring_category_counts(matches: DataFrame, rings: list[str], category: str = "
 def category_children(nodes: DataFrame) -> DataFrame:
     """Sorted children of every node; leaves have none."""
     kids = nodes.where("parent_id is not null").groupBy(F.col("parent_id").alias("category_id")).agg(F.array_sort(F.collect_set("category_id")).alias("children"))
-    return nodes.select("category_id").distinct().join(kids, "category_id", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
+    return nodes.select("category_id").distinct().join(kids.hint("merge"), "category_id", "left").withColumn("children", F.coalesce("children", F.array().cast("array<string>")))
 
 
 def top_children(nodes: DataFrame, counts: DataFrame, n: int = 8) -> DataFrame:
     """The n largest children of each parent; ties by id."""
     w = Window.partitionBy("parent_id").orderBy(F.desc("n"), "category_id")
-    return nodes.where("parent_id is not null").join(counts, "category_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("parent_id", "category_id", "n", "rank")
+    return nodes.where("parent_id is not null").join(counts.hint("merge"), "category_id").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("parent_id", "category_id", "n", "rank")
 
 
 def title_case(c: Column) -> Column:
@@ -97,10 +97,10 @@ def label_categories(df: DataFrame, labels: DataFrame, column: str = "category_i
 
 def map_provider_category(df: DataFrame, catalog: DataFrame) -> DataFrame:
     """group_id: of the first category id that the catalog (category_id, group_id) knows, else the first known group id."""
-    pairs = df.select("row_id", F.posexplode("category_ids").alias("pos", "category_id")).join(catalog, "category_id")
+    pairs = df.select("row_id", F.posexplode("category_ids").alias("pos", "category_id")).join(catalog.hint("merge"), "category_id")
     first = pairs.groupBy("row_id").agg(F.min_by("group_id", "pos").alias("g1"))
-    groups = df.select("row_id", F.posexplode("group_ids").alias("pos", "group_id")).join(catalog.select("group_id").distinct(), "group_id").groupBy("row_id").agg(F.min_by("group_id", "pos").alias("g2"))
-    return df.join(first, "row_id", "left").join(groups, "row_id", "left").withColumn("group_id", F.coalesce("g1", "g2")).drop("g1", "g2")
+    groups = df.select("row_id", F.posexplode("group_ids").alias("pos", "group_id")).join(catalog.select("group_id").distinct().hint("merge"), "group_id").groupBy("row_id").agg(F.min_by("group_id", "pos").alias("g2"))
+    return df.join(first.hint("merge"), "row_id", "left").join(groups.hint("merge"), "row_id", "left").withColumn("group_id", F.coalesce("g1", "g2")).drop("g1", "g2")
 
 
 def valid_path(hierarchy: Column) -> Column:
@@ -112,7 +112,7 @@ def deepest_valid_ancestor(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     """For (row_id, hierarchy): the longest prefix whose edges are all in nodes (category_id, parent_id)."""
     e = paths.select("row_id", "hierarchy", F.posexplode("hierarchy").alias("depth", "category_id")).withColumn("parent_id", F.when(F.col("depth") > 0, F.get("hierarchy", F.col("depth") - 1)))
     n = nodes.select(F.col("category_id").alias("c"), F.col("parent_id").alias("p"), F.lit(True).alias("known"))
-    j = e.join(n, (F.col("category_id") == F.col("c")) & F.col("parent_id").eqNullSafe(F.col("p")), "left")
+    j = e.join(n.hint("merge"), (F.col("category_id") == F.col("c")) & F.col("parent_id").eqNullSafe(F.col("p")), "left")
     broken = F.min(F.when(F.col("known").isNull(), F.col("depth")))
     d = j.groupBy("row_id", "hierarchy").agg(F.coalesce(broken, F.size("hierarchy")).alias("valid_depth"))
     return d.withColumn("ancestor", F.get("hierarchy", F.col("valid_depth") - 1))

@@ -135,7 +135,7 @@ def reach_profile(binned: DataFrame, spread: int = 3, bins: int = 360) -> DataFr
 def circular_smooth(profile: DataFrame, radius: int = 2, bins: int = 360, value: str = "reach_m") -> DataFrame:
     """Triangular moving average over a circle of bins: two box sums over a wrapped copy; missing bins count 0."""
     keys = profile.select("analysis_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    d = keys.join(profile, ["analysis_id", "bin"], "left").select("analysis_id", "bin", F.coalesce(value, F.lit(0.0)).alias("v"))
+    d = keys.join(profile.hint("merge"), ["analysis_id", "bin"], "left").select("analysis_id", "bin", F.coalesce(value, F.lit(0.0)).alias("v"))
     turned = F.explode(F.array(F.lit(-bins), F.lit(0), F.lit(bins)))
     d = d.withColumn("turn", turned).withColumn("at", F.col("bin") + F.col("turn")).where((F.col("at") >= -2 * radius) & (F.col("at") < bins + 2 * radius))
     w = Window.partitionBy("analysis_id").orderBy("at")

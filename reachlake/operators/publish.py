@@ -57,7 +57,7 @@ def publish_accessibility(poi: DataFrame, acc: DataFrame) -> tuple[DataFrame, Da
     keys = ["analysis_id", "poi_id"]
     p = poi.groupBy(*keys).agg(F.count("*").alias("n_poi"), F.first("spatial_ring", ignorenulls=True).alias("spatial_ring"))
     a = with_status(acc).groupBy(*keys).agg(F.count("*").alias("n_acc"), F.max(F.struct("status", "band", "duration_s", "distance_m")).alias("a"))
-    both = p.join(a, keys, "full_outer")
+    both = p.join(a.hint("merge"), keys, "full_outer")
     zero = F.coalesce((F.col("a.status") == "ok") & (F.col("a.duration_s") <= 0), F.lit(False))
     found = F.array_compact(F.array(
         F.when(F.col("n_poi") > 1, "duplicate-poi"), F.when(F.col("n_acc") > 1, "duplicate-accessibility"), F.when(F.col("n_acc").isNull(), "missing-accessibility"),
@@ -67,7 +67,7 @@ def publish_accessibility(poi: DataFrame, acc: DataFrame) -> tuple[DataFrame, Da
     violations = both.select(*keys, F.explode("found").alias("violation"))
     bad = violations.select("analysis_id").distinct()
     status = F.when(F.col("a.status") == "unreachable", "null").otherwise(F.col("a.status"))
-    good = both.join(bad, "analysis_id", "left_anti").select(*keys, "spatial_ring", status.alias("matrix_status"), F.coalesce("a.band", F.concat(F.lit("matrix-"), status)).alias("ring_id"), F.when(status == "ok", F.col("a.duration_s")).alias("travel_time_s"), F.when(status == "ok", F.col("a.distance_m")).alias("distance_m"))
+    good = both.join(bad.hint("merge"), "analysis_id", "left_anti").select(*keys, "spatial_ring", status.alias("matrix_status"), F.coalesce("a.band", F.concat(F.lit("matrix-"), status)).alias("ring_id"), F.when(status == "ok", F.col("a.duration_s")).alias("travel_time_s"), F.when(status == "ok", F.col("a.distance_m")).alias("distance_m"))
     return good, violations
 
 

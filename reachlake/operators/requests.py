@@ -26,7 +26,7 @@ def normal_categories(c: Column) -> Column:
 def validate_isochrones(isochrones: DataFrame, analysis: DataFrame) -> DataFrame:
     """Per analysis: whether exactly one polygon came for each requested range, with what is missing, extra or repeated."""
     got = isochrones.groupBy("analysis_id", "range_minutes").agg(F.count("*").alias("n")).groupBy("analysis_id").agg(F.collect_set("range_minutes").alias("got"), F.array_sort(F.collect_set(F.when(F.col("n") > 1, F.col("range_minutes")))).alias("repeated"))
-    d = analysis.join(got, "analysis_id", "left")
+    d = analysis.join(got.hint("merge"), "analysis_id", "left")
     empty = F.array().cast("array<int>")
     d = d.withColumns({"got": F.coalesce(F.col("got").cast("array<int>"), empty), "repeated": F.coalesce(F.col("repeated").cast("array<int>"), empty)})
     d = d.withColumns({"missing": F.array_sort(F.array_except("ranges", "got")), "extra": F.array_sort(F.array_except("got", "ranges"))})

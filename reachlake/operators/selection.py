@@ -55,7 +55,7 @@ def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFr
 
     kind = matches.schema["analysis_id"].dataType.simpleString()
     plan = matches.groupBy(*groups).agg(F.count("*").alias("n")).groupBy("analysis_id").applyInPandas(deal, f"analysis_id {kind}, ring_id string, top_id string, rn int, position int")
-    return ranked.join(plan, [*groups, "rn"]).drop("rn")
+    return ranked.join(plan.hint("merge"), [*groups, "rn"]).drop("rn")
 
 
 def limit_per_analysis(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -109,7 +109,7 @@ def merge_pieces(results: DataFrame, pieces: DataFrame) -> tuple[DataFrame, Data
     and near-duplicate rows are the caller's next steps (points_in_polygons, dedupe_near).
     """
     bad = pieces.where("not complete or truncated").select("plan_id").distinct()
-    r = results.join(bad, "plan_id", "left_anti")
+    r = results.join(bad.hint("merge"), "plan_id", "left_anti")
     key = F.coalesce("source_id", F.concat(F.lit("row:"), F.col("piece").cast("string"), F.lit(":"), F.col("pos").cast("string")))
     r = r.withColumn("_key", key)
     first = dedupe_first(r, ["plan_id", "source", "_key"], "piece", "pos").drop("_key")

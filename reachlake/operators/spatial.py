@@ -140,10 +140,10 @@ def ring_bounds(isochrones: DataFrame) -> DataFrame:
 def ring_counts(rings: DataFrame, assigned: DataFrame) -> DataFrame:
     """poi_count of every ring (analysis_id, outer_minutes), 0 where it is empty."""
     n = assigned.groupBy("analysis_id", "outer_minutes").count()
-    return rings.join(n, ["analysis_id", "outer_minutes"], "left").withColumn("poi_count", F.coalesce("count", F.lit(0))).drop("count")
+    return rings.join(n.hint("merge"), ["analysis_id", "outer_minutes"], "left").withColumn("poi_count", F.coalesce("count", F.lit(0))).drop("count")
 
 
 def candidate_guard(candidates: DataFrame, limit: int, key: str = "analysis_id") -> DataFrame:
     """Adds status: candidate-limit for all rows of an analysis with more than limit of them, else ok."""
     n = candidates.groupBy(key).agg(F.count("*").alias("_n"))
-    return candidates.join(n, key).withColumn("status", F.when(F.col("_n") > limit, "candidate-limit").otherwise("ok")).drop("_n")
+    return candidates.join(n.hint("merge"), key).withColumn("status", F.when(F.col("_n") > limit, "candidate-limit").otherwise("ok")).drop("_n")

@@ -83,7 +83,7 @@ def adaptive_tiles(points: DataFrame, limit: int, depth: int, key: str = "plan_i
     up = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(code, 2 * ({depth} - level))"))
     counts = up.groupBy(key, "cx", "cy", "level", "prefix").agg(F.sum("n").alias("n"))
     above = counts.select(key, "cx", "cy", (F.col("level") + 1).alias("level"), F.col("prefix").alias("up"), F.col("n").alias("n_up"))
-    d = counts.withColumn("up", F.shiftright("prefix", 2)).join(above, [key, "cx", "cy", "level", "up"], "left")
+    d = counts.withColumn("up", F.shiftright("prefix", 2)).join(above.hint("merge"), [key, "cx", "cy", "level", "up"], "left")
     leaf = ((F.col("n") < limit) | (F.col("level") == depth)) & (F.col("n_up").isNull() | (F.col("n_up") >= limit))
     return d.where(leaf).select(key, "cx", "cy", "level", F.col("prefix").alias("code"), "n", (F.col("n") >= limit).alias("incomplete"))
 
@@ -98,7 +98,7 @@ def tile_adjacency(tiles: DataFrame, key: str, size: float) -> DataFrame:
     """Tiles of one grid that share a side, each pair once, with the side's length."""
     step = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc")), F.struct(F.lit(1).alias("dr"), F.lit(0).alias("dc"))))
     a = tiles.select(key, "row", "col").withColumn("s", step).select(key, F.col("row").alias("row1"), F.col("col").alias("col1"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
-    return a.join(tiles.select(key, "row", "col"), [key, "row", "col"]).select(key, "row1", "col1", F.col("row").alias("row2"), F.col("col").alias("col2"), F.lit(float(size)).alias("shared"))
+    return a.join(tiles.select(key, "row", "col").hint("merge"), [key, "row", "col"]).select(key, "row1", "col1", F.col("row").alias("row2"), F.col("col").alias("col2"), F.lit(float(size)).alias("shared"))
 
 
 def area_stats(pieces: DataFrame, key: str) -> DataFrame:
