@@ -24,13 +24,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(column) -> list[bytes]:
-    """UTF-8 bytes of each value of an Arrow string or binary array; null gives b''."""
-    import pyarrow as pa
+class Slices:
+    """UTF-8 bytes of each value of an Arrow string or binary array, cut out when asked for; null gives b''."""
 
-    if not pa.types.is_large_binary(column.type):
-        column = column.cast(pa.large_binary())
-    return [b"" if x is None else x for x in column.to_pylist()]
+    def __init__(self, column):
+        import numpy as np
+        import pyarrow as pa
+
+        if not pa.types.is_large_binary(column.type):
+            column = column.cast(pa.large_binary())
+        _, ends, data = column.buffers()
+        self.n = len(column)
+        self.ends = np.frombuffer(ends, np.int64, self.n + 1, 8 * column.offset).tolist() if self.n else [0]
+        self.valid = column.is_valid().to_pylist() if column.null_count else None
+        self.data = memoryview(data) if data is not None else memoryview(b"")
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> bytes:
+        if i >= self.n:
+            raise IndexError(i)
+        return b"" if self.valid and not self.valid[i] else bytes(self.data[self.ends[i] : self.ends[i + 1]])
+
+
+def slices(column) -> Slices:
+    return Slices(column)
 
 
 def words_sql(text: Column) -> Column:

@@ -182,15 +182,28 @@ def test_lm(spark, parts):
     assert sum(g.score for g in test) > 1.1 * sum(g.base_score for g in test)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    """Texts of one word ask p(w | start) p(end | w): summed over known words and one unknown, p(w | start) is 1."""
-    texts = ["a b", "a b c", "b a", "c c c a", "a"]
-    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1]
-    test = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1]
-    rows = list(zip(ids, texts)) + list(zip(test, ["a", "b", "c", "unseen", ""]))
-    got = {t: r for r, t in ((next(x for x in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if x.doc_id == i), t) for i, t in rows[len(texts) :])}
-    start = sum(10 ** got[t].score for t in got)  # p(end | start) and p(w, end | start) for one word
-    assert 0 < start < 1
+def test_lm_probabilities_sum_to_one():
+    """For a fixed context the model's probabilities of all words and of one unknown word sum to one."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    names = [b"w%d" % i for i in range(30)] + [lm.END_WORD]
+    text = [names[i] for i in (rng.random(4000) ** 3 * 31).astype(int)]
+    w, v = lm.word_hash(text[1:]), lm.word_hash(text[:-1])
+    words, c = np.unique(w, return_counts=True)
+    slots = np.zeros(lm.SLOTS, np.uint8)
+    for x, n in zip(words, c, strict=True):
+        slots[int(x) % lm.SLOTS] = round(math.log2(n))
+    context = lm.word_hash([text[0]])[0]
+    ask = np.concatenate([words, lm.word_hash([b"never seen"])])
+    all_w, all_v = np.concatenate([w, ask]), np.concatenate([v, np.full(len(ask), context)])
+    train = np.arange(len(all_w)) < len(w)
+    cls = slots[(all_v % np.uint64(lm.SLOTS)).astype(int)]
+    _, score, known = lm.score_words(all_w, all_v & np.uint64(lm.MASK40), cls, train, {}, len(w), len(words), slots)
+    own = np.where(ask == lm.word_hash([lm.END_WORD])[0], 0.0, np.log10([(c[words == x][0] if (words == x).any() else 0) + lm.SHARE * 2.0 ** slots[int(x) % lm.SLOTS] for x in ask]))
+    first = math.log10((v == context).sum() + lm.SHARE * 2.0 ** slots[int(context) % lm.SLOTS])
+    p = 10 ** (score[len(w) :] + own - first)
+    assert known[len(w) :].tolist() == [True] * len(words) + [False] and abs(p.sum() - 1) < 2e-3
 
 
 def test_elias_fano():
@@ -212,7 +225,7 @@ def test_trie_quantisation():
 
     words = np.array([3, 900, 2**63 + 5], np.uint64)
     owner, prev = np.array([0, 0, 2]), np.array([1, 7, 5], np.uint64)
-    t = lm.Trie(lm.build_trie(words, np.array([4, 1, 2]), owner, prev, None, np.array([0.5, 100.0, 3.0])))
+    t = lm.Trie(lm.build_trie(words, np.array([4, 1, 2]), owner, prev, np.array([0.5, 100.0, 3.0])))
     assert t.find_words(np.array([3, 4, 900, 2**63 + 5, 2**64 - 1], np.uint64)).tolist() == [0, -1, 1, 2, -1]
     got, ok = t.find_pairs(np.array([0, 0, 0, 1, 2, 2]), np.array([1, 7, 8, 1, 5, 4], np.uint64))
     assert ok.tolist() == [True, True, False, False, True, False] and np.allclose(got[ok], np.log10([0.5, 100.0, 3.0]), atol=1e-4)
