@@ -34,57 +34,101 @@ BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
 PAIRS = tuple(combinations(range(5), 2))
 
 
-def shingle_hashes(data: bytes) -> list[int]:
-    """XXH64 (seed 42) of every 3-word shingle, repeats included; of all words if there are fewer than three."""
+def shingle_hashes(data: bytes, size: int = 3) -> list[int]:
+    """XXH64 (seed 42) of every shingle of `size` words, repeats included; of all words if there are fewer."""
     from xxhash import xxh64_intdigest as h
 
     words = lower_ascii(data).split()
-    if len(words) < 3:
+    if len(words) < size:
         return [h(b" ".join(words), 42)] if words else []
     text = b" ".join(words)
     ends, at = [], -1
     for w in words:
         at += len(w) + 1
         ends.append(at)
-    return [h(text[a:b], 42) for a, b in zip([0, *(e + 1 for e in ends[:-3])], ends[2:], strict=True)]
+    return [h(text[a:b], 42) for a, b in zip([0, *(e + 1 for e in ends[:-size])], ends[size - 1 :], strict=True)]
 
 
-def fingerprints(texts: list[bytes]):
-    """One uint64 each. Counts of bit s, s+8, ... sit in the eight byte lanes of a word and are summed in runs of at most 255."""
+def majority(x, n):
+    """For each run of n[i] hashes in x, the bits set in over half of them (0 for an empty run).
+
+    Counts of bit s, s+8, ... sit in the eight byte lanes of a word and are summed in runs of at most 255.
+    """
     import numpy as np
 
-    out = np.zeros(len(texts), np.uint64)
-    pool, sizes = [], []
-    at, held = 0, 0
-
-    def flush(until: int) -> None:
-        nonlocal pool, sizes, at, held
-        if pool:
-            x = np.array(pool, np.uint64)
-            n = np.array(sizes)
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            full = np.flatnonzero(n)
-            cuts = np.concatenate([np.arange(s, s + k, 255) for s, k in zip(starts[full], n[full], strict=True)])
-            owner = np.repeat(np.arange(len(full)), -(-n[full] // 255))
-            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            bits = np.zeros((len(full), 8, 8), bool)
-            for s in range(8):
-                lanes = np.add.reduceat((x >> np.uint64(s)) & np.uint64(0x0101010101010101), cuts).view(np.uint8).reshape(-1, 8)
-                bits[:, :, s] = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64) > n[full][:, None]
-            out[at + full] = np.packbits(bits, axis=2, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
-        pool, sizes, at, held = [], [], until, 0
-
-    for i, data in enumerate(texts):
-        h = shingle_hashes(data)
+    out = np.zeros(len(n), np.uint64)
+    full = np.flatnonzero(n)
+    if not len(full):
+        return out
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    cuts = np.concatenate([np.arange(s, s + k, 255) for s, k in zip(starts[full], n[full], strict=True)])
+    owner = np.repeat(np.arange(len(full)), -(-n[full] // 255))
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    bits = np.zeros((len(full), 8, 8), bool)
+    for s in range(8):
+        lanes = np.add.reduceat((x >> np.uint64(s)) & np.uint64(0x0101010101010101), cuts).view(np.uint8).reshape(-1, 8)
+        bits[:, :, s] = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64) > n[full][:, None]
+    out[full] = np.packbits(bits, axis=2, bitorder="little").reshape(-1, 8).copy().view(np.uint64).ravel()
+    return out
+
+
+def _pooled(texts, size: int, make, most: int = 200_000) -> list:
+    """make(hashes, run lengths) over texts in pools of about `most` shingles."""
+    import numpy as np
+
+    out, pool, sizes = [], [], []
+    for data in texts:
+        h = shingle_hashes(data, size)
         pool += h
         sizes.append(len(h))
-        held += len(h)
-        if held > 200_000:
-            flush(i + 1)
-    flush(len(texts))
+        if len(pool) > most:
+            out.append(make(np.array(pool, np.uint64), np.array(sizes)))
+            pool, sizes = [], []
+    if sizes or not out:
+        out.append(make(np.array(pool, np.uint64), np.array(sizes, np.int64)))
     return out
 
 
+def fingerprints(texts):
+    """One uint64 for each text."""
+    import numpy as np
+
+    return np.concatenate(_pooled(texts, 3, majority))
+
+
+BINS, ROWS, BANDS, WORDS = 32, 3, 10, 4
+
+
+def _mix(x, seed: int):
+    import numpy as np
+
+    x = (x + np.uint64(seed * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_sketch(x, n):
+    """Per run of shingle hashes: a 256-bit SimHash (four words) and ten band keys of a one-permutation MinHash.
+
+    An empty MinHash bin takes the value of the next full one, with its distance mixed in.
+    """
+    import numpy as np
+
+    signature = np.stack([majority(_mix(x, k + 1), n) for k in range(WORDS)], axis=1)
+    g = _mix(x, 9)
+    empty = np.uint64(0xFFFFFFFFFFFFFFFF)
+    low = np.full(len(n) * BINS, empty)
+    np.minimum.at(low, np.repeat(np.arange(len(n)) * BINS, n) + (g >> np.uint64(59)).astype(np.int64), g & np.uint64((1 << 59) - 1))
+    low = low.reshape(-1, BINS)
+    for _ in range(BINS - 1):
+        hole = low == empty
+        if not hole[n > 0].any():
+            break
+        low = np.where(hole & (np.roll(low, -1, axis=1) != empty), _mix(np.roll(low, -1, axis=1), 11) >> np.uint64(1), low)
+    keys = [_mix(_mix(_mix(low[:, 3 * k], 20 + k) ^ low[:, 3 * k + 1], 1) ^ low[:, 3 * k + 2], 2) for k in range(BANDS)]
+    return np.concatenate([signature, np.stack(keys, axis=1)], axis=1)
+
+
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, th, fp): th is a hash of the text that tells rows of one doc_id apart; fp is signed. No shuffle."""
 
@@ -131,7 +175,40 @@ def close_lanes(x, y, radius: int = RADIUS):
     return word[w] * 64 + lane
 
 
-def bucket_links(keys, x, lags: int = 32):
+def close_wide(x, y, radius: int):
+    """close_lanes for signatures of several words: a radius up to 127, counted by seven carry-save digits."""
+    import numpy as np
+
+    n = len(x)
+    diff = np.concatenate([x ^ y, np.zeros((-n % 64, x.shape[1]), np.uint64)]).view(np.uint8).reshape(-1, 64, 8 * x.shape[1])
+    live = np.packbits(np.arange(len(diff) * 64) < n, bitorder="little").view(np.uint64)
+    word = np.arange(len(diff))
+    digits = [np.zeros(len(word), np.uint64) for _ in range(7)]
+    for group in range(diff.shape[2]):
+        lanes = np.ascontiguousarray(diff[word, :, group])
+        for b in range(8):
+            carry = np.packbits((lanes >> b) & 1, axis=1, bitorder="little").view(np.uint64).ravel()
+            for k in range(7):
+                digits[k], carry = digits[k] ^ carry, digits[k] & carry
+            live &= ~carry
+        above, same = np.zeros(len(word), np.uint64), ~np.zeros(len(word), np.uint64)
+        for k in range(6, -1, -1):
+            if radius >> k & 1:
+                same &= digits[k]
+            else:
+                above |= same & digits[k]
+                same &= ~digits[k]
+        live &= ~above
+        on = live != 0
+        if not on.all():
+            word, live, digits = word[on], live[on], [d[on] for d in digits]
+        if not len(word):
+            return np.zeros(0, np.int64)
+    w, lane = np.nonzero(np.unpackbits(live.view(np.uint8), bitorder="little").reshape(-1, 64))
+    return word[w] * 64 + lane
+
+
+def bucket_links(keys, x, lags: int = 32, close=None):
     """Spanning links (positions a, b) of each run of equal keys; x is distinct within a run.
 
     All runs are first compared at shifts 1 to `lags` together, which settles runs of up to lags + 1. In longer
@@ -140,6 +217,7 @@ def bucket_links(keys, x, lags: int = 32):
     """
     import numpy as np
 
+    close = close or close_lanes
     n = len(x)
     root = np.arange(n)
 
@@ -174,7 +252,7 @@ def bucket_links(keys, x, lags: int = 32):
             break
         p = at[root[at] != root[at + lag]]
         if len(p):
-            p = p[close_lanes(x[p], x[p + lag])]
+            p = p[close(x[p], x[p + lag])]
             link(p.tolist(), (p + lag).tolist())
             if len(p):
                 flat()
@@ -186,38 +264,48 @@ def bucket_links(keys, x, lags: int = 32):
         for i in (a + np.flatnonzero(root[a:b] != most)).tolist():
             p = a + np.flatnonzero(root[a:b] != find(i))
             if len(p):
-                p = p[close_lanes(np.full(len(p), x[i]), x[p])]
+                p = p[close(np.repeat(x[i : i + 1], len(p), axis=0), x[p])]
                 if len(p):
                     link([i] * len(p), p.tolist())
                     flat(a, b)
     return left, right
 
 
-def _links(batches: Iterator) -> Iterator:
-    """Rows (k, fp) sorted by k, then fp -> links (a, b). The last run of a batch waits for the next."""
-    import numpy as np
-    import pyarrow as pa
+def _links(radius: int | None = None):
+    """Rows (k, node, then any signature words) sorted by k, then node -> links (a, b) of nodes.
+
+    The last run of a batch waits for the next one. Without signature words the node is the fingerprint itself.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    def found(k, x) -> pa.RecordBatch:
-        left, right = bucket_links(k, x.view(np.uint64)) if len(k) > 1 else ([], [])
-        return pa.RecordBatch.from_arrays([pa.array(x[left], pa.int64()), pa.array(x[right], pa.int64())], ["a", "b"])
+        def found(k, x) -> pa.RecordBatch:
+            node = x if x.ndim == 1 else x[:, 0]
+            how = None if x.ndim == 1 else lambda a, b: close_wide(a, b, radius)
+            left, right = bucket_links(k, (x if x.ndim == 1 else x[:, 1:]).copy().view(np.uint64), close=how) if len(k) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(node[left], pa.int64()), pa.array(node[right], pa.int64())], ["a", "b"])
 
-    held, size = [], 0
-    for batch in batches:
-        k, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(k):
-            continue
-        cut = int(np.searchsorted(k, k[-1]))
-        if held and held[-1][0][-1] == k[-1] or size + cut < 50_000:
-            held.append((k, x))
-            size += len(k)
-            continue
-        k, x = (np.concatenate([*(h[i] for h in held), v]) for i, v in enumerate((k, x)))
-        cut = int(np.searchsorted(k, k[-1]))
-        yield found(k[:cut], x[:cut])
-        held, size = [(k[cut:], x[cut:])], len(k) - cut
-    if held:
-        yield found(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+        held, size = [], 0
+        for batch in batches:
+            k, *cols = (batch.column(i).to_numpy() for i in range(batch.num_columns))
+            x = cols[0] if len(cols) == 1 else np.stack(cols, axis=1)
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1]))
+            if held and held[-1][0][-1] == k[-1] and held[-1][0][0] == k[-1] or size + cut < 50_000:
+                held.append((k, x))
+                size += len(k)
+                continue
+            k, x = (np.concatenate([*(h[i] for h in held), v]) for i, v in enumerate((k, x)))
+            cut = int(np.searchsorted(k, k[-1]))
+            yield found(k[:cut], x[:cut])
+            held, size = [(k[cut:], x[cut:])], len(k) - cut
+        if held:
+            yield found(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+
+    return run
 
 
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
@@ -228,7 +316,7 @@ def fingerprint_links(nodes: DataFrame) -> DataFrame:
         keys.append(F.lit(j << 26).cast("bigint").bitwiseOR(F.shiftleft(part[0], 13)).bitwiseOR(part[1]))
     buckets = nodes.select(F.explode(F.array(*keys)).alias("k"), "fp")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = buckets.repartition(parts, "k").sortWithinPartitions("k", "fp").mapInArrow(_links, "a bigint, b bigint")
+    links = buckets.repartition(parts, "k").sortWithinPartitions("k", "fp").mapInArrow(_links(), "a bigint, b bigint")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -261,22 +349,63 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return reduce(compose, reversed(rounds[:-1]), last)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: doc_id, th, fp (signed), fingerprint (hex), class_id (one fingerprint of the component), component_id."""
-    rows = keep(fingerprint_rows(docs, id_col, text_col), "fingerprints")
-    nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
-    roots = keep(components(fingerprint_links(nodes.select("fp"))), "fingerprint-roots")
-    classes = nodes.join(roots.select(F.col("node").alias("fp"), "root").hint("merge"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("class_id"))
+def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """rows (with node) joined to class_id (one node of the component) and component_id (its smallest doc_id)."""
+    roots = keep(components(links), "fingerprint-roots")
+    classes = nodes.join(roots.select("node", "root").hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("class_id"))
     smallest = classes.groupBy("class_id").agg(F.min("first_id").alias("component_id"))
-    named = keep(classes.join(smallest.hint("merge"), "class_id").select("fp", "class_id", "component_id"), "fingerprint-classes")
-    # A fingerprint that many rows share is one large key on the left only, which adaptive execution splits.
-    return rows.join(named.hint("merge"), "fp").select("doc_id", "th", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "class_id", "component_id")
+    named = keep(classes.join(smallest.hint("merge"), "class_id").select("node", "class_id", "component_id"), "fingerprint-classes")
+    # A node that many rows share is one large key on the left only, which adaptive execution splits.
+    return rows.join(named.hint("merge"), "node")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document row: doc_id, th, fingerprint (hex), class_id (one fingerprint of the component), component_id."""
+    rows = keep(fingerprint_rows(docs, id_col, text_col), "fingerprints").withColumnRenamed("fp", "node")
+    nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
+    found = _classes(rows, nodes, fingerprint_links(nodes.select(F.col("node").alias("fp"))))
+    return found.select("doc_id", "th", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "class_id", "component_id")
+
+
+def sketch_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
+    """(doc_id, th, s0..s3, bands): 256-bit SimHash and MinHash band keys over whole texts. No shuffle."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            x = np.concatenate(_pooled(slices(batch.column(2)), shingle, wide_sketch)).view(np.int64)
+            bands = pa.FixedSizeListArray.from_arrays(pa.array(x[:, WORDS:].ravel()), BANDS).cast(pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WORDS)), bands], ["doc_id", "th", *(f"s{i}" for i in range(WORDS)), "bands"])
+
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
+    return d.mapInArrow(run, "doc_id bigint, th bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>")
 
 
-def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, the one of its smallest doc_id (a null doc_id only where there is no other; of
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 46) -> DataFrame:
+    """doc_id, th, class_id, component_id by similarity of 5-word shingles of about 0.8 or more.
+
+    A pair at Jaccard similarity 0.8 differs in 39 of 256 SimHash bits (standard deviation 6), one at 0.7 in 49, one at 0.5
+    in 68, unrelated ones in 128. 64 bits at distance 3 miss most pairs at 0.8, and no split into blocks can find pairs
+    39 bits apart, so buckets come from ten MinHash bands of three (a pair at 0.8 meets in one with probability 0.999)
+    and are compared by the same bit-sliced counters. Equal signatures are one node.
+    """
+    rows = keep(sketch_rows(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("s0", "s1", "s2", "s3")), "sketches")
+    lean = rows.select("doc_id", "th", "node")
+    sign = [f"s{i}" for i in range(WORDS)]
+    nodes = keep(lean.groupBy("node").agg(F.min("doc_id").alias("first_id")), "sketch-nodes")
+    # Rows of one node and band are equal here; they are made distinct before they are dealt, so copies cost nothing.
+    buckets = rows.select("node", *sign, F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("k"), "node", *sign).distinct()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = buckets.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_links(radius), "a bigint, b bigint").where("a <> b")
+    return _classes(lean, nodes, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("doc_id", "th", "class_id", "component_id")
+
+
+def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:
+    """One row of each component of near_duplicates or near_copies, the one of its smallest doc_id (a null doc_id only where there is no other; of
     rows with one doc_id, the smallest text hash), with the columns of docs."""
-    best = near_duplicates(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    best = near(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     best = keep(best.groupBy("class_id").agg(F.min(F.struct("doc_id", "th")).alias("r"), F.count("*").alias("n")), "kept-ids")
     best = best.select("r.*", "n")
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))

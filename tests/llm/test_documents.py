@@ -107,6 +107,41 @@ def test_simhash_links_every_pair_within_the_radius():
     assert all(any((int(x[i]) ^ int(x[j])) >> lo & ((1 << hi - lo) - 1) == 0 for lo, hi in simhash.BLOCKS) for i, j in want) and len(a)
 
 
+def test_wide_comparison_counts_bits():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    y = x.copy()
+    for i in range(300):
+        for b in rng.choice(256, i % 90, replace=False):
+            y[i, b // 64] ^= np.uint64(1 << int(b % 64))
+    assert simhash.close_wide(x, y, 46).tolist() == [i for i in range(300) if i % 90 <= 46]
+
+
+def test_near_copies(spark):
+    """Edited copies at similarity 0.85 or more meet; unrelated texts, and a chain's far ends, are as the links say."""
+    import random
+
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(rnd.choice([12, 60, 300, 2000]))]
+        rows.append((g * 10, " ".join(base)))
+        for k in range(1, 4):
+            w = list(base)
+            for _ in range(max(1, len(w) // 100) if len(w) > 50 else 0):
+                w[rnd.randrange(len(w))] = word()
+            rows.append((g * 10 + k, " ".join(w)))
+    rows += [(1000, None), (1001, ""), (1002, "one"), (None, rows[0][1])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1)).repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()}
+    assert got == {i: 0 if i is None else 1000 if i == 1001 else i if i >= 1000 else i // 10 * 10 for i, _ in rows}
+    assert sorted(r.doc_id for r in simhash.keep_first_of_each(d, near=simhash.near_copies).collect()) == sorted({g * 10 for g in range(40)} | {1000, 1002})
+    assert simhash.near_copies(d.where("false")).count() == 0
+
+
 def test_simhash_repeated_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "q r s t u"), (None, "a b c d"), (None, "z z z"), (None, None), (None, "")], "doc_id bigint, text string")
     got = sorted([(str(r.doc_id), r.component_id) for r in simhash.near_duplicates(d).collect()], key=str)

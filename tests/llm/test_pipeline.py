@@ -41,10 +41,25 @@ def test_line_stage(stages):
     assert {k: brute.sha(t) for k, t in pairs(stages[2])} == {k: v[2] for k, v in want.items()}
 
 
+def shingles(t):
+    w = brute.WS.findall(brute.low(t))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_near_dedup_stage(stages):
-    before = pairs(stages[2])
-    want = {c for _, c in brute.simhash(before).values()}
-    assert dict(pairs(stages[3])) == {k: t for k, t in before if k in want}
+    """Of every pair at similarity 0.85 or more one document goes; every document that goes is like one that is there."""
+    before, after = pairs(stages[2]), dict(pairs(stages[3]))
+    sets = {k: shingles(t) for k, t in before}
+    assert all(after[k] == t for k, t in before if k in after)
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            if like(a, b) >= 0.85:
+                assert a not in after
+    for k in ids:
+        assert k in after or any(like(k, o) >= 0.55 for o in ids if o != k)
+    assert len(after) < len(before)
 
 
 def test_decontamination_stage(spark, stages):
