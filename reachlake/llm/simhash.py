@@ -353,7 +353,9 @@ def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """rows (with node) joined to class_id (one node of the component) and component_id (its smallest doc_id)."""
     roots = keep(components(links), "fingerprint-roots")
     classes = nodes.join(roots.select("node", "root").hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("class_id"))
-    smallest = classes.groupBy("class_id").agg(F.min("first_id").alias("component_id"))
+    # Written out, so that the join below stands on plain exchanges and a large class can be split.
+    classes = keep(classes, "fingerprint-class-ids")
+    smallest = keep(classes.groupBy("class_id").agg(F.min("first_id").alias("component_id")), "fingerprint-smallest")
     named = keep(classes.join(smallest.hint("merge"), "class_id").select("node", "class_id", "component_id"), "fingerprint-classes")
     # A node that many rows share is one large key on the left only, which adaptive execution splits.
     return rows.join(named.hint("merge"), "node")
