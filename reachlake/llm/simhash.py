@@ -96,7 +96,9 @@ def fingerprints(texts):
     return np.concatenate(_pooled(texts, 3, majority))
 
 
-BINS, ROWS, BANDS, WORDS = 32, 3, 10, 4
+BINS, ROWS, BANDS, WORDS = 64, 3, 21, 4
+#: Least similarity of near copies, as a fraction.
+LEAST = (4, 5)
 
 
 def _mix(x, seed: int):
@@ -108,7 +110,7 @@ def _mix(x, seed: int):
 
 
 def wide_sketch(x, n):
-    """Per run of shingle hashes: a 256-bit SimHash (four words) and ten band keys of a one-permutation MinHash.
+    """Per run of shingle hashes: a 256-bit SimHash (four words) and 21 band keys of a one-permutation MinHash.
 
     An empty MinHash bin takes the value of the next full one, with its distance mixed in.
     """
@@ -118,7 +120,7 @@ def wide_sketch(x, n):
     g = _mix(x, 9)
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     low = np.full(len(n) * BINS, empty)
-    np.minimum.at(low, np.repeat(np.arange(len(n)) * BINS, n) + (g >> np.uint64(59)).astype(np.int64), g & np.uint64((1 << 59) - 1))
+    np.minimum.at(low, np.repeat(np.arange(len(n)) * BINS, n) + (g >> np.uint64(58)).astype(np.int64), g & np.uint64((1 << 58) - 1))
     low = low.reshape(-1, BINS)
     for _ in range(BINS - 1):
         hole = low == empty
@@ -271,21 +273,44 @@ def bucket_links(keys, x, lags: int = 32, close=None):
     return left, right
 
 
-def _links(radius: int | None = None):
-    """Rows (k, node, then any signature words) sorted by k, then node -> links (a, b) of nodes.
+def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
+    """All pairs (positions p, q, each pair once) of equal keys and different roots within the radius whose set sizes n allow the similarity.
 
-    The last run of a batch waits for the next one. Without signature words the node is the fingerprint itself.
+    Runs are compared as in bucket_links: in long ones only members outside the run's largest root meet all others.
     """
+    import numpy as np
+
+    def near(p, q):
+        fit = (root[p] != root[q]) & (LEAST[1] * np.minimum(n[p], n[q]) >= LEAST[0] * np.maximum(n[p], n[q]))
+        p, q = p[fit], q[fit]
+        on = close_wide(x[p], x[q], radius) if len(p) else p
+        return p[on], q[on]
+
+    start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
+    end = np.concatenate([start[1:], [len(x)]])
+    reach = np.repeat(end, end - start)
+    at = np.arange(len(x))
+    for lag in range(1, lags + 1):
+        at = at[reach[at] - at > lag]
+        if not len(at):
+            break
+        yield near(at, at + lag)
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        if b - a <= lags + 1:
+            continue
+        own, count = np.unique(root[a:b], return_counts=True)
+        rest = root[a:b] != own[count.argmax()]
+        for i in (a + np.flatnonzero(rest)).tolist():
+            q = a + np.flatnonzero(~rest | (np.arange(a, b) > i))
+            q = q[np.abs(q - i) > lags]
+            yield near(np.full(len(q), i), q)
+
+
+def _by_run(found):
+    """Rows (k, columns) sorted by k -> the batches of found(k, columns) over whole runs of k. The last run of a batch waits for the next one."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
-        import pyarrow as pa
-
-        def found(k, x) -> pa.RecordBatch:
-            node = x if x.ndim == 1 else x[:, 0]
-            how = None if x.ndim == 1 else lambda a, b: close_wide(a, b, radius)
-            left, right = bucket_links(k, (x if x.ndim == 1 else x[:, 1:]).copy().view(np.uint64), close=how) if len(k) > 1 else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(node[left], pa.int64()), pa.array(node[right], pa.int64())], ["a", "b"])
 
         held, size = [], 0
         for batch in batches:
@@ -300,14 +325,58 @@ def _links(radius: int | None = None):
                 continue
             k, x = (np.concatenate([*(h[i] for h in held), v]) for i, v in enumerate((k, x)))
             cut = int(np.searchsorted(k, k[-1]))
-            yield found(k[:cut], x[:cut])
+            yield from found(k[:cut], x[:cut])
             held, size = [(k[cut:], x[cut:])], len(k) - cut
         if held:
-            yield found(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+            yield from found(*(np.concatenate([h[i] for h in held]) for i in range(2)))
 
     return run
 
 
+def _link_batch(left, right):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def _links(radius: int | None = None):
+    """Rows (k, node, then any signature words) sorted by k, then node -> links (a, b) of nodes.
+
+    Without signature words the node is the fingerprint itself.
+    """
+
+    def found(k, x):
+        import numpy as np
+
+        node = x if x.ndim == 1 else x[:, 0]
+        how = None if x.ndim == 1 else lambda a, b: close_wide(a, b, radius)
+        left, right = bucket_links(k, (x if x.ndim == 1 else x[:, 1:]).copy().view(np.uint64), close=how) if len(k) > 1 else ([], [])
+        yield _link_batch(node[left], node[right])
+
+    return _by_run(found)
+
+
+def _cross_links(radius: int):
+    """Rows (k, node, root, set size, signature words) sorted by k -> all links (a, b) of cross_pairs."""
+
+    def found(k, x):
+        import numpy as np
+
+        node, sign = x[:, 0], x[:, 3:].copy().view(np.uint64)
+        held, size = [], 0
+        for p, q in cross_pairs(k, x[:, 1], x[:, 2], sign, radius):
+            if len(p):
+                held.append((p, q))
+                size += len(p)
+            if size > 50_000:
+                yield _link_batch(*(node[np.concatenate(c)] for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if held:
+            yield _link_batch(*(node[np.concatenate(c)] for c in zip(*held, strict=True)))
+
+    return _by_run(found)
+
+
 def fingerprint_links(nodes: DataFrame) -> DataFrame:
     """(a, b) with a < b: links that connect all distinct fingerprints (column fp) at distance 3 or less."""
     keys = []
@@ -370,38 +439,82 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def sketch_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, th, s0..s3, bands): 256-bit SimHash and MinHash band keys over whole texts. No shuffle."""
+    """(doc_id, th, node, n, s0..s3, bands, shingles) over whole texts: the set of shingle hashes and its size, a hash of the
+    set (node), its 256-bit SimHash and MinHash band keys. Repeats of a shingle count once. No shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        from xxhash import xxh64_intdigest
 
-        for batch in batches:
-            x = np.concatenate(_pooled(slices(batch.column(2)), shingle, wide_sketch)).view(np.int64)
-            bands = pa.FixedSizeListArray.from_arrays(pa.array(x[:, WORDS:].ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(x[:, i])) for i in range(WORDS)), bands], ["doc_id", "th", *(f"s{i}" for i in range(WORDS)), "bands"])
-
-    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
-    return d.mapInArrow(run, "doc_id bigint, th bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>")
+        def lists(values, ends) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
+        def rows(batch, at: int, sets: list) -> pa.RecordBatch:
+            x, n = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
+            node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            y = wide_sketch(x, n).view(np.int64)
+            bands = lists(y[:, WORDS:].ravel(), np.arange(len(n) + 1) * BANDS)
+            cols = [*(batch.column(i).slice(at, len(n)) for i in range(2)), pa.array(node), pa.array(n), *(pa.array(np.ascontiguousarray(y[:, i])) for i in range(WORDS))]
+            names = ["doc_id", "th", "node", "n", *(f"s{i}" for i in range(WORDS)), "bands", "shingles"]
+            return pa.RecordBatch.from_arrays([*cols, bands, lists(x.view(np.int64), np.concatenate([[0], np.cumsum(n)]))], names)
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 46) -> DataFrame:
-    """doc_id, th, class_id, component_id by similarity of 5-word shingles of about 0.8 or more.
+        for batch in batches:
+            at, sets, size = 0, [], 0
+            for data in slices(batch.column(2)):
+                sets.append(np.unique(np.array(shingle_hashes(data, shingle), np.uint64)))
+                size += len(sets[-1])
+                if size > 200_000:
+                    yield rows(batch, at, sets)
+                    at, sets, size = at + len(sets), [], 0
+            if sets:
+                yield rows(batch, at, sets)
 
-    A pair at Jaccard similarity 0.8 differs in 39 of 256 SimHash bits (standard deviation 6), one at 0.7 in 49, one at 0.5
-    in 68, unrelated ones in 128. 64 bits at distance 3 miss most pairs at 0.8, and no split into blocks can find pairs
-    39 bits apart, so buckets come from ten MinHash bands of three (a pair at 0.8 meets in one with probability 0.999)
-    and are compared by the same bit-sliced counters. Equal signatures are one node.
+    d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
+    return d.mapInArrow(run, "doc_id bigint, th bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>, shingles array<bigint>")
+
+
+def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, shingles; one or more equal rows a node) have Jaccard similarity LEAST or more."""
+    slot, bit = F.col("node").bitwiseAND((1 << 18) - 1), F.shiftrightunsigned("node", 18).bitwiseAND(63).cast("int")
+    # 2**24 bits, whatever the data's size, keep most sets that no pair asks for out of the shuffle.
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    some = rows.select("node", "shingles", slot.alias("slot")).join(F.broadcast(asked), "slot").where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
+    sets = some.groupBy("node").agg(F.first("shingles").alias("set"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
+    common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
+    return both.where(LEAST[1] * common >= LEAST[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, sure: int = 46) -> DataFrame:
+    """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
+
+    Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7. Their
+    members are compared by 256-bit SimHashes of the sets with the bit-sliced counters, as a filter only: a pair at 0.8 differs
+    in 39 bits (standard deviation 6; 48 if the sets are of four and five shingles). Every link is confirmed on the sets themselves.
+    1. Links within `sure` bits that join components of a bucket are confirmed, which settles large groups of copies.
+    2. All pairs within `radius` whose ends are still in different components are confirmed, so no link that failed
+       in step 1 hides another one.
     """
-    rows = keep(sketch_rows(docs, id_col, text_col, shingle).withColumn("node", F.xxhash64("s0", "s1", "s2", "s3")), "sketches")
-    lean = rows.select("doc_id", "th", "node")
+    rows = keep(sketch_rows(docs, id_col, text_col, shingle), "sketches")
     sign = [f"s{i}" for i in range(WORDS)]
-    nodes = keep(lean.groupBy("node").agg(F.min("doc_id").alias("first_id")), "sketch-nodes")
-    # Rows of one node and band are equal here; they are made distinct before they are dealt, so copies cost nothing.
-    buckets = rows.select("node", *sign, F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("k"), "node", *sign).distinct()
+    lean = rows.select("doc_id", "th", "node")
+    # One row a node, so copies cost nothing.
+    nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(F.struct("n", *sign, "bands")).alias("x")).select("node", "first_id", "x.*"), "sketch-nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = buckets.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(_links(radius), "a bigint, b bigint").where("a <> b")
-    return _classes(lean, nodes, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).select("doc_id", "th", "class_id", "component_id")
+
+    def candidates(of: DataFrame, columns: list[str], how) -> DataFrame:
+        dealt = of.select(*columns, F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("k"), *columns)
+        found = dealt.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(how, "a bigint, b bigint").where("a <> b")
+        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    tried = keep(candidates(nodes, ["node", *sign], _links(sure)), "near-candidates")
+    links = keep(confirmed(tried, rows), "near-links")
+    roots = keep(components(links), "near-roots")
+    apart = nodes.join(roots.select("node", "root").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more = candidates(apart, ["node", "root", "n", *sign], _cross_links(radius)).join(tried.hint("merge"), ["a", "b"], "left_anti")
+    links = links.union(keep(confirmed(keep(more, "near-candidates"), rows), "near-links"))
+    return _classes(lean, nodes.select("node", "first_id"), links).select("doc_id", "th", "class_id", "component_id")
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:

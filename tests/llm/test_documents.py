@@ -142,6 +142,35 @@ def test_near_copies(spark):
     assert simhash.near_copies(d.where("false")).count() == 0
 
 
+def test_near_copies_are_exact_at_the_similarity(spark):
+    """Shingle sets at exactly 0.8 meet and those just below don't; repeats within a text don't count."""
+    text = lambda g, n: " ".join(f"w{g}x{i}" for i in range(n + 4))
+    rows, want = [], {}
+    for g in range(120):
+        n = (5, 10, 50, 100, 1000)[g % 5]
+        linked = g < 60
+        rows += [(2 * g, text(g, n)), (2 * g + 1, text(g, n * 4 // 5 - (not linked)))]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g + (not linked)}
+    for g in range(200, 240):
+        part = " ".join(f"r{g}x{i}" for i in range(5))
+        rows += [(2 * g, f"{part} {part} {text(g, 91)}"), (2 * g + 1, f"{' '.join([part] * 9)} {text(g, 91)}")]
+        want |= {2 * g: 2 * g, 2 * g + 1: 2 * g}
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()} == want
+
+
+def test_cross_pairs_finds_every_pair_of_different_roots():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    keys, root, n = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 3, 300), rng.integers(70, 101, 300)
+    x = rng.integers(0, 2**64, (1, 4), dtype=np.uint64) ^ (rng.integers(0, 2**64, (300, 4), dtype=np.uint64) & rng.integers(0, 2**64, (300, 4), dtype=np.uint64) & rng.integers(0, 2**64, (300, 4), dtype=np.uint64))
+    bits = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x[i], x[j], strict=True))
+    want = sorted((i, j) for j in range(300) for i in range(j) if keys[i] == keys[j] and root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and bits(i, j) <= 56)
+    got = sorted((min(a, b), max(a, b)) for p, q in simhash.cross_pairs(keys, root, n, x, 56) for a, b in zip(p.tolist(), q.tolist(), strict=True))
+    assert got == want and len(want) > 100
+
+
 def test_simhash_repeated_and_null_ids(spark):
     d = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "q r s t u"), (None, "a b c d"), (None, "z z z"), (None, None), (None, "")], "doc_id bigint, text string")
     got = sorted([(str(r.doc_id), r.component_id) for r in simhash.near_duplicates(d).collect()], key=str)
