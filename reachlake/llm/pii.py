@@ -3,12 +3,14 @@
 1. Generators: one pattern a kind (the base of the contract) and one pass of wider patterns (obfuscated e-mail,
    IPv6, phone numbers without a plus) propose spans, which may overlap. `split` and `regexp_extract_all` by
    the same pattern give the pieces between matches, and so every match's place in code points.
-2. Features: generator, digits, separators, length, the characters at either side and cue words before the span,
+2. Features: generator (wide spans that pass their own check are told apart), digits, separators, length, the characters at either side and cue words before the span,
    each in a few levels, so all candidates of all documents fall into at most a few thousand cells.
-3. Weak labels: a candidate that is a valid base span, or overlaps one of its kind, is positive, others negative.
+3. Weak labels: a candidate that is a valid base span, overlaps one of its kind, or is a wide span that passes its own check
+   (top-level domain of an e-mail, hex groups of an IPv6 that are not all of two digits, cue word of a phone number) is
+   positive; other IPv6 forms, which could as well be 64-bit hardware addresses, have no label; others are negative.
    One aggregate counts positives and negatives by cell; boosted depth-2 trees are fitted to these counts on
    the driver (a bounded table, all candidates count, no sample) and turned into SQL expressions.
-4. Thresholds by kind: scores are calibrated by isotonic pooling of the counts, and the threshold is the lowest score
+4. Thresholds by kind, for base and wide patterns apart: scores are calibrated by isotonic pooling of the counts, and the threshold is the lowest score
    whose calibrated probability is at least `precision`. Candidates that pass, are no base spans and overlap none are added. Base spans always stay.
 
 Null text is empty: no spans. Repeated rows give equal rows. Candidates of a document stay in its row: nothing is
@@ -38,6 +40,9 @@ WIDE = (
     r"|(?<![0-9.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
 )
 CUES = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|credit|account|konto|ip|host|server|address|contact)[^A-Za-z]*$"
+_TLD = r"(?:\.|[\[(]dot[\])]) ?(?:[A-Za-z]{2,24}|xn--[A-Za-z0-9-]+)$"
+_HARDWARE = r"^(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}$"
+_CALL = r"(?i)(?<![A-Za-z])(?:tele)?(?:phone|tel|call|fax|mobile)[^A-Za-z]*$"
 FEATURES = ("kind", "gen", "digits", "seps", "size", "before", "after", "cue")
 _SPAN = "array<struct<kind:int,gen:int,s:int,e:int,m:string,pre:string,post:string>>"
 
@@ -72,6 +77,11 @@ def _valid(c: Column) -> Column:
     return F.when(c["gen"] == 1, False).when(c["kind"] == 0, True).when(c["kind"] == 1, octets).when(c["kind"] == 2, F.when(n.between(13, 19), luhn % 10 == 0).otherwise(False)).otherwise(n.between(9, 15))
 
 
+def _checked(c: Column) -> Column:
+    """Whether a span of a wide pattern passes its kind's own check."""
+    return F.when(c["kind"] == 0, c["m"].rlike(_TLD)).when(c["kind"] == 1, ~c["m"].rlike(_HARDWARE)).otherwise(c["pre"].rlike(_CALL))
+
+
 def _side(x: Column) -> Column:
     return F.when(x.rlike("[A-Za-z]"), 1).when(x.rlike("[0-9]"), 2).when(x.rlike(r"[+@.=_/-]"), 3).otherwise(0)
 
@@ -91,7 +101,9 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def features(c: Column) -> Column:
         n = F.length(c["d"])
         return F.struct(
-            *(c[x].alias(x) for x in ("kind", "gen", "s", "e")),
+            c["kind"].alias("kind"),
+            F.when(c["gen"] == 0, 0).when(_checked(c), 2).otherwise(1).alias("gen"),
+            *(c[x].alias(x) for x in ("s", "e")),
             _valid(c).alias("valid"),
             level(n, 1, 7, 9, 10, 12, 13, 16, 17, 20).alias("digits"),
             level(F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", "")), 1, 3, 4, 6).alias("seps"),
@@ -111,8 +123,10 @@ def _overlap(a: Column, b: Column) -> Column:
 def cells(cands: DataFrame) -> list[tuple[tuple, int, int]]:
     """(feature levels, positives, negatives): one row a cell, at most a few thousand."""
     c = cands.where(F.size("cands") > 0).select(F.filter("cands", lambda c: c["valid"]).alias("b"), F.explode("cands").alias("c"))
-    y = F.col("c")["valid"] | F.exists("b", lambda b: (b["kind"] == F.col("c")["kind"]) & _overlap(b, F.col("c")))
-    rows = c.select(*(F.col("c")[f].alias(f) for f in FEATURES), y.alias("y")).groupBy(*FEATURES).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    one = F.col("c")
+    y = one["valid"] | (one["gen"] == 2) | F.exists("b", lambda b: (b["kind"] == one["kind"]) & _overlap(b, one))
+    y = F.when(y, True).when((one["gen"] != 1) | (one["kind"] != 1), False)
+    rows = c.select(*(one[f].alias(f) for f in FEATURES), y.alias("y")).where("y is not null").groupBy(*FEATURES).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
     return sorted((tuple(r[f] for f in FEATURES), r["pos"], r["neg"]) for r in rows.collect())
 
 
@@ -166,13 +180,16 @@ def tree_column(tree, c: Column) -> Column:
     return F.when(c[FEATURES[tree[0]]] < tree[1], tree_column(tree[2], c)).otherwise(tree_column(tree[3], c))
 
 
-def thresholds(rows: list[tuple[tuple, int, int]], trees: list, precision: float = 0.9) -> list[float]:
-    """By kind, the lowest score whose calibrated share of positives is at least `precision`; infinite if none is."""
+def thresholds(rows: list[tuple[tuple, int, int]], trees: list, precision: float = 0.9, wide: bool | None = None) -> list[float]:
+    """By kind, the lowest score whose calibrated share of positives is at least `precision`; infinite if none is.
+
+    With `wide`, over the candidates of the wide patterns only, or of the base patterns only.
+    """
     out = []
     for k in range(len(KINDS)):
         by: dict[float, list[int]] = {}
         for x, pos, neg in rows:
-            if x[0] == k:
+            if x[0] == k and wide in (None, x[1] > 0):
                 s = by.setdefault(round(sum(run_tree(t, x) for t in trees), 9), [0, 0])
                 s[0] += pos
                 s[1] += neg
@@ -193,14 +210,15 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     cands = keep(candidates(docs, id_col, text_col), "pii-candidates")
     rows = cells(cands)
     trees = fit_trees(rows)
-    cut = thresholds(rows, trees, precision)
+    cut = [thresholds(rows, trees, precision, wide) for wide in (False, True)]
     lean = lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e"))
 
     def wanted(c: Column) -> Column:
         score = sum((tree_column(t, c) for t in trees), F.lit(0.0))
         limit = F.lit(math.inf)
-        for k, x in enumerate(cut):
-            limit = F.when(c["kind"] == k, F.lit(float(x))).otherwise(limit)
+        for wide, own in enumerate(cut):
+            for k, x in enumerate(own):
+                limit = F.when((c["kind"] == k) & (c["gen"].cast("boolean") == F.lit(bool(wide))), F.lit(float(x))).otherwise(limit)
         return ~c["valid"] & (score >= limit)
 
     d = cands.select("doc_id", F.transform(F.filter("cands", lambda c: c["valid"]), lean).alias("base"), F.transform(F.filter("cands", wanted), lean).alias("more"))

@@ -53,6 +53,18 @@ def test_pii(spark):
     assert pii.redact(d.where("false")).count() == 0
 
 
+def test_pii_finds_obfuscated_emails_and_ipv6(spark):
+    """Among many ordinary candidates, whether there is one wide span of a kind or there are hundreds."""
+    real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = ["é joe [at] mail [dot] org", "host 2001:db8:0:0:8:800:200c:417a up", "ann.lee(at)example.com, bye"]
+    found = ["joe [at] mail [dot] org", "2001:db8:0:0:8:800:200c:417a", "ann.lee(at)example.com"]
+    spans = [f"{k}:{t.index(m)}:{t.index(m) + len(m)}" for k, t, m in zip(("email", "ip", "email"), texts, found, strict=True)]
+    for n in (1, 100):
+        d = real.union(spark.createDataFrame([(10**6 + i, texts[i % 3]) for i in range(3 * n)], real.schema))
+        got = {r.doc_id: r.spans for r in pii.redact(d).where("doc_id >= 1000000").collect()}
+        assert got == {10**6 + i: spans[i % 3] for i in range(3 * n)}
+
+
 def test_trees_learn_and_match_their_column(spark):
     rows = [((0, 0, a, b, 0, 0, 0, 0), 90 if a > 2 and b else 2, 5) for a in range(6) for b in range(2)]
     trees = pii.fit_trees(rows)
