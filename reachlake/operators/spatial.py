@@ -86,19 +86,22 @@ def near_pairs(df: DataFrame, key: str, order: str, metres: float = 5.0) -> Data
     return near.where(F.hypot((F.col("lon") - F.col("lon2")) * 96000.0, (F.col("lat") - F.col("lat2")) * 111000.0) <= metres).select("key", "first", "second")
 
 
-def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int = 1000) -> DataFrame:
+def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None) -> DataFrame:
     """Keep-first near-duplicates: in order, a row goes if an earlier row that stays is within metres and has its name.
 
     Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. Rounds settle rows without an
     undecided earlier neighbour, all groups at once, until none is left; a chain of n rows takes at most n
-    rounds, real ones two or three.
+    rounds, real ones two or three. With `rounds`, more of them than that raise an error.
     """
     key = F.regexp_replace(F.trim(F.lower(F.col(name))), r"\s+", " ")
     d = df.withColumn("_key", key)
     pairs = keep(near_pairs(d, "_key", order, metres).select("first", "second").distinct(), "near-pairs")
     gone = None
-    while rounds and not pairs.isEmpty():
-        rounds -= 1
+    done = 0
+    while not pairs.isEmpty():
+        if done == rounds:
+            raise ValueError(f"near-duplicates are left after {rounds} rounds")
+        done += 1
         # Rows that are nobody's second stay; their seconds go, and so do all pairs that a settled row is in.
         stay = pairs.select(F.col("first").alias("r")).join(pairs.select(F.col("second").alias("r")), "r", "left_anti").distinct()
         out = keep(pairs.join(stay, pairs["first"] == stay["r"], "left_semi").select(F.col("second").alias("r")).distinct(), "near-gone")

@@ -79,6 +79,13 @@ def test_near_duplicates_are_not_transitive(spark):
     assert sorted(r.pos for r in spatial.dedupe_near(d).collect()) == [1, 3, 4, 5]
 
 
+def test_near_duplicates_settle_whole_chains_or_fail(spark):
+    d = spark.createDataFrame([(i, "cafe", i * 4 / 96000, 0.0) for i in range(7)], "pos int, name string, lon double, lat double")
+    assert sorted(r.pos for r in spatial.dedupe_near(d).collect()) == [0, 2, 4, 6]
+    with pytest.raises(ValueError):
+        spatial.dedupe_near(d, rounds=1)
+
+
 def test_merge_pieces(spark):
     rows = [(1, 0, 1, "n1", "osm"), (1, 1, 2, "n1", "osm"), (1, 1, 3, None, "osm"), (1, 1, 4, None, "osm"), (2, 0, 1, "n1", "osm")]
     r = spark.createDataFrame(rows, "plan_id int, piece int, pos int, source_id string, source string")
