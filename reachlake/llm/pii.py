@@ -1,21 +1,24 @@
 """Personal data by candidate gradient boosting (operator 3); DataFrame functions only.
 
-1. Generators: one pattern a kind (the base of the contract) and one pass of wider patterns (obfuscated e-mail,
-   IPv6, phone numbers without a plus) propose spans, which may overlap. `split` and `regexp_extract_all` by
-   the same pattern give the pieces between matches, and so every match's place in code points.
-2. Features: generator (wide spans that pass their own check are told apart), digits, separators, length, the characters at either side and cue words before the span,
-   each in a few levels, so all candidates of all documents fall into at most a few thousand cells.
-3. Weak labels: a candidate that is a valid base span, overlaps one of its kind, or is a wide span that passes its own check
-   (top-level domain of an e-mail, hex groups of an IPv6 that are not all of two digits, cue word of a phone number) is
-   positive; other IPv6 forms, which could as well be 64-bit hardware addresses, have no label; others are negative.
+1. Generators: one pattern a kind (the base of the contract) and wider patterns (obfuscated e-mail, IPv6, phone numbers
+   without a plus; secrets such as keys and tokens) propose spans, which may overlap. `split` and
+   `regexp_extract_all` by the same pattern give the pieces between matches, and so every match's place in code points.
+2. Features: generator, digits, separators, shape (kinds of characters, then length), the characters at either side and, for base
+   patterns, cue words before the span, each in a few levels, so all candidates of all documents fall into at most a few thousand cells.
+3. Weak labels come from evidence apart from the generators. Base candidates: the kind's own check (number of digits,
+   checksum, parts). Wide ones: e-mail, a top-level domain or none; IPv6, groups that are not all of two digits; phone,
+   a calling word before it, against text grown onto it or a year in front; secret, a value assigned to a name such as token or
+   a known prefix, against words and numbers joined by dashes. A wide span with neither kind of evidence has no label
+   and is judged by what its format and context share with the labelled ones.
    One aggregate counts positives and negatives by cell; boosted depth-2 trees are fitted to these counts on
    the driver (a bounded table, all candidates count, no sample) and turned into SQL expressions.
-4. Thresholds by kind, for base and wide patterns apart: scores are calibrated by isotonic pooling of the counts, and the threshold is the lowest score
-   whose calibrated probability is at least `precision`. Candidates that pass, are no base spans and overlap none are added. Base spans always stay.
+4. Thresholds by kind, for base and wide patterns apart: scores are calibrated by isotonic pooling of the counts, and the
+   threshold is the lowest score whose calibrated probability is at least `precision`. Candidates that pass, are no
+   base spans, do not fail their own check and overlap no base span are added. Base spans always stay.
 
 Null text is empty: no spans. Repeated rows give equal rows. Candidates of a document stay in its row: nothing is
-shuffled but the counts. Patterns are possessive with look-behind, so digit or letter runs of any length
-take linear time. Extra columns are not read.
+shuffled but the counts. Patterns are possessive with look-behind, so runs of any length take linear time and no
+length is cut off. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
@@ -35,15 +38,21 @@ BASE = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 WIDE = (
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,64}){1,8}"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]++)++"
     r"|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"
     r"|(?<![0-9.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
 )
+#: Runs of 20 or more key characters with both letters and digits.
+SECRET = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}"
 CUES = r"(?i)(?:mail|phone|tel|call|fax|mobile|card|visa|credit|account|konto|ip|host|server|address|contact)[^A-Za-z]*$"
-_TLD = r"(?:\.|[\[(]dot[\])]) ?(?:[A-Za-z]{2,24}|xn--[A-Za-z0-9-]+)$"
+_TLD = r"(?:\.|[\[(]dot[\])] ?)(?:[A-Za-z]{2,24}|xn--[A-Za-z0-9-]+)$"
 _HARDWARE = r"^(?:[0-9A-Fa-f]{2}:){7}[0-9A-Fa-f]{2}$"
 _CALL = r"(?i)(?<![A-Za-z])(?:tele)?(?:phone|tel|call|fax|mobile)[^A-Za-z]*$"
-FEATURES = ("kind", "gen", "digits", "seps", "size", "before", "after", "cue")
+_YEAR = r"^\(?(?:19|20)[0-9]{2}[^0-9]"
+_ASSIGNED = r"(?i)(?:token|secret|passw(?:or)?d|pwd|key|auth|bearer|credentials?)[\"']?(?: ?(?:=|:|=>) ?| )[\"']?$"
+_PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|github_pat_|sk-|sk_live_|xox[abprs]-|glpat-|eyJ)"
+_JOINED = r"^[A-Za-z]*[0-9]{0,4}(?:[-_/+][A-Za-z]*[0-9]{0,4})+=*$"
+FEATURES = ("kind", "gen", "digits", "seps", "shape", "before", "after", "cue")
 _SPAN = "array<struct<kind:int,gen:int,s:int,e:int,m:string,pre:string,post:string>>"
 
 
@@ -55,7 +64,7 @@ def _matches(text: Column, pattern: str, kind: Column | None, gen: int, only_if:
     def step(a: Column, i: Column) -> Column:
         piece, m = a["p"][i], a["f"][i]
         s = a["at"] + F.length(piece)
-        k = kind if kind is not None else F.when(m.contains("at"), 0).when(m.contains(":"), 1).otherwise(3)
+        k = kind if kind is not None else F.when(m.rlike(r"[\[(]at[\])]"), 0).when(m.contains(":"), 1).otherwise(3)
         one = F.struct(k.cast("int").alias("kind"), F.lit(gen).alias("gen"), s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"), F.right(piece, F.lit(24)).alias("pre"), F.left(a["p"][i + 1], F.lit(1)).alias("post"))
         return F.struct(a["p"].alias("p"), a["f"].alias("f"), (s + F.length(m)).alias("at"), F.array_append(a["out"], one).alias("out"))
 
@@ -77,23 +86,34 @@ def _valid(c: Column) -> Column:
     return F.when(c["gen"] == 1, False).when(c["kind"] == 0, True).when(c["kind"] == 1, octets).when(c["kind"] == 2, F.when(n.between(13, 19), luhn % 10 == 0).otherwise(False)).otherwise(n.between(9, 15))
 
 
-def _checked(c: Column) -> Column:
-    """Whether a span of a wide pattern passes its kind's own check."""
-    return F.when(c["kind"] == 0, c["m"].rlike(_TLD)).when(c["kind"] == 1, ~c["m"].rlike(_HARDWARE)).otherwise(c["pre"].rlike(_CALL))
+def _evidence(c: Column) -> Column:
+    """Label of a span of a wide pattern by evidence of its own: true, false, or null where there is none."""
+    grown = F.right(c["pre"], F.lit(1)).rlike(r"[A-Za-z0-9$=/_#]") | c["post"].rlike(r"[A-Za-z0-9%$=/_.]")
+    phone = F.when(c["pre"].rlike(_CALL), True).when(grown | c["m"].rlike(_YEAR), False)
+    secret = F.when(c["pre"].rlike(_ASSIGNED) | c["m"].rlike(_PREFIX), True).when(c["m"].rlike(_JOINED), False)
+    return F.when(c["kind"] == 0, c["m"].rlike(_TLD)).when(c["kind"] == 1, F.when(~c["m"].rlike(_HARDWARE), True)).when(c["kind"] == 3, phone).otherwise(secret)
+
+
+def _chars(m: Column) -> Column:
+    """0 digits and marks, 1 hexadecimal in one case, 2 letters in one case, 3 letters in both."""
+    both = m.rlike("[a-z]") & m.rlike("[A-Z]")
+    return F.when(~m.rlike("[A-Za-z]"), 0).when(both, 3).when(m.rlike("[g-zG-Z]"), 2).otherwise(1)
 
 
 def _side(x: Column) -> Column:
     return F.when(x.rlike("[A-Za-z]"), 1).when(x.rlike("[0-9]"), 2).when(x.rlike(r"[+@.=_/-]"), 3).otherwise(0)
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and cands, an array of spans with validity and feature levels, one row per document row."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """doc_id (with_text: and text) and cands, an array of spans with validity and feature levels, one row per document row."""
+    own = ["doc_id", *(["text"] if with_text else [])]
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     t = F.col("t")
     tests = {"email": t.contains("@"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike("[0-9][ -]?[0-9]"), "phone": t.contains("+")}
+    key_if = t.rlike("[A-Za-z0-9_+/-]{20}") & t.rlike("[0-9]")
     wide_if = t.contains("(at)") | t.contains("[at]") | t.rlike("[0-9][ .-][0-9]{3}|[0-9A-Fa-f]:[0-9A-Fa-f]")
-    d = d.select("doc_id", F.concat(*(_matches(t, BASE[k], F.lit(i), 0, tests[k]) for i, k in enumerate(KINDS)), _matches(t, WIDE, None, 1, wide_if)).alias("c"))
-    d = d.select("doc_id", F.transform("c", lambda c: c.withField("d", F.regexp_replace(c["m"], "[^0-9]", ""))).alias("c"))
+    d = d.select(*own, F.concat(*(_matches(t, BASE[k], F.lit(i), 0, tests[k]) for i, k in enumerate(BASE)), _matches(t, WIDE, None, 1, wide_if), _matches(t, SECRET, F.lit(4), 1, key_if)).alias("c"))
+    d = d.select(*own, F.transform("c", lambda c: c.withField("d", F.regexp_replace(c["m"], "[^0-9]", ""))).alias("c"))
 
     def level(x: Column, *cuts: int) -> Column:
         return sum((F.when(x >= k, 1).otherwise(0) for k in cuts), F.lit(0))
@@ -102,18 +122,19 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         n = F.length(c["d"])
         return F.struct(
             c["kind"].alias("kind"),
-            F.when(c["gen"] == 0, 0).when(_checked(c), 2).otherwise(1).alias("gen"),
-            *(c[x].alias(x) for x in ("s", "e")),
+            *(c[x].alias(x) for x in ("gen", "s", "e")),
             _valid(c).alias("valid"),
+            F.when(c["gen"] == 0, _valid(c)).otherwise(_evidence(c)).alias("label"),
             level(n, 1, 7, 9, 10, 12, 13, 16, 17, 20).alias("digits"),
             level(F.length(F.regexp_replace(c["m"], "[A-Za-z0-9]", "")), 1, 3, 4, 6).alias("seps"),
-            level(F.length(c["m"]), 8, 12, 16, 20, 30).alias("size"),
+            (10 * _chars(c["m"]) + level(F.length(c["m"]), 8, 12, 16, 20, 30, 40, 64, 128)).alias("shape"),
             _side(F.right(c["pre"], F.lit(1))).alias("before"),
             _side(c["post"]).alias("after"),
-            F.when(c["pre"].rlike(CUES), 1).otherwise(0).alias("cue"),
+            # Of wide spans cue words are the labels' evidence, so the trees don't see them.
+            F.when((c["gen"] == 0) & c["pre"].rlike(CUES), 1).otherwise(0).alias("cue"),
         )
 
-    return d.select("doc_id", F.transform("c", features).alias("cands"))
+    return d.select(*own, F.transform("c", features).alias("cands"))
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -122,11 +143,9 @@ def _overlap(a: Column, b: Column) -> Column:
 
 def cells(cands: DataFrame) -> list[tuple[tuple, int, int]]:
     """(feature levels, positives, negatives): one row a cell, at most a few thousand."""
-    c = cands.where(F.size("cands") > 0).select(F.filter("cands", lambda c: c["valid"]).alias("b"), F.explode("cands").alias("c"))
-    one = F.col("c")
-    y = one["valid"] | (one["gen"] == 2) | F.exists("b", lambda b: (b["kind"] == one["kind"]) & _overlap(b, one))
-    y = F.when(y, True).when((one["gen"] != 1) | (one["kind"] != 1), False)
-    rows = c.select(*(one[f].alias(f) for f in FEATURES), y.alias("y")).where("y is not null").groupBy(*FEATURES).agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
+    c = cands.select(F.explode("cands").alias("c")).where("c.label is not null")
+    y = F.col("c.label")
+    rows = c.groupBy(*(F.col("c")[f].alias(f) for f in FEATURES)).agg(F.count_if(y).alias("pos"), F.count_if(~y).alias("neg"))
     return sorted((tuple(r[f] for f in FEATURES), r["pos"], r["neg"]) for r in rows.collect())
 
 
@@ -205,9 +224,10 @@ def thresholds(rows: list[tuple[tuple, int, int]], trees: list, precision: float
     return out
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9) -> DataFrame:
-    """One row per document row: doc_id, base and added, arrays of (kind, s, e) in code points, sorted."""
-    cands = keep(candidates(docs, id_col, text_col), "pii-candidates")
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9, with_text: bool = False) -> DataFrame:
+    """One row per document row: doc_id (with_text: and text), base and added, arrays of (kind, s, e) in code points, sorted."""
+    cands = keep(candidates(docs, id_col, text_col, with_text), "pii-candidates")
+    own = ["doc_id", *(["text"] if with_text else [])]
     rows = cells(cands)
     trees = fit_trees(rows)
     cut = [thresholds(rows, trees, precision, wide) for wide in (False, True)]
@@ -219,11 +239,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
         for wide, own in enumerate(cut):
             for k, x in enumerate(own):
                 limit = F.when((c["kind"] == k) & (c["gen"].cast("boolean") == F.lit(bool(wide))), F.lit(float(x))).otherwise(limit)
-        return ~c["valid"] & (score >= limit)
+        return ~c["valid"] & F.coalesce(c["label"], F.lit(True)) & (score >= limit)
 
-    d = cands.select("doc_id", F.transform(F.filter("cands", lambda c: c["valid"]), lean).alias("base"), F.transform(F.filter("cands", wanted), lean).alias("more"))
+    d = cands.select(*own, F.transform(F.filter("cands", lambda c: c["valid"]), lean).alias("base"), F.transform(F.filter("cands", wanted), lean).alias("more"))
     more = F.filter("more", lambda c: ~F.exists("base", lambda b: _overlap(b, c)))
-    return d.select("doc_id", "base", F.array_sort(F.array_distinct(more)).alias("added"))
+    return d.select(*own, "base", F.array_sort(F.array_distinct(more)).alias("added"))
 
 
 def _text(spans: Column) -> Column:
@@ -232,8 +252,25 @@ def _text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9) -> DataFrame:
-    """The digest of every document's spans: counts by kind, SHA-256 of the base spans, and all spans."""
+    """The digest of every document's spans: base counts by kind, SHA-256 of the base spans, all spans, how many the method
+    added (in all, and secrets among them), and whether there is any span."""
     d = find_pii(docs, id_col, text_col, precision)
     of = lambda i: F.filter("base", lambda c: c["kind"] == i)
-    counts = [F.size(of(i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(KINDS)]
-    return d.select("doc_id", *counts, F.sha2(_text(F.array_sort("base")), 256).alias("base_sha256"), _text(F.array_sort(F.concat("base", "added"))).alias("spans"))
+    counts = [F.size(of(i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    more = [F.size("added").cast("bigint").alias("n_added"), F.size(F.filter("added", lambda c: c["kind"] == 4)).cast("bigint").alias("n_secret"), (F.size("base") + F.size("added") > 0).alias("has_private")]
+    return d.select("doc_id", *counts, F.sha2(_text(F.array_sort("base")), 256).alias("base_sha256"), _text(F.array_sort(F.concat("base", "added"))).alias("spans"), *more)
+
+
+def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.9) -> DataFrame:
+    """doc_id and text, each selected span written as <kind>; of overlapping spans the first, then the longest. Null text stays null."""
+    d = find_pii(docs, id_col, text_col, precision, with_text=True)
+    names = F.array(*map(F.lit, KINDS))
+    ordered = F.array_sort(F.concat("base", "added"), lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).otherwise(b["e"] - a["e"]))
+
+    def step(a: Column, c: Column) -> Column:
+        parts = F.array(F.substring(F.col("text"), a["at"] + 1, c["s"] - a["at"]), F.concat(F.lit("<"), names[c["kind"]], F.lit(">")))
+        return F.when(c["s"] < a["at"], a).otherwise(F.struct(c["e"].alias("at"), F.concat(a["out"], parts).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col("text"), a["at"] + 1, F.length("text")))
+    return d.select("doc_id", F.when(F.col("text").isNotNull(), F.aggregate(ordered, start, step, rest)).alias("text"))

@@ -65,6 +65,37 @@ def test_pii_finds_obfuscated_emails_and_ipv6(spark):
         assert got == {10**6 + i: spans[i % 3] for i in range(3 * n)}
 
 
+def test_pii_adds_secrets_that_no_word_announces(spark):
+    """Labels come from a name before some of the keys; the planted set has others of their format, and runs that are no keys."""
+    import random
+
+    rnd = random.Random(5)
+    hexa = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda: "".join(rnd.choice("ABCDEFGHabcdefgh0123456789") for _ in range(32)) + "aB3"
+    rows, planted = [], {}
+    for i in range(240):
+        key = hexa(40) if i % 2 else mixed()
+        if i % 4 < 2:
+            rows.append((i, f'é some text token = "{key}" and more'))
+        else:
+            rows.append((i, f'é some text with "{key}" and more'))
+            planted[i] = f"secret:18:{18 + len(key)}"
+    rows += [(1000 + i, f"see part-{i}-of-the-long-list-2 or chapter_{i}_of_the_whole_book_10 and abcdefghijklmnopqrstuvwxyzabc") for i in range(120)]
+    rows += [(2000, "x" * 300_000 + "1"), (2001, None), (2002, "call 939-555-8456 now"), (2003, "build 939-555-8456kg")]
+    got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    right = sum(got[i].spans == s for i, s in planted.items())
+    wrong = sum(got[i].n_added for i, _ in rows if 1000 <= i < 2000)
+    assert right >= 0.9 * len(planted) and wrong == 0
+    assert all(got[i].n_secret == 1 and got[i].has_private for i in range(240))
+    assert got[2002].spans == "phone:5:17" and got[2003].n_added == 0 and got[2001].spans == ""
+
+
+def test_pii_mask(spark):
+    d = spark.createDataFrame([(1, "é a@b.cd, 10.0.0.1"), (1, "x a@b.cd"), (2, None), (None, "no")], "doc_id bigint, text string")
+    got = sorted((str(r.doc_id), r.text) for r in pii.mask(d).collect())
+    assert got == [("1", "x <email>"), ("1", "é <email>, <ip>"), ("2", None), ("None", "no")]
+
+
 def test_trees_learn_and_match_their_column(spark):
     rows = [((0, 0, a, b, 0, 0, 0, 0), 90 if a > 2 and b else 2, 5) for a in range(6) for b in range(2)]
     trees = pii.fit_trees(rows)
