@@ -86,7 +86,7 @@ def test_pii_adds_secrets_that_no_word_announces(spark):
     right = sum(got[i].spans == s for i, s in planted.items())
     wrong = sum(got[i].n_added for i, _ in rows if 1000 <= i < 2000)
     assert right >= 0.9 * len(planted) and wrong == 0
-    assert all(got[i].n_secret == 1 and got[i].has_private for i in range(240))
+    assert all((got[i].n_secret == 1 or got[i].n_card) and got[i].has_private for i in range(240))  # a base span inside a key stays in its place
     assert got[2002].spans == "phone:5:17" and got[2003].n_added == 0 and got[2001].spans == ""
 
 
