@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, linededup, lm, mixing, pii, quality, simhash, tokencounts, urlfilter
-from .common import scratch, table
+from .common import keep, scratch, table
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -28,12 +28,19 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents into a ledger, sends the same batch again (no change) and reads the totals."""
-    counted = tokencounts.with_token_counts(table(spark, sf_dir, "documents"))
-    inserts = tokencounts.signed(counted.select(F.lit("insert").alias("op"), "source", "lang", "tokenizer", "tokens", F.lit(None).cast("bigint").alias("old_tokens")))
+    """Ledger of all documents: inserted with their words as a first count, revised to tokens, deleted and inserted again; each
+    batch is sent twice. The totals are those of the tokens."""
+    docs = table(spark, sf_dir, "documents").withColumn("words", mixing.n_words(F.col("text")))
+    counted = keep(tokencounts.with_token_counts(docs, carry=("source", "lang", "words")), "token-counts")
+
+    def change(op: str, tokens: str, old: str = "null") -> DataFrame:
+        return counted.selectExpr(f"'{op}' as op", "source", "lang", "tokenizer", f"{tokens} as tokens", f"cast({old} as bigint) as old_tokens")
+
+    batches = {"load": change("insert", "words"), "recount": change("revise", "tokens", "words"), "reload": change("delete", "tokens").union(change("insert", "tokens"))}
     ledger = scratch(spark, "token-ledger")
-    for _ in range(2):
-        tokencounts.commit_batch(inserts, ledger, "load-documents")
+    for name, rows in batches.items():
+        for _ in range(2):
+            tokencounts.commit_batch(tokencounts.signed(rows), ledger, name)
     return tokencounts.totals(spark, ledger)
 
 

@@ -7,8 +7,9 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from reachlake.llm import chat, lm, pii, tokencounts, urlfilter
+from reachlake.llm import bpe, chat, lm, pii, tokencounts, urlfilter
 from tests.llm import brute
 from tests.llm.test_documents import EDGE, SF
 
@@ -160,6 +161,15 @@ def test_chat(spark):
         loss = "".join(x for r, x in turns if r == "assistant")
         assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), brute.sha("".join(f"{r}\n{x}\n" for r, x in turns)))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), brute.sha(loss))
+    # Every run of masked tokens begins and ends on its span, so its tokens alone are the assistant's text.
+    with open(chat.RANKS, "rb") as f:
+        token = bpe.Encoder(f.read(), special=chat.MARKS).bytes
+    for r in out.collect():
+        assert b"".join(token[i] for i in r.token_ids).decode() == r.formatted
+        full = [s for s in r.loss_spans if s.start < s.end]
+        assert len(full) == len(r.mask_runs)
+        for s, m in zip(full, r.mask_runs, strict=True):
+            assert b"".join(token[i] for i in r.token_ids[m.first : m.last]).decode() == r.formatted[s.start : s.end]
     r = out.where("conv_id = -1").first()
     assert r.n_tokens == len(r.token_ids) and r.mask_runs[0].first < r.mask_runs[0].last <= r.n_tokens
     assert chat.read_back(chat.format_conversations(d.where("false"))).count() == 0
@@ -168,8 +178,8 @@ def test_chat(spark):
 def test_token_counts(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60).union(spark.createDataFrame([(-1, None, None, "s", 0), (-2, "a b", "xx", None, 3)], spark.read.parquet(f"{SF}/documents.parquet").schema)).cache()
     counted = tokencounts.with_token_counts(docs).cache()
-    with open(chat.TOKENIZER, encoding="utf-8") as f:
-        model = chat.load_tokenizer(f.read())
+    model = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    model.encode_special_tokens = True
     texts = {r.doc_id: r for r in docs.collect()}
     assert all(r.tokens == len(model.encode(texts[r.doc_id].text or "", add_special_tokens=False).ids) for r in counted.collect())
     base = str(tmp_path / "ledger")
@@ -190,6 +200,39 @@ def test_token_counts(spark, tmp_path):
     assert tokencounts.with_token_counts(docs, ranks_path="words").agg(F.sum("tokens")).first()[0] == sum(len(brute.WS.findall(r.text or "")) for r in texts.values())
 
 
+def test_token_ledger_edges(spark, tmp_path):
+    rows = "op string, source string, lang string, tokenizer string, tokens bigint, old_tokens bigint, n_docs string, batch string"
+    d = spark.createDataFrame([("insert", "a", None, "t", 5, None, "x", "y"), ("insert", None, "e", "t", None, None, "x", "y"), ("revise", "a", None, "t", 7, 5, "x", "y")], rows)
+    base = str(tmp_path / "ledger")
+    assert tokencounts.totals(spark, base).count() == 0
+    assert tokencounts.commit_batch(tokencounts.signed(d.where("false")), base, "empty") and tokencounts.totals(spark, base).count() == 0
+    assert tokencounts.commit_batch(tokencounts.signed(d), base, "1")
+    want = {("a", 1, 7), (None, 1, 0)}
+    assert {(r.source, r.n_docs, r.n_tokens) for r in tokencounts.totals(spark, base).collect()} == want
+    # Two committers that both find no attempt: the batch still counts once.
+    late = f"{base}/batch=1/attempt=99999999999999999999-late"
+    tokencounts.rollup(tokencounts.signed(d)).write.parquet(late)
+    assert {(r.source, r.n_docs, r.n_tokens) for r in tokencounts.totals(spark, base).collect()} == want
+    for op in ("upsert", None):
+        with pytest.raises(Exception, match="unknown op"):
+            tokencounts.signed(d.withColumn("op", F.lit(op).cast("string"))).collect()
+
+
+def test_long_runs_of_white_space_keep_their_tokens(spark):
+    """Cut at long runs, the ids are those of the whole text where the library can take it whole."""
+    with open(tokencounts.RANKS, "rb") as f:
+        e = bpe.Encoder(f.read(), special=("<m>",))
+    runs = (" " * 12_000, "\n" * 11_000, " \n\t" * 4_000, "\u3000\xa0" * 6_000)
+    for run in runs:
+        for t in (run, f"a{run}", f"{run}b", f"a {run}b", f"é{run}'s x{run}", f"1{run}.{run} c{run}d", f"x{run}\x1c{run}y"):
+            assert e._ordinary(t) == e.model.encode_ordinary(t), repr(t[:3])
+            assert e.count(t) == len(e.encode(t))
+            assert e.encode(f"<m>{t}<m>b").tolist() == e.model.encode(f"<m>{t}<m>b", allowed_special="all")
+    d = spark.createDataFrame([(1, "s", "l", "a" + " " * 1_000_000 + "b"), (2, "s", "l", "\n" * 1_000_000)], "doc_id bigint, source string, lang string, text string")
+    got = {r.doc_id: r.tokens for r in tokencounts.with_token_counts(d).collect()}
+    assert got[1] == len(e.model._encode_single_piece(" " * 999_999)) + 2 and got[2] == len(e.model._encode_single_piece("\n" * 1_000_000))
+
+
 def lm_brute(docs):
     low = lambda t: brute.WS.findall(brute.low(t))
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d, _ in docs}
