@@ -244,6 +244,16 @@ def test_line_dedup_null_and_repeated_ids(spark):
     assert linededup.line_bitmaps(d.where("false")).count() == 0
 
 
+def test_line_bitmaps_without_texts(spark):
+    """Bitmaps alone give the kept lines back; the plan of their making moves no text."""
+    rows = [(i, f"a\n{LINE}\nb {i}\n  {LINE} \n") for i in range(6)] + [(7, None), (None, LINE), (3, LINE)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    maps = linededup.keep_bitmaps(d)
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_lines, r.n_dropped, linededup.zlib.decompress(r.keep_bitmap)[0]) for r in maps.collect())
+    assert got == sorted([(i, 5, 2, 0b10101) for i in range(5)] + [(5, 5, 0, 0b11111), (7, 1, 0, 1), (-1, 1, 0, 1), (3, 1, 1, 0)])
+    assert sorted(r.text or "" for r in linededup.drop_lines(d).collect()) == sorted([f"a\nb {i}\n" for i in range(5)] + [rows[5][1], "", LINE, ""])
+
+
 def test_mixing(docs, plain):
     rows = mixing.mix(docs).collect()
     assert len(rows) == len(plain)
