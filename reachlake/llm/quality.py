@@ -20,55 +20,55 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_RE, keep
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "#*$%&|<>"  # in a character class none of them has a meaning
 MIN_WORDS = 50
 FALSE_ALARMS = 0.02
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeats", "capitals")
 
 
-def _covered(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the text, in O(n log n).
+def _covered(words: Column, fewer: int = 0) -> Column:
+    """Words inside 3-word windows that occur twice or more in the text, exactly, in O(n log n).
 
-    Window hashes and positions are packed in one bigint (as many low bits as positions need), so one
-    primitive sort brings equal windows together; the union of [p, p+2] over repeated positions is a
-    sum over the sorted positions.
+    Window hashes and positions are packed in one bigint (as many low bits as positions need), so one primitive sort
+    brings equal windows together. Neighbours of equal hash bits are compared by their words. If two of them
+    differ (hash bits are fewer in longer texts), the windows of that text are sorted by their words instead. The
+    union of [p, p+2] over repeated positions is a sum over the sorted positions. `fewer` hash bits are for tests.
     """
     n = F.size(words)
-    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int") + 1
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int") + 1 + fewer
     mask = F.expr("0L") + F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    one = F.transform(
-        F.array(F.struct(words.alias("w"), mask.alias("m"))),
-        lambda s: F.array_sort(
-            F.transform(
-                F.sequence(F.lit(1), F.size(s["w"]) - 2),
-                lambda i: F.xxhash64(F.get(s["w"], i - 1), F.get(s["w"], i), F.get(s["w"], i + 1)).bitwiseAND(F.bitwise_not(s["m"])).bitwiseOR(i.cast("long")),
-            )
-        ),
-    )[0]
-    hits = F.transform(
-        F.array(F.struct(one.alias("p"), mask.alias("m"))),
-        lambda s: F.array_sort(
-            F.transform(
-                F.filter(
-                    s["p"],
-                    lambda x, i: (
-                        F.coalesce(F.get(s["p"], i - 1).bitwiseXOR(x).bitwiseAND(F.bitwise_not(s["m"])) == 0, F.lit(False))
-                        | F.coalesce(F.get(s["p"], i + 1).bitwiseXOR(x).bitwiseAND(F.bitwise_not(s["m"])) == 0, F.lit(False))
-                    ),
-                ),
-                lambda x: x.bitwiseAND(s["m"]),
-            )
-        ),
-    )[0]
-    total = F.transform(
-        F.array(hits),
-        lambda q: F.aggregate(
-            q,
+    held = lambda f, **x: F.transform(F.array(F.struct(*(c.alias(k) for k, c in x.items()))), f)[0]  # noqa: E731  a value that is used more than once
+
+    def same(s: Column, a: Column, b: Column) -> Column:
+        """Whether the windows at positions a and b (from 1) have equal words."""
+        i, j, w = a.cast("int") - 1, b.cast("int") - 1, s["w"]
+        return (F.get(w, i) == F.get(w, j)) & (F.get(w, i + 1) == F.get(w, j + 1)) & (F.get(w, i + 2) == F.get(w, j + 2))
+
+    packed = held(
+        lambda s: F.array_sort(F.transform(F.sequence(F.lit(1), F.size(s["w"]) - 2), lambda i: F.xxhash64(F.get(s["w"], i - 1), F.get(s["w"], i), F.get(s["w"], i + 1)).bitwiseAND(F.bitwise_not(s["m"])).bitwiseOR(i.cast("long")))),
+        w=words, m=mask,
+    )
+    like = lambda s, x, i: F.coalesce(F.get(s["p"], i).bitwiseXOR(x).bitwiseAND(F.bitwise_not(s["m"])) == 0, F.lit(False))
+    close = held(lambda s: F.filter(s["p"], lambda x, i: like(s, x, i - 1) | like(s, x, i + 1)), p=packed, m=mask)
+
+    def by_words(s: Column) -> Column:
+        """Positions of repeated windows by a sort of the windows themselves."""
+        wins = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(s["w"]) - 2), lambda i: F.struct(F.get(s["w"], i - 1).alias("a"), F.get(s["w"], i).alias("b"), F.get(s["w"], i + 1).alias("c"), i.cast("long").alias("i"))))
+        equal = lambda x, y: F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+        return held(lambda t: F.transform(F.filter(t["v"], lambda x, i: equal(x, F.get(t["v"], i - 1)) | equal(x, F.get(t["v"], i + 1))), lambda x: x["i"]), v=wins)
+
+    at = lambda s, x: x.bitwiseAND(s["m"])
+    clash = lambda s: F.exists(F.sequence(F.lit(1), F.size(s["p"]) - 1), lambda i: like(s, F.get(s["p"], i), i - 1) & ~same(s, at(s, F.get(s["p"], i)), at(s, F.get(s["p"], i - 1))))
+    hits = held(lambda s: F.array_sort(F.when(F.size(s["p"]) < 2, F.array().cast("array<bigint>")).when(clash(s), by_words(s)).otherwise(F.transform(s["p"], lambda x: at(s, x)))), p=close, w=words, m=mask)
+    total = held(
+        lambda s: F.aggregate(
+            s["q"],
             F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")),
             lambda a, p: F.struct((a["n"] + F.least(F.lit(3).cast("long"), p - a["last"])).alias("n"), p.alias("last")),
             lambda a: a["n"],
         ),
-    )[0]
+        q=hits,
+    )
     return F.when(n >= 4, total).otherwise(F.lit(0).cast("long"))
 
 
@@ -76,17 +76,14 @@ def quality_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, the carried columns and the counts that the rules read, one row per input row; no shuffle."""
     d = docs.select(F.col(id_col).alias("doc_id"), *carry, F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     d = d.select("doc_id", *carry, "t", F.filter(F.split("t", SPACE_RE, -1), lambda w: w != "").alias("w"), F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    plain = F.col("t")
-    for s in SYMBOLS:
-        plain = F.replace(plain, F.lit(s), F.lit(""))
     counts = F.struct(
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(plain)).cast("long").alias("n_symbols"),
+        F.regexp_count("t", F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         _covered(F.col("w")).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (F.length("t") - F.length(F.regexp_replace("t", r"\p{Lu}+", ""))).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"),
     )
     # The generator keeps later filters from being pushed below the counts, which would compute them once for each use.
     return d.select("doc_id", *carry, F.explode(F.array(counts)).alias("f")).select("doc_id", *carry, "f.*")
@@ -184,9 +181,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that are kept, with the columns of docs.
 
-    Two maps over the texts, one to count vote patterns and one to filter: texts are never shuffled.
+    Rows and their features are written once to the shared folder: the counts read the features only, the filter
+    reads both. The features are the costly part and are computed once; texts are never shuffled.
     """
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     row = row.select("row", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text"))
-    model = fit(quality_features(row))
-    return apply(quality_features(row, carry=("row",)), model, threshold).where("kept").select("row.*")
+    f = keep(quality_features(row, carry=("row",)), "quality-rows")
+    return apply(f, fit(f), threshold).where("kept").select("row.*")

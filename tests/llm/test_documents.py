@@ -197,6 +197,28 @@ def test_quality(docs, plain):
     assert {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
 
 
+def test_repeated_windows_are_exact_when_hashes_meet(spark):
+    """With almost no hash bits every text has unequal windows of equal hashes, also between repeats of one window."""
+    import random
+
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(n)) for n in (3, 4, 5, 30, 200, 3000)] + [" ".join(f"w{i % 700}" for i in range(1500)), " ".join(f"u{i}" for i in range(2000))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = F.split("text", " ", -1)
+    for fewer in (0, 30, 45, 49):
+        got = {r.doc_id: r.n for r in d.select("doc_id", quality._covered(words, fewer).alias("n")).collect()}
+        assert got == {k: v[4] for k, v in brute.quality_base(list(enumerate(texts))).items()}
+
+
+def test_quality_of_empty_tables(spark):
+    d = spark.createDataFrame([], "doc_id bigint, text string, row int")
+    assert quality.quality_verdicts(d).count() == 0 and quality.keep_good(d).count() == 0 and quality.keep_good(d).columns == d.columns
+    b = spark.createDataFrame([], "item_id bigint, text string")
+    assert decontaminate.contamination(d, b).count() == 0 and decontaminate.drop_contaminated(d, b).count() == 0
+    one = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    assert decontaminate.contamination(one, b).first().n_hit == 0
+
+
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
     r = quality.quality_verdicts(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("n_words >= 50")
