@@ -39,7 +39,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def digest_array(rules: list[tuple[str, str]]) -> bytes:
-    """The file: counts, path lengths, digests, offsets, verdicts, strings. rules: (key, verdict)."""
+    """The file: counts (rules, path lengths, most dots of a host), path lengths, digests, offsets, verdicts, strings. rules: (key, verdict)."""
     import numpy as np
     from xxhash import xxh64_intdigest
 
@@ -51,7 +51,7 @@ def digest_array(rules: list[tuple[str, str]]) -> bytes:
     lengths = sorted({len(k) - k.index(b"/") for k in by})
     ends = np.cumsum([0, *(len(k) for _, k in order)]).astype("<i8")
     return (
-        struct.pack("<qq", len(order), len(lengths))
+        struct.pack("<qqq", len(order), len(lengths), max((k[: k.index(b"/")].count(b".") for k in by), default=0))
         + np.array(lengths, "<i8").tobytes()
         + np.array([h for h, _ in order], "<u8").tobytes()
         + ends.tobytes()
@@ -79,8 +79,8 @@ class DigestArray:
         import numpy as np
 
         raw = np.memmap(path, np.uint8, "r")
-        n, m = raw[:16].view("<i8")
-        at = 16
+        n, m, self.dots = raw[:24].view("<i8").tolist()
+        at = 24
         self.lengths, at = raw[at : at + 8 * m].view("<i8").tolist(), at + 8 * m
         self.digests, at = raw[at : at + 8 * n].view("<u8"), at + 8 * n
         self.ends, at = raw[at : at + 8 * (n + 1)].view("<i8"), at + 8 * (n + 1)
@@ -106,27 +106,31 @@ class DigestArray:
         return out.tolist()
 
 
-def host_suffixes(host: bytes) -> list[bytes]:
-    """The host and every part of it after a dot."""
-    out, at = [host], host.find(b".")
-    while at >= 0:
+def host_suffixes(host: bytes, most: int) -> list[bytes]:
+    """The host and the parts of it after a dot, of at most `most` dots (more than any rule's host has fit none)."""
+    out, at = [], len(host)
+    while at >= 0 and len(out) <= most:
+        at = host.rfind(b".", 0, at)
         out.append(host[at + 1 :])
-        at = host.find(b".", at + 1)
     return out
 
 
+def mapped(path: str) -> DigestArray:
+    """The array of a file, mapped once a Python worker."""
+    return _MAPPED.get(path) or _MAPPED.setdefault(path, DigestArray(path))
+
+
 def _judge(name: str, default: str):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        path = SparkFiles.get(name)
-        rules = _MAPPED.get(path) or _MAPPED.setdefault(path, DigestArray(path))
+        rules = mapped(SparkFiles.get(name))
         for batch in batches:
             hosts, paths = slices(batch.column(1)), slices(batch.column(2))
             keys, owner = [], []
             for i, (host, p) in enumerate(zip(hosts, paths, strict=True)):
                 fit = [n for n in rules.lengths if n <= len(p)]
-                for suffix in host_suffixes(host) if fit and host else ():
+                for suffix in host_suffixes(host, rules.dots) if fit and host else ():
                     keys += [suffix + p[:n] for n in fit]
                     owner += [i] * len(fit)
             best: dict[int, tuple] = {}

@@ -22,7 +22,7 @@ def decontamination(docs, items):
     for i, t in items:
         w = ALNUM.findall(low(t))
         for k in range(max(1, len(w) - 9) if w else 0):
-            wins.setdefault(tuple(w[k : k + 10]), set()).add(str(i))
+            wins.setdefault(tuple(w[k : k + 10]), set()).add(i if i is None else str(i))
     sizes = {len(k) for k in wins}
     out = {}
     for d, t in docs:
@@ -32,7 +32,7 @@ def decontamination(docs, items):
                 if found := wins.get(tuple(w[i : i + n])):
                     ids |= found
                     hit |= set(range(i, i + n))
-        out[d] = (len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit))
+        out[d] = (len(w), len(hit), len(ids), sha(",".join(sorted(i for i in ids if i is not None))), bool(hit))
     return out
 
 

@@ -42,12 +42,20 @@ def plain(docs):
 
 
 def test_decontamination(spark, docs, plain):
-    items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900 + i if i else None, t) for i, t in ITEMS if i]
-    bench = spark.createDataFrame(items, "item_id bigint, text string").union(spark.createDataFrame([(None, "one")], "item_id bigint, text string"))
-    got = {r[0]: tuple(r[1:]) for r in decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()}
-    assert got == brute.decontamination(plain, items)
-    clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
-    assert clean == {k for k, v in got.items() if not v[-1]}
+    """Items without an id hit too (as in the contract's SQL); a benchmark over the bound is taken in parts with equal rows."""
+    items = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900 + i if i else None, t) for i, t in ITEMS]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = brute.decontamination(plain, items)
+    assert want[100_010][1:3] == (2, 3)  # "one two three" by Three, THREE and the item without an id
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = {r[0]: r for r in decontaminate.contamination(docs, bench).collect()}
+    assert {k: tuple(r[c] for c in names[1:]) for k, r in got.items()} == want
+    size = sum(len(t or "") for _, t in items)
+    parts = {r[0]: r for r in decontaminate.contamination(docs, bench, max_benchmark_chars=size // 3).collect()}
+    assert parts == got
+    for most in (1_000_000, size // 3):
+        clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, max_benchmark_chars=most).collect()}
+        assert clean == {k for k, v in want.items() if not v[-1]}
 
 
 def test_decontamination_spans_map_to_the_original(spark):
@@ -58,10 +66,12 @@ def test_decontamination_spans_map_to_the_original(spark):
     assert [text[s.start : s.end] for s in r.spans] == ["ONE, two...three ñandú"] and r.n_hit == 4 and r.item_ids == ["7", "8"]
 
 
-def test_decontamination_bound(spark, docs):
-    b = spark.createDataFrame([(7, "one two")], "item_id bigint, text string")
-    with pytest.raises(ValueError):
-        decontaminate.contamination(docs, b, max_benchmark_chars=3)
+def test_decontamination_null_ids_in_parts(spark):
+    d = spark.createDataFrame([(None, "one two"), (None, "one two"), (3, "one"), (3, None)], "doc_id bigint, text string")
+    b = spark.createDataFrame([(7, "one two"), (None, "one"), (8, None)], "item_id bigint, text string")
+    for most in (1_000_000, 2):
+        got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.item_ids) for r in decontaminate.contamination(d, b, max_benchmark_chars=most).collect())
+        assert got == [("3", 0, 0, 0, []), ("3", 1, 1, 1, []), ("None", 2, 2, 2, ["7"]), ("None", 2, 2, 2, ["7"])]
 
 
 def test_simhash(docs, plain):
