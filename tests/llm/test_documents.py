@@ -313,6 +313,81 @@ def test_flow_over_overlapping_sources():
     assert mixing.min_cost_flow({("a",): 3}, {"a": 100}) == {(("a",), "a"): 6}
 
 
+def lp_cost(capacity, quota, repeat=2):
+    """Least repetition cost of routing all that can be routed, by trying every split of small cases."""
+    import itertools
+
+    patterns = list(capacity)
+    ways = []
+    for p in patterns:
+        most = repeat * capacity[p]
+        ways.append([x for x in itertools.product(range(most + 1), repeat=len(p)) if sum(x) <= most])
+    best = None
+    for choice in itertools.product(*ways):
+        got = dict.fromkeys(quota, 0)
+        for p, x in zip(patterns, choice, strict=True):
+            for s, n in zip(p, x, strict=True):
+                got[s] += n
+        if any(got[s] > quota[s] for s in quota):
+            continue
+        cost = sum(max(0, sum(x) - capacity[p]) for p, x in zip(patterns, choice, strict=True))
+        key = (-sum(got.values()), cost)
+        best = key if best is None else min(best, key)
+    return best
+
+
+def test_flow_is_optimal_on_small_cases():
+    import random
+
+    rnd = random.Random(8)
+    for _ in range(40):
+        names = [("a",), ("b",), ("a", "b"), ("b", "c")]
+        cap = {p: rnd.randint(0, 3) for p in rnd.sample(names, 3)}
+        quota = {s: rnd.randint(0, 5) for p in cap for s in p}
+        flow = mixing.min_cost_flow(cap, quota)
+        used = {p: sum(v for (q, _), v in flow.items() if q == p) for p in cap}
+        assert all(v <= 2 * cap[p] for p, v in used.items()) and all(s in p for p, s in flow)
+        got = (-sum(flow.values()), sum(max(0, v - cap[p]) for p, v in used.items()))
+        assert got == lp_cost(cap, quota), (cap, quota, flow)
+
+
+def test_mix_of_overlapping_sources(spark):
+    """Words taken by (document, source) add up to each source's target; no source gets words of documents that aren't its own."""
+    import random
+
+    rnd = random.Random(6)
+    choices = [["a"], ["b"], ["a", "b"], ["b", "a", "a"], ["c", None], [None], [], None]
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 40)), rnd.choice(choices)) for i in range(900)] + [(None, "x y z", ["a", "c"]), (5000, None, ["a"])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, tags array<string>").withColumns({c: F.lit("q") for c in ("parts", "pattern", "range", "source", "marks")}).repartition(6)
+    got = mixing.mix(d, members=F.col("tags"), seed=3).collect()
+    assert len(got) == len(rows)
+    by = {i: (len((t or "").split()), sorted({x for x in m or [] if x is not None}) + [None] * (None in (m or []))) for i, t, m in rows}
+    taken, size = {}, {}
+    for r in got:
+        n, own = by[r.doc_id]
+        assert r.size == n and r.sources == own and r.taken == sum(p.words for p in r.parts) <= 2 * n and all(p.words >= 0 and p.source in own for p in r.parts)
+        for s in own:
+            size[s] = size.get(s, 0) + n
+        for p in r.parts:
+            taken[p.source] = taken.get(p.source, 0) + p.words
+        if not own:
+            assert r.taken == 0 and r.target is None and r.source_size is None
+    words = sum(n for n, own in by.values() if own)
+    want = mixing.source_targets(size, mixing.default_weights(list(size)), words=words)
+    assert sum(want.values()) <= 1.5 * words + 1e-6
+    cap = {}
+    for n, own in by.values():
+        if own:
+            cap[tuple(own)] = cap.get(tuple(own), 0) + n
+    flow = mixing.min_cost_flow(cap, {s: round(t) for s, t in want.items()})
+    routed = {s: sum(v for (_, x), v in flow.items() if x == s) for s in size}
+    assert taken == {s: v for s, v in routed.items() if s in taken} and sum(taken.values()) == sum(routed.values())
+    again = mixing.mix(d.repartition(2), members=F.col("tags"), seed=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(d, members=F.col("tags"), max_patterns=3)
+
+
 def test_targets_cap_and_reshare():
     t = mixing.source_targets({"a": 10, "b": 100, "c": 100, None: 0}, mixing.default_weights(["a", "b", "c", None]))
     assert t[None] == 0 and t["a"] == 20 and abs(sum(t.values()) - 315) < 1e-9 and all(t[s] <= 2 * n for s, n in {"b": 100, "c": 100}.items())
