@@ -4,10 +4,13 @@
    Bit counts are summed in byte lanes of machine words, many hashes at once.
 2. Equal fingerprints are one node (its smallest doc_id is kept), so copies never meet each other again.
 3. A pair at distance 3 or less agrees on at least two of five bit blocks, so each distinct fingerprint goes
-   to ten buckets keyed by two blocks (25 or 26 bits). A bucket is compared in bit-sliced form: plane b holds bit
-   b of 64 fingerprints per word; the fingerprints are XORed with themselves shifted by 1, 2, 3, ...
-   places and the differing planes are summed by carry-save counters. Words whose 64 lanes have all
-   passed the radius are abandoned. Only pairs that join two components of the bucket leave it, fewer
+   to ten buckets keyed by two blocks (25 or 26 bits). Buckets of more than BUCKET members are dealt again: the pair agrees
+   on at least one of four parts of the remaining bits, so each member goes to four smaller buckets, and so on while
+   some are too large; rows grow by four times a step, not with the square, and a last bucket has at most 2**14 members.
+   A task stores its fingerprints vertically (`Planes`): plane b holds bit b of 64 fingerprints a word. Planes
+   are XORed with themselves shifted by 1, 2, 3, ... places, and the differing planes are summed by carry-save
+   counters for 64 pairs a word. Words whose lanes have all passed the radius are abandoned, and pairs that are joined
+   already are masked out. Only pairs that join two components of the bucket leave it, fewer
    than it has members: every link is used and no list of all pairs is made.
 4. Components over these edges: each round every node takes its neighbour of lowest random rank and the edges
    are rewritten by it, with each round written to the shared folder. Nothing but row counts reaches the
@@ -97,6 +100,7 @@ def fingerprints(texts):
 
 
 BINS, ROWS, BANDS, WORDS = 64, 3, 21, 4
+CHUNK = 16_384
 #: Least similarity of near copies, as a fraction.
 LEAST = (4, 5)
 
@@ -146,80 +150,100 @@ def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return d.mapInArrow(run, "doc_id bigint, th bigint, fp bigint")
 
 
-def close_lanes(x, y, radius: int = RADIUS):
-    """Positions where the uint64 fingerprints x and y differ in at most 3 bits.
+class Planes:
+    """Fingerprints stored vertically: bit i of word w of plane b is bit b of fingerprint 64 w + i."""
 
-    Bit-sliced: a word holds one bit of 64 pairs. Differing planes go through a carry-save counter (ones,
-    twos, and a lane dies at four); after every eight planes words without a live lane are abandoned.
-    """
-    import numpy as np
+    def __init__(self, x, slab: int = 8192):
+        import numpy as np
 
-    if radius != 3:
-        raise ValueError("two carry-save digits count to 3")
-    n = len(x)
-    diff = np.concatenate([x ^ y, np.zeros(-n % 64, np.uint64)]).view(np.uint8).reshape(-1, 64, 8)
-    live = np.packbits(np.arange(len(diff) * 64) < n, bitorder="little").view(np.uint64)
-    word = np.arange(len(diff))
-    one, two = np.zeros(len(word), np.uint64), np.zeros(len(word), np.uint64)
-    for group in range(8):
-        lanes = np.ascontiguousarray(diff[word, :, group])
-        for b in range(8):
-            plane = np.packbits((lanes >> b) & 1, axis=1, bitorder="little").view(np.uint64).ravel()
-            carry = one & plane
-            one ^= plane
-            live &= ~(two & carry)
-            two ^= carry
-        on = live != 0
-        word, live, one, two = word[on], live[on], one[on], two[on]
-        if not len(word):
-            return np.zeros(0, np.int64)
-    w, lane = np.nonzero(np.unpackbits(live.view(np.uint8), bitorder="little").reshape(-1, 64))
-    return word[w] * 64 + lane
+        x = x.reshape(len(x), -1)
+        self.bits, self.n = 64 * x.shape[1], len(x)
+        words = -(-len(x) // 64)
+        self.planes = np.zeros((self.bits, words + 1), np.uint64)
+        out = self.planes.view(np.uint8)
+        for a in range(0, len(x), slab):
+            rows = np.unpackbits(np.ascontiguousarray(x[a : a + slab]).view(np.uint8).reshape(-1, self.bits // 8), axis=1, bitorder="little")
+            packed = np.packbits(rows, axis=0, bitorder="little").T
+            out[:, a // 8 : a // 8 + packed.shape[1]] = packed
+
+    def shifted(self, lag: int):
+        """diff(b, words): plane b XOR itself moved by lag places."""
+        import numpy as np
+
+        q, r = divmod(lag, 64)
+        last = self.planes.shape[1] - 1
+
+        def diff(b: int, word):
+            plane = self.planes[b]
+            moved = plane[np.minimum(word + q, last)]
+            if r:
+                moved = (moved >> np.uint64(r)) | (plane[np.minimum(word + q + 1, last)] << np.uint64(64 - r))
+            return plane[word] ^ moved
+
+        return diff
+
+    def against(self, fingerprint):
+        """diff(b, words): plane b XOR the bit of one fingerprint."""
+        import numpy as np
+
+        bits = np.unpackbits(np.ascontiguousarray(fingerprint).view(np.uint8), bitorder="little").astype(bool)
+        return lambda b, word: ~self.planes[b][word] if bits[b] else self.planes[b][word]
+
+    def near(self, diff, at, radius: int):
+        """Those of the sorted positions `at` where diff has at most radius planes set.
+
+        Counters of radius.bit_length() carry-save digits; after every eight planes words without a live lane are abandoned.
+        """
+        import numpy as np
+
+        if not len(at):
+            return at
+        starts = np.flatnonzero(np.concatenate([[True], (at[1:] >> 6) != (at[:-1] >> 6)]))
+        word = (at >> 6)[starts]
+        live = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), starts)
+        k = radius.bit_length()
+        digits = [np.zeros(len(word), np.uint64) for _ in range(k)]
+        for group in range(0, self.bits, 8):
+            for b in range(group, group + 8):
+                carry = diff(b, word)
+                for d in range(k):
+                    digits[d], carry = digits[d] ^ carry, digits[d] & carry
+                live &= ~carry
+            if radius + 1 < 1 << k:
+                above, same = np.zeros(len(word), np.uint64), ~np.zeros(len(word), np.uint64)
+                for d in range(k - 1, -1, -1):
+                    if radius >> d & 1:
+                        same &= digits[d]
+                    else:
+                        above |= same & digits[d]
+                        same &= ~digits[d]
+                live &= ~above
+            on = live != 0
+            if not on.all():
+                word, live, digits = word[on], live[on], [d[on] for d in digits]
+            if not len(word):
+                return np.zeros(0, np.int64)
+        w, lane = np.nonzero(np.unpackbits(live.view(np.uint8), bitorder="little").reshape(-1, 64))
+        return word[w] * 64 + lane
 
 
 def close_wide(x, y, radius: int):
-    """close_lanes for signatures of several words: a radius up to 127, counted by seven carry-save digits."""
+    """Positions where the fingerprints x and y (rows of one or more words) differ in at most radius bits."""
     import numpy as np
 
-    n = len(x)
-    diff = np.concatenate([x ^ y, np.zeros((-n % 64, x.shape[1]), np.uint64)]).view(np.uint8).reshape(-1, 64, 8 * x.shape[1])
-    live = np.packbits(np.arange(len(diff) * 64) < n, bitorder="little").view(np.uint64)
-    word = np.arange(len(diff))
-    digits = [np.zeros(len(word), np.uint64) for _ in range(7)]
-    for group in range(diff.shape[2]):
-        lanes = np.ascontiguousarray(diff[word, :, group])
-        for b in range(8):
-            carry = np.packbits((lanes >> b) & 1, axis=1, bitorder="little").view(np.uint64).ravel()
-            for k in range(7):
-                digits[k], carry = digits[k] ^ carry, digits[k] & carry
-            live &= ~carry
-        above, same = np.zeros(len(word), np.uint64), ~np.zeros(len(word), np.uint64)
-        for k in range(6, -1, -1):
-            if radius >> k & 1:
-                same &= digits[k]
-            else:
-                above |= same & digits[k]
-                same &= ~digits[k]
-        live &= ~above
-        on = live != 0
-        if not on.all():
-            word, live, digits = word[on], live[on], [d[on] for d in digits]
-        if not len(word):
-            return np.zeros(0, np.int64)
-    w, lane = np.nonzero(np.unpackbits(live.view(np.uint8), bitorder="little").reshape(-1, 64))
-    return word[w] * 64 + lane
-
-
-def bucket_links(keys, x, lags: int = 32, close=None):
+    return Planes(x ^ y).near(Planes(x ^ y).against(np.zeros(x[:1].size, np.uint64)), np.arange(len(x)), radius)
+
+
+def bucket_links(keys, x, lags: int = 1024, radius: int = RADIUS):
     """Spanning links (positions a, b) of each run of equal keys; x is distinct within a run.
 
-    All runs are first compared at shifts 1 to `lags` together, which settles runs of up to lags + 1. In longer
+    All runs are compared at shifts 1 to `lags` together, which settles runs of up to lags + 1. In longer
     runs every member outside the run's largest component is then compared with all members outside its
     own: a link that is still missing has such an end.
     """
     import numpy as np
 
-    close = close or close_lanes
+    planes = Planes(x)
     n = len(x)
     root = np.arange(n)
 
@@ -252,39 +276,34 @@ def bucket_links(keys, x, lags: int = 32, close=None):
         at = at[reach[at] - at > lag]
         if not len(at):
             break
-        p = at[root[at] != root[at + lag]]
+        p = planes.near(planes.shifted(lag), at[root[at] != root[at + lag]], radius)
         if len(p):
-            p = p[close(x[p], x[p + lag])]
             link(p.tolist(), (p + lag).tolist())
-            if len(p):
-                flat()
+            flat()
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         if b - a <= lags + 1:
             continue
         own, count = np.unique(root[a:b], return_counts=True)
         most = own[count.argmax()]
         for i in (a + np.flatnonzero(root[a:b] != most)).tolist():
-            p = a + np.flatnonzero(root[a:b] != find(i))
+            p = planes.near(planes.against(x[i]), a + np.flatnonzero(root[a:b] != find(i)), radius)
             if len(p):
-                p = p[close(np.repeat(x[i : i + 1], len(p), axis=0), x[p])]
-                if len(p):
-                    link([i] * len(p), p.tolist())
-                    flat(a, b)
+                link([i] * len(p), p.tolist())
+                flat(a, b)
     return left, right
 
 
-def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
+def cross_pairs(keys, root, n, x, radius: int, lags: int = 1024):
     """All pairs (positions p, q, each pair once) of equal keys and different roots within the radius whose set sizes n allow the similarity.
 
     Runs are compared as in bucket_links: in long ones only members outside the run's largest root meet all others.
     """
     import numpy as np
 
-    def near(p, q):
-        fit = (root[p] != root[q]) & (LEAST[1] * np.minimum(n[p], n[q]) >= LEAST[0] * np.maximum(n[p], n[q]))
-        p, q = p[fit], q[fit]
-        on = close_wide(x[p], x[q], radius) if len(p) else p
-        return p[on], q[on]
+    planes = Planes(x)
+
+    def fit(p, q):
+        return (root[p] != root[q]) & (LEAST[1] * np.minimum(n[p], n[q]) >= LEAST[0] * np.maximum(n[p], n[q]))
 
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     end = np.concatenate([start[1:], [len(x)]])
@@ -294,7 +313,8 @@ def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
         at = at[reach[at] - at > lag]
         if not len(at):
             break
-        yield near(at, at + lag)
+        p = planes.near(planes.shifted(lag), at[fit(at, at + lag)], radius)
+        yield p, p + lag
     for a, b in zip(start.tolist(), end.tolist(), strict=True):
         if b - a <= lags + 1:
             continue
@@ -303,7 +323,8 @@ def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
         for i in (a + np.flatnonzero(rest)).tolist():
             q = a + np.flatnonzero(~rest | (np.arange(a, b) > i))
             q = q[np.abs(q - i) > lags]
-            yield near(np.full(len(q), i), q)
+            q = planes.near(planes.against(x[i]), q[fit(np.full(len(q), i), q)], radius)
+            yield np.full(len(q), i), q
 
 
 def _by_run(found):
@@ -339,7 +360,7 @@ def _link_batch(left, right):
     return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
-def _links(radius: int | None = None):
+def _links(radius: int = RADIUS):
     """Rows (k, node, then any signature words) sorted by k, then node -> links (a, b) of nodes.
 
     Without signature words the node is the fingerprint itself.
@@ -349,8 +370,7 @@ def _links(radius: int | None = None):
         import numpy as np
 
         node = x if x.ndim == 1 else x[:, 0]
-        how = None if x.ndim == 1 else lambda a, b: close_wide(a, b, radius)
-        left, right = bucket_links(k, (x if x.ndim == 1 else x[:, 1:]).copy().view(np.uint64), close=how) if len(k) > 1 else ([], [])
+        left, right = bucket_links(k, (x if x.ndim == 1 else x[:, 1:]).copy().view(np.uint64), radius=radius) if len(k) > 1 else ([], [])
         yield _link_batch(node[left], node[right])
 
     return _by_run(found)
@@ -377,15 +397,60 @@ def _cross_links(radius: int):
     return _by_run(found)
 
 
-def fingerprint_links(nodes: DataFrame) -> DataFrame:
-    """(a, b) with a < b: links that connect all distinct fingerprints (column fp) at distance 3 or less."""
-    keys = []
+#: Members of a bucket that one task compares.
+BUCKET = 4096
+
+
+def _parts(width: int) -> list[tuple[int, int]]:
+    """Four parts (low bit, high bit) of `width` bits."""
+    cuts = [-(-width * i // 4) for i in range(5)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _ones(n: int) -> int:
+    return (1 << n) - 1
+
+
+def _bits(c, low: int, high: int):
+    return F.shiftrightunsigned(c, low).bitwiseAND(_ones(high - low))
+
+
+def block_buckets(nodes: DataFrame) -> DataFrame:
+    """(k, fp, rest): ten rows a fingerprint, keyed by two of its five blocks; rest has the bits of the other three."""
+    rows = []
     for j, (p, q) in enumerate(PAIRS):
-        part = [F.shiftrightunsigned("fp", BLOCKS[i][0]).bitwiseAND((1 << (BLOCKS[i][1] - BLOCKS[i][0])) - 1) for i in (p, q)]
-        keys.append(F.lit(j << 26).cast("bigint").bitwiseOR(F.shiftleft(part[0], 13)).bitwiseOR(part[1]))
-    buckets = nodes.select(F.explode(F.array(*keys)).alias("k"), "fp")
+        k = F.lit(j << 26).cast("bigint").bitwiseOR(F.shiftleft(_bits("fp", *BLOCKS[p]), 13)).bitwiseOR(_bits("fp", *BLOCKS[q]))
+        rest, at = F.lit(0).cast("bigint"), 0
+        for i in sorted({0, 1, 2, 3, 4} - {p, q}):
+            rest = rest.bitwiseOR(F.shiftleft(_bits("fp", *BLOCKS[i]), at))
+            at += BLOCKS[i][1] - BLOCKS[i][0]
+        rows.append(F.struct(k.alias("k"), rest.alias("rest")))
+    return nodes.select("fp", F.explode(F.array(*rows)).alias("b")).select("b.k", "fp", "b.rest")
+
+
+def smaller_buckets(buckets: DataFrame, width: int) -> DataFrame:
+    """Four rows a row of (k, fp, rest of width bits): keyed by one of four parts of the rest too, which goes out of the rest."""
+    rows = []
+    for i, (low, high) in enumerate(_parts(width)):
+        rest = F.col("rest").bitwiseAND(_ones(low)).bitwiseOR(F.shiftleft(F.shiftrightunsigned("rest", high), low))
+        rows.append(F.struct(F.xxhash64("k", F.lit(i), _bits("rest", low, high)).alias("k"), rest.alias("rest")))
+    return buckets.select("fp", F.explode(F.array(*rows)).alias("b")).select("b.k", "fp", "b.rest")
+
+
+def fingerprint_links(nodes: DataFrame, most: int = BUCKET) -> DataFrame:
+    """(a, b) with a < b: links that connect all distinct fingerprints (column fp) at distance 3 or less."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = buckets.repartition(parts, "k").sortWithinPartitions("k", "fp").mapInArrow(_links(), "a bigint, b bigint")
+    pending, width, buckets = block_buckets(nodes), 39, None
+    while width > 14:
+        large = keep(pending.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most).select("k"), "large-buckets")
+        if large.isEmpty():
+            break
+        fits = pending.join(large.hint("shuffle_hash"), "k", "left_anti")
+        buckets = fits if buckets is None else buckets.unionByName(fits)
+        pending = keep(smaller_buckets(pending.join(large.hint("shuffle_hash"), "k", "left_semi"), width), "smaller-buckets")
+        width -= min(high - low for low, high in _parts(width))
+    buckets = pending if buckets is None else buckets.unionByName(pending)
+    links = buckets.select("k", "fp").repartition(parts, "k").sortWithinPartitions("k", "fp").mapInArrow(_links(), "a bigint, b bigint")
     return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -486,7 +551,7 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return both.where(LEAST[1] * common >= LEAST[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, sure: int = 46) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, sure: int = 46, chunk: int = CHUNK) -> DataFrame:
     """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
 
     Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7. Their
@@ -503,8 +568,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(F.struct("n", *sign, "bands")).alias("x")).select("node", "first_id", "x.*"), "sketch-nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    # A band's bucket of more than CHUNK members is dealt as pairs of chunks, so no task holds it whole.
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.xxhash64("band", "k").alias("k"))
+    large = keep(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("k", F.ceil(F.col("n") / chunk).cast("int").alias("m")), "large-bands")
+
     def candidates(of: DataFrame, columns: list[str], how) -> DataFrame:
         dealt = of.select(*columns, F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("k"), *columns)
+        if not large.isEmpty():
+            own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
+            other = F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))
+            dealt = dealt.join(large.hint("shuffle_hash"), "k", "left").withColumn("c", F.coalesce(own, F.lit(0))).withColumn("o", other)
+            pair = F.xxhash64("k", F.least("c", "o"), F.greatest("c", "o"))
+            dealt = dealt.select(F.when(F.col("m").isNull(), F.col("k")).otherwise(pair).alias("k"), *columns)
         found = dealt.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(how, "a bigint, b bigint").where("a <> b")
         return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 

@@ -117,6 +117,52 @@ def test_simhash_links_every_pair_within_the_radius():
     assert all(any((int(x[i]) ^ int(x[j])) >> lo & ((1 << hi - lo) - 1) == 0 for lo, hi in simhash.BLOCKS) for i, j in want) and len(a)
 
 
+def test_large_buckets_are_dealt_again(spark):
+    """With buckets of at most a few members, at every step, the links join the same components."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = [int(v) for v in rng.integers(0, 2**64, 6, dtype=np.uint64)]
+    for _ in range(300):  # all near each other: many meet in every bucket
+        v = x[int(rng.integers(len(x)))]
+        for b in rng.integers(0, 64, int(rng.integers(1, 6))):
+            v ^= 1 << int(b)
+        x.append(v)
+    x = sorted(set(x))
+    root = {v: v for v in x}
+
+    def find(v, r):
+        while r[v] != v:
+            v = r[v]
+        return v
+
+    for i, v in enumerate(x):
+        for w in x[:i]:
+            if (v ^ w).bit_count() <= 3:
+                a, b = sorted((find(v, root), find(w, root)))
+                root[b] = a
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    nodes = spark.createDataFrame([(signed(v),) for v in x], "fp bigint")
+    for most in (1, 4, 4096):
+        own = {v: v for v in x}
+        for r in simhash.fingerprint_links(nodes, most).collect():
+            v, w = r.a % (1 << 64), r.b % (1 << 64)
+            assert (v ^ w).bit_count() <= 3
+            a, b = sorted((find(v, own), find(w, own)))
+            own[b] = a
+        assert [find(v, own) for v in x] == [find(v, root) for v in x]
+
+
+def test_planes_hold_bits_vertically():
+    import numpy as np
+
+    x = np.random.default_rng(9).integers(0, 2**64, (200, 2), dtype=np.uint64)
+    p = simhash.Planes(x, slab=64)
+    for i in (0, 63, 64, 199):
+        for b in (0, 1, 63, 64, 127):
+            assert int(p.planes[b][i >> 6]) >> (i & 63) & 1 == int(x[i, b >> 6]) >> (b & 63) & 1
+
+
 def test_wide_comparison_counts_bits():
     import numpy as np
 
@@ -148,6 +194,7 @@ def test_near_copies(spark):
     d = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("node", F.lit(1)).repartition(5)
     got = {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()}
     assert got == {i: 0 if i is None else 1000 if i == 1001 else i if i >= 1000 else i // 10 * 10 for i, _ in rows}
+    assert got == {r.doc_id: r.component_id for r in simhash.near_copies(d, chunk=2).collect()}  # every bucket in pairs of chunks
     assert sorted(r.doc_id for r in simhash.keep_first_of_each(d, near=simhash.near_copies).collect()) == sorted({g * 10 for g in range(40)} | {1000, 1002})
     assert simhash.near_copies(d.where("false")).count() == 0
 
