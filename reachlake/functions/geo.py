@@ -125,10 +125,32 @@ def utm_polygon(polygon: Column, zone: Column) -> Column:
     return F.transform(polygon, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: utm_forward(p["x"], p["y"], zone))))
 
 
+def centroid(polygon: Column) -> Column:
+    """Struct of x and y: centre of the area, holes taken out; taken from the first vertex to keep digits. Null if the area is 0."""
+    x0, y0 = polygon[0][0][0]["x"], polygon[0][0][0]["y"]
+
+    def ring(r: Column, sign: Column) -> Column:
+        """Signed area twice, and its moments six times, of one ring turned to `sign`."""
+        n = F.size(r)
+
+        def term(a: Column, i: Column) -> Column:
+            p, q = r[i], r[F.pmod(i + 1, n)]
+            px, py, qx, qy = p["x"] - x0, p["y"] - y0, q["x"] - x0, q["y"] - y0
+            cross = px * qy - qx * py
+            return F.struct((a["a"] + cross).alias("a"), (a["x"] + (px + qx) * cross).alias("x"), (a["y"] + (py + qy) * cross).alias("y"))
+
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        turned = lambda a: F.transform(F.array(a), lambda s: F.struct(*((s[k] * F.signum(s["a"]) * sign).alias(k) for k in "axy")))[0]
+        return F.aggregate(F.sequence(F.lit(0), n - 1), zero, term, turned)
+
+    rings = F.flatten(F.transform(polygon, lambda part: F.transform(part, lambda r, i: ring(r, F.when(i == 0, 1.0).otherwise(-1.0)))))
+    total = F.aggregate(rings, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda t, r: F.struct(*((t[k] + r[k]).alias(k) for k in "axy")))
+    return F.transform(F.array(total), lambda t: F.when(t["a"] != 0, F.struct((x0 + t["x"] / (3 * t["a"])).alias("x"), (y0 + t["y"] / (3 * t["a"])).alias("y"))))[0]
+
+
 def area_km2(polygon: Column) -> Column:
-    """Area by UTM in the zone of the bounding box's middle, rounded to four decimals."""
-    box = bbox(polygon)
-    return F.round(polygon_area(utm_polygon(polygon, utm_zone((box["west"] + box["east"]) / 2))) / 1e6, 4)
+    """Area by UTM in the zone of the centroid, rounded to four decimals."""
+    return F.round(polygon_area(utm_polygon(polygon, utm_zone(centroid(polygon)["x"]))) / 1e6, 4)
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

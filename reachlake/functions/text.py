@@ -43,15 +43,39 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def clean_name(c: Column, normalise: bool = True) -> Column:
-    """Spaces collapsed; null for URLs, phone-like text of seven or more digits, and bare ids."""
+    """Spaces collapsed; null for a URL alone, digits (seven or more) with nothing but phone marks, and bare or osm-marked numbers."""
     x = F.trim(F.regexp_replace(nfkc(c) if normalise else c, r"\s+", " "))
-    digits = F.length(F.regexp_replace(x, "[^0-9]", ""))
-    url = x.rlike(r"(?i)^(https?://|www\.)")
-    phone = (digits >= 7) & x.rlike(r"^[+()\d\s.\-/]+$")
-    bare = x.rlike(r"(?i)^(node|way|relation)?[/:]?\d+$")
+    url = x.rlike(r"(?i)^(?:https?://\S+|www\.\S+)$")
+    phone = F.regexp_replace(x, r"[\s()+\-./]", "").rlike(r"^\d{7,}$")
+    bare = x.rlike(r"(?i)^(?:osm[_-]?(?:node|way|relation)?[:#-]?)?\d+$")
     return F.when((x != "") & ~url & ~phone & ~bare, x)
 
 
+#: Name tags in order with their locales, and languages of a nested map in order.
+NAME_TAGS = (("name:zh", "zh-CN"), ("name:zh-CN", "zh-CN"), ("name", None), ("name:en", "en"))
+NAME_LANGUAGES = ("zh-CN", "zh", "en", "default")
+
+
+def provider_name(properties: Column, normalise: bool = True) -> Column:
+    """Struct of name and locale from a map of tags: the first tag with a clean name; a tag's value may be a JSON map by language."""
+    picks = []
+    for tag, locale in NAME_TAGS:
+        value = F.try_element_at(properties, F.lit(tag))
+        nested = F.when(value.startswith("{"), F.from_json(value, "map<string,string>"))
+        for language in NAME_LANGUAGES:
+            picks.append((clean_name(F.try_element_at(nested, F.lit(language)), normalise), language))
+        picks.append((clean_name(F.when(nested.isNull(), value), normalise), locale))
+    return F.coalesce(*(F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(locale).cast("string").alias("locale"))) for name, locale in picks))
+
+
+def merge_tags(properties: Column, tags: Column) -> Column:
+    """The map of properties with tags put over it."""
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    own = F.coalesce(F.map_entries(tags), none)
+    kept = F.filter(F.coalesce(F.map_entries(properties), none), lambda e: ~F.exists(own, lambda t: t["key"] == e["key"]))
+    return F.map_from_entries(F.concat(kept, own))
+
+
 def name_key(c: Column) -> Column:
     """Lower-cased, white space collapsed. Full case folding differs for a few letters such as the German sharp s."""
     return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
@@ -77,16 +101,22 @@ def fnv1a32(c: Column) -> Column:
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 
+def number_text(c: Column) -> Column:
+    """A double at seven decimals."""
+    return F.format_string("%.7f", c)
+
+
 def identity(*columns: Column) -> Column:
-    """SHA-256 of columns joined by a bar; doubles are written at seven decimals so engines agree."""
+    """SHA-256 of columns joined by a bar, null empty; give doubles as number_text so that engines agree."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)), 256)
 
 
-def label_width(c: Column, font: Column) -> Column:
-    """Estimated width: 1 em for CJK characters, 0.36 for spaces, 0.58 for others."""
-    cjk = F.length(F.regexp_replace(c, r"[^⺀-鿿豈-﫿＀-￯]", ""))
+def label_box(c: Column, font: Column) -> Column:
+    """Struct of width and height of a label: characters above code point 255 take 1 em, spaces 0.36, others 0.58; 8 more, at least 18."""
+    wide = F.length(F.regexp_replace(c, r"[\x{0}-\x{FF}]", ""))
     space = F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    return font * (cjk * 1.0 + space * 0.36 + (F.length(c) - cjk - space) * 0.58)
+    units = wide * 1.0 + space * 0.36 + (F.length(c) - wide - space) * 0.58
+    return F.struct(F.greatest(F.lit(18), F.ceil(units * font + 8)).cast("int").alias("width"), F.ceil(font * 1.34 + 4).cast("int").alias("height"))
 
 
 def coordinate_text(c: Column) -> Column:

@@ -11,6 +11,15 @@ def with_hierarchy(df: DataFrame, *levels: str) -> DataFrame:
     return df.withColumn("hierarchy", F.array_compact(F.array(*levels)))
 
 
+def assemble_poi(poi: DataFrame, path: DataFrame, alternates: DataFrame) -> DataFrame:
+    """poi with hierarchy (path: poi_id, depth, category_id; by depth) and alternates (poi_id, category_id; sorted); none is an empty array."""
+    none = F.array().cast("array<string>")
+    p = path.groupBy("poi_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "category_id"))), lambda x: x["category_id"]).alias("hierarchy"))
+    a = alternates.groupBy("poi_id").agg(F.array_sort(F.collect_set("category_id")).alias("alternates"))
+    d = poi.join(p.hint("merge"), "poi_id", "left").join(a.hint("merge"), "poi_id", "left")
+    return d.withColumns({c: F.coalesce(c, none) for c in ("hierarchy", "alternates")})
+
+
 def filter_categories(poi: DataFrame, requested: Column) -> DataFrame:
     """Rows whose path meets the requested ids; an empty request takes all."""
     return poi.where((F.size(requested) == 0) | F.arrays_overlap("hierarchy", requested))

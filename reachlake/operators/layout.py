@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from .spatial import nearest_gap, rect_overlaps
+from .spatial import box_cells, cell_of, nearest_gap, rect_overlaps
 
 
 def with_angles(nodes: DataFrame, lon0: Column, lat0: Column, cx: Column, cy: Column) -> DataFrame:
@@ -16,11 +18,6 @@ def with_angles(nodes: DataFrame, lon0: Column, lat0: Column, cx: Column, cy: Co
     return d.withColumns({"src_angle": geo.normal_angle(F.degrees(F.atan2("sy", "sx"))), "dst_angle": geo.normal_angle(F.degrees(F.atan2("ty", "tx")))})
 
 
-def lower_rank(values: Column, p: float) -> Column:
-    """sorted[floor((n - 1) p)] of an array."""
-    return F.get(F.array_sort(values), F.floor((F.size(values) - 1) * p).cast("int"))
-
-
 def direction_metrics(angled: DataFrame, eps: float = 1e-9) -> DataFrame:
     """Per layout: angular error (mean, median, p95, max), excluded nodes, east-west and north-south flips, sector retention.
 
@@ -54,7 +51,7 @@ def pairwise_retention(angled: DataFrame, eps_src: float = 1e-6, eps_dst: float
     w = Window.partitionBy("layout_id").orderBy("node_id")
     d = angled.select("layout_id", "node_id", "sx", "sy", "tx", "ty").withColumn("ord", F.row_number().over(w)).withColumn("block", F.floor(F.col("ord") / 512).cast("int"))
     last = d.groupBy("layout_id").agg(F.max("block").alias("last"))
-    d = d.join(last, "layout_id")
+    d = d.join(last.hint("merge"), "layout_id")
     a = d.withColumn("other", F.explode(F.sequence("block", "last"))).select("layout_id", F.col("block").alias("b1"), F.col("other").alias("b2"), "ord", "sx", "sy", "tx", "ty")
     b = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("layout_id", F.col("other").alias("b1"), F.col("block").alias("b2"), *(F.col(c).alias(f"{c}2") for c in ("ord", "sx", "sy", "tx", "ty")))
     p = a.join(b.hint("merge"), ["layout_id", "b1", "b2"]).where("ord < ord2")
@@ -65,25 +62,42 @@ def pairwise_retention(angled: DataFrame, eps_src: float = 1e-6, eps_dst: float
     return p.groupBy("layout_id").agg(*out)
 
 
-def layout_completeness(nodes: DataFrame, eligible: DataFrame) -> DataFrame:
-    """Per layout: eligible, placed, placement rate, overlapping pairs and their rate over n (n - 1) / 2."""
+def layout_completeness(nodes: DataFrame, eligible: DataFrame, bands: DataFrame | None = None) -> DataFrame:
+    """Per layout: eligible, placed, placement rate, overlapping pairs and their rate over n (n - 1) / 2; with bands also labels outside their ring and their rate."""
     n = nodes.groupBy("layout_id").agg(F.count("*").alias("placed"))
     o = rect_overlaps(nodes).groupBy("layout_id").agg(F.count("*").alias("overlaps"))
-    d = eligible.join(n, "layout_id", "left").join(o, "layout_id", "left").na.fill(0, ["placed", "overlaps"])
+    d = eligible.join(n.hint("merge"), "layout_id", "left").join(o.hint("merge"), "layout_id", "left").na.fill(0, ["placed", "overlaps"])
     pairs = F.col("placed") * (F.col("placed") - 1) / 2
-    return d.withColumns({"placement_rate": F.when(F.col("eligible") > 0, F.col("placed") / F.col("eligible")), "overlap_rate": F.when(pairs > 0, F.col("overlaps") / pairs)})
+    d = d.withColumns({"placement_rate": F.when(F.col("eligible") > 0, F.col("placed") / F.col("eligible")), "overlap_rate": F.when(pairs > 0, F.col("overlaps") / pairs)})
+    if bands is None:
+        return d
+    out = layout_constraints(nodes, bands).select("layout_id", "outside_ring")
+    d = d.join(out.hint("merge"), "layout_id", "left").na.fill(0, ["outside_ring"])
+    return d.withColumn("outside_rate", F.when(F.col("placed") > 0, F.col("outside_ring") / F.col("placed")))
 
 
-def ring_metrics(nodes: DataFrame, bands: DataFrame) -> DataFrame:
-    """Per layout and ring (bands: ring_id, inner, outer): label area over ring area, void ratio, gaps min, median and p95."""
+def _near_far() -> tuple[Column, Column]:
+    """Distance from the centre of a label's nearest point and of its farthest corner."""
+    hw, hh = F.col("width") / 2, F.col("height") / 2
+    return F.hypot(F.greatest(F.lit(0.0), F.abs("tx") - hw), F.greatest(F.lit(0.0), F.abs("ty") - hh)), F.hypot(F.abs("tx") + hw, F.abs("ty") + hh)
+
+
+def ring_metrics(nodes: DataFrame, bands: DataFrame, centre_radius: float = 0.0) -> DataFrame:
+    """Per layout and ring (bands: ring_id, inner, outer): label area over ring area, void ratio, gaps min, median and p95, the
+    band's width, what labels leave of it inside and outside, and the gap from the band before (from centre_radius for the first)."""
     g = nearest_gap(nodes, ("layout_id", "ring_id"))
     w = Window.partitionBy("layout_id", "ring_id")
     g = g.withColumns({"_i": F.row_number().over(w.orderBy(F.asc_nulls_last("gap"), "node_id")) - 1, "_n": F.count("gap").over(w)})
     at = lambda p: F.max(F.when(F.col("_i") == F.floor((F.col("_n") - 1) * p), F.col("gap")))
     gaps = g.groupBy("layout_id", "ring_id").agg(F.min("gap").alias("gap_min"), at(0.5).alias("gap_median"), at(0.95).alias("gap_p95"))
-    area = nodes.groupBy("layout_id", "ring_id").agg(F.count("*").alias("n"), F.sum(F.col("width") * F.col("height")).alias("label_area"))
+    near, far = _near_far()
+    area = nodes.groupBy("layout_id", "ring_id").agg(F.count("*").alias("n"), F.sum(F.col("width") * F.col("height")).alias("label_area"), F.min(near).alias("_near"), F.max(far).alias("_far"))
+    before = F.lag("outer", 1, centre_radius).over(Window.partitionBy(F.lit(1)).orderBy("inner", "ring_id"))  # a few bands
+    bands = bands.withColumn("gap_from_previous", F.col("inner") - before)
     ring = F.pi() * (F.col("outer") * F.col("outer") - F.col("inner") * F.col("inner"))
-    return area.join(gaps, ["layout_id", "ring_id"]).join(bands, "ring_id").withColumn("fill_ratio", F.col("label_area") / ring).withColumn("void_ratio", 1 - F.col("fill_ratio"))
+    d = area.join(gaps.hint("merge"), ["layout_id", "ring_id"]).join(bands.hint("shuffle_hash"), "ring_id")
+    d = d.withColumn("fill_ratio", F.col("label_area") / ring).withColumn("void_ratio", 1 - F.col("fill_ratio"))
+    return d.withColumns({"band_width": F.col("outer") - F.col("inner"), "unused_inner": F.col("_near") - F.col("inner"), "outer_slack": F.col("outer") - F.col("_far")}).drop("_near", "_far")
 
 
 def layout_constraints(nodes: DataFrame, bands: DataFrame, centre_half: tuple[float, float] = (20, 20)) -> DataFrame:
@@ -91,17 +105,31 @@ def layout_constraints(nodes: DataFrame, bands: DataFrame, centre_half: tuple[fl
 
     A label is within a band if its nearest point is at least inner and its farthest corner at most outer from the centre.
     """
-    hw, hh = F.col("width") / 2, F.col("height") / 2
-    near = F.hypot(F.greatest(F.lit(0.0), F.abs("tx") - hw), F.greatest(F.lit(0.0), F.abs("ty") - hh))
-    far = F.hypot(F.abs("tx") + hw, F.abs("ty") + hh)
-    d = nodes.join(bands, "ring_id")
+    near, far = _near_far()
+    d = nodes.join(bands.hint("shuffle_hash"), "ring_id")
     return d.groupBy("layout_id").agg(
         F.count_if((near < F.col("inner")) | (far > F.col("outer"))).alias("outside_ring"),
-        F.count_if((F.abs("tx") < hw + centre_half[0]) & (F.abs("ty") < hh + centre_half[1])).alias("on_centre"),
+        F.count_if((F.abs("tx") < F.col("width") / 2 + centre_half[0]) & (F.abs("ty") < F.col("height") / 2 + centre_half[1])).alias("on_centre"),
         F.count_if(F.signum("sx") * F.signum("tx") < 0).alias("ew_violations"), F.count_if(F.signum("sy") * F.signum("ty") < 0).alias("ns_violations"),
     )
 
 
+def obstacle_collisions(nodes: DataFrame, obstacles: DataFrame, cell: float = 64.0) -> DataFrame:
+    """Pairs (layout_id, node_id, obstacle_id) of labels and obstacle boxes (centre x, y, width, height) that overlap. Obstacles with a
+    layout_id are of that layout, others of all."""
+
+    def sides(d: DataFrame, end: str) -> dict:
+        return {f"{k}{end}": F.col(c) + s * F.col(z) / 2 for k, c, s, z in (("l", "x", -1, "width"), ("r", "x", 1, "width"), ("t", "y", -1, "height"), ("b", "y", 1, "height"))}
+
+    n = nodes.withColumns(sides(nodes, "1")).select("layout_id", "node_id", "l1", "r1", "t1", "b1")
+    own = ["layout_id"] if "layout_id" in obstacles.columns else []
+    o = obstacles.withColumns(sides(obstacles, "2")).select(*own, "obstacle_id", "l2", "r2", "t2", "b2")
+    a = box_cells(n, F.col("l1"), F.col("t1"), F.col("r1"), F.col("b1"), cell)
+    b = box_cells(o, F.col("l2"), F.col("t2"), F.col("r2"), F.col("b2"), cell)
+    hit = a.join(b.hint("merge"), [*own, "cx", "cy"]).where("l1 < r2 and l2 < r1 and t1 < b2 and t2 < b1")
+    return hit.where((F.col("cx") == cell_of(F.greatest("l1", "l2"), cell)) & (F.col("cy") == cell_of(F.greatest("t1", "t2"), cell))).select("layout_id", "node_id", "obstacle_id")
+
+
 def validate_metrics(metrics: DataFrame, ratios: list[str]) -> DataFrame:
     """errors: names of ratios outside 0..1, and "sum" where placed + unplaced <> eligible."""
     bad = [F.when(~F.coalesce(F.col(c).between(0, 1), F.lit(True)), c) for c in ratios]
@@ -118,6 +146,28 @@ def experiment_gate(metrics: DataFrame, algorithms: list[str], value: str) -> Da
     return p.withColumn("complete", there).withColumn("best", best)
 
 
+def balanced_gate(metrics: DataFrame) -> DataFrame:
+    """Nine checks of the balanced algorithm against geography-first and compact-first at each density, and whether all pass.
+
+    metrics: density, algorithm, overlap, outside, on_centre, on_label, mutated, stable, err_mean, ew_rate, ns_rate, canvas_width, utilization. A
+    check that lacks a value fails.
+    """
+    of = lambda algorithm, column: F.max(F.when(F.col("algorithm") == algorithm, F.col(column)))
+    base, compact, geography = "balanced", "compact-first", "geography-first"
+    flips = lambda a: F.coalesce(of(a, "ew_rate"), F.lit(0.0)) + F.coalesce(of(a, "ns_rate"), F.lit(0.0))
+    checks = {
+        "overlap0": of(base, "overlap") == 0, "outside0": of(base, "outside") == 0, "on_centre0": of(base, "on_centre") == 0, "on_label0": of(base, "on_label") == 0,
+        "unchanged": ~of(base, "mutated"), "stable": of(base, "stable"),
+        "direction": (of(base, "err_mean") <= of(compact, "err_mean") * 0.85) | (flips(base) <= flips(compact) * 0.85),
+        "smaller": of(base, "canvas_width") < of(geography, "canvas_width"), "utilized": of(base, "utilization") >= of(geography, "utilization"),
+    }
+    d = metrics.groupBy("density").agg(*(F.coalesce(c, F.lit(False)).alias(k) for k, c in checks.items()))
+    passed = F.lit(True)
+    for k in checks:
+        passed = passed & F.col(k)
+    return d.withColumn("passed", passed)
+
+
 def bearing_bins(points: DataFrame, bins: int = 360) -> DataFrame:
     """Adds bin (by compass bearing) and radius_m from centre columns clon, clat."""
     b = geo.bearing(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat"))
@@ -132,6 +182,25 @@ def reach_profile(binned: DataFrame, spread: int = 3, bins: int = 360) -> DataFr
     return d.groupBy("analysis_id", F.pmod(F.col("bin") + F.col("off"), F.lit(bins)).alias("bin")).agg(F.max(F.col("radius_m") * w).alias("reach_m"))
 
 
+def profile_shape(profile: DataFrame, bins: int = 360, value: str = "reach_m") -> DataFrame:
+    """Per analysis: area, perimeter and 4 pi A / P^2 of the closed shape whose radius at each bearing bin is `value`; missing bins are 0."""
+    keys = profile.select("analysis_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    d = keys.join(profile.hint("merge"), ["analysis_id", "bin"], "left").select("analysis_id", "bin", F.coalesce(value, F.lit(0.0)).alias("r"))
+    w = Window.partitionBy("analysis_id").orderBy("bin")
+    d = d.withColumn("next", F.coalesce(F.lead("r").over(w), F.first("r").over(w)))
+    turn = 2 * math.pi / bins
+    area = F.sum(F.col("r") * F.col("next")) * math.sin(turn) / 2
+    edge = F.sum(F.sqrt(F.greatest(F.lit(0.0), F.col("r") * F.col("r") + F.col("next") * F.col("next") - 2 * F.col("r") * F.col("next") * math.cos(turn))))
+    s = d.groupBy("analysis_id").agg(area.alias("area"), edge.alias("perimeter"))
+    return s.withColumn("compactness", geo.compactness(F.col("area"), F.col("perimeter")))
+
+
+def contour_radius(density: DataFrame, threshold: float = 1.05, least: float = 70.0) -> DataFrame:
+    """Per analysis and bearing bin the largest radius whose density (analysis_id, bin, radius, density) reaches the threshold, at least `least`."""
+    reached = F.max(F.when(F.col("density") >= threshold, F.col("radius")))
+    return density.groupBy("analysis_id", "bin").agg(F.greatest(F.coalesce(reached, F.lit(least)), F.lit(least)).alias("contour"))
+
+
 def circular_smooth(profile: DataFrame, radius: int = 2, bins: int = 360, value: str = "reach_m") -> DataFrame:
     """Triangular moving average over a circle of bins: two box sums over a wrapped copy; missing bins count 0."""
     keys = profile.select("analysis_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))

@@ -79,18 +79,27 @@ def restore_spatial_band(published: DataFrame, spatial: DataFrame) -> DataFrame:
 
 
 def build_eligible(acc: DataFrame, poi: DataFrame, max_s: float = 1800) -> DataFrame:
-    """Named points with status ok and 0 < time <= max_s, banded."""
-    d = with_status(acc).join(poi, ["poi_id"]).where((F.col("status") == "ok") & (F.col("duration_s") > 0) & (F.col("duration_s") <= max_s))
+    """Named points with status ok and 0 < time <= max_s, banded. Points that belong to analyses (analysis_id) meet their own only."""
+    keys = ["analysis_id", "poi_id"] if "analysis_id" in poi.columns else ["poi_id"]
+    d = with_status(acc).join(poi.hint("merge"), keys).where((F.col("status") == "ok") & (F.col("duration_s") > 0) & (F.col("duration_s") <= max_s))
     return d.where(F.coalesce(F.length(F.trim("name")) > 0, F.lit(False)))
 
 
+def eligible_pois(published: DataFrame, rings: tuple[str, ...] = tuple(name for _, name in BANDS), max_s: float = 1800) -> DataFrame:
+    """Published rows (matrix_status, travel_time_s, ring_id, band, name) that a display may choose from: ok, timed, in the ring of their band, a known ring, named."""
+    t = F.col("travel_time_s")
+    good = (F.col("matrix_status") == "ok") & (t > 0) & (t <= max_s) & (F.col("ring_id") == F.col("band")) & F.col("ring_id").isin(*rings) & (F.coalesce("name", F.lit("")) != "")
+    return published.where(good)
+
+
 def accessibility_summary(acc: DataFrame) -> DataFrame:
-    """Per analysis: requested, ok, null, invalid, out of range, within."""
+    """Per analysis: requested, ok, null, invalid, out of range, within; with a column spatial_ring also mismatch: ok rows whose ring is not their band."""
     d = with_status(acc)
     ok = F.col("status") == "ok"
+    more = [F.count_if(ok & ~F.col("spatial_ring").eqNullSafe(F.col("band"))).alias("mismatch")] if "spatial_ring" in acc.columns else []
     return d.groupBy("analysis_id").agg(
         F.count("*").alias("requested"), F.count_if(ok).alias("ok"), F.count_if(F.col("status") == "unreachable").alias("null_count"), F.count_if(F.col("status") == "invalid").alias("invalid"),
-        F.count_if(F.col("band") == OUT_OF_RANGE).alias("out_of_range"), F.count_if(ok & (F.col("band") != OUT_OF_RANGE)).alias("within"),
+        F.count_if(F.col("band") == OUT_OF_RANGE).alias("out_of_range"), F.count_if(ok & (F.col("band") != OUT_OF_RANGE)).alias("within"), *more,
     )
 
 
@@ -109,9 +118,13 @@ def band_migration(published: DataFrame) -> DataFrame:
 
 
 def conservation(acc: DataFrame) -> DataFrame:
-    """within + out of range + null + invalid = requested, and the bands sum to ok."""
-    s = accessibility_summary(acc)
-    return s.select("analysis_id", (F.col("within") + F.col("out_of_range") + F.col("null_count") + F.col("invalid") == F.col("requested")).alias("total_ok"), (F.col("within") + F.col("out_of_range") == F.col("ok")).alias("bands_ok"))
+    """within + out of range + null + invalid = requested, and the bands sum to ok; with both sides of each."""
+    bands = [F.count_if(F.col("band") == name).alias(name.replace("-", "_")) for _, name in BANDS]
+    by = with_status(acc).groupBy("analysis_id").agg(*bands)
+    s = accessibility_summary(acc).join(by.hint("merge"), "analysis_id")
+    parts = F.col("within") + F.col("out_of_range") + F.col("null_count") + F.col("invalid")
+    in_bands = F.col("out_of_range") + sum((F.col(name.replace("-", "_")) for _, name in BANDS), F.lit(0))
+    return s.select("analysis_id", "requested", parts.alias("parts"), "ok", in_bands.alias("in_bands"), (parts == F.col("requested")).alias("total_ok"), (in_bands == F.col("ok")).alias("bands_ok"))
 
 
 def band_members(published: DataFrame, rings: DataFrame) -> DataFrame:
@@ -153,10 +166,21 @@ def join_integrity(poi: DataFrame, acc: DataFrame) -> DataFrame:
     return j.groupBy("analysis_id").agg(F.every(F.coalesce(F.col("np"), F.lit(1)) == 1).alias("poi_unique"), F.every(F.coalesce(F.col("na"), F.lit(1)) == 1).alias("acc_unique"), F.every(F.col("np").isNotNull() & F.col("na").isNotNull()).alias("same_ids"), F.every(F.coalesce("timed", F.lit(True))).alias("ok_timed"))
 
 
+def row_text(df: DataFrame, columns: list[str]) -> Column:
+    """A row's columns joined by bars, null empty, doubles at seven decimals, so other engines can write the same text."""
+    real = [c for c, kind in df.dtypes if kind in ("double", "float")]
+    return F.concat_ws("|", *(F.coalesce(F.format_string("%.7f", c) if c in real else F.col(c).cast("string"), F.lit("")) for c in columns))
+
+
+def set_hashes(text: Column) -> list[Column]:
+    """Two aggregates over row texts, as text: sums of two 60-bit parts of each row's SHA-256. Order-free, and repeated rows count."""
+    part = lambda at: F.conv(F.substring(F.sha2(text, 256), at, 15), 16, 10).cast("decimal(20,0)")
+    return [F.coalesce(F.sum(part(at)), F.lit(0)).cast("decimal(38,0)").cast("string").alias(name) for at, name in ((1, "fp_a"), (16, "fp_b"))]
+
+
 def result_fingerprint(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Order-free 128-bit fingerprint of each key's rows: two seeded 64-bit hashes, summed with wrap-around in halves."""
-    h = lambda seed: F.xxhash64(F.lit(seed), *columns)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.hex(F.bit_xor(h(1))).alias("fp_a"), F.hex(F.bit_xor(h(2))).alias("fp_b"))
+    """Order-free fingerprint of each key's rows: their number and two sums of hashes."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *set_hashes(row_text(rows, columns)))
 
 
 def latest_by_key(rows: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:

@@ -63,3 +63,9 @@ def estimate_requests(df: DataFrame, reserve: float = 0.2) -> DataFrame:
     d = df.withColumn("matrix_batches", F.ceil(F.col("n_pois") / per)).withColumn("least", F.col("n_pieces") + F.col("matrix_batches"))
     d = d.withColumn("reserve", F.ceil(F.col("least") * reserve)).withColumn("most", F.col("least") + F.col("reserve"))
     return d.withColumn("verdict", F.when(F.col("most") <= F.col("budget"), "within-budget").otherwise("approval-required"))
+
+
+def split_cached(pieces: DataFrame, cache: DataFrame, key: str = "geometry_hash") -> tuple[DataFrame, DataFrame]:
+    """(cached, remaining): pieces whose key has a response in cache (key, truncated) that is not truncated, and the others."""
+    good = cache.where(~F.coalesce("truncated", F.lit(False))).select(key).distinct()
+    return pieces.join(good.hint("merge"), key, "left_semi"), pieces.join(good.hint("merge"), key, "left_anti")

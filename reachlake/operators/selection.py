@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import keep
+from .spatial import dedupe_near, points_in_polygons
+
 
 def score_of(*columns: str) -> Column:
     """First of the columns that is a number."""
@@ -26,14 +29,21 @@ def nested_presets(small: DataFrame, large: DataFrame) -> DataFrame:
     return small.where("is_selected").join(large.where("is_selected").select(*keys), keys, "left_anti").agg(F.count("*").alias("missing")).withColumn("nested", F.col("missing") == 0)
 
 
+def match_order(matches: DataFrame) -> DataFrame:
+    """Adds position: by ring_id, top_id, hierarchy (arrays compare place by place) and poi_id in each analysis."""
+    return matches.withColumn("position", F.row_number().over(Window.partitionBy("analysis_id").orderBy("ring_id", "top_id", "hierarchy", "poi_id")))
+
+
 def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFrame:
-    """At most n rows an analysis, dealt over (ring_id, top_id) groups in order, rows of a group by poi_id.
+    """At most n rows an analysis, dealt over (ring_id, top_id) groups in order, rows of a group by (hierarchy, if there is one, poi_id).
 
-    Fair mode takes every group's first row, then every second row, ... Exact mode keeps the cursor where it is when an
-    emptied group is removed, so the group after it is passed over once; only group sizes meet in Python there.
+    Fair mode takes every group's first row, then every second row, ... Exact mode steps a counter through the groups that are left
+    and takes it modulo their number, also after a group has left, so a group may be passed over; an analysis of
+    n rows or fewer keeps its match order. Only group sizes meet in Python there.
     """
     groups = ["analysis_id", "ring_id", "top_id"]
-    ranked = matches.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy("poi_id")))
+    order = ["hierarchy", "poi_id"] if "hierarchy" in matches.columns else ["poi_id"]
+    ranked = matches.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
     if not exact:
         w = Window.partitionBy("analysis_id").orderBy("rn", "ring_id", "top_id")
         return ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("rn")
@@ -41,17 +51,19 @@ def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFr
     def deal(pdf):
         import pandas as pd
 
-        live = [[r.ring_id, r.top_id, int(r.n), 0] for r in pdf.sort_values(["ring_id", "top_id"]).itertuples()]
-        out, cursor = [], 0
-        while live and len(out) < n:
-            cursor %= len(live)
-            g = live[cursor]
-            g[3] += 1
-            out.append((pdf.analysis_id.iloc[0], g[0], g[1], g[3], len(out) + 1))
-            if g[3] == g[2]:
-                live.pop(cursor)
-            cursor += 1
-        return pd.DataFrame(out, columns=["analysis_id", "ring_id", "top_id", "rn", "position"])
+        sizes = [(r.ring_id, r.top_id, int(r.n)) for r in pdf.sort_values(["ring_id", "top_id"]).itertuples()]
+        if sum(k for _, _, k in sizes) <= n:
+            turns = [(ring, top, i) for ring, top, k in sizes for i in range(1, k + 1)]
+        else:
+            taken, live, turns = [0] * len(sizes), list(range(len(sizes))), []
+            while len(turns) < n:
+                at = len(turns) % len(live)
+                g = live[at]
+                taken[g] += 1
+                turns.append((*sizes[g][:2], taken[g]))
+                if taken[g] == sizes[g][2]:
+                    del live[at]
+        return pd.DataFrame([(pdf.analysis_id.iloc[0], *t, i) for i, t in enumerate(turns, 1)], columns=["analysis_id", "ring_id", "top_id", "rn", "position"])
 
     kind = matches.schema["analysis_id"].dataType.simpleString()
     plan = matches.groupBy(*groups).agg(F.count("*").alias("n")).groupBy("analysis_id").applyInPandas(deal, f"analysis_id {kind}, ring_id string, top_id string, rn int, position int")
@@ -105,11 +117,10 @@ def dedupe_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
 def merge_pieces(results: DataFrame, pieces: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, counts) of plans whose pieces are all complete and not truncated.
 
-    Rows without an id stay; of rows with the same (source, source_id) in a plan the first in (piece, pos) stays. Outside
-    and near-duplicate rows are the caller's next steps (points_in_polygons, dedupe_near).
+    Rows without an id stay; of rows with the same (source, source_id) in a plan the first in (piece, pos) stays. merge_piece_results
+    also tests the outer polygon and near-duplicate names.
     """
-    bad = pieces.where("not complete or truncated").select("plan_id").distinct()
-    r = results.join(bad.hint("merge"), "plan_id", "left_anti")
+    r = _publishable(results, pieces)
     key = F.coalesce("source_id", F.concat(F.lit("row:"), F.col("piece").cast("string"), F.lit(":"), F.col("pos").cast("string")))
     r = r.withColumn("_key", key)
     first = dedupe_first(r, ["plan_id", "source", "_key"], "piece", "pos").drop("_key")
@@ -117,6 +128,58 @@ def merge_pieces(results: DataFrame, pieces: DataFrame) -> tuple[DataFrame, Data
     return first, counts
 
 
+def _publishable(results: DataFrame, pieces: DataFrame) -> DataFrame:
+    bad = pieces.where("not complete or truncated").select("plan_id").distinct()
+    return results.join(bad.hint("merge"), "plan_id", "left_anti")
+
+
+def merge_piece_results(results: DataFrame, pieces: DataFrame, outer: DataFrame, cell: float = 1 / 16) -> tuple[DataFrame, DataFrame]:
+    """(rows, counts: plan_id, raw, outside, duplicate, merged) of plans whose pieces are all complete and not truncated.
+
+    results: plan_id, piece, pos (unique in a piece), source, source_id, name, lon, lat; outer: plan_id, edges, box. In (piece, pos) order: a row without
+    valid coordinates or not covered by its plan's outer polygon is outside; one whose (source, source_id) is there
+    is a duplicate; one without an id is a duplicate if a row that stays has its name within 5 m.
+    """
+    r = _publishable(results, pieces).withColumns({"_o": F.struct("piece", "pos"), "source_id": F.nullif("source_id", F.lit(""))})
+    ok = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)
+    hit = points_in_polygons(r.where(ok).withColumnRenamed("plan_id", "_plan"), outer, cell).where("plan_id = _plan").drop("_plan")
+    inside = keep(hit, "merge-inside")
+    # Rows with an id: the first of each; rows without one go on as they are.
+    first = inside.where("source_id is not null").groupBy("plan_id", "source", "source_id").agg(F.min("_o").alias("_o"))
+    named = inside.where("source_id is not null").join(first.hint("merge"), ["plan_id", "source", "source_id", "_o"], "left_semi")
+    both = keep(named.unionByName(inside.where("source_id is null")), "merge-ids")
+    scope = F.concat(F.col("plan_id").cast("string"), F.lit(":"), F.coalesce("name", F.lit("")))
+    rows = dedupe_near(both.withColumns({"_name": scope, "_at": F.struct("plan_id", "piece", "pos")}), name="_name", order="_at", fixed=F.col("source_id").isNotNull())
+    rows = keep(rows.drop("_name", "_at", "_o"), "merge-rows")
+    count = lambda d, name: d.groupBy("plan_id").agg(F.count("*").alias(name))
+    counts = count(r, "raw").join(count(inside, "_in").hint("merge"), "plan_id", "left").join(count(rows, "merged").hint("merge"), "plan_id", "left").na.fill(0, ["_in", "merged"])
+    return rows, counts.select("plan_id", "raw", (F.col("raw") - F.col("_in")).alias("outside"), (F.col("_in") - F.col("merged")).alias("duplicate"), "merged")
+
+
+def merge_batches(plan: DataFrame, results: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, summary) of matrix batches by plan_id.
+
+    plan: plan_id, batch_id, profile, status, poi_ids; results: batch_id, profile, poi_ids; rows: batch_id, poi_id, status, band. A plan is published only
+    if every batch is completed or a cache hit, came back in order and is of the plan's profile; else its reason is
+    partial_matrix_batches, batch_result_order_mismatch or cross_profile_accessibility (of its first such batch).
+    """
+    r = results.select("batch_id", F.col("profile").alias("_profile"), F.col("poi_ids").alias("_ids"))
+    b = plan.join(r.hint("merge"), "batch_id", "left")
+    why = (
+        F.when(~F.coalesce(F.col("status").isin("completed", "cache-hit"), F.lit(False)), "partial_matrix_batches")
+        .when(~F.coalesce(F.col("poi_ids") == F.col("_ids"), F.lit(False)), "batch_result_order_mismatch")
+        .when(~F.coalesce(F.col("profile") == F.col("_profile"), F.lit(False)), "cross_profile_accessibility")
+    )
+    verdict = b.withColumn("why", why).groupBy("plan_id").agg(F.min_by("why", F.when(F.col("why").isNotNull(), F.col("batch_id"))).alias("reason"))
+    good = plan.select("plan_id", "batch_id").join(verdict.where("reason is null").hint("merge"), "plan_id", "left_semi")
+    merged = rows.join(good.hint("merge"), "batch_id").drop("batch_id")
+    band = F.col("band") == "matrix-out-of-range"
+    n = merged.groupBy("plan_id").agg(F.count("*").alias("destinations"), *(F.count_if(F.col("status") == s).alias(s) for s in ("ok", "unreachable", "invalid")), F.count_if(band).alias("out_of_range"))
+    summary = verdict.join(n.hint("merge"), "plan_id", "left")
+    conserved = F.col("reason").isNull() & (F.col("destinations") == F.col("ok") + F.col("unreachable") + F.col("invalid"))
+    return merged, summary.withColumn("publishable", F.coalesce(conserved, F.lit(False)))
+
+
 def filter_visible(df: DataFrame, column: str, values: list[str] | None) -> DataFrame:
     """Rows whose column is one of the values; None shows all."""
     return df if values is None else df.where(F.col(column).isin(list(values)))
@@ -150,6 +213,6 @@ def merge_preview(results: DataFrame, preview: DataFrame) -> tuple[DataFrame, Da
     Both have analysis_id, ring_id, poi_id, warning; distinct warnings of both sides are united in counts.
     """
     has = preview.select("analysis_id").distinct()
-    rows = results.join(has, "analysis_id", "left_anti").unionByName(preview)
+    rows = results.join(has.hint("merge"), "analysis_id", "left_anti").unionByName(preview)
     warn = results.unionByName(preview).groupBy("analysis_id").agg(F.array_sort(F.collect_set("warning")).alias("warnings"))
-    return rows, rows.groupBy("analysis_id", "ring_id").agg(F.count("*").alias("n")).join(warn, "analysis_id")
+    return rows, rows.groupBy("analysis_id", "ring_id").agg(F.count("*").alias("n")).join(warn.hint("merge"), "analysis_id")

@@ -7,6 +7,8 @@ handling (a plain sort-merge join that it can split).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,10 +66,17 @@ def bbox_candidates(points: DataFrame, boxes: DataFrame, cell: float = 1 / 16) -
 
 
 def within_radius(points: DataFrame, centres: DataFrame, radii: tuple[int, ...] = (500, 1000, 2000), cell: float = 1 / 32) -> DataFrame:
-    """Points within the largest radius of a centre (analysis_id, clon, clat), with the smallest radius that holds them."""
-    reach = max(radii) / geo.DEGREE_M
-    lon_reach = reach / F.greatest(F.cos(F.radians("clat")), F.lit(0.01))
-    c = centres.withColumns({"west": F.col("clon") - lon_reach, "east": F.col("clon") + lon_reach, "south": F.col("clat") - reach, "north": F.col("clat") + reach})
+    """Points within the largest radius of a centre (analysis_id, clon, clat), with the smallest radius that holds them.
+
+    A box that reaches over the 180th meridian is two boxes; one that reaches a pole goes all the way round.
+    """
+    reach = math.degrees(max(radii) / geo.EARTH_M) * 1.000001
+    turn = F.sin(F.radians(F.lit(reach))) / F.cos(F.radians("clat"))
+    lon_reach = F.when(F.abs("clat") + reach >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), turn))) * 1.000001)
+    west, east = F.col("clon") - lon_reach, F.col("clon") + lon_reach
+    box = lambda a, b: F.struct(F.greatest(a, F.lit(-180.0)).alias("west"), F.least(b, F.lit(180.0)).alias("east"))
+    boxes = F.when(lon_reach >= 180, F.array(box(F.lit(-180.0), F.lit(180.0)))).when(west < -180, F.array(box(west + 360, F.lit(180.0)), box(F.lit(-180.0), east))).when(east > 180, F.array(box(west, F.lit(180.0)), box(F.lit(-180.0), east - 360))).otherwise(F.array(box(west, east)))
+    c = centres.withColumn("_b", F.explode(boxes)).withColumns({"west": F.col("_b.west"), "east": F.col("_b.east"), "south": F.col("clat") - reach, "north": F.col("clat") + reach}).drop("_b")
     d = bbox_candidates(points, c, cell).withColumn("distance_m", geo.haversine_m(F.col("clon"), F.col("clat"), F.col("lon"), F.col("lat")))
     level = F.lit(None).cast("int")
     for r in sorted(radii, reverse=True):
@@ -86,16 +95,19 @@ def near_pairs(df: DataFrame, key: str, order: str, metres: float = 5.0) -> Data
     return near.where(F.hypot((F.col("lon") - F.col("lon2")) * 96000.0, (F.col("lat") - F.col("lat2")) * 111000.0) <= metres).select("key", "first", "second")
 
 
-def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None) -> DataFrame:
+def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None, fixed: Column | None = None) -> DataFrame:
     """Keep-first near-duplicates: in order, a row goes if an earlier row that stays is within metres and has its name.
 
     Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. Rounds settle rows without an
     undecided earlier neighbour, all groups at once, until none is left; a chain of n rows takes at most n
-    rounds, real ones two or three. With `rounds`, more of them than that raise an error.
+    rounds, real ones two or three. With `rounds`, more of them than that raise an error. Rows that are `fixed` stay whatever is before them.
     """
     key = F.regexp_replace(F.trim(F.lower(F.col(name))), r"\s+", " ")
     d = df.withColumn("_key", key)
-    pairs = keep(near_pairs(d, "_key", order, metres).select("first", "second").distinct(), "near-pairs")
+    found = near_pairs(d, "_key", order, metres).select("first", "second").distinct()
+    if fixed is not None:
+        found = found.join(d.where(fixed).select(F.col(order).alias("_fixed")).hint("merge"), F.col("second") == F.col("_fixed"), "left_anti")
+    pairs = keep(found, "near-pairs")
     gone = None
     done = 0
     while not pairs.isEmpty():
@@ -122,15 +134,35 @@ def rect_overlaps(nodes: DataFrame, cell: float = 64.0) -> DataFrame:
     return hit.where((F.col("cx") == cell_of(F.greatest("l", "l2"), cell)) & (F.col("cy") == cell_of(F.greatest("t", "t2"), cell))).select("layout_id", F.col("node_id").alias("a"), F.col("node_id2").alias("b"))
 
 
-def nearest_gap(nodes: DataFrame, keys: tuple[str, ...] = ("layout_id",)) -> DataFrame:
+def nearest_gap(nodes: DataFrame, keys: tuple[str, ...] = ("layout_id",), cell: float = 64.0) -> DataFrame:
     """Smallest rectangle gap from each node to another of its keys (for example layout and ring); null if alone.
 
-    The join is on the keys, so a layout is compared within itself only.
+    Nodes are looked for in cells of centres around a node, first of `cell`, then of twice that and so on, until each node has found
+    one nearer than its reach could have missed. A cell is a join key, so a layout of any size spreads over tasks; nodes
+    that have found theirs leave the next round. A gap of centre distance d is at least d less both half sizes.
     """
-    b = nodes.select(*keys, *(F.col(c).alias(f"{c}2") for c in ("node_id", "x", "y", "width", "height")))
-    gx = F.greatest(F.lit(0.0), F.abs(F.col("x") - F.col("x2")) - (F.col("width") + F.col("width2")) / 2)
-    gy = F.greatest(F.lit(0.0), F.abs(F.col("y") - F.col("y2")) - (F.col("height") + F.col("height2")) / 2)
-    return nodes.join(b.hint("merge"), list(keys), "left").groupBy(*keys, "node_id").agg(F.min(F.when(F.col("node_id") != F.col("node_id2"), F.hypot(gx, gy))).alias("gap"))
+    n = nodes.select(*keys, "node_id", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "width", "height")))
+    size = n.groupBy(*keys).agg(F.max(F.greatest("width", "height")).alias("_most"), F.count("*").alias("_n"), F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("_far"))
+    todo = keep(n.join(size.hint("merge"), list(keys)), "gap-nodes")
+    alone = todo.where("_n = 1").select(*keys, "node_id", F.lit(None).cast("double").alias("gap"))
+    others, todo, done = n, todo.where("_n > 1"), []
+    while not todo.isEmpty():
+        b = others.select(*keys, cell_of(F.col("x"), cell).alias("_cx"), cell_of(F.col("y"), cell).alias("_cy"), *(F.col(c).alias(f"{c}2") for c in ("node_id", "x", "y", "width", "height")))
+        near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        a = todo.withColumn("_d", near).withColumns({"_cx": cell_of(F.col("x"), cell) + F.col("_d.i"), "_cy": cell_of(F.col("y"), cell) + F.col("_d.j")}).drop("_d")
+        gx = F.greatest(F.lit(0.0), F.abs(F.col("x") - F.col("x2")) - (F.col("width") + F.col("width2")) / 2)
+        gy = F.greatest(F.lit(0.0), F.abs(F.col("y") - F.col("y2")) - (F.col("height") + F.col("height2")) / 2)
+        j = a.join(b.hint("merge"), [*keys, "_cx", "_cy"]).groupBy(*keys, "node_id").agg(F.min(F.when(F.col("node_id") != F.col("node_id2"), F.hypot(gx, gy))).alias("gap"))
+        # Every node whose centre is within `cell` along both axes was met, so one that was not is at least cell - sizes away.
+        d = keep(todo.join(j.hint("merge"), [*keys, "node_id"], "left"), "gap-found")
+        sure = F.coalesce(F.col("gap") <= cell - (F.greatest("width", "height") + F.col("_most")) / 2, F.lit(False)) | (F.lit(cell) > 2 * F.col("_far"))
+        done.append(d.where(sure).select(*keys, "node_id", "gap"))
+        todo = d.where(~sure).drop("gap")
+        cell *= 2
+    out = alone
+    for d in done:
+        out = out.unionByName(d)
+    return out
 
 
 def ring_bounds(isochrones: DataFrame) -> DataFrame:

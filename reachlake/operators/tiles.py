@@ -94,11 +94,12 @@ def split_parts(polygons: DataFrame) -> DataFrame:
     return d.withColumn("area", geo.polygon_area(F.col("polygon")))
 
 
-def tile_adjacency(tiles: DataFrame, key: str, size: float) -> DataFrame:
-    """Tiles of one grid that share a side, each pair once, with the side's length."""
+def tile_adjacency(tiles: DataFrame, key: str | list[str], size: float) -> DataFrame:
+    """Tiles of one grid (by its key columns) that share a side, each pair once, with the side's length."""
+    keys = [key] if isinstance(key, str) else list(key)
     step = F.explode(F.array(F.struct(F.lit(0).alias("dr"), F.lit(1).alias("dc")), F.struct(F.lit(1).alias("dr"), F.lit(0).alias("dc"))))
-    a = tiles.select(key, "row", "col").withColumn("s", step).select(key, F.col("row").alias("row1"), F.col("col").alias("col1"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
-    return a.join(tiles.select(key, "row", "col").hint("merge"), [key, "row", "col"]).select(key, "row1", "col1", F.col("row").alias("row2"), F.col("col").alias("col2"), F.lit(float(size)).alias("shared"))
+    a = tiles.select(*keys, "row", "col").withColumn("s", step).select(*keys, F.col("row").alias("row1"), F.col("col").alias("col1"), (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"))
+    return a.join(tiles.select(*keys, "row", "col").hint("merge"), [*keys, "row", "col"]).select(*keys, "row1", "col1", F.col("row").alias("row2"), F.col("col").alias("col2"), F.lit(float(size)).alias("shared"))
 
 
 def area_stats(pieces: DataFrame, key: str) -> DataFrame:
@@ -125,10 +126,57 @@ def piece_report(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns({"n_vertices": F.size(F.flatten(rings)), "n_rings": F.size(rings), "n_parts": F.size("polygon"), "json_bytes": F.length(F.to_json("polygon")), "compactness": geo.compactness(area, around)})
 
 
-def build_rings(isochrones: DataFrame) -> DataFrame:
-    """Exclusive rings of (analysis_id, range_minutes, area): id, bounds and area as a difference of cumulative areas."""
+def _sorted_crossings(edges: list, y: float) -> list[float]:
+    return sorted(x1 + (y - y1) / (y2 - y1) * (x2 - x1) for x1, y1, x2, y2 in edges if (y1 > y) != (y2 > y))
+
+
+def _outside_area(a: list, b: list) -> float:
+    """Area of the polygon of edges a that the polygon of edges b does not cover (even-odd), exact up to rounding.
+
+    Between neighbouring heights of vertices and of crossings no two edges cross, so widths are linear in height and a strip's area is its height times its
+    middle width.
+    """
+    heights = {y for e in (*a, *b) for y in (e[1], e[3])}
+    for ax, ay, bx, by in a:
+        for cx, cy, dx, dy in b:
+            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
+            if den:
+                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
+                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
+                if 0 <= t <= 1 and 0 <= u <= 1:
+                    heights.add(ay + t * (by - ay))
+    total, ys = 0.0, sorted(heights)
+    for low, high in zip(ys, ys[1:]):
+        y = (low + high) / 2
+        marks = sorted([(x, 0) for x in _sorted_crossings(a, y)] + [(x, 1) for x in _sorted_crossings(b, y)])
+        inside, width = [False, False], 0.0
+        for (x, which), (after, _) in zip(marks, [*marks[1:], (0.0, 0)]):
+            inside[which] = not inside[which]
+            if inside[0] and not inside[1]:
+                width += after - x
+        total += (high - low) * width
+    return total
+
+
+@F.pandas_udf(T.DoubleType())
+def outside_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Area of one edge list that another does not cover; a null second list covers nothing."""
+    plain = lambda edges: [] if edges is None else [(e["x1"], e["y1"], e["x2"], e["y2"]) for e in edges]
+    for one, other in batches:
+        yield pd.Series([_outside_area(plain(a), plain(b)) for a, b in zip(one, other, strict=True)], dtype="float64")
+
+
+def build_rings(isochrones: DataFrame, tolerance: float = 1e-12) -> DataFrame:
+    """Exclusive rings of (analysis_id, range_minutes, area; edges too, if there are any): id, bounds and ring_area, the difference of cumulative areas.
+
+    With edges also exclusive_area, what the polygon has outside the one before it, and nested: whether it covers the one before.
+    Where polygons do not nest the two areas differ.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("analysis_id").orderBy("range_minutes")
     d = isochrones.withColumns({"inner_minutes": F.lag("range_minutes", 1, 0).over(w), "ring_area": F.col("area") - F.coalesce(F.lag("area").over(w), F.lit(0.0))})
+    if "edges" in isochrones.columns:
+        d = d.withColumn("_before", F.lag("edges").over(w))
+        d = d.withColumns({"exclusive_area": outside_area("edges", "_before"), "nested": F.coalesce(outside_area("_before", "edges"), F.lit(0.0)) <= tolerance}).drop("_before", "edges")
     return d.withColumn("ring_id", F.concat(F.lit("ring-"), F.col("inner_minutes").cast("string"), F.lit("-"), F.col("range_minutes").cast("string")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.publish import set_hashes
+
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
-    """One row, whatever the row order: count and two hashes that also tell repeated rows apart."""
-    text = F.to_json(F.struct(*df.columns))
-    n = df.groupBy(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b")).count()
-    return n.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.hex(F.bit_xor(F.xxhash64("a", "count"))).alias("fp_a"), F.hex(F.bit_xor(F.xxhash64("b", "count"))).alias("fp_b"))
+    """One row, whatever the row order: count and two sums of hashes of the rows' JSON texts, in which repeated rows count."""
+    return df.agg(F.count("*").alias("n"), *set_hashes(F.to_json(F.struct(*df.columns))))
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:
@@ -23,32 +23,49 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def publish_dataset(df: DataFrame, path: str, dataset_id: str, release: str, replace: bool = False) -> str:
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def publish_dataset(df: DataFrame, path: str, dataset_id: str, release: str, replace: bool = False, region_id: str | None = None) -> str:
     """Write rows under dataset_id: "unchanged" for equal content, an error for other content without replace, else "published".
 
-    Only this dataset's partition is overwritten; its registry row (release and fingerprint) is written after the rows.
+    Rows go to a folder of their own for each content; the registry row that names it is the commit, and older folders of the
+    dataset are deleted after it. A writer that dies before leaves the old content in place, one that dies after
+    leaves folders that no reader of the registry takes (read_dataset). No rows are content like any other.
     """
     spark = df.sparkSession
     fp = content_fingerprint(df).first()
     mark = f"{fp['n']}-{fp['fp_a']}-{fp['fp_b']}"
-    registry = f"{path}/registry"
+    registry, rows = f"{path}/registry", f"{path}/rows/dataset_id={dataset_id}"
     if _exists(spark, registry):
         old = spark.read.parquet(registry).where(F.col("dataset_id") == dataset_id).first()
         if old and old["release"] == release and old["fingerprint"] == mark:
             return "unchanged"
         if old and not replace:
             raise ValueError(f"dataset {dataset_id} has other content; pass replace=True")
+    df.write.mode("overwrite").parquet(f"{rows}/content={mark}")
+    row = spark.createDataFrame([(dataset_id, release, region_id, mark, int(fp["n"]), True)], "dataset_id string, release string, region_id string, fingerprint string, n_rows bigint, ready boolean")
+    row.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(registry)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(rows)
+    for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+        if x.getPath().getName() != f"content={mark}":
+            _delete(spark, f"{rows}/{x.getPath().getName()}")
+    return "published"
 
-    def write(d: DataFrame, to: str) -> None:
-        d.withColumn("dataset_id", F.lit(dataset_id)).write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(to)
 
-    write(df, f"{path}/rows")
-    write(spark.createDataFrame([(release, mark, int(fp["n"]))], "release string, fingerprint string, n_rows bigint").withColumn("ready", F.lit(True)), registry)
-    return "published"
+def read_dataset(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
+    """The rows that the registry names for dataset_id."""
+    row = spark.read.parquet(f"{path}/registry").where(F.col("dataset_id") == dataset_id).first()
+    if row is None:
+        raise ValueError(f"no dataset {dataset_id}")
+    return spark.read.parquet(f"{path}/rows/dataset_id={dataset_id}/content={row['fingerprint']}")
 
 
 def list_ready_datasets(registry: DataFrame) -> DataFrame:
-    return registry.where("ready").orderBy("release", "region_id")
+    """Datasets that are ready, by release, region and id."""
+    return registry.where("ready").orderBy("release", "region_id", "dataset_id")
 
 
 def read_response_records(spark: SparkSession, root: str, schema: str) -> DataFrame:
@@ -78,4 +95,5 @@ def nested_results(published: DataFrame) -> DataFrame:
 
 
 def write_results(published: DataFrame, path: str) -> None:
+    """Result documents as JSON lines, one an analysis."""
     nested_results(published).write.json(path)

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import address_text, choose_name, filled
+from ..functions.text import address_text, choose_name, filled, merge_tags, provider_name
+from ..lineage import keep
 from ..operators.publish import finite
 
 GEOMETRY = "struct<type:string,coordinates:array<double>>"
@@ -19,11 +20,11 @@ PROPERTIES = (
     "taxonomy:struct<hierarchy:array<string>,primary:string,alternates:array<string>>,basic_category:string,operating_status:string,confidence:string,"
     "addresses:array<struct<freeform:string,value:string,locality:string,street:string,postcode:string>>>"
 )
-ONE = f"type:string,id:string,geometry:{GEOMETRY},properties:{PROPERTIES}"
+ONE = f"type:string,id:string,version:string,geometry:{GEOMETRY},properties:{PROPERTIES}"
 FILE = f"struct<{ONE},features:array<struct<{ONE}>>>"
 #: gers_id apart, as names that differ in case only can't share a struct.
 LOWER = "struct<properties:struct<gers_id:string>,features:array<struct<properties:struct<gers_id:string>>>>"
-FIELDS = ("type", "id", "gers_id", "geometry", "properties")
+FIELDS = ("type", "id", "gers_id", "version", "geometry", "properties")
 
 
 def features_of(text: Column, options: dict | None = None) -> Column:
@@ -32,20 +33,25 @@ def features_of(text: Column, options: dict | None = None) -> Column:
     whole = F.when(listed, F.concat(F.lit('{"features":'), text, F.lit("}"))).otherwise(text)
 
     def make(a: Column, b: Column) -> Column:
-        return F.struct(a["type"].alias("type"), a["id"].alias("id"), b["properties"]["gers_id"].alias("gers_id"), a["geometry"].alias("geometry"), a["properties"].alias("properties"))
+        return F.struct(a["type"].alias("type"), a["id"].alias("id"), b["properties"]["gers_id"].alias("gers_id"), a["version"].alias("version"), a["geometry"].alias("geometry"), a["properties"].alias("properties"))
 
     both = F.struct(F.from_json(whole, FILE, options or {}).alias("a"), F.from_json(whole, LOWER, options or {}).alias("b"))
     return F.transform(F.array(both), lambda x: F.when(x["a"]["features"].isNull(), F.array(make(x["a"], x["b"]))).otherwise(F.zip_with(x["a"]["features"], x["b"]["features"], make)))[0]
 
 
 def parse_features(lines: DataFrame, column: str = "line") -> DataFrame:
-    """Adds type, id, gers_id, geometry and properties from a column with one feature's JSON text."""
-    return lines.withColumn("_f", features_of(F.col(column))[0]).select("*", *(F.col(f"_f.{c}").alias(c) for c in FIELDS)).drop("_f")
+    """Adds type, id, gers_id, version, geometry and properties from a column with one feature's JSON text, which is parsed once a row."""
+    one = F.from_json(F.col(column), f"struct<{ONE}>")
+    # The generator keeps the parse from being repeated in every column that is taken out of it.
+    d = lines.withColumn("_f", F.explode(F.array(one))).withColumn("_g", F.when(F.col("_f.id").isNull(), F.get_json_object(F.col(column), "$.properties.gers_id")))
+    return d.select("*", *(F.col("_g").alias(c) if c == "gers_id" else F.col(f"_f.{c}").alias(c) for c in FIELDS)).drop("_f", "_g")
 
 
 def _read(spark: SparkSession, path: str, whole: bool) -> DataFrame:
+    """Lines or whole files with _pos: file, start of the block that was read, and row in it, which are in reading order however blocks are packed."""
     d = spark.read.option("wholetext", whole).text(path)
-    return d.withColumn("_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")))
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return d.withColumn("_pos", F.struct(*place))
 
 
 def read_geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -80,11 +86,27 @@ def wkb_point(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"type": c.map(lambda x: "Point" if x is not None else None), "coordinates": c})
 
 
+@F.pandas_udf(T.BinaryType())
+def point_wkb(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Little-endian WKB of points; null if a coordinate is."""
+    for lon, lat in batches:
+        yield pd.Series([None if x != x or y != y else struct.pack("<BIdd", 1, 1, x, y) for x, y in zip(lon, lat, strict=True)], dtype=object)
+
+
 def read_geoparquet(spark: SparkSession, path: str, geometry: str = "geometry") -> DataFrame:
-    """Parquet with a WKB point column; what can't be decoded becomes a null geometry."""
-    d = spark.read.parquet(path).withColumn("_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")))
+    """Features of Parquet with a WKB point column: other columns are the properties; a geometry that can't be decoded is null."""
+    d = spark.read.parquet(path).withColumn("_pos", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("block"), F.lit(0).cast("bigint").alias("row")))
+    there = {c.lower(): c for c in d.columns}
+    known = [f.name for f in T._parse_datatype_string(PROPERTIES).fields if f.name.lower() in there and f.name != "id"]
+    properties = F.from_json(F.to_json(F.struct(*(F.col(there[k.lower()]).alias(k) for k in known))), PROPERTIES) if known else F.lit(None).cast(PROPERTIES)
     g = wkb_point(F.col(geometry))
-    return d.withColumn(geometry, F.when(g["coordinates"].isNotNull(), g))
+    text = lambda k: F.col(there[k]).cast("string") if k in there else F.lit(None).cast("string")
+    return d.select("_pos", F.lit(0).alias("i"), F.lit("Feature").alias("type"), F.col(there["id"]).alias("id") if "id" in there else F.lit(None).cast("string").alias("id"), text("gers_id").alias("gers_id"), text("version").alias("version"), F.when(g["coordinates"].isNotNull(), g).alias("geometry"), properties.alias("properties"))
+
+
+def write_geoparquet(points: DataFrame, path: str) -> None:
+    """Rows with lon and lat as Parquet with a WKB point column `geometry` in their place."""
+    points.withColumn("geometry", point_wkb("lon", "lat")).drop("lon", "lat").write.parquet(path)
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
@@ -107,10 +129,15 @@ def flatten_features(features: DataFrame, preferred: list[str] = ()) -> DataFram
         F.when(point, finite(F.get("geometry.coordinates", F.lit(0)))).alias("lon"), F.when(point, finite(F.get("geometry.coordinates", F.lit(1)))).alias("lat"),
         choose_name(names, list(preferred)).alias("name"), address_text(p["addresses"]).alias("address"),
         p["taxonomy"]["hierarchy"].alias("hierarchy"), p["taxonomy"]["primary"].alias("primary_id"), F.coalesce(p["taxonomy"]["alternates"], F.array().cast("array<string>")).alias("alternates"),
-        filled(p["basic_category"]).alias("basic_id"), p["operating_status"].alias("operating_status"), finite(p["confidence"]).alias("confidence"), p["version"].alias("version"),
+        filled(p["basic_category"]).alias("basic_id"), p["operating_status"].alias("operating_status"), finite(p["confidence"]).alias("confidence"), F.coalesce(p["version"], F.col("version")).alias("version"),
     )
 
 
+def bbox_filter(df: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """Rows whose lon and lat columns lie in the box, boundary included; on stored columns the scan skips what lies outside."""
+    return df.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
 def taxonomy_valid() -> Column:
     h, alt = F.col("hierarchy"), F.col("alternates")
     return F.coalesce(
@@ -123,10 +150,12 @@ def classify_features(flat: DataFrame, bbox: tuple[float, float, float, float],
     """Adds reject_reason: the first failing test, null if none.
 
     Order: id, duplicate, geometry, bbox, name, taxonomy, closed, confidence. A repeated id is judged before validity, so
-    an invalid first copy hides a valid second one. The first copy is found by an aggregate, not a window.
+    an invalid first copy hides a valid second one. Rows are parsed once and written; the first copy of an id is found by an
+    aggregate over ids and order alone and met in a join that a hot id can be split in.
     """
+    flat = keep(flat, "features")
     first = flat.where("source_id is not null").groupBy("source_id").agg(F.min(F.struct(*order)).alias("_first"))
-    d = flat.join(first, "source_id", "left")
+    d = flat.join(first.hint("merge"), "source_id", "left")
     w, s, e, n = bbox
     inside = F.col("lon").between(w, e) & F.col("lat").between(s, n)
     closed = F.lower(F.coalesce("operating_status", F.lit(""))).isin("permanently_closed", "closed") if exclude_closed else F.lit(False)
@@ -161,3 +190,11 @@ def normalize_provider_features(df: DataFrame) -> DataFrame:
         .when(~lon.between(-180, 180) | ~lat.between(-90, 90), "coordinates-out-of-range").when(F.col("ident").isNull(), "stable-id-missing").when(filled(F.col("name")).isNull(), "name-missing")
     )
     return df.withColumn("reason", reason)
+
+
+def with_provider_names(df: DataFrame, properties: str = "properties", tags: str = "osm_tags") -> DataFrame:
+    """Puts tags over properties (maps of text) and adds ident (osm_id), kind (osm_type), name and name_locale from the result."""
+    d = df.withColumn(properties, merge_tags(F.col(properties), F.col(tags)))
+    of = lambda *keys: F.coalesce(*(filled(F.try_element_at(properties, F.lit(k))) for k in keys))
+    d = d.withColumns({"ident": of("osm_id", "osmId"), "kind": of("osm_type", "osmType"), "_n": provider_name(F.col(properties))})
+    return d.withColumns({"name": F.col("_n.name"), "name_locale": F.col("_n.locale")}).drop("_n")
