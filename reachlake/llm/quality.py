@@ -184,7 +184,8 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     Rows and their features are written once to the shared folder: the counts read the features only, the filter
     reads both. The features are the costly part and are computed once; texts are never shuffled.
     """
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    row = row.select("row", F.col("row")[id_col].alias("doc_id"), F.col("row")[text_col].alias("text"))
-    f = keep(quality_features(row, carry=("row",)), "quality-rows")
-    return apply(f, fit(f), threshold).where("kept").select("row.*")
+    safe = [f"row_{i}" for i in range(len(docs.columns))]
+    row = docs.select(*(F.col(f"`{c}`").alias(s) for c, s in zip(docs.columns, safe, strict=True)))
+    f = keep(quality_features(row, safe[docs.columns.index(id_col)], safe[docs.columns.index(text_col)], tuple(safe)), "quality-rows")
+    kept = apply(f, fit(f), threshold).where("kept")
+    return kept.select(*(F.col(s).alias(c) for c, s in zip(docs.columns, safe, strict=True)))
