@@ -102,8 +102,8 @@ def fnv1a32(c: Column) -> Column:
 
 
 def number_text(c: Column) -> Column:
-    """A double at seven decimals."""
-    return F.format_string("%.7f", c)
+    """A double at seven decimals, halves away from zero; null stays null."""
+    return F.when(c.isNotNull(), F.format_string("%.7f", c))
 
 
 def identity(*columns: Column) -> Column:

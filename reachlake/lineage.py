@@ -27,9 +27,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: survives lost executors."""
+    """Write df to the shared folder and read it back: survives lost executors. Row groups are small, as a task holds one while it writes."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", 32 << 20).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -169,7 +169,7 @@ def join_integrity(poi: DataFrame, acc: DataFrame) -> DataFrame:
 def row_text(df: DataFrame, columns: list[str]) -> Column:
     """A row's columns joined by bars, null empty, doubles at seven decimals, so other engines can write the same text."""
     real = [c for c, kind in df.dtypes if kind in ("double", "float")]
-    return F.concat_ws("|", *(F.coalesce(F.format_string("%.7f", c) if c in real else F.col(c).cast("string"), F.lit("")) for c in columns))
+    return F.concat_ws("|", *(F.coalesce(F.when(F.col(c).isNotNull(), F.format_string("%.7f", c)) if c in real else F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
 def set_hashes(text: Column) -> list[Column]:

@@ -133,7 +133,7 @@ def _publishable(results: DataFrame, pieces: DataFrame) -> DataFrame:
     return results.join(bad.hint("merge"), "plan_id", "left_anti")
 
 
-def merge_piece_results(results: DataFrame, pieces: DataFrame, outer: DataFrame, cell: float = 1 / 16) -> tuple[DataFrame, DataFrame]:
+def merge_piece_results(results: DataFrame, pieces: DataFrame, outer: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, counts: plan_id, raw, outside, duplicate, merged) of plans whose pieces are all complete and not truncated.
 
     results: plan_id, piece, pos (unique in a piece), source, source_id, name, lon, lat; outer: plan_id, edges, box. In (piece, pos) order: a row without
@@ -142,7 +142,7 @@ def merge_piece_results(results: DataFrame, pieces: DataFrame, outer: DataFrame,
     """
     r = _publishable(results, pieces).withColumns({"_o": F.struct("piece", "pos"), "source_id": F.nullif("source_id", F.lit(""))})
     ok = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)
-    hit = points_in_polygons(r.where(ok).withColumnRenamed("plan_id", "_plan"), outer, cell).where("plan_id = _plan").drop("_plan")
+    hit = points_in_polygons(r.where(ok).withColumnRenamed("plan_id", "_plan"), outer).where("plan_id = _plan").drop("_plan")
     inside = keep(hit, "merge-inside")
     # Rows with an id: the first of each; rows without one go on as they are.
     first = inside.where("source_id is not null").groupBy("plan_id", "source", "source_id").agg(F.min("_o").alias("_o"))

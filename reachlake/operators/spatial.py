@@ -1,8 +1,8 @@
 """Spatial joins: everything meets through grid cells as an equi-join, then an exact test refines.
 
-Cells are squares of `cell` degrees (or units). A polygon is dealt to the cells its bounding box covers and carries
-its edges; a point has one cell. Neither side has to fit in memory; hot cells are left to AQE's skew
-handling (a plain sort-merge join that it can split).
+Cells are squares of `cell` degrees (or units), for polygons of a power of two by their size. A polygon is dealt to the cells
+its bounding box covers and carries the edges that a cell needs; a point has one cell a size in use. Neither side has to fit in
+memory; hot cells are left to AQE's skew handling (a plain sort-merge join that it can split).
 """
 
 from __future__ import annotations
@@ -39,16 +39,41 @@ def edges_to_polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
     return e
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 1 / 16) -> DataFrame:
-    """Every pair of a point (lon, lat) and a polygon (edges, box) that covers it, boundary included."""
+def _deal_polygons(polygons: DataFrame, cell: float | None, side: int) -> DataFrame:
+    """Polygon rows a cell they have area or boundary in (_level, _cx, _cy), with _edges: what a point of that cell needs.
+
+    The cell's size is a power of two by the box, so that a polygon has about `side` cells a side, whatever its size. A cell that no
+    edge comes near is inside or outside as a whole: outside ones go, inside ones carry no edges. Others carry the edges
+    of their row that are not left of them.
+    """
     box = F.col("box")
-    dealt = box_cells(polygons, box["west"], box["south"], box["east"], box["north"], cell)
-    p = points.withColumns({"cx": cell_of(F.col("lon"), cell), "cy": cell_of(F.col("lat"), cell)})
-    near = p.join(dealt.hint("merge"), ["cx", "cy"]).where(F.col("lon").between(box["west"], box["east"]) & F.col("lat").between(box["south"], box["north"]))
-    return near.where(geo.covers(F.col("edges"), F.col("lon"), F.col("lat"))).drop("cx", "cy", "edges", "box")
+    span = F.greatest(box["east"] - box["west"], box["north"] - box["south"], F.lit(2.0**-20))
+    level = F.ceil(F.log2(span / side)).cast("int") if cell is None else F.lit(0)
+    size = F.pow(F.lit(2.0), F.col("_level")) if cell is None else F.lit(cell)
+    at = lambda a: F.floor(box[a] / F.col("_size")).cast("bigint")
+    d = polygons.withColumn("_level", level).withColumn("_size", size)
+    d = d.withColumn("_cx", F.explode(F.sequence(at("west"), at("east")))).withColumn("_cy", F.explode(F.sequence(at("south"), at("north"))))
+    d = d.withColumns({"_x0": F.col("_cx") * F.col("_size"), "_y0": F.col("_cy") * F.col("_size")}).withColumns({"_x1": F.col("_x0") + F.col("_size"), "_y1": F.col("_y0") + F.col("_size")})
+    row = F.filter("edges", lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("_y0")) & (F.least(e["y1"], e["y2"]) <= F.col("_y1")) & (F.greatest(e["x1"], e["x2"]) >= F.col("_x0")))
+    d = d.withColumn("_edges", row)
+    near = F.exists("_edges", lambda e: F.least(e["x1"], e["x2"]) <= F.col("_x1"))
+    middle = geo.covers(F.col("_edges"), F.col("_x0") + F.col("_size") / 2, F.col("_y0") + F.col("_size") / 2)
+    d = d.withColumn("_edges", F.when(near, F.col("_edges")).when(middle, F.slice("_edges", 1, 0))).where("_edges is not null")
+    return d.withColumn("_whole", F.size("_edges") == 0).drop("_size", "_x0", "_y0", "_x1", "_y1", "edges")
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, side: int = 16) -> DataFrame:
+    """Every pair of a point (lon, lat) and a polygon (edges, box) that covers it, boundary included."""
+    dealt = keep(_deal_polygons(polygons, cell, side), "polygon-cells")
+    levels = [r["_level"] for r in dealt.select("_level").distinct().collect()]  # powers of two between the smallest and the largest box
+    size = F.pow(F.lit(2.0), F.col("_level")) if cell is None else F.lit(cell)
+    p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    p = p.withColumns({"_cx": F.floor(F.col("lon") / size).cast("bigint"), "_cy": F.floor(F.col("lat") / size).cast("bigint")})
+    near = p.join(dealt.hint("merge"), ["_level", "_cx", "_cy"]).where(F.col("_whole") | (F.col("lon").between(F.col("box.west"), F.col("box.east")) & F.col("lat").between(F.col("box.south"), F.col("box.north"))))
+    return near.where(F.col("_whole") | geo.covers(F.col("_edges"), F.col("lon"), F.col("lat"))).drop("_level", "_cx", "_cy", "_edges", "_whole", "box")
 
 
-def assign_rings(points: DataFrame, isochrones: DataFrame, cell: float = 1 / 16) -> DataFrame:
+def assign_rings(points: DataFrame, isochrones: DataFrame, cell: float | None = None) -> DataFrame:
     """Exclusive ring of each (analysis_id, poi_id): the smallest range whose cumulative polygon covers the point.
 
     No polygon difference is taken: if k is the smallest covering range then the previous polygon does not cover the
@@ -137,7 +162,7 @@ def rect_overlaps(nodes: DataFrame, cell: float = 64.0) -> DataFrame:
 def nearest_gap(nodes: DataFrame, keys: tuple[str, ...] = ("layout_id",), cell: float = 64.0) -> DataFrame:
     """Smallest rectangle gap from each node to another of its keys (for example layout and ring); null if alone.
 
-    Nodes are looked for in cells of centres around a node, first of `cell`, then of twice that and so on, until each node has found
+    Nodes are looked for in cells of centres around a node, first of `cell` or the mean spacing, then of four times that and so on, until each node has found
     one nearer than its reach could have missed. A cell is a join key, so a layout of any size spreads over tasks; nodes
     that have found theirs leave the next round. A gap of centre distance d is at least d less both half sizes.
     """
@@ -146,6 +171,8 @@ def nearest_gap(nodes: DataFrame, keys: tuple[str, ...] = ("layout_id",), cell:
     todo = keep(n.join(size.hint("merge"), list(keys)), "gap-nodes")
     alone = todo.where("_n = 1").select(*keys, "node_id", F.lit(None).cast("double").alias("gap"))
     others, todo, done = n, todo.where("_n > 1"), []
+    most, far = todo.agg(F.max("_n"), F.max("_far")).first()
+    cell = max(cell, 4 * (far or 0.0) / math.sqrt(most or 1))  # a cell of the largest keys then holds a few nodes
     while not todo.isEmpty():
         b = others.select(*keys, cell_of(F.col("x"), cell).alias("_cx"), cell_of(F.col("y"), cell).alias("_cy"), *(F.col(c).alias(f"{c}2") for c in ("node_id", "x", "y", "width", "height")))
         near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
@@ -158,7 +185,7 @@ def nearest_gap(nodes: DataFrame, keys: tuple[str, ...] = ("layout_id",), cell:
         sure = F.coalesce(F.col("gap") <= cell - (F.greatest("width", "height") + F.col("_most")) / 2, F.lit(False)) | (F.lit(cell) > 2 * F.col("_far"))
         done.append(d.where(sure).select(*keys, "node_id", "gap"))
         todo = d.where(~sure).drop("gap")
-        cell *= 2
+        cell *= 4
     out = alone
     for d in done:
         out = out.unionByName(d)

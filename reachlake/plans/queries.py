@@ -2,28 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
 from ..operators import categories, layout, ledger, publish, requests, selection, spatial, tiles
 from ..sources import datasets, features
-from .fixtures import run_sql, view, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql)
-        return f
+from .fixtures import run_sql, view
+from .registry import ORACLE_SQL, QUERIES, query
 
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def isochrones(s: SparkSession, d: str) -> DataFrame:
@@ -106,9 +94,10 @@ def h20_status_and_band(s, d):
     return publish.with_status(view(s, d, "v_accessibility")).groupBy("analysis_id", "status", F.coalesce("band", F.lit("-")).alias("band")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT analysis_id, COUNT(*) AS requested, COUNT(*) FILTER (status = 'ok') AS ok, COUNT(*) FILTER (status = 'unreachable') AS null_count, COUNT(*) FILTER (status = 'invalid') AS invalid, COUNT(*) FILTER (band = 'matrix-out-of-range') AS out_of_range, COUNT(*) FILTER (status = 'ok' AND band <> 'matrix-out-of-range') AS within FROM {_ACC} a GROUP BY 1")
+@query(f"SELECT analysis_id, COUNT(*) AS requested, COUNT(*) FILTER (status = 'ok') AS ok, COUNT(*) FILTER (status = 'unreachable') AS null_count, COUNT(*) FILTER (status = 'invalid') AS invalid, COUNT(*) FILTER (band = 'matrix-out-of-range') AS out_of_range, COUNT(*) FILTER (status = 'ok' AND band <> 'matrix-out-of-range') AS within, COUNT(*) FILTER (status = 'ok' AND band <> CASE k % 3 WHEN 0 THEN 'ring-0-10' WHEN 1 THEN 'ring-10-20' ELSE 'ring-20-30' END) AS mismatch FROM (SELECT c.*, p.k FROM {_ACC} c JOIN v_poi p ON p.poi_id = c.poi_id) a GROUP BY 1")
 def d7_accessibility_summary(s, d):
-    return publish.accessibility_summary(view(s, d, "v_accessibility"))
+    acc = run_sql(s, d, "SELECT a.*, CASE p.k % 3 WHEN 0 THEN 'ring-0-10' WHEN 1 THEN 'ring-10-20' ELSE 'ring-20-30' END AS spatial_ring FROM v_accessibility a JOIN v_poi p ON p.poi_id = a.poi_id")
+    return publish.accessibility_summary(acc)
 
 
 @query(f"SELECT analysis_id, COUNT(*) AS n, MIN(duration_s) AS time_min, MEDIAN(duration_s) AS time_median, quantile_disc(duration_s, 0.9) AS time_p90, MAX(duration_s) AS time_max, MIN(distance_m) AS distance_min, MEDIAN(distance_m) AS distance_median, quantile_disc(distance_m, 0.9) AS distance_p90, MAX(distance_m) AS distance_max FROM {_ACC} a WHERE status = 'ok' GROUP BY 1")
@@ -116,7 +105,8 @@ def d8_distribution(s, d):
     return publish.distribution(view(s, d, "v_accessibility"))
 
 
-@query("SELECT DISTINCT analysis_id, TRUE AS total_ok, TRUE AS bands_ok FROM v_accessibility")
+@query(f"""SELECT *, parts = requested AS total_ok, in_bands = ok AS bands_ok FROM (SELECT analysis_id, COUNT(*) AS requested, COUNT(*) FILTER (status = 'ok' AND duration_s <= 1800) + COUNT(*) FILTER (status = 'ok' AND duration_s > 1800) + COUNT(*) FILTER (status = 'unreachable') + COUNT(*) FILTER (status = 'invalid') AS parts,
+ COUNT(*) FILTER (status = 'ok') AS ok, COUNT(*) FILTER (status = 'ok' AND duration_s <= 600) + COUNT(*) FILTER (status = 'ok' AND duration_s > 600 AND duration_s <= 1200) + COUNT(*) FILTER (status = 'ok' AND duration_s > 1200 AND duration_s <= 1800) + COUNT(*) FILTER (status = 'ok' AND duration_s > 1800) AS in_bands FROM {_ACC} a GROUP BY 1) t""")
 def d10_conservation(s, d):
     return publish.conservation(view(s, d, "v_accessibility"))
 
@@ -155,10 +145,15 @@ def d9_band_migration(s, d):
     return publish.band_migration(published(s, d)[0])
 
 
-@query(f"""{_VIOLATIONS} SELECT analysis_id, COUNT(*) FILTER (matrix_status = 'ok') AS ok, COUNT(*) FILTER (matrix_status = 'null') AS null_count, COUNT(*) FILTER (matrix_status = 'invalid') AS invalid,
- COUNT(*) FILTER (ring_id = 'ring-0-10') AS ring_0_10, COUNT(*) FILTER (ring_id = 'ring-10-20') AS ring_10_20, COUNT(*) FILTER (ring_id = 'ring-20-30') AS ring_20_30, COUNT(*) FILTER (ring_id = 'matrix-out-of-range') AS matrix_out_of_range, TRUE AS sound FROM pub GROUP BY 1""")
+@query(f"""{_VIOLATIONS}, moved AS (SELECT *, CASE WHEN analysis_id % 5 = 3 AND travel_time_s < 100 THEN 'ring-20-30' ELSE ring_id END AS ring, CASE WHEN analysis_id % 7 = 2 AND travel_time_s > 1700 THEN NULL ELSE distance_m END AS dist FROM pub)
+SELECT analysis_id, COUNT(*) FILTER (matrix_status = 'ok') AS ok, COUNT(*) FILTER (matrix_status = 'null') AS null_count, COUNT(*) FILTER (matrix_status = 'invalid') AS invalid,
+ COUNT(*) FILTER (ring = 'ring-0-10') AS ring_0_10, COUNT(*) FILTER (ring = 'ring-10-20') AS ring_10_20, COUNT(*) FILTER (ring = 'ring-20-30') AS ring_20_30, COUNT(*) FILTER (ring = 'matrix-out-of-range') AS matrix_out_of_range,
+ COUNT(*) FILTER (matrix_status = 'ok' AND (travel_time_s IS NULL OR dist IS NULL OR ring <> CASE WHEN travel_time_s <= 600 THEN 'ring-0-10' WHEN travel_time_s <= 1200 THEN 'ring-10-20' WHEN travel_time_s <= 1800 THEN 'ring-20-30' ELSE 'matrix-out-of-range' END)) = 0 AS sound FROM moved GROUP BY 1""")
 def d11_normalization_summary(s, d):
-    return publish.normalization_summary(published(s, d)[0])
+    """Some analyses have a row in a wrong ring, others an ok row without a distance."""
+    a, t = F.col("analysis_id"), F.col("travel_time_s")
+    moved = F.when((a % 5 == 3) & (t < 100), "ring-20-30").otherwise(F.col("ring_id"))
+    return publish.normalization_summary(published(s, d)[0].withColumns({"ring_id": moved, "distance_m": F.when(~F.coalesce((a % 7 == 2) & (t > 1700), F.lit(False)), F.col("distance_m"))}))
 
 
 @query(f"{_VIOLATIONS}, r AS (SELECT DISTINCT a.analysis_id, t.ring_id FROM v_analysis a CROSS JOIN (VALUES ('ring-0-10'), ('ring-10-20'), ('ring-20-30')) t(ring_id)) SELECT r.analysis_id, r.ring_id, COUNT(poi_id) AS n, COALESCE(STRING_AGG(poi_id, ',' ORDER BY poi_id), '') AS ids FROM r LEFT JOIN pub ON pub.analysis_id = r.analysis_id AND pub.ring_id = r.ring_id GROUP BY 1, 2")
@@ -173,10 +168,14 @@ def c7_build_eligible(s, d):
     return publish.build_eligible(view(s, d, "v_accessibility"), poi).groupBy("analysis_id", "band").agg(F.count("*").alias("n"), F.min("k").alias("first_k"))
 
 
-@query("""WITH t AS (SELECT plan_id AS analysis_id, source_id AS poi_id, lon, lat, name FROM v_piece_result WHERE source_id IS NOT NULL), b AS (SELECT analysis_id, poi_id, COUNT(*) AS n, MIN(lon) <> MAX(lon) OR MIN(lat) <> MAX(lat) AS conflict FROM t GROUP BY 1, 2)
-SELECT analysis_id, CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) FILTER (n > 1) AS duplicate_ids, COUNT(*) FILTER (conflict) AS conflicting_ids, CAST(0 AS BIGINT) AS missing_names, CAST(0 AS BIGINT) AS invalid_coordinates FROM b GROUP BY 1""")
+@query("""WITH t AS (SELECT plan_id AS analysis_id, source_id AS poi_id, CASE WHEN pos % 13 = 0 THEN lon + 200 WHEN pos % 19 = 0 THEN NULL ELSE lon END AS lon, lat, CASE WHEN pos % 9 = 0 THEN ' ' WHEN pos % 10 = 0 THEN NULL ELSE name END AS name FROM v_piece_result),
+ b AS (SELECT analysis_id, poi_id, COUNT(*) AS n, MIN(lon) <> MAX(lon) OR MIN(lat) <> MAX(lat) AS conflict, COUNT(*) FILTER (COALESCE(TRIM(name), '') = '') AS unnamed, COUNT(*) FILTER (NOT COALESCE(lon BETWEEN -180 AND 180 AND lat BETWEEN -90 AND 90, FALSE)) AS bad FROM t GROUP BY 1, 2)
+SELECT analysis_id, CAST(SUM(n) AS BIGINT) AS n_rows, COUNT(*) FILTER (n > 1) AS duplicate_ids, COUNT(*) FILTER (conflict) AS conflicting_ids, CAST(SUM(unnamed) AS BIGINT) AS missing_names, CAST(SUM(bad) AS BIGINT) AS invalid_coordinates FROM b GROUP BY 1""")
 def d12_data_audit(s, d):
-    t = view(s, d, "v_piece_result").where("source_id is not null").select(F.col("plan_id").alias("analysis_id"), F.col("source_id").alias("poi_id"), "lon", "lat", "name")
+    """Rows without an id are one id of their own; some names are blank or null, some coordinates wrong or null."""
+    p = F.col("pos")
+    lon = F.when(p % 13 == 0, F.col("lon") + 200).when(p % 19 != 0, F.col("lon"))
+    t = view(s, d, "v_piece_result").select(F.col("plan_id").alias("analysis_id"), F.col("source_id").alias("poi_id"), lon.alias("lon"), "lat", F.when(p % 9 == 0, " ").when(p % 10 != 0, F.col("name")).alias("name"))
     return publish.data_audit(t)
 
 
@@ -190,14 +189,15 @@ def g3_same_ids(s, d):
     return publish.same_ids(view(s, d, "v_poi"), assigned(s, d), "poi_id")
 
 
-@query()
+@query(r"""WITH r AS (SELECT analysis_id, sha256(concat_ws('|', poi_id, COALESCE(printf('%.7f', duration_s), ''), COALESCE(printf('%.7f', distance_m), ''))) AS h FROM v_accessibility)
+SELECT analysis_id, COUNT(*) AS n, CAST(SUM(CAST(CONCAT('0x', SUBSTRING(h, 1, 15)) AS BIGINT)) AS VARCHAR) AS fp_a, CAST(SUM(CAST(CONCAT('0x', SUBSTRING(h, 16, 15)) AS BIGINT)) AS VARCHAR) AS fp_b FROM r GROUP BY 1""")
 def d26_result_fingerprint(s, d):
     return publish.result_fingerprint(view(s, d, "v_accessibility"), "analysis_id", ["poi_id", "duration_s", "distance_m"])
 
 
-@query("SELECT analysis_id, CAST(batch AS BIGINT) AS batch, COUNT(*) AS n, MIN(poi_id) AS first_id, MAX(poi_id) AS last_id FROM (SELECT analysis_id, poi_id, FLOOR((ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY poi_id) - 1) / 500) AS batch FROM v_accessibility) t GROUP BY 1, 2")
+@query("SELECT analysis_id, CAST(batch AS BIGINT) AS batch, COUNT(*) AS n, MIN(poi_id) AS first_id, MAX(poi_id) AS last_id, sha256(STRING_AGG(poi_id, '|' ORDER BY poi_id)) AS fingerprint FROM (SELECT analysis_id, poi_id, FLOOR((ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY poi_id) - 1) / 500) AS batch FROM v_accessibility) t GROUP BY 1, 2")
 def e6_matrix_batches(s, d):
-    return selection.matrix_batches(view(s, d, "v_accessibility")).select("analysis_id", "batch", F.col("n").cast("bigint").alias("n"), F.get("poi_ids", F.lit(0)).alias("first_id"), F.element_at("poi_ids", -1).alias("last_id"))
+    return selection.matrix_batches(view(s, d, "v_accessibility")).select("analysis_id", "batch", F.col("n").cast("bigint").alias("n"), F.get("poi_ids", F.lit(0)).alias("first_id"), F.element_at("poi_ids", -1).alias("last_id"), "fingerprint")
 
 
 @query("SELECT analysis_id, poi_id, CAST((ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY poi_id) - 1) % 500 AS BIGINT) AS position, duration_s, distance_m FROM v_accessibility")
@@ -209,10 +209,14 @@ def a11_explode_matrix(s, d):
     return publish.explode_matrix(resp)[0].select("analysis_id", "poi_id", F.col("position").cast("bigint").alias("position"), "duration_s", "distance_m")
 
 
-@query("SELECT analysis_id, COUNT(*) AS n, 'ok' AS verdict FROM (SELECT DISTINCT analysis_id, FLOOR((ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY poi_id) - 1) / 500) AS batch FROM v_accessibility) t GROUP BY 1")
+@query("""WITH b AS (SELECT DISTINCT analysis_id, CAST(FLOOR((ROW_NUMBER() OVER (PARTITION BY analysis_id ORDER BY poi_id) - 1) / 500) AS BIGINT) AS batch, COUNT(*) OVER (PARTITION BY analysis_id) AS n FROM v_accessibility)
+SELECT analysis_id, CASE WHEN (analysis_id + batch) % 5 = 0 THEN 'missing' WHEN (analysis_id + batch) % 5 = 1 THEN 'wrong-profile' WHEN (analysis_id + batch) % 5 = 2 AND n - batch * 500 > 1 THEN 'wrong-order' ELSE 'ok' END AS verdict, COUNT(*) AS n FROM b GROUP BY 1, 2""")
 def c18_validate_batches(s, d):
-    b = selection.matrix_batches(view(s, d, "v_accessibility")).select("analysis_id", F.concat_ws("-", "analysis_id", "batch").alias("batch_id"), F.lit("foot").alias("profile"), "poi_ids")
-    v = selection.validate_batches(b.drop("analysis_id"), b.drop("analysis_id"))
+    """Of every five batches one is missing, one of another profile, one in another order (if it has two ids)."""
+    k = (F.col("analysis_id") + F.col("batch")) % 5
+    b = selection.matrix_batches(view(s, d, "v_accessibility")).withColumn("k", k).select("analysis_id", "k", F.concat_ws("-", "analysis_id", "batch").alias("batch_id"), F.lit("foot").alias("profile"), "poi_ids")
+    back = b.where("k <> 0").withColumns({"profile": F.when(F.col("k") == 1, "car").otherwise("foot"), "poi_ids": F.when(F.col("k") == 2, F.reverse("poi_ids")).otherwise(F.col("poi_ids"))})
+    v = selection.validate_batches(b.select("batch_id", "profile", "poi_ids"), back.select("batch_id", "profile", "poi_ids"))
     return v.groupBy(F.split("batch_id", "-")[0].cast("int").alias("analysis_id"), "verdict").agg(F.count("*").alias("n"))
 
 
@@ -233,10 +237,13 @@ def f4_selection_stats(s, d):
     return selection.selection_stats(selection.select_by_quota(view(s, d, "v_score"), QUOTAS))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS missing, TRUE AS nested")
+@query(f"SELECT missing, missing = 0 AS nested FROM (SELECT COUNT(*) FILTER (rn <= CASE ring_id WHEN 'ring-0-10' THEN 10 WHEN 'ring-10-20' THEN 25 ELSE 5 END AND rn > {_QUOTA}) AS missing FROM (SELECT ring_id, {_SCORE} AS rn FROM v_score) t) u UNION ALL SELECT 0, TRUE")
 def g4_nested_presets(s, d):
+    """A preset with a larger quota in one ring is not nested; one of half the quotas is."""
     v = view(s, d, "v_score")
-    return selection.nested_presets(selection.select_by_quota(v, {k: n // 2 for k, n in QUOTAS.items()}), selection.select_by_quota(v, QUOTAS))
+    large = selection.select_by_quota(v, QUOTAS)
+    wide = selection.nested_presets(selection.select_by_quota(v, {"ring-0-10": 10, "ring-10-20": 25, "ring-20-30": 5}), large)
+    return wide.union(selection.nested_presets(selection.select_by_quota(v, {k: n // 2 for k, n in QUOTAS.items()}), large))
 
 
 _MATCH = "SELECT s.analysis_id, s.ring_id, c.top_id, c.basic_id, c.primary_id, s.poi_id FROM v_score s JOIN v_poi_category c ON c.poi_id = s.poi_id"
@@ -343,16 +350,19 @@ def f5_top_children(s, d):
     return categories.top_children(categories.category_nodes(p)[0], categories.category_stats(p)).select("parent_id", "category_id", "n", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("SELECT DISTINCT top_id AS category_id, CASE top_id WHEN 'ASIA' THEN 'Far East' ELSE UPPER(SUBSTRING(top_id, 1, 1)) || LOWER(SUBSTRING(top_id, 2)) END AS label FROM v_poi_category WHERE top_id <> 'MIDDLE EAST'")
+@query("SELECT DISTINCT top_id AS category_id, CASE top_id WHEN 'ASIA' THEN 'Far East' ELSE array_to_string(list_transform(string_split(top_id, ' '), lambda x: UPPER(x[1]) || LOWER(x[2:])), ' ') END AS label FROM v_poi_category")
 def c20_label_categories(s, d):
     labels = s.createDataFrame([("ASIA", "Far East")], "category_id string, label string")
-    ids = view(s, d, "v_poi_category").where("top_id <> 'MIDDLE EAST'").select(F.col("top_id").alias("category_id")).distinct()
-    return categories.label_categories(ids, labels)
+    return categories.label_categories(view(s, d, "v_poi_category").select(F.col("top_id").alias("category_id")).distinct(), labels)
 
 
-@query("SELECT p.poi_id, array_to_string([c.top_id, c.basic_id, c.primary_id], '/') AS path FROM v_poi p JOIN v_category c ON c.c_custkey = p.source_key")
+@query("SELECT p.poi_id, array_to_string([c.top_id, c.basic_id, c.primary_id], '/') AS path, CASE WHEN p.k % 3 = 0 THEN array_to_string(list_sort([c.basic_id, 'alt ' || c.top_id]), '/') ELSE '' END AS alternates FROM v_poi p JOIN v_category c ON c.c_custkey = p.source_key")
 def c4_assemble_paths(s, d):
-    return paths(s, d).select("poi_id", F.array_join("hierarchy", "/").alias("path"))
+    """Path rows come depth by depth, alternates for a third of the points, repeats among them."""
+    p = view(s, d, "v_poi_category")
+    path = p.select("poi_id", F.explode(F.array(*(F.struct(F.lit(i).alias("depth"), F.col(c).alias("category_id")) for i, c in ((2, "primary_id"), (0, "top_id"), (1, "basic_id"))))).alias("x")).select("poi_id", "x.*")
+    alt = p.where("k % 3 = 0").select("poi_id", F.explode(F.array(F.concat(F.lit("alt "), F.col("top_id")), "basic_id", "basic_id")).alias("category_id"))
+    return categories.assemble_poi(p.select("poi_id"), path, alt).select("poi_id", *(F.array_join(c, "/").alias(a) for c, a in (("hierarchy", "path"), ("alternates", "alternates"))))
 
 
 @query("SELECT c_custkey AS row_id, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS valid_depth FROM v_category")
@@ -388,9 +398,11 @@ def d1_reject_counts(s, d):
     return classified(s, d).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT COUNT(*) AS n_read, COUNT(*) FILTER (reject_reason IS NULL) AS accepted, COUNT(*) FILTER (reject_reason = 'duplicate-id') AS duplicate_id, COUNT(*) FILTER (reject_reason IS NULL OR reject_reason IN ('closed', 'low-confidence')) AS taxonomy_valid, CAST(COUNT(*) FILTER (reject_reason IS NULL OR reject_reason IN ('closed', 'low-confidence')) AS DOUBLE) / COUNT(*) AS taxonomy_rate, FALSE AS ready FROM {_REASON} r")
+@query(f"""SELECT n_read, accepted, missing_id, duplicate_id, invalid_geometry, outside_bbox, missing_name, invalid_taxonomy, closed, low_confidence, with_basic, with_confidence, taxonomy_valid, CAST(taxonomy_valid AS DOUBLE) / n_read AS taxonomy_rate, CAST(taxonomy_valid AS DOUBLE) / n_read >= 0.3 AS ready FROM (SELECT COUNT(*) AS n_read, COUNT(*) FILTER (reject_reason IS NULL) AS accepted, CAST(0 AS BIGINT) AS missing_id,
+ COUNT(*) FILTER (reject_reason = 'duplicate-id') AS duplicate_id, COUNT(*) FILTER (reject_reason = 'invalid-geometry') AS invalid_geometry, COUNT(*) FILTER (reject_reason = 'outside-bbox') AS outside_bbox, COUNT(*) FILTER (reject_reason = 'missing-name') AS missing_name, COUNT(*) FILTER (reject_reason = 'invalid-taxonomy') AS invalid_taxonomy,
+ COUNT(*) FILTER (reject_reason = 'closed') AS closed, COUNT(*) FILTER (reject_reason = 'low-confidence') AS low_confidence, COUNT(*) FILTER (pos % 7 <> 0) AS with_basic, COUNT(*) FILTER (pos % 19 <> 0) AS with_confidence, COUNT(*) FILTER (reject_reason IS NULL OR reject_reason IN ('closed', 'low-confidence')) AS taxonomy_valid FROM {_REASON} r) t""")
 def d1_import_report(s, d):
-    return features.import_report(classified(s, d)).select("n_read", "accepted", "duplicate_id", "taxonomy_valid", "taxonomy_rate", "ready")
+    return features.import_report(classified(s, d), threshold=0.3)
 
 
 @query("SELECT event_id AS pos, 'overture:' || (CASE WHEN event_id % 10 = 9 THEN event_id - 1 ELSE event_id END) AS poi_id, CASE WHEN event_id % 29 = 0 THEN NULL ELSE 'Name ' || user_id END AS name, CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'shopping' END AS basic_id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE (10 + event_id % 90) / 100.0 END AS confidence FROM events")
@@ -399,21 +411,27 @@ def b1_flatten_features(s, d):
     return flat.select("pos", "poi_id", "name", "basic_id", "confidence")
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("""WITH r AS (SELECT sha256(CAST(json_object('pos', pos, 'line', line) AS VARCHAR)) AS h FROM v_feature_json)
+SELECT COUNT(*) AS n, CAST(SUM(CAST(CONCAT('0x', SUBSTRING(h, 1, 15)) AS BIGINT)) AS VARCHAR) AS fp_a, CAST(SUM(CAST(CONCAT('0x', SUBSTRING(h, 16, 15)) AS BIGINT)) AS VARCHAR) AS fp_b FROM r""")
 def a6_content_fingerprint(s, d):
-    return datasets.content_fingerprint(view(s, d, "v_feature_json")).select("n")
+    return datasets.content_fingerprint(view(s, d, "v_feature_json"))
 
 
-@query("SELECT analysis_id, COUNT(*) AS poi_count, COUNT(DISTINCT ring_id) AS n_rings FROM v_score GROUP BY 1")
+@query("SELECT analysis_id, COUNT(*) AS poi_count, COUNT(DISTINCT ring_id) AS n_rings, STRING_AGG(ring_id || ':' || poi_id || ':' || CAST(CAST(FLOOR(travel_time_s) AS BIGINT) AS VARCHAR), ',' ORDER BY ring_id, poi_id) AS pois FROM v_score GROUP BY 1")
 def a10_nested_results(s, d):
     v = view(s, d, "v_score").withColumn("distance_m", F.lit(0.0))
-    return datasets.nested_results(v).select("analysis_id", F.col("poi_count").cast("bigint").alias("poi_count"), F.size("rings").cast("bigint").alias("n_rings"))
+    flat = F.flatten(F.transform("rings", lambda r: F.transform(r["pois"], lambda p: F.concat_ws(":", r["ring_id"], p["poi_id"], F.floor(p["travel_time_s"]).cast("string")))))
+    return datasets.nested_results(v).select("analysis_id", F.col("poi_count").cast("bigint").alias("poi_count"), F.size("rings").cast("bigint").alias("n_rings"), F.array_join(flat, ",").alias("pois"))
 
 
-@query("SELECT poi_id, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\"' AS head FROM v_poi")
+@query("SELECT poi_id, CASE WHEN k % 17 <> 0 THEN 'Feature Point' END AS kinds, CASE WHEN k % 17 <> 0 THEN lon END AS lon, CASE WHEN k % 17 <> 0 THEN lat END AS lat, CASE WHEN k % 17 = 0 THEN 'invalid-coordinates' END AS reason FROM v_poi")
 def a9_geojson_lines(s, d):
-    lines = datasets.geojson_lines(view(s, d, "v_poi"), ["poi_id"])[0]
-    return lines.select(F.get_json_object("value", "$.properties.poi_id").alias("poi_id"), F.left("value", F.lit(44)).alias("head"))
+    """Every 17th point lies outside the world and is rejected."""
+    p = view(s, d, "v_poi").withColumn("lat", F.when(F.col("k") % 17 == 0, F.col("lat") + 90).otherwise(F.col("lat")))
+    lines, rejected = datasets.geojson_lines(p, ["poi_id"])
+    of = lambda path: F.get_json_object("value", path)
+    good = lines.select(of("$.properties.poi_id").alias("poi_id"), F.concat_ws(" ", of("$.type"), of("$.geometry.type")).alias("kinds"), *(of(f"$.geometry.coordinates[{i}]").cast("double").alias(c) for i, c in enumerate(("lon", "lat"))), F.lit(None).cast("string").alias("reason"))
+    return good.union(rejected.select("poi_id", F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double"), "reason"))
 
 
 # ---- requests ----
@@ -496,14 +514,18 @@ def angled(s: SparkSession, d: str) -> DataFrame:
 
 
 _ANGLED = "(SELECT *, (lon - 114) * 111320.0 * COS(RADIANS(30.5)) AS sx, (lat - 30.5) * 111320.0 AS sy, x AS tx, 0 - y AS ty, DEGREES(ATAN2((lat - 30.5) * 111320.0, (lon - 114) * 111320.0 * COS(RADIANS(30.5)))) AS sa, DEGREES(ATAN2(0 - y, x)) AS ta FROM v_layout_node)"
+#: A sector's number (the first is centred on east), and whether an angle lies on a sector's edge.
+_SECTOR = "CAST(FLOOR((({0} + 180.0 / {1}) - FLOOR(({0} + 180.0 / {1}) / 360) * 360) / (360.0 / {1})) AS BIGINT) % {1}"
+_EDGE = "(LEAST((sa + 180.0 / {0}) - FLOOR((sa + 180.0 / {0}) / (360.0 / {0})) * (360.0 / {0}), 360.0 / {0} - ((sa + 180.0 / {0}) - FLOOR((sa + 180.0 / {0}) / (360.0 / {0})) * (360.0 / {0}))) <= 1e-9)"
 
 
 @query(f"""WITH a AS (SELECT *, (ABS(sx) <= 1e-9 AND ABS(sy) <= 1e-9) OR (ABS(tx) <= 1e-9 AND ABS(ty) <= 1e-9) AS skip, ABS(sa - ta) AS raw FROM {_ANGLED} q), e AS (SELECT *, CASE WHEN NOT skip THEN LEAST(raw, 360 - raw) END AS err FROM a), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY layout_id ORDER BY err NULLS LAST, node_id) - 1 AS i, COUNT(err) OVER (PARTITION BY layout_id) AS m FROM e)
 SELECT layout_id, COUNT(*) AS n, COUNT(*) FILTER (skip) AS excluded, ROUND(AVG(err), 6) AS err_mean, ROUND(MAX(err) FILTER (i = FLOOR((m - 1) * 0.5)), 6) AS err_median, ROUND(MAX(err) FILTER (i = FLOOR((m - 1) * 0.95)), 6) AS err_p95, ROUND(MAX(err), 6) AS err_max,
- COUNT(*) FILTER (ABS(sx) > 1e-9 AND ABS(tx) > 1e-9) AS ew_base, COUNT(*) FILTER (ABS(sx) > 1e-9 AND ABS(tx) > 1e-9 AND (sx > 0) <> (tx > 0)) AS ew_flips, COUNT(*) FILTER (ABS(sy) > 1e-9 AND ABS(ty) > 1e-9) AS ns_base, COUNT(*) FILTER (ABS(sy) > 1e-9 AND ABS(ty) > 1e-9 AND (sy > 0) <> (ty > 0)) AS ns_flips FROM r GROUP BY 1""")
+ COUNT(*) FILTER (ABS(sx) > 1e-9 AND ABS(tx) > 1e-9) AS ew_base, COUNT(*) FILTER (ABS(sx) > 1e-9 AND ABS(tx) > 1e-9 AND (sx > 0) <> (tx > 0)) AS ew_flips, COUNT(*) FILTER (ABS(sy) > 1e-9 AND ABS(ty) > 1e-9) AS ns_base, COUNT(*) FILTER (ABS(sy) > 1e-9 AND ABS(ty) > 1e-9 AND (sy > 0) <> (ty > 0)) AS ns_flips,
+ {", ".join(f"COUNT(*) FILTER (NOT skip AND NOT {_EDGE.format(k)}) AS sector{k}_base, COUNT(*) FILTER (NOT skip AND NOT {_EDGE.format(k)} AND {_SECTOR.format('sa', k)} = {_SECTOR.format('ta', k)}) AS sector{k}_kept" for k in (4, 8, 12))} FROM r GROUP BY 1""")
 def d15_direction_metrics(s, d):
     m = layout.direction_metrics(angled(s, d))
-    return m.select("layout_id", "n", "excluded", *(F.round(c, 6).alias(c) for c in ("err_mean", "err_median", "err_p95", "err_max")), "ew_base", "ew_flips", "ns_base", "ns_flips")
+    return m.withColumns({c: F.round(c, 6) for c in ("err_mean", "err_median", "err_p95", "err_max")})
 
 
 _SIGN = "CASE WHEN {0} > 1e-6 THEN 1 WHEN {0} < -1e-6 THEN -1 ELSE 0 END"
@@ -526,12 +548,12 @@ def c14_nearest_gap(s, d):
     return spatial.nearest_gap(view(s, d, "v_layout_node")).select("layout_id", "node_id", F.round("gap", 6).alias("gap"))
 
 
-@query("""WITH o AS (SELECT a.layout_id, COUNT(*) AS hits FROM v_layout_node a JOIN v_layout_node b ON b.layout_id = a.layout_id AND a.node_id < b.node_id AND ABS(a.x - b.x) < (a.width + b.width) / CAST(2 AS DOUBLE) AND ABS(a.y - b.y) < (a.height + b.height) / CAST(2 AS DOUBLE) GROUP BY 1), n AS (SELECT layout_id, COUNT(*) AS placed FROM v_layout_node GROUP BY 1)
-SELECT n.layout_id, placed + 10 AS eligible, placed, COALESCE(hits, 0) AS overlapping, ROUND(placed / CAST(placed + 10 AS DOUBLE), 6) AS placement_rate, ROUND(COALESCE(hits, 0) / (placed * (placed - 1) / CAST(2 AS DOUBLE)), 6) AS overlap_rate FROM n LEFT JOIN o ON o.layout_id = n.layout_id""")
+@query("""WITH o AS (SELECT a.layout_id, COUNT(*) AS hits FROM v_layout_node a JOIN v_layout_node b ON b.layout_id = a.layout_id AND a.node_id < b.node_id AND ABS(a.x - b.x) < (a.width + b.width) / CAST(2 AS DOUBLE) AND ABS(a.y - b.y) < (a.height + b.height) / CAST(2 AS DOUBLE) GROUP BY 1), n AS (SELECT layout_id, COUNT(*) AS placed, COUNT(*) FILTER (SQRT(POWER(GREATEST(0, ABS(x) - width / CAST(2 AS DOUBLE)), 2) + POWER(GREATEST(0, ABS(y) - 9), 2)) < CASE ring_id WHEN 'inner' THEN 0 ELSE 350 END OR SQRT(POWER(ABS(x) + width / CAST(2 AS DOUBLE), 2) + POWER(ABS(y) + 9, 2)) > CASE ring_id WHEN 'inner' THEN 350 ELSE 1100 END) AS outside_ring FROM (SELECT *, CASE WHEN SQRT(x * x + y * y) <= 350 THEN 'inner' ELSE 'outer' END AS ring_id FROM v_layout_node) r GROUP BY 1)
+SELECT n.layout_id, placed + 10 AS eligible, placed, COALESCE(hits, 0) AS overlapping, ROUND(placed / CAST(placed + 10 AS DOUBLE), 6) AS placement_rate, ROUND(COALESCE(hits, 0) / (placed * (placed - 1) / CAST(2 AS DOUBLE)), 6) AS overlap_rate, outside_ring, ROUND(outside_ring / CAST(placed AS DOUBLE), 6) AS outside_rate FROM n LEFT JOIN o ON o.layout_id = n.layout_id""")
 def d17_layout_completeness(s, d):
-    v = view(s, d, "v_layout_node")
-    m = layout.layout_completeness(v, v.groupBy("layout_id").agg((F.count("*") + 10).alias("eligible")))
-    return m.select("layout_id", "eligible", "placed", F.col("overlaps").alias("overlapping"), F.round("placement_rate", 6).alias("placement_rate"), F.round("overlap_rate", 6).alias("overlap_rate"))
+    n, bands = ringed(s, d)
+    m = layout.layout_completeness(n, n.groupBy("layout_id").agg((F.count("*") + 10).alias("eligible")), bands)
+    return m.select("layout_id", "eligible", "placed", F.col("overlaps").alias("overlapping"), F.round("placement_rate", 6).alias("placement_rate"), F.round("overlap_rate", 6).alias("overlap_rate"), "outside_ring", F.round("outside_rate", 6).alias("outside_rate"))
 
 
 BANDS = [("inner", 0.0, 350.0), ("outer", 350.0, 1100.0)]
@@ -543,9 +565,16 @@ def ringed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return n, s.createDataFrame(BANDS, "ring_id string, inner double, outer double")
 
 
-@query(f"SELECT layout_id, ring_id, COUNT(*) AS n, CAST(SUM(width * height) AS BIGINT) AS label_area, ROUND(SUM(width * height) / (PI() * CASE ring_id WHEN 'inner' THEN 122500 ELSE 1087500 END), 6) AS fill_ratio FROM {_RINGED} r GROUP BY 1, 2")
+@query(f"""WITH r AS (SELECT *, SQRT(POWER(GREATEST(0, ABS(x) - width / CAST(2 AS DOUBLE)), 2) + POWER(GREATEST(0, ABS(y) - 9), 2)) AS near, SQRT(POWER(ABS(x) + width / CAST(2 AS DOUBLE), 2) + POWER(ABS(y) + 9, 2)) AS far FROM {_RINGED} q),
+ g AS (SELECT a.layout_id, a.ring_id, a.node_id, MIN(CASE WHEN b.node_id IS NOT NULL THEN SQRT(POWER(GREATEST(0, ABS(a.x - b.x) - (a.width + b.width) / CAST(2 AS DOUBLE)), 2) + POWER(GREATEST(0, ABS(a.y - b.y) - (a.height + b.height) / CAST(2 AS DOUBLE)), 2)) END) AS gap FROM r a LEFT JOIN r b ON b.layout_id = a.layout_id AND b.ring_id = a.ring_id AND b.node_id <> a.node_id GROUP BY 1, 2, 3),
+ k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY layout_id, ring_id ORDER BY gap NULLS LAST, node_id) - 1 AS i, COUNT(gap) OVER (PARTITION BY layout_id, ring_id) AS m FROM g),
+ q AS (SELECT layout_id, ring_id, MIN(gap) AS gap_min, MAX(gap) FILTER (i = FLOOR((m - 1) * 0.5)) AS gap_median, MAX(gap) FILTER (i = FLOOR((m - 1) * 0.95)) AS gap_p95 FROM k GROUP BY 1, 2),
+ t AS (SELECT layout_id, ring_id, COUNT(*) AS n, CAST(SUM(width * height) AS BIGINT) AS label_area, MIN(near) AS near, MAX(far) AS far, CASE ring_id WHEN 'inner' THEN 0 ELSE 350 END AS lo, CASE ring_id WHEN 'inner' THEN 350 ELSE 1100 END AS hi FROM r GROUP BY 1, 2)
+SELECT t.layout_id, t.ring_id, n, label_area, ROUND(label_area / (PI() * (hi * hi - lo * lo)), 6) AS fill_ratio, ROUND(1 - label_area / (PI() * (hi * hi - lo * lo)), 6) AS void_ratio, ROUND(gap_min, 6) AS gap_min, ROUND(gap_median, 6) AS gap_median, ROUND(gap_p95, 6) AS gap_p95,
+ CAST(hi - lo AS DOUBLE) AS band_width, ROUND(near - lo, 6) AS unused_inner, ROUND(hi - far, 6) AS outer_slack, CAST(CASE t.ring_id WHEN 'inner' THEN -20 ELSE 0 END AS DOUBLE) AS gap_from_previous FROM t JOIN q ON q.layout_id = t.layout_id AND q.ring_id = t.ring_id""")
 def d20_ring_metrics(s, d):
-    return layout.ring_metrics(*ringed(s, d)).select("layout_id", "ring_id", "n", "label_area", F.round("fill_ratio", 6).alias("fill_ratio"))
+    m = layout.ring_metrics(*ringed(s, d), centre_radius=20.0)
+    return m.select("layout_id", "ring_id", "n", "label_area", "band_width", "gap_from_previous", *(F.round(c, 6).alias(c) for c in ("fill_ratio", "void_ratio", "gap_min", "gap_median", "gap_p95", "unused_inner", "outer_slack")))
 
 
 @query(f"""SELECT layout_id, COUNT(*) FILTER (SQRT(POWER(GREATEST(0, ABS(x) - width / CAST(2 AS DOUBLE)), 2) + POWER(GREATEST(0, ABS(y) - 9), 2)) < CASE ring_id WHEN 'inner' THEN 0 ELSE 350 END OR SQRT(POWER(ABS(x) + width / CAST(2 AS DOUBLE), 2) + POWER(ABS(y) + 9, 2)) > CASE ring_id WHEN 'inner' THEN 350 ELSE 1100 END) AS outside_ring,
@@ -602,24 +631,47 @@ def h11_area_perimeter(s, d):
     return isochrone_polygons(s, d).select("analysis_id", "range_minutes", F.round(geo.polygon_area(F.col("polygon")), 9).alias("area"), F.round(geo.perimeter(r), 9).alias("around"), F.size(r).cast("bigint").alias("n_vertices"))
 
 
-@query("""WITH p AS (SELECT analysis_id, range_minutes, ABS(SUM(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.analysis_id, e.range_minutes, x1 - a.lon AS x1, y1 - a.lat AS y1, x2 - a.lon AS x2, y2 - a.lat AS y2 FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id) t GROUP BY 1, 2)
-SELECT analysis_id, range_minutes, ROUND(area - COALESCE(LAG(area) OVER (PARTITION BY analysis_id ORDER BY range_minutes), 0), 9) AS ring_area FROM p""")
-def k1_build_rings(s, d):
-    p = isochrone_polygons(s, d).select("analysis_id", "range_minutes", geo.polygon_area(F.col("polygon")).alias("area"))
-    return tiles.build_rings(p).select("analysis_id", "range_minutes", F.round("ring_area", 9).alias("ring_area"))
+#: Of a vertex v and the edges e of a polygon: 1 inside, 0 on an edge, -1 outside.
+_INSIDE = """CASE WHEN MAX(CASE WHEN (e.x2-e.x1)*(v.y1-e.y1) = (e.y2-e.y1)*(v.x1-e.x1) AND v.x1 BETWEEN LEAST(e.x1,e.x2) AND GREATEST(e.x1,e.x2) AND v.y1 BETWEEN LEAST(e.y1,e.y2) AND GREATEST(e.y1,e.y2) THEN 1 ELSE 0 END) = 1 THEN 0
+ WHEN SUM(CASE WHEN (e.y1 > v.y1) <> (e.y2 > v.y1) AND v.x1 < (e.x2-e.x1)*(v.y1-e.y1)/(e.y2-e.y1)+e.x1 THEN 1 ELSE 0 END) % 2 = 1 THEN 1 ELSE -1 END"""
 
 
-@query("SELECT analysis_id, TRUE AS near FROM v_analysis")
+@query(f"""WITH p AS (SELECT analysis_id, range_minutes, ABS(SUM(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.analysis_id, e.range_minutes, x1 - a.lon AS x1, y1 - a.lat AS y1, x2 - a.lon AS x2, y2 - a.lat AS y2 FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id) t GROUP BY 1, 2),
+ c AS (SELECT v.analysis_id, v.range_minutes AS rv, e.range_minutes AS re, v.seq, {_INSIDE} AS inside FROM v_edge v JOIN v_edge e ON e.analysis_id = v.analysis_id AND ABS(e.range_minutes - v.range_minutes) = 10 GROUP BY 1, 2, 3, 4),
+ n AS (SELECT analysis_id, GREATEST(rv, re) AS range_minutes, COUNT(*) FILTER ((rv < re AND inside < 0) OR (rv > re AND inside > 0)) = 0 AS nested FROM c GROUP BY 1, 2),
+ d AS (SELECT p.*, area - COALESCE(LAG(area) OVER (PARTITION BY analysis_id ORDER BY range_minutes), 0) AS ring_area FROM p)
+SELECT d.analysis_id, d.range_minutes, ROUND(ring_area, 9) AS ring_area, COALESCE(nested, TRUE) AS nested, CASE WHEN COALESCE(nested, TRUE) THEN ROUND(ring_area, 9) END AS exclusive_if_nested FROM d LEFT JOIN n ON n.analysis_id = d.analysis_id AND n.range_minutes = d.range_minutes""")
+def k1_build_rings(s, d):
+    """Even analyses nest; the notch of the odd ones' polygons cuts into the polygon before (tests hold the exclusive area there against samples)."""
+    p = spatial.with_edges(isochrone_polygons(s, d)).select("analysis_id", "range_minutes", "edges", geo.polygon_area(F.col("polygon")).alias("area"))
+    r = tiles.build_rings(p)
+    return r.select("analysis_id", "range_minutes", F.round("ring_area", 9).alias("ring_area"), "nested", F.when(F.col("nested"), F.round("exclusive_area", 9)).alias("exclusive_if_nested"))
+
+
+@query("""WITH c AS (SELECT 6378137.0 AS a, 1 / 298.257223563 AS f), n AS (SELECT a, f / (2 - f) AS n FROM c), q AS (SELECT n.n, a / (1 + n) * (1 + n * n / 4 + POWER(n, 4) / 64) AS big, n / 2 - 2 * n * n / 3 + 5 * POWER(n, 3) / 16 AS a1, 13 * n * n / 48 - 3 * POWER(n, 3) / 5 AS a2, 61 * POWER(n, 3) / 240 AS a3 FROM n),
+ p AS (SELECT poi_id, RADIANS(lat) AS phi, RADIANS(lon - ((FLOOR((lon + 180) / 6) + 1) * 6 - 183)) AS lam FROM v_poi),
+ t AS (SELECT p.*, q.*, SINH(ATANH(SIN(phi)) - 2 * SQRT(n) / (1 + n) * ATANH(2 * SQRT(n) / (1 + n) * SIN(phi))) AS t FROM p CROSS JOIN q),
+ x AS (SELECT *, ATAN2(t, COS(lam)) AS xi, ATANH(SIN(lam) / SQRT(1 + t * t)) AS eta FROM t)
+SELECT poi_id, ROUND(500000 + 0.9996 * big * (eta + a1 * COS(2 * xi) * SINH(2 * eta) + a2 * COS(4 * xi) * SINH(4 * eta) + a3 * COS(6 * xi) * SINH(6 * eta)), 0) AS x,
+ ROUND(0.9996 * big * (xi + a1 * SIN(2 * xi) * COSH(2 * eta) + a2 * SIN(4 * xi) * COSH(4 * eta) + a3 * SIN(6 * xi) * COSH(6 * eta)), 0) AS y, TRUE AS back FROM x""")
 def h7_utm_round_trip(s, d):
+    """Forward against another series (by the third flattening) to whole metres, and back to the point."""
     zone = geo.utm_zone(F.col("lon"))
-    p = view(s, d, "v_analysis").withColumn("p", geo.utm_forward(F.col("lon"), F.col("lat"), zone)).withColumn("q", geo.utm_inverse(F.col("p.x"), F.col("p.y"), zone))
-    return p.select("analysis_id", ((F.abs(F.col("q.lon") - F.col("lon")) < 1e-7) & (F.abs(F.col("q.lat") - F.col("lat")) < 1e-7)).alias("near"))
+    p = view(s, d, "v_poi").withColumn("p", geo.utm_forward(F.col("lon"), F.col("lat"), zone)).withColumn("q", geo.utm_inverse(F.col("p.x"), F.col("p.y"), zone))
+    near = (F.abs(F.col("q.lon") - F.col("lon")) < 1e-7) & (F.abs(F.col("q.lat") - F.col("lat")) < 1e-7)
+    return p.select("poi_id", F.round("p.x", 0).alias("x"), F.round("p.y", 0).alias("y"), near.alias("back"))
 
 
-@query("SELECT analysis_id, range_minutes, TRUE AS covered FROM (SELECT DISTINCT analysis_id, range_minutes FROM v_edge) t")
+@query("""WITH p AS (SELECT analysis_id, range_minutes, ABS(SUM(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.analysis_id, e.range_minutes, x1 - a.lon AS x1, y1 - a.lat AS y1, x2 - a.lon AS x2, y2 - a.lat AS y2 FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id) t GROUP BY 1, 2)
+SELECT analysis_id, range_minutes, ROUND(area, 9) AS outer_area, CASE WHEN range_minutes <> 20 THEN ROUND(area * CASE range_minutes WHEN 10 THEN 2 ELSE 1 END, 8) END AS planned, CASE WHEN range_minutes <> 20 THEN ROUND(CASE range_minutes WHEN 10 THEN area ELSE 0 END, 8) END AS overlap, range_minutes <> 20 AS covered FROM p""")
 def d24_coverage_audit(s, d):
-    t = tiles.tile_polygons(isochrone_polygons(s, d), 1 / 16)
-    return tiles.coverage_audit(t, ["analysis_id", "range_minutes"]).select("analysis_id", "range_minutes", "covered")
+    """Tiles of the 10-minute polygons come twice, and the southern row of those of the 20-minute ones is missing."""
+    t = tiles.tile_polygons(isochrone_polygons(s, d), 1 / 32)
+    m = F.col("range_minutes")
+    t = t.where(~((m == 20) & (F.col("tile_id").startswith("cell-0000")))).unionByName(t.where(m == 10))
+    a = tiles.coverage_audit(t, ["analysis_id", "range_minutes"]).withColumn("covered", (F.col("uncovered") <= F.col("outer_area") * 0.001) & (F.col("outside") <= F.col("outer_area") * 0.001))
+    whole = m != 20
+    return a.select("analysis_id", "range_minutes", F.round("outer_area", 9).alias("outer_area"), F.when(whole, F.round("planned", 8)).alias("planned"), F.when(whole, F.round(F.greatest(F.lit(0.0), "overlap"), 8)).alias("overlap"), "covered")
 
 
 @query()
@@ -629,8 +681,8 @@ def k2_tile_polygons(s, d):
 
 @query()
 def k7_tile_adjacency(s, d):
-    t = tiles.tile_polygons(isochrone_polygons(s, d).where("range_minutes = 30"), 1 / 16)
-    return tiles.tile_adjacency(t, "analysis_id", 1 / 16)
+    t = tiles.tile_polygons(isochrone_polygons(s, d), 1 / 16)
+    return tiles.tile_adjacency(t, ["analysis_id", "range_minutes"], 1 / 16)
 
 
 @query()
@@ -724,20 +776,27 @@ def d22_profile_totals(s, d):
 
 @query("SELECT endpoint_type, COUNT(*) FILTER (ttl_seconds = 0) AS cached, COUNT(*) FILTER (ttl_seconds <> 0) AS remaining FROM v_response_record GROUP BY 1")
 def c8_split_cached(s, d):
-    r = view(s, d, "v_response_record")
-    cache = r.where("ttl_seconds = 0").select("event_id")
-    a = r.join(cache, "event_id", "left_semi").groupBy("endpoint_type").agg(F.count("*").alias("cached"))
-    b = r.join(cache, "event_id", "left_anti").groupBy("endpoint_type").agg(F.count("*").alias("remaining"))
+    """Responses of the others are there too, but truncated."""
+    r = view(s, d, "v_response_record").withColumn("geometry_hash", F.sha2(F.col("event_id").cast("string"), 256))
+    cached, rest = requests.split_cached(r, r.select("geometry_hash", (F.col("ttl_seconds") != 0).alias("truncated")))
+    a = cached.groupBy("endpoint_type").agg(F.count("*").alias("cached"))
+    b = rest.groupBy("endpoint_type").agg(F.count("*").alias("remaining"))
     return a.join(b, "endpoint_type", "full_outer").na.fill(0)
 
 
 # ---- text ----
 
 
-@query("SELECT page_id, NULL AS name FROM pages WHERE url IS NOT NULL")
+@query("""WITH p AS (SELECT page_id, COALESCE(url, 'none') AS url FROM pages) SELECT page_id, CASE page_id % 8 WHEN 0 THEN NULL WHEN 1 THEN regexp_replace(trim(url), '\\s+', ' ', 'g') || ' shop' WHEN 2 THEN 'node/' || page_id WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 'Cafe ' || page_id WHEN 6 THEN NULL ELSE CASE WHEN page_id < 1000000 THEN '(' || page_id || ')' END END AS name FROM p""")
 def h3_clean_name_urls(s, d):
-    p = run_sql(s, d, "SELECT page_id, url FROM pages WHERE url IS NOT NULL")
-    return p.select("page_id", text.clean_name(F.col("url")).alias("name"))
+    """A URL alone, a URL and a word, a path with a number, an osm-marked number, a phone number, wide letters, a bare number, and short digits in marks."""
+    k = F.col("page_id")
+    url = F.coalesce("url", F.lit("none"))
+    forms = [F.when(url.rlike(r"(?i)^https?://\\S+$"), url).otherwise("www.x.org"), F.concat(url, F.lit("  shop ")), F.concat(F.lit("node/"), k.cast("string")), F.concat(F.lit("OSM-node:"), k.cast("string")), F.concat(F.lit("+1 (555) 01-"), F.lpad(k.cast("string"), 7, "0")), F.concat(F.lit(" \uff23afe\t"), k.cast("string")), k.cast("string"), F.concat(F.lit("("), k.cast("string"), F.lit(")"))]
+    name = F.lit(None).cast("string")
+    for i, f in enumerate(forms):
+        name = F.when(k % 8 == i, f).otherwise(name)
+    return run_sql(s, d, "SELECT page_id, url FROM pages").select("page_id", text.clean_name(name).alias("name"))
 
 
 @query("SELECT p_partkey, LOWER(p_name) AS name_key FROM part")
@@ -745,24 +804,27 @@ def h6_name_key(s, d):
     return run_sql(s, d, "SELECT p_partkey, p_name FROM part").select("p_partkey", text.name_key(F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(" "))).alias("name_key"))
 
 
-@query("SELECT poi_id, CASE WHEN duration_s < 59.5 THEN CAST(CAST(ROUND(duration_s) AS BIGINT) AS VARCHAR) || ' 秒' ELSE CAST(CAST(FLOOR(ROUND(duration_s) / 60) AS BIGINT) AS VARCHAR) || ' 分 ' || CAST(CAST(ROUND(duration_s) AS BIGINT) % 60 AS VARCHAR) || ' 秒' END AS label FROM v_accessibility WHERE duration_s >= 0")
+@query("SELECT poi_id, CASE WHEN duration_s < 0 THEN NULL WHEN duration_s < 59.5 THEN CAST(CAST(ROUND(duration_s) AS BIGINT) AS VARCHAR) || ' 秒' ELSE CAST(CAST(FLOOR(ROUND(duration_s) / 60) AS BIGINT) AS VARCHAR) || ' 分 ' || CAST(CAST(ROUND(duration_s) AS BIGINT) % 60 AS VARCHAR) || ' 秒' END AS label, CASE WHEN distance_m < 1000 THEN CAST(CAST(distance_m AS BIGINT) AS VARCHAR) || ' m' ELSE printf('%.1f km', FLOOR(distance_m / 100 + 0.5) / 10) END AS distance FROM v_accessibility")
 def h15_duration_text(s, d):
-    return view(s, d, "v_accessibility").where("duration_s >= 0").select("poi_id", text.duration_text(F.col("duration_s")).alias("label"))
+    return view(s, d, "v_accessibility").select("poi_id", text.duration_text(F.col("duration_s")).alias("label"), text.distance_text(F.col("distance_m")).alias("distance"))
 
 
-@query("SELECT poi_id, sha256(poi_id || '|' || k || '|' || source_key) AS id FROM v_poi")
+@query("SELECT poi_id, sha256(poi_id || '|' || k || '|' || printf('%.7f', FLOOR(lon * 10000000 + 0.5) / 10000000) || '|' || printf('%.7f', FLOOR(lat * 10000000 + 0.5) / 10000000)) AS id FROM v_poi")
 def h14_identity(s, d):
-    return view(s, d, "v_poi").select("poi_id", text.identity(F.col("poi_id"), F.col("k"), F.col("source_key")).alias("id"))
+    return view(s, d, "v_poi").select("poi_id", text.identity(F.col("poi_id"), F.col("k"), *map(text.number_text, (F.col("lon"), F.col("lat")))).alias("id"))
 
 
-@query()
+@query("SELECT poi_id, lower(lpad(to_hex(list_reduce(list_transform(string_split(poi_id, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda a, c: (xor(a, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))), 8, '0')) AS hash FROM v_poi")
 def h13_fnv1a32(s, d):
     return view(s, d, "v_poi").select("poi_id", text.fnv1a32(F.col("poi_id")).alias("hash"))
 
 
-@query("SELECT p_partkey, ROUND(10 * ((LENGTH(p_name) - LENGTH(REPLACE(p_name, ' ', ''))) * 0.36 + LENGTH(REPLACE(p_name, ' ', '')) * 0.58), 6) AS width FROM part")
+@query("WITH p AS (SELECT p_partkey, CAST(10 + p_partkey % 9 AS DOUBLE) AS font, CASE p_partkey % 4 WHEN 0 THEN 'é ' || p_name WHEN 1 THEN p_name || ' 数据' WHEN 2 THEN 'Ω ж 🙂' ELSE 'a' END AS t, CASE p_partkey % 4 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 0 END AS wide FROM part), n AS (SELECT *, LENGTH(t) - LENGTH(REPLACE(t, ' ', '')) AS sp FROM p) SELECT p_partkey, CAST(GREATEST(18, CEIL((wide * CAST(1 AS DOUBLE) + sp * CAST(0.36 AS DOUBLE) + (LENGTH(t) - wide - sp) * CAST(0.58 AS DOUBLE)) * font + 8)) AS BIGINT) AS width, CAST(CEIL(font * CAST(1.34 AS DOUBLE) + 4) AS BIGINT) AS height FROM n")
 def h19_label_width(s, d):
-    return run_sql(s, d, "SELECT p_partkey, p_name FROM part").select("p_partkey", F.round(text.label_width(F.col("p_name"), F.lit(10.0)), 6).alias("width"))
+    k = F.col("p_partkey") % 4
+    t = F.when(k == 0, F.concat(F.lit("é "), "p_name")).when(k == 1, F.concat("p_name", F.lit(" 数据"))).when(k == 2, "Ω ж 🙂").otherwise("a")
+    b = run_sql(s, d, "SELECT p_partkey, p_name FROM part").withColumn("b", text.label_box(t, (10 + F.col("p_partkey") % 9).cast("double")))
+    return b.select("p_partkey", F.col("b.width").cast("bigint").alias("width"), F.col("b.height").cast("bigint").alias("height"))
 
 
 # ---- provider rules, guards, previews ----
@@ -802,11 +864,12 @@ def c19_map_provider_category(s, d):
     return categories.map_provider_category(p, catalog).select("row_id", "group_id")
 
 
-@query("""WITH t AS (SELECT plan_id AS analysis_id, source_id, pos, CASE WHEN pos % 6 = 0 THEN 'name-missing' WHEN pos % 7 = 0 THEN 'coordinates-invalid' END AS reason, pos % 2 = 0 AS is_match, pos % 4 = 0 AS is_selected FROM v_piece_result WHERE source_id IS NOT NULL)
-SELECT analysis_id, COUNT(*) AS received, COUNT(DISTINCT source_id) AS deduplicated, COUNT(*) FILTER (reason = 'name-missing') AS unnamed, COUNT(*) FILTER (reason = 'coordinates-invalid') AS invalid, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_match) AS matched, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_selected) AS returned FROM t GROUP BY 1""")
+@query("""WITH t AS (SELECT plan_id AS analysis_id, source_id, pos, CASE WHEN source_id IS NULL THEN 'stable-id-missing' WHEN pos % 6 = 0 THEN 'name-missing' WHEN pos % 7 = 0 THEN 'coordinates-invalid' END AS reason, pos % 2 = 0 AS is_match, pos % 4 = 0 AS is_selected FROM v_piece_result)
+SELECT analysis_id, COUNT(*) AS received, COUNT(DISTINCT source_id) AS deduplicated, COUNT(*) FILTER (reason = 'name-missing') AS unnamed, COUNT(*) FILTER (reason IN ('coordinates-invalid', 'stable-id-missing')) AS invalid, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_match) AS matched, COUNT(DISTINCT source_id) FILTER (reason IS NULL AND is_selected) AS returned FROM t GROUP BY 1""")
 def d14_provider_coverage(s, d):
     p = F.col("pos")
-    t = view(s, d, "v_piece_result").where("source_id is not null").select(F.col("plan_id").alias("analysis_id"), "source_id", F.when(p % 6 == 0, "name-missing").when(p % 7 == 0, "coordinates-invalid").alias("reason"), (p % 2 == 0).alias("is_match"), (p % 4 == 0).alias("is_selected"))
+    reason = F.when(F.col("source_id").isNull(), "stable-id-missing").when(p % 6 == 0, "name-missing").when(p % 7 == 0, "coordinates-invalid")
+    t = view(s, d, "v_piece_result").select(F.col("plan_id").alias("analysis_id"), "source_id", reason.alias("reason"), (p % 2 == 0).alias("is_match"), (p % 4 == 0).alias("is_selected"))
     return selection.provider_coverage(t)
 
 
@@ -821,17 +884,19 @@ def f7_guard_area(s, d):
     return selection.guard_area(p, 150.0).select("analysis_id", "range_minutes", "status")
 
 
-@query("""WITH r AS (SELECT analysis_id, ring_id, poi_id FROM v_score), p AS (SELECT analysis_id, CONCAT('ring-0-', outer_minutes) AS ring_id, poi_id FROM v_ring_poi WHERE analysis_id < 10), u AS (SELECT * FROM r WHERE analysis_id >= 10 UNION ALL SELECT * FROM p)
-SELECT analysis_id, ring_id, COUNT(*) AS n, CASE WHEN analysis_id < 10 THEN 'old,preview' ELSE 'old' END AS warnings FROM u GROUP BY 1, 2""")
+@query("""WITH f AS (SELECT analysis_id FROM v_analysis WHERE profile = 'foot-walking'), r AS (SELECT analysis_id, ring_id, poi_id FROM v_score), p AS (SELECT analysis_id, CONCAT('ring-0-', outer_minutes) AS ring_id, poi_id FROM v_ring_poi WHERE analysis_id IN (SELECT analysis_id FROM f)), u AS (SELECT * FROM r WHERE analysis_id NOT IN (SELECT analysis_id FROM f) UNION ALL SELECT * FROM p)
+SELECT u.analysis_id, ring_id, COUNT(*) AS n, CASE WHEN u.analysis_id IN (SELECT analysis_id FROM f) THEN 'old,preview' ELSE 'old' END AS warnings FROM u GROUP BY 1, 2""")
 def g7_merge_preview(s, d):
+    """The walking analyses have previews."""
     r = view(s, d, "v_score").select("analysis_id", "ring_id", "poi_id", F.lit("old").alias("warning"))
-    p = assigned(s, d).where("analysis_id < 10").select("analysis_id", F.concat(F.lit("ring-0-"), F.col("outer_minutes").cast("string")).alias("ring_id"), "poi_id", F.lit("preview").alias("warning"))
+    walking = view(s, d, "v_analysis").where("profile = 'foot-walking'").select("analysis_id")
+    p = assigned(s, d).join(walking.hint("broadcast"), "analysis_id").select("analysis_id", F.concat(F.lit("ring-0-"), F.col("outer_minutes").cast("string")).alias("ring_id"), "poi_id", F.lit("preview").alias("warning"))
     return selection.merge_preview(r, p)[1].select("analysis_id", "ring_id", "n", F.array_join("warnings", ",").alias("warnings"))
 
 
-@query("SELECT analysis_id, range_minutes, CAST(COUNT(*) AS BIGINT) AS n_vertices, CAST(1 AS BIGINT) AS n_parts, CAST(1 AS BIGINT) AS n_rings FROM v_edge GROUP BY 1, 2")
+@query("SELECT e.analysis_id, e.range_minutes, CAST(COUNT(*) AS BIGINT) AS n_vertices, CAST(1 AS BIGINT) AS n_parts, CAST(1 AS BIGINT) AS n_rings, ROUND(4 * PI() * ABS(SUM((x1 - a.lon) * (y2 - a.lat) - (x2 - a.lon) * (y1 - a.lat))) / 2 / POWER(SUM(SQRT(POWER(x2 - x1, 2) + POWER(y2 - y1, 2))), 2), 9) AS compactness, CAST(5 + SUM(LENGTH(CAST(x1 AS VARCHAR)) + LENGTH(CAST(y1 AS VARCHAR)) + 12) AS BIGINT) AS json_bytes FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id GROUP BY 1, 2")
 def k8_piece_report(s, d):
-    return tiles.piece_report(isochrone_polygons(s, d)).select("analysis_id", "range_minutes", *(F.col(c).cast("bigint").alias(c) for c in ("n_vertices", "n_parts", "n_rings")))
+    return tiles.piece_report(isochrone_polygons(s, d)).select("analysis_id", "range_minutes", *(F.col(c).cast("bigint").alias(c) for c in ("n_vertices", "n_parts", "n_rings", "json_bytes")), F.round("compactness", 9).alias("compactness"))
 
 
 @query("SELECT analysis_id, CAST(COUNT(*) AS BIGINT) AS n_parts, TRUE AS conserved FROM (SELECT DISTINCT analysis_id, range_minutes FROM v_edge) t GROUP BY 1")
@@ -853,10 +918,14 @@ def h9_bearing(s, d):
     return view(s, d, "v_poi").select("poi_id", F.round(geo.bearing(F.lit(114.3), F.lit(30.6), F.col("lon"), F.col("lat")), 6).alias("bearing"))
 
 
-@query("SELECT range_minutes, COUNT(DISTINCT analysis_id) AS n FROM v_edge GROUP BY 1")
+@query("""WITH v AS (SELECT analysis_id, range_minutes, seq, x, y, COUNT(*) OVER (PARTITION BY analysis_id, range_minutes) AS n, ROW_NUMBER() OVER (PARTITION BY analysis_id, range_minutes ORDER BY x, y) AS low FROM v_ring_vertex), f AS (SELECT analysis_id, range_minutes, seq AS first FROM v WHERE low = 1)
+SELECT v.analysis_id, v.range_minutes, sha256(STRING_AGG(printf('%.7f %.7f', x, y), ',' ORDER BY (seq - first + n) % n)) AS hash, TRUE AS same FROM v JOIN f ON f.analysis_id = v.analysis_id AND f.range_minutes = v.range_minutes GROUP BY 1, 2""")
 def h21_geometry_hash(s, d):
-    """Hashes are as many as polygons, whether rings are turned round or not."""
+    """The hash of the canonical text, and the same one from rings that are turned round and start elsewhere."""
     p = isochrone_polygons(s, d)
     turned = F.transform("polygon", lambda part: F.transform(part, lambda r: F.concat(F.slice(F.reverse(r), 3, 99), F.slice(F.reverse(r), 1, 2))))
-    h = p.select("range_minutes", geo.geometry_hash(F.col("polygon")).alias("h")).union(p.select("range_minutes", geo.geometry_hash(turned).alias("h")))
-    return h.groupBy("range_minutes").agg(F.countDistinct("h").alias("n"))
+    h = geo.geometry_hash(F.col("polygon"))
+    return p.select("analysis_id", "range_minutes", h.alias("hash"), (h == geo.geometry_hash(turned)).alias("same"))
+
+
+from . import more  # noqa: E402, F401  further queries register themselves

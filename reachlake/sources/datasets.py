@@ -68,9 +68,9 @@ def list_ready_datasets(registry: DataFrame) -> DataFrame:
     return registry.where("ready").orderBy("release", "region_id", "dataset_id")
 
 
-def read_response_records(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """JSON records of all folders under root; unreadable files are left out."""
-    d = spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json").json(root)
+def read_response_records(spark: SparkSession, root: str, schema: str, names: str = "*.json") -> DataFrame:
+    """JSON records of all folders under root whose file names fit; unreadable files are left out."""
+    d = spark.read.schema(f"{schema}, _corrupt_record string").option("recursiveFileLookup", True).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", names).json(root)
     return d.where("_corrupt_record is null").drop("_corrupt_record")
 
 

@@ -62,7 +62,7 @@ def read_geojson(spark: SparkSession, path: str) -> DataFrame:
 
 def read_geojsonl(spark: SparkSession, path: str) -> DataFrame:
     """One feature per line: blank lines and lines that are not objects are skipped, bad JSON fails."""
-    d = _read(spark, path, False).where(F.trim("value").startswith("{")).select("_pos", features_of(F.when(F.trim("value").startswith("{"), F.col("value")), {"mode": "FAILFAST"})[0].alias("f"))
+    d = _read(spark, path, False).where(F.trim("value").startswith("{")).select("_pos", F.explode(F.slice(features_of(F.when(F.trim("value").startswith("{"), F.col("value")), {"mode": "FAILFAST"}), 1, 1)).alias("f"))
     return d.select("_pos", F.lit(0).alias("i"), *(F.col(f"f.{c}").alias(c) for c in FIELDS))
 
 
