@@ -245,17 +245,19 @@ def lm_brute(docs):
     return out
 
 
-@pytest.mark.parametrize("parts", [1, 7])
-def test_lm(spark, parts):
+@pytest.mark.parametrize("shard_tokens", [10**9, 4000])
+def test_lm(spark, shard_tokens):
     real = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     d = real.union(spark.createDataFrame([(100_000 + i, t) for i, t, _ in EDGE], real.schema)).withColumn("w", F.lit(1)).withColumn("held", F.lit(1))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", parts)
-    try:
-        got = {r.doc_id: r for r in lm.score_documents(d).collect()}
-        assert lm.score_documents(d.where("false")).count() == 0
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
+    got = {r.doc_id: r for r in lm.score_documents(d, shard_tokens=shard_tokens).collect()}
+    assert lm.score_documents(d.where("false"), shard_tokens=shard_tokens).count() == 0
+    # A stored model scores other rows, in other partitions, to the last digit alike.
+    model = lm.fit(d, shard_tokens=shard_tokens)
+    assert (model.shards > 1) == (shard_tokens < 10**9)
+    some = {r.doc_id: r for r in lm.score(d.where("doc_id % 3 = 0").repartition(5), model).collect()}
+    assert all(r.n_known == got[k].n_known and abs(r.score - got[k].score) < 1e-9 * abs(r.score) for k, r in some.items()) and len(some) > 50
+    again = {r.doc_id: r.score for r in lm.score(d, model).collect()}
+    assert again == {k: r.score for k, r in got.items()}
     want = lm_brute([(r[0], r[1]) for r in d.select("doc_id", "text").collect()])
     assert got.keys() == want.keys()
     for k, w in want.items():
@@ -282,14 +284,13 @@ def test_lm_probabilities_sum_to_one():
         slots[int(x) % lm.SLOTS] = round(math.log2(n))
     context = lm.word_hash([text[0]])[0]
     ask = np.concatenate([words, lm.word_hash([b"never seen"])])
-    all_w, all_v = np.concatenate([w, ask]), np.concatenate([v, np.full(len(ask), context)])
-    train = np.arange(len(all_w)) < len(w)
-    cls = slots[(all_v % np.uint64(lm.SLOTS)).astype(int)]
-    _, score, known = lm.score_words(all_w, all_v & np.uint64(lm.MASK40), cls, train, {}, len(w), len(words), slots)
+    trie = lm.Trie(lm.shard_trie(w, v & np.uint64(lm.MASK40), np.ones(len(w)), {}, len(w), len(words), slots))
+    one = np.ones(len(ask), int)
+    _, score, known = lm.score_tokens(trie, ask, one, np.full(len(ask), context & np.uint64(lm.MASK40)), {}, len(w), len(words), slots)
     own = np.where(ask == lm.word_hash([lm.END_WORD])[0], 0.0, np.log10([(c[words == x][0] if (words == x).any() else 0) + lm.SHARE * 2.0 ** slots[int(x) % lm.SLOTS] for x in ask]))
     first = math.log10((v == context).sum() + lm.SHARE * 2.0 ** slots[int(context) % lm.SLOTS])
-    p = 10 ** (score[len(w) :] + own - first)
-    assert known[len(w) :].tolist() == [True] * len(words) + [False] and abs(p.sum() - 1) < 2e-3
+    p = 10 ** (score + own - first)
+    assert known.tolist() == [True] * len(words) + [False] and abs(p.sum() - 1) < 2e-3
 
 
 def test_elias_fano():
