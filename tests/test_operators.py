@@ -308,3 +308,180 @@ def test_job_state_stream(spark, tmp_path):
         assert {r.event_id: r.verdict for r in spark.table("t_jobs").collect()} == {1: "created", 2: "advanced", 3: "repeat", 4: "regression", 5: "fingerprint-conflict", 6: "created"}
     finally:
         spark.conf.set(key, before)
+
+
+def plain_round_robin(rows, n):
+    """The rule restated: rows in match order, one a turn from the group that the turn's number modulo the groups left names."""
+    if len(rows) <= n:
+        return [r[3] for r in rows]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r[1], r[2]), []).append(r[3])
+    names, out = sorted(groups), []
+    while len(out) < n and names:
+        name = names[len(out) % len(names)]
+        out.append(groups[name].pop(0))
+        if not groups[name]:
+            names.remove(name)
+    return out
+
+
+def test_exact_round_robin_against_the_rule(spark):
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for a in range(150):
+        own = sorted((a, f"r{rnd.randint(0, 2)}", f"t{rnd.randint(0, 3)}", [rnd.choice("xyz")], f"p{a}-{i:03d}") for i in range(rnd.randint(1, 40)))
+        own.sort(key=lambda r: (r[1], r[2], r[3], r[4]))
+        want[a] = plain_round_robin([(*r[:3], r[4]) for r in own], 12)
+        rows += own
+    rows += [(900, "r", t, ["x"], f"{t.lower()}{i}") for t, k in (("A", 2), ("B", 3), ("C", 3)) for i in range(k)]
+    d = spark.createDataFrame(rows, "analysis_id int, ring_id string, top_id string, hierarchy array<string>, poi_id string")
+    got = {}
+    for r in selection.round_robin_limit(d, 12, exact=True).orderBy("position").collect():
+        got.setdefault(r.analysis_id, []).append(r.poi_id)
+    assert {a: got[a] for a in want} == want
+    six = selection.round_robin_limit(d.where("analysis_id = 900"), 6, exact=True).orderBy("position").collect()
+    assert [r.poi_id for r in six] == ["a0", "b0", "c0", "a1", "b1", "c1"]
+
+
+def test_merge_piece_results_against_the_rule(spark):
+    rnd = random.Random(7)
+    rows = []
+    for plan in range(4):
+        for pos in range(120):
+            lon, lat = (rnd.randint(0, 12) * 3 / 96000, rnd.randint(0, 3) * 3 / 111000)
+            if rnd.random() < 0.1:
+                lon = rnd.choice([None, 500.0, 2.0])
+            rows.append((plan, rnd.randint(0, 2), pos, "osm", rnd.choice([None, "", f"n{rnd.randint(0, 30)}"]), rnd.choice(["Cafe  A", "cafe a", "B"]), lon, lat))
+    pieces = [(p, i, True, p == 3) for p in range(4) for i in range(3)]
+    d = spark.createDataFrame(rows, "plan_id int, piece int, pos int, source string, source_id string, name string, lon double, lat double")
+    outer = squares(spark, (30, 1)).select(F.explode(F.array(*map(F.lit, range(4)))).alias("plan_id"), "edges", "box")
+    got, counts = selection.merge_piece_results(d, spark.createDataFrame(pieces, "plan_id int, piece int, complete boolean, truncated boolean"), outer)
+    want, sums = set(), {}
+    for plan in range(3):
+        kept, ids, n = [], set(), {"raw": 0, "outside": 0, "duplicate": 0}
+        for r in sorted((r for r in rows if r[0] == plan), key=lambda r: (r[1], r[2])):
+            n["raw"] += 1
+            if r[6] is None or not (0 <= r[6] <= 1 and 0 <= r[7] <= 1):
+                n["outside"] += 1
+            elif r[4] and r[4] in ids:
+                n["duplicate"] += 1
+            elif not r[4] and any(" ".join(k[5].lower().split()) == " ".join(r[5].lower().split()) and math.hypot((k[6] - r[6]) * 96000, (k[7] - r[7]) * 111000) <= 5 for k in kept):
+                n["duplicate"] += 1
+            else:
+                kept.append(r)
+                ids.add(r[4] or None)
+        want |= {(plan, r[1], r[2]) for r in kept}
+        sums[plan] = (n["raw"], n["outside"], n["duplicate"], len(kept))
+    assert {(r.plan_id, r.piece, r.pos) for r in got.collect()} == want
+    assert {r.plan_id: (r.raw, r.outside, r.duplicate, r.merged) for r in counts.collect()} == sums
+
+
+def test_exclusive_rings_of_polygons_that_do_not_nest(spark):
+    """Against samples: a star that cuts into the square before it, and two squares side by side."""
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    star = [(-3.0, -1.0), (7.0, -1.0), (3.0, 2.0), (7.0, 6.0), (2.0, 3.0), (-3.0, 6.0)]
+    far = [(10.0, 0.0), (11.0, 0.0), (11.0, 1.0), (10.0, 1.0)]
+    rows = [(1, 10, [[square]]), (1, 20, [[star]]), (2, 10, [[square]]), (2, 20, [[far]])]
+    p = spark.createDataFrame(rows, f"analysis_id int, range_minutes int, polygon {POLYGON}")
+    d = spatial.with_edges(p).select("analysis_id", "range_minutes", "edges", geo.polygon_area(F.col("polygon")).alias("area"))
+    got = {(r.analysis_id, r.range_minutes): r for r in tiles.build_rings(d).collect()}
+
+    def inside(poly, x, y):
+        return sum((poly[i - 1][1] > y) != (q[1] > y) and x < (q[0] - poly[i - 1][0]) * (y - poly[i - 1][1]) / (q[1] - poly[i - 1][1]) + poly[i - 1][0] for i, q in enumerate(poly)) % 2 == 1
+
+    rnd = random.Random(1)
+    hits = sum(inside(star, x, y) and not inside(square, x, y) for x, y in ((rnd.uniform(-3, 7), rnd.uniform(-1, 6)) for _ in range(40_000)))
+    assert abs(got[1, 20].exclusive_area - hits / 40_000 * 70) < 0.6 and not got[1, 20].nested
+    assert got[1, 10].exclusive_area == 16 and got[1, 10].nested
+    assert abs(got[2, 20].exclusive_area - 1) < 1e-9 and not got[2, 20].nested
+
+
+def test_points_meet_polygons_of_all_sizes(spark):
+    """A tiny and a very large polygon with a hole, whole cells among theirs, against ray casting; points on edges and corners too."""
+    rnd = random.Random(2)
+    star = lambda cx, cy, r, n: [(cx + r * (1 if i % 2 else 0.5) * math.cos(i * 2 * math.pi / n), cy + r * (1 if i % 2 else 0.5) * math.sin(i * 2 * math.pi / n)) for i in range(n)]
+    polys = {1: [[star(10, 10, 0.001, 10)]], 2: [[star(10, 10, 60, 40), star(10, 10, 5, 8)]], 3: [[[(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0)]]]}
+    points = [(i, rnd.uniform(-60, 80), rnd.uniform(-60, 80)) for i in range(600)] + [(600 + i, 10 + rnd.uniform(-0.001, 0.001), 10 + rnd.uniform(-0.001, 0.001)) for i in range(200)] + [(900, 0.0, 0.0), (901, 8.0, 4.0), (902, 8.0, 8.0), (903, 4.0, 0.0), (904, 8.0000001, 4.0)]
+
+    def covered(poly, x, y):
+        odd = False
+        for ring in (r for part in poly for r in part):
+            for i, q in enumerate(ring):
+                p = ring[i - 1]
+                if (q[0] - p[0]) * (y - p[1]) == (q[1] - p[1]) * (x - p[0]) and min(p[0], q[0]) <= x <= max(p[0], q[0]) and min(p[1], q[1]) <= y <= max(p[1], q[1]):
+                    return True
+                if (p[1] > y) != (q[1] > y) and x < (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1]) + p[0]:
+                    odd = not odd
+        return odd
+
+    d = spatial.with_edges(spark.createDataFrame(list(polys.items()), f"id int, polygon {POLYGON}")).drop("polygon")
+    p = spark.createDataFrame(points, "k int, lon double, lat double")
+    got = sorted((r.k, r.id) for r in spatial.points_in_polygons(p, d).collect())
+    assert got == sorted((k, i) for k, x, y in points for i, poly in polys.items() if covered(poly, x, y))
+
+
+def test_gaps_of_lonely_and_crowded_nodes(spark):
+    rnd = random.Random(3)
+    nodes = [(1, i, rnd.gauss(0, 40) * (1 if i % 7 else 60), rnd.gauss(0, 40), 20 + i % 40, 18) for i in range(200)] + [(2, 1, 5.0, 5.0, 20, 18), (3, 1, -9000.0, 0.0, 20, 18), (3, 2, 9000.0, 1.0, 30, 18), (4, 1, 0.0, 0.0, 1, 1), (4, 2, 0.0, 0.0, 1, 1)]
+    d = spark.createDataFrame(nodes, "layout_id int, node_id int, x double, y double, width int, height int")
+    got = {(r.layout_id, r.node_id): r.gap for r in spatial.nearest_gap(d).collect()}
+    assert len(got) == len(nodes)
+    for a in nodes:
+        gaps = [math.hypot(max(0, abs(a[2] - b[2]) - (a[4] + b[4]) / 2), max(0, abs(a[3] - b[3]) - (a[5] + b[5]) / 2)) for b in nodes if b[0] == a[0] and b[1] != a[1]]
+        assert got[a[:2]] is None if not gaps else abs(got[a[:2]] - min(gaps)) < 1e-9
+
+
+def test_fingerprints_tell_repeated_rows_apart(spark):
+    a = spark.createDataFrame([(1, "a", 1.0), (1, "a", 1.0)], "k int, t string, v double")
+    b = spark.createDataFrame([(1, "b", 1.0), (1, "b", 1.0)], "k int, t string, v double")
+    f = lambda d: tuple(publish.result_fingerprint(d, "k", ["t", "v"]).first())[1:]
+    assert f(a) != f(b) and f(a.repartition(2)) == f(a) and f(a.limit(1)) != f(a)
+
+
+def test_publishing_no_rows_and_interrupted_writers(spark, tmp_path):
+    path, some = str(tmp_path / "ds"), spark.range(4).toDF("x")
+    datasets.publish_dataset(some, path, "d", "r1")
+    # A writer that died before its registry row: readers still get the old rows.
+    some.union(some).write.parquet(f"{path}/rows/dataset_id=d/content=half")
+    assert datasets.read_dataset(spark, path, "d").count() == 4
+    datasets.publish_dataset(some.where("false"), path, "d", "r2", replace=True, region_id="east")
+    assert datasets.read_dataset(spark, path, "d").count() == 0 and not (tmp_path / "ds/rows/dataset_id=d/content=half").exists()
+    ready = datasets.list_ready_datasets(spark.read.parquet(f"{path}/registry")).first()
+    assert (ready.dataset_id, ready.release, ready.region_id, ready.n_rows) == ("d", "r2", "east", 0)
+    with pytest.raises(ValueError):
+        datasets.read_dataset(spark, path, "e")
+
+
+def test_job_verdicts_equal_the_stream(spark, tmp_path):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randint(0, 30), i, rnd.choice([0, 1, 2, 7, 8, 8, 9, 9]), rnd.choice("ffffg")) for i in range(300)]
+    d = spark.createDataFrame(rows, "event_id bigint, job_id int, t int, state_idx int, fingerprint string").withColumn("ts", F.timestamp_seconds(F.col("t") + 1000)).drop("t")
+    want = {r.event_id: r.verdict for r in ledger.job_verdicts(d).collect()}
+    assert {"not-ready", "advanced", "regression", "repeat", "created", "fingerprint-conflict"} <= set(want.values())
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, jobs.ROCKSDB)
+    try:
+        d.coalesce(1).write.parquet(str(tmp_path / "src"))
+        q = jobs.job_states(spark.readStream.schema(d.schema).parquet(str(tmp_path / "src"))).writeStream.format("memory").queryName("t_verdicts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination(120)
+        assert {r.event_id: r.verdict for r in spark.table("t_verdicts").collect()} == want
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_file_hashes_and_results(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "a.txt").write_text("abc")
+    assert [r.sha256 for r in datasets.file_hashes(spark, str(tmp_path / "a.txt")).collect()] == [hashlib.sha256(b"abc").hexdigest()]
+    v = spark.createDataFrame([(1, "ring-0-10", "p1", 5.0, 7.0)], "analysis_id int, ring_id string, poi_id string, travel_time_s double, distance_m double")
+    datasets.write_results(v, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().poi_count == 1
+
+
+def test_centroid_with_holes(spark):
+    hole = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(2.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 4.0)]]
+    d = spark.createDataFrame([([hole],)], f"polygon {POLYGON}").select(geo.centroid(F.col("polygon")).alias("c")).first().c
+    assert abs(d.x - 1) < 1e-12 and abs(d.y - 2) < 1e-12
