@@ -208,7 +208,10 @@ class Planes:
                 carry = diff(b, word)
                 for d in range(k):
                     digits[d], carry = digits[d] ^ carry, digits[d] & carry
-                live &= ~carry
+                    if d and not carry.any():
+                        break
+                else:
+                    live &= ~carry
             if radius + 1 < 1 << k:
                 above, same = np.zeros(len(word), np.uint64), ~np.zeros(len(word), np.uint64)
                 for d in range(k - 1, -1, -1):
@@ -234,12 +237,24 @@ def close_wide(x, y, radius: int):
     return Planes(x ^ y).near(Planes(x ^ y).against(np.zeros(x[:1].size, np.uint64)), np.arange(len(x)), radius)
 
 
-def bucket_links(keys, x, lags: int = 1024, radius: int = RADIUS):
+def outsiders(root, start, end):
+    """Positions in the runs [start, end) that are outside their run's largest component."""
+    import numpy as np
+
+    out = [np.zeros(0, np.int64)]
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        own, at, count = np.unique(root[a:b], return_inverse=True, return_counts=True)
+        out.append(a + np.flatnonzero(at != count.argmax()))
+    return np.concatenate(out)
+
+
+def bucket_links(keys, x, lags: int = 32, radius: int = RADIUS):
     """Spanning links (positions a, b) of each run of equal keys; x is distinct within a run.
 
-    All runs are compared at shifts 1 to `lags` together, which settles runs of up to lags + 1. In longer
-    runs every member outside the run's largest component is then compared with all members outside its
-    own: a link that is still missing has such an end.
+    All runs are compared at shifts 1, 2, ... together, which settles runs of up to that many and one more. After `lags` shifts, and
+    after as many again and again, longer runs leave the shifts if fewer members are outside their largest components
+    than shifts are to come: each of these members is compared with all members outside its own component, as a
+    link that is still missing has such an end.
     """
     import numpy as np
 
@@ -272,28 +287,32 @@ def bucket_links(keys, x, lags: int = 1024, radius: int = RADIUS):
     end = np.concatenate([start[1:], [n]])
     reach = np.repeat(end, end - start)
     at = np.arange(n)
-    for lag in range(1, lags + 1):
+    lag = 0
+    while True:
+        lag += 1
         at = at[reach[at] - at > lag]
         if not len(at):
-            break
+            return left, right
         p = planes.near(planes.shifted(lag), at[root[at] != root[at + lag]], radius)
         if len(p):
             link(p.tolist(), (p + lag).tolist())
             flat()
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        if b - a <= lags + 1:
-            continue
-        own, count = np.unique(root[a:b], return_counts=True)
-        most = own[count.argmax()]
-        for i in (a + np.flatnonzero(root[a:b] != most)).tolist():
-            p = planes.near(planes.against(x[i]), a + np.flatnonzero(root[a:b] != find(i)), radius)
-            if len(p):
-                link([i] * len(p), p.tolist())
-                flat(a, b)
+        if lag % lags == 0:
+            long = end - start > lag + 1
+            rest = outsiders(root, start[long], end[long])
+            if len(rest) <= (end - start).max() - lag:
+                break
+    first = np.repeat(start, end - start)
+    for i in rest.tolist():
+        a, b = int(first[i]), int(reach[i])
+        p = planes.near(planes.against(x[i]), a + np.flatnonzero(root[a:b] != find(i)), radius)
+        if len(p):
+            link([i] * len(p), p.tolist())
+            flat(a, b)
     return left, right
 
 
-def cross_pairs(keys, root, n, x, radius: int, lags: int = 1024):
+def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
     """All pairs (positions p, q, each pair once) of equal keys and different roots within the radius whose set sizes n allow the similarity.
 
     Runs are compared as in bucket_links: in long ones only members outside the run's largest root meet all others.
@@ -309,22 +328,26 @@ def cross_pairs(keys, root, n, x, radius: int, lags: int = 1024):
     end = np.concatenate([start[1:], [len(x)]])
     reach = np.repeat(end, end - start)
     at = np.arange(len(x))
-    for lag in range(1, lags + 1):
+    lag = 0
+    while True:
+        lag += 1
         at = at[reach[at] - at > lag]
         if not len(at):
-            break
+            return
         p = planes.near(planes.shifted(lag), at[fit(at, at + lag)], radius)
         yield p, p + lag
-    for a, b in zip(start.tolist(), end.tolist(), strict=True):
-        if b - a <= lags + 1:
-            continue
-        own, count = np.unique(root[a:b], return_counts=True)
-        rest = root[a:b] != own[count.argmax()]
-        for i in (a + np.flatnonzero(rest)).tolist():
-            q = a + np.flatnonzero(~rest | (np.arange(a, b) > i))
-            q = q[np.abs(q - i) > lags]
-            q = planes.near(planes.against(x[i]), q[fit(np.full(len(q), i), q)], radius)
-            yield np.full(len(q), i), q
+        if lag % lags == 0:
+            long = end - start > lag + 1
+            rest = outsiders(root, start[long], end[long])
+            if len(rest) <= (end - start).max() - lag:
+                break
+    first, out = np.repeat(start, end - start), np.zeros(len(x), bool)
+    out[rest] = True
+    for i in rest.tolist():
+        q = np.arange(first[i], reach[i])
+        q = q[(~out[q] | (q > i)) & (np.abs(q - i) > lag)]
+        q = planes.near(planes.against(x[i]), q[fit(np.full(len(q), i), q)], radius)
+        yield np.full(len(q), i), q
 
 
 def _by_run(found):
