@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -12,7 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from reachlake.plans import queries as Q  # noqa: E402
 
-HEADLINE = ("flagship_ring_counts", "c2_assign_rings", "c5_publish", "e2_select_by_quota", "d5_category_rollup", "c12_pairwise_retention", "d15_direction_metrics", "b3_classify_features", "k5_adaptive_tiles", "d21_ledger_totals")
+HEADLINE = ("flagship_ring_counts", "c2_assign_rings", "c5_publish", "e2_select_by_quota", "d5_category_rollup", "c12_pairwise_retention", "d15_direction_metrics", "b3_classify_features", "k5_adaptive_tiles", "d21_ledger_totals", "c14_nearest_gap", "g1_merge_piece_results", "k2_tile_polygons")
 
 
 def main() -> None:
@@ -20,6 +21,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")

