@@ -577,6 +577,9 @@ def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, sure: int = 46, chunk: int = CHUNK) -> DataFrame:
     """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
 
+    Null, empty and blank texts have the empty set and are one node; texts of fewer than five words have one shingle of all. Repeated rows give repeated
+    rows; component_id is the smallest doc_id, null only if all its rows have none. Extra columns are not read.
+
     Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7. Their
     members are compared by 256-bit SimHashes of the sets with the bit-sliced counters, as a filter only: a pair at 0.8 differs
     in 39 bits (standard deviation 6; 48 if the sets are of four and five shingles). Every link is confirmed on the sets themselves.

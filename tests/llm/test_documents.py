@@ -438,3 +438,21 @@ def test_mix_of_overlapping_sources(spark):
 def test_targets_cap_and_reshare():
     t = mixing.source_targets({"a": 10, "b": 100, "c": 100, None: 0}, mixing.default_weights(["a", "b", "c", None]))
     assert t[None] == 0 and t["a"] == 20 and abs(sum(t.values()) - 315) < 1e-9 and all(t[s] <= 2 * n for s, n in {"b": 100, "c": 100}.items())
+
+
+def test_texts_of_over_a_million_characters(spark):
+    """Whole texts count: what matters stands at the end of each."""
+    body = " ".join(f"w{i % 5000}x{i % 7}" for i in range(150_000))
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(1, f"{body} {passage}", "a"), (2, f"{body} {passage}.", "b"), (3, f"{body}\n{LINE}", "a"), *((i, LINE, "c") for i in range(4, 8))]
+    assert len(rows[0][1]) > 1_000_000
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    b = spark.createDataFrame([(1, passage)], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.contamination(d, b).where("contaminated").collect()} == {1, 2}
+    assert {r.doc_id: r.n_dropped for r in linededup.line_bitmaps(d).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 1, 7: 0}
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()} == {1: 1, 2: 1, 3: 1} | dict.fromkeys(range(4, 8), 4)
+    assert {r.doc_id: r.size for r in mixing.mix(d).collect()}[1] == 150_010
+    q = {r.doc_id: r for r in quality.quality_verdicts(d).collect()}
+    assert q[1].n_words == 150_010 and q[1].n_repeat_words == brute.quality_base(rows[:1] and [(1, rows[0][1])])[1][4]
+    got = {r[0]: (r[1], r[2]) for r in simhash.near_duplicates(d).select("doc_id", "fingerprint", "component_id").collect()}
+    assert got == brute.simhash([r[:2] for r in rows])
