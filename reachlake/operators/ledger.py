@@ -25,7 +25,7 @@ def illegal_edges(events: DataFrame, edges: DataFrame) -> DataFrame:
     """Steps (from_state, to_state) of jobs that the table of allowed edges does not have, with their counts."""
     d = events.withColumn("from_state", F.lag("state_idx").over(Window.partitionBy("job_id").orderBy("ts", "event_id"))).where("from_state is not null and from_state <> state_idx")
     steps = d.groupBy("from_state", F.col("state_idx").alias("to_state")).agg(F.count("*").alias("n"))
-    return steps.join(edges, ["from_state", "to_state"], "left_anti")
+    return steps.join(edges.hint("merge"), ["from_state", "to_state"], "left_anti")
 
 
 def audit_budget(events: DataFrame, budgets: DataFrame, minutes: int = 60) -> DataFrame:
@@ -38,9 +38,9 @@ def audit_budget(events: DataFrame, budgets: DataFrame, minutes: int = 60) -> Da
     e = events.withColumn("slice", slice_)
     s = e.groupBy("service", "slice").agg(F.sum("upstream").alias("up"))
     w = Window.partitionBy("service").orderBy("slice")
-    s = s.withColumn("before", F.sum("up").over(w) - F.col("up")).join(budgets, "service")
+    s = s.withColumn("before", F.sum("up").over(w) - F.col("up")).join(budgets.hint("merge"), "service")
     broken = s.where("before <= budget and before + up > budget").groupBy("service").agg(F.min_by(F.struct("slice", "before", "budget"), "slice").alias("b")).select("service", "b.*")
-    inner = e.join(broken, ["service", "slice"])
+    inner = e.join(broken.hint("merge"), ["service", "slice"])
     run = F.col("before") + F.sum("upstream").over(Window.partitionBy("service").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     return inner.withColumn("running", run).where("running > budget").groupBy("service").agg(F.min_by(F.struct("event_id", "running"), F.struct("ts", "event_id")).alias("f")).select("service", "f.*")
 

@@ -74,7 +74,7 @@ def publish_accessibility(poi: DataFrame, acc: DataFrame) -> tuple[DataFrame, Da
 def restore_spatial_band(published: DataFrame, spatial: DataFrame) -> DataFrame:
     """ring_id from the spatial assignment where there is one; times cleared."""
     s = spatial.select("analysis_id", "poi_id", F.col("ring_id").alias("_ring"))
-    d = published.join(s, ["analysis_id", "poi_id"], "left").withColumn("ring_id", F.coalesce("_ring", "ring_id"))
+    d = published.join(s.hint("merge"), ["analysis_id", "poi_id"], "left").withColumn("ring_id", F.coalesce("_ring", "ring_id"))
     return d.drop("_ring").withColumns({"travel_time_s": F.lit(None).cast("double"), "distance_m": F.lit(None).cast("double")})
 
 
@@ -128,9 +128,9 @@ def conservation(acc: DataFrame) -> DataFrame:
 
 
 def band_members(published: DataFrame, rings: DataFrame) -> DataFrame:
-    """Per (analysis_id, ring_id) of rings: count and the ordered list of poi ids, empty rings included."""
+    """Per (analysis_id, ring_id) of rings: count and the ordered list of poi ids, empty rings included. The ids of one ring of one analysis have to fit a row."""
     m = published.groupBy("analysis_id", "ring_id").agg(F.array_sort(F.collect_list("poi_id")).alias("poi_ids"))
-    d = rings.join(m, ["analysis_id", "ring_id"], "left").withColumn("poi_ids", F.coalesce("poi_ids", F.array().cast("array<string>")))
+    d = rings.join(m.hint("merge"), ["analysis_id", "ring_id"], "left").withColumn("poi_ids", F.coalesce("poi_ids", F.array().cast("array<string>")))
     return d.withColumn("n", F.size("poi_ids"))
 
 
@@ -144,7 +144,7 @@ def normalization_summary(published: DataFrame) -> DataFrame:
 
 def same_ids(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: ids only in a, only in b, and whether the sets are equal. Ids are made distinct before they meet."""
-    j = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)), key, "full_outer")
+    j = a.select(key).distinct().withColumn("_a", F.lit(1)).join(b.select(key).distinct().withColumn("_b", F.lit(1)).hint("merge"), key, "full_outer")
     return j.agg(F.count_if(F.col("_b").isNull()).alias("only_a"), F.count_if(F.col("_a").isNull()).alias("only_b")).withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
 
 
@@ -162,7 +162,7 @@ def join_integrity(poi: DataFrame, acc: DataFrame) -> DataFrame:
     """Per analysis: unique ids on both sides, equal id sets, and ok rows with a time."""
     p = poi.groupBy("analysis_id", "poi_id").agg(F.count("*").alias("np"))
     a = with_status(acc).groupBy("analysis_id", "poi_id").agg(F.count("*").alias("na"), F.every((F.col("status") != "ok") | F.col("duration_s").isNotNull()).alias("timed"))
-    j = p.join(a, ["analysis_id", "poi_id"], "full_outer")
+    j = p.join(a.hint("merge"), ["analysis_id", "poi_id"], "full_outer")
     return j.groupBy("analysis_id").agg(F.every(F.coalesce(F.col("np"), F.lit(1)) == 1).alias("poi_unique"), F.every(F.coalesce(F.col("na"), F.lit(1)) == 1).alias("acc_unique"), F.every(F.col("np").isNotNull() & F.col("na").isNotNull()).alias("same_ids"), F.every(F.coalesce("timed", F.lit(True))).alias("ok_timed"))
 
 

@@ -98,7 +98,7 @@ def matrix_batches(poi: DataFrame, size: int = 500) -> DataFrame:
 def validate_batches(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Per planned batch: ok, missing, wrong-profile or wrong-order."""
     r = results.select("batch_id", F.col("profile").alias("_profile"), F.col("poi_ids").alias("_ids"))
-    j = plan.join(r, "batch_id", "left")
+    j = plan.join(r.hint("merge"), "batch_id", "left")
     why = F.when(F.col("_ids").isNull(), "missing").when(F.col("profile") != F.col("_profile"), "wrong-profile").when(F.col("poi_ids") != F.col("_ids"), "wrong-order").otherwise("ok")
     return j.select("batch_id", why.alias("verdict"))
 

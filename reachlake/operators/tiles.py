@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -72,15 +73,18 @@ def morton(x, y, bits: int):
     return out
 
 
-def adaptive_tiles(points: DataFrame, limit: int, depth: int, key: str = "plan_id", size: float = 1.0) -> DataFrame:
-    """Quadtree leaves (key, root cell, level, code) with n points: the shallowest squares under the limit; those at the
-    greatest depth that still reach it are flagged incomplete. All levels are counted in one pass: points are first counted
-    at the greatest depth, and these counts are summed into every level's prefix.
+def adaptive_tiles(points: DataFrame, limit: int, depth: int, key: str = "plan_id", size: float = 1.0, area_cap: float | None = None, min_area: float | None = None) -> DataFrame:
+    """Quadtree leaves (key, root cell, level, code) with n points: the shallowest squares under the limit and of at most area_cap; those at the
+    greatest depth that still reach the limit are flagged incomplete. No square is smaller than min_area. All levels are counted in
+    one pass: points are first counted at the greatest depth, and these counts are summed into every level's prefix.
     """
+    least = 0 if area_cap is None else max(0, math.ceil(math.log2(size / math.sqrt(area_cap))))
+    depth = depth if min_area is None else min(depth, max(0, math.floor(math.log2(size / math.sqrt(min_area)))))
+    least = min(least, depth)
     scale = 1 << depth
     fine = points.select(key, cell_of(F.col("lon"), size).alias("cx"), cell_of(F.col("lat"), size).alias("cy"), F.pmod(F.floor(F.col("lon") / size * scale), F.lit(scale)).cast("bigint").alias("x"), F.pmod(F.floor(F.col("lat") / size * scale), F.lit(scale)).cast("bigint").alias("y"))
     fine = fine.withColumn("code", morton(F.col("x"), F.col("y"), depth)).groupBy(key, "cx", "cy", "code").agg(F.count("*").alias("n"))
-    up = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(code, 2 * ({depth} - level))"))
+    up = fine.withColumn("level", F.explode(F.sequence(F.lit(least), F.lit(depth)))).withColumn("prefix", F.expr(f"shiftright(code, 2 * ({depth} - level))"))
     counts = up.groupBy(key, "cx", "cy", "level", "prefix").agg(F.sum("n").alias("n"))
     above = counts.select(key, "cx", "cy", (F.col("level") + 1).alias("level"), F.col("prefix").alias("up"), F.col("n").alias("n_up"))
     d = counts.withColumn("up", F.shiftright("prefix", 2)).join(above.hint("merge"), [key, "cx", "cy", "level", "up"], "left")

@@ -346,3 +346,12 @@ def c11_radius_over_the_meridian(s, d):
     x = 179.5 + (F.col("lon") - 113.75)
     p = view(s, d, "v_poi").select("poi_id", F.when(x > 180, x - 360).otherwise(x).alias("lon"), "lat")
     return spatial.within_radius(p, c).select("analysis_id", "poi_id", F.col("radius_m").alias("radius"))
+
+
+@query(f"WITH c AS (SELECT * FROM ({base._LEVELS}) a WHERE l BETWEEN 2 AND 4) SELECT c.plan_id, CAST(c.l AS BIGINT) AS level, COUNT(*) AS leaves, CAST(SUM(c.n) AS BIGINT) AS n, COUNT(*) FILTER (c.n >= 12) AS incomplete FROM c LEFT JOIN c u ON u.plan_id = c.plan_id AND u.l = c.l - 1 AND u.x = FLOOR(c.x / CAST(2 AS DOUBLE)) AND u.y = FLOOR(c.y / CAST(2 AS DOUBLE)) WHERE (c.n < 12 OR c.l = 4) AND (u.n IS NULL OR u.n >= 12) GROUP BY 1, 2")
+def k5_tiles_by_area(s, d):
+    """No tile above a 16th of a square degree, none below a 256th."""
+    from ..operators import tiles
+
+    p = view(s, d, "v_poi").withColumn("plan_id", (F.col("k") % 25).cast("int"))
+    return tiles.adaptive_tiles(p, 12, 9, area_cap=1 / 16, min_area=1 / 256).groupBy("plan_id", F.col("level").cast("bigint").alias("level")).agg(F.count("*").alias("leaves"), F.sum("n").alias("n"), F.count_if("incomplete").alias("incomplete"))

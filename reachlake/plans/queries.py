@@ -204,8 +204,8 @@ def e6_matrix_batches(s, d):
 def a11_explode_matrix(s, d):
     acc = view(s, d, "v_accessibility")
     b = selection.matrix_batches(acc).select("analysis_id", "batch", "poi_ids")
-    m = acc.join(b.select("analysis_id", "batch", F.explode("poi_ids").alias("poi_id")), ["analysis_id", "poi_id"]).groupBy("analysis_id", "batch").agg(F.array_sort(F.collect_list(F.struct("poi_id", "duration_s", "distance_m"))).alias("r"))
-    resp = b.join(m, ["analysis_id", "batch"]).select("analysis_id", "poi_ids", F.array(F.transform("r", lambda x: x["duration_s"])).alias("durations"), F.array(F.transform("r", lambda x: x["distance_m"])).alias("distances"))
+    m = acc.join(b.select("analysis_id", "batch", F.explode("poi_ids").alias("poi_id")).hint("merge"), ["analysis_id", "poi_id"]).groupBy("analysis_id", "batch").agg(F.array_sort(F.collect_list(F.struct("poi_id", "duration_s", "distance_m"))).alias("r"))
+    resp = b.join(m.hint("merge"), ["analysis_id", "batch"]).select("analysis_id", "poi_ids", F.array(F.transform("r", lambda x: x["duration_s"])).alias("durations"), F.array(F.transform("r", lambda x: x["distance_m"])).alias("distances"))
     return publish.explode_matrix(resp)[0].select("analysis_id", "poi_id", F.col("position").cast("bigint").alias("position"), "duration_s", "distance_m")
 
 
@@ -328,7 +328,7 @@ def d6_ring_category_counts(s, d):
 @query("SELECT a.analysis_id, COUNT(*) AS n FROM v_analysis a JOIN v_ring_poi r ON r.analysis_id = a.analysis_id JOIN v_poi_category c ON c.poi_id = r.poi_id WHERE a.profile = 'foot-walking' OR c.top_id IN ('ASIA', 'EUROPE') OR c.basic_id = 'KENYA' GROUP BY 1")
 def b7_filter_categories(s, d):
     a = view(s, d, "v_analysis").select("analysis_id", F.when(F.col("profile") == "foot-walking", F.array().cast("array<string>")).otherwise(F.array(F.lit("ASIA"), F.lit("EUROPE"), F.lit("KENYA"))).alias("requested"))
-    j = assigned(s, d).join(a, "analysis_id").join(paths(s, d), "poi_id")
+    j = assigned(s, d).join(a.hint("broadcast"), "analysis_id").join(paths(s, d).hint("merge"), "poi_id")
     return categories.filter_categories(j, F.col("requested")).groupBy("analysis_id").agg(F.count("*").alias("n"))
 
 
