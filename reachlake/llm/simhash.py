@@ -312,42 +312,67 @@ def bucket_links(keys, x, lags: int = 32, radius: int = RADIUS):
     return left, right
 
 
-def cross_pairs(keys, root, n, x, radius: int, lags: int = 32):
-    """All pairs (positions p, q, each pair once) of equal keys and different roots within the radius whose set sizes n allow the similarity.
+def near_members(keys, n, x, radius: int, lags: int = 32):
+    """Which positions have another one of equal key within the radius whose set size n allows the similarity.
 
-    Runs are compared as in bucket_links: in long ones only members outside the run's largest root meet all others.
+    Runs are compared at shifts 1, 2, ... together; pairs of which both are known already are masked out. Members that are still
+    alone after `lags` shifts, and after as many again and again, are compared with their whole run if they are fewer
+    than the shifts to come.
     """
     import numpy as np
 
-    planes = Planes(x)
-
-    def fit(p, q):
-        return (root[p] != root[q]) & (LEAST[1] * np.minimum(n[p], n[q]) >= LEAST[0] * np.maximum(n[p], n[q]))
-
+    planes, found = Planes(x), np.zeros(len(x), bool)
+    fit = lambda p, q: LEAST[1] * np.minimum(n[p], n[q]) >= LEAST[0] * np.maximum(n[p], n[q])
     start = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
     end = np.concatenate([start[1:], [len(x)]])
-    reach = np.repeat(end, end - start)
-    at = np.arange(len(x))
-    lag = 0
+    first, reach = np.repeat(start, end - start), np.repeat(end, end - start)
+    at, lag = np.arange(len(x)), 0
     while True:
         lag += 1
         at = at[reach[at] - at > lag]
         if not len(at):
-            return
-        p = planes.near(planes.shifted(lag), at[fit(at, at + lag)], radius)
-        yield p, p + lag
+            return found
+        p = at[~(found[at] & found[at + lag])]
+        p = planes.near(planes.shifted(lag), p[fit(p, p + lag)], radius)
+        found[p] = found[p + lag] = True
         if lag % lags == 0:
-            long = end - start > lag + 1
-            rest = outsiders(root, start[long], end[long])
+            rest = np.flatnonzero(~found & (reach - first > lag + 1))
             if len(rest) <= (end - start).max() - lag:
                 break
-    first, out = np.repeat(start, end - start), np.zeros(len(x), bool)
-    out[rest] = True
     for i in rest.tolist():
         q = np.arange(first[i], reach[i])
-        q = q[(~out[q] | (q > i)) & (np.abs(q - i) > lag)]
+        q = q[q != i]
         q = planes.near(planes.against(x[i]), q[fit(np.full(len(q), i), q)], radius)
-        yield np.full(len(q), i), q
+        if len(q):
+            found[i] = found[q] = True
+    return found
+
+
+def similar_links(n, shingles):
+    """Links (i, j) that join all sets (n shingles each, one after the other, no repeats within a set) at Jaccard similarity LEAST or more, exactly.
+
+    Common shingles of one set with all others come from the lists of sets that hold each shingle.
+    """
+    import numpy as np
+
+    m, ends = len(n), np.concatenate([[0], np.cumsum(n)])
+    _, code, held = np.unique(shingles, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(m), n)[np.argsort(code, kind="stable")]
+    begin = np.concatenate([[0], np.cumsum(held)])
+    root = np.arange(m)
+    out = []
+    for i in range(m - 1):
+        if (root[i + 1 :] == root[i]).all():
+            continue
+        own = code[ends[i] : ends[i + 1]]
+        size = held[own]
+        places = np.repeat(begin[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        common = np.bincount(owner[places], minlength=m)
+        for j in (i + 1 + np.flatnonzero(LEAST[1] * common[i + 1 :] >= LEAST[0] * (n[i] + n[i + 1 :] - common[i + 1 :]))).tolist():
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
+                out.append((i, j))
+    return out
 
 
 def _by_run(found):
@@ -399,25 +424,54 @@ def _links(radius: int = RADIUS):
     return _by_run(found)
 
 
-def _cross_links(radius: int):
-    """Rows (k, node, root, set size, signature words) sorted by k -> all links (a, b) of cross_pairs."""
+def _near_nodes(radius: int):
+    """Rows (k, node, set size, signature words) sorted by k -> (k, node) of near_members."""
 
     def found(k, x):
+        import pyarrow as pa
+
+        on = near_members(k, x[:, 1], x[:, 2:].copy().view("uint64"), radius)
+        yield pa.RecordBatch.from_arrays([pa.array(k[on]), pa.array(x[on, 0].copy())], ["k", "node"])
+
+    return _by_run(found)
+
+
+def _similar_nodes(most: int = 2_000_000):
+    """Rows (k, node, shingles) sorted by k, then node -> links (a, b) of similar_links in each run of k."""
+
+    def run(batches: Iterator) -> Iterator:
         import numpy as np
 
-        node, sign = x[:, 0], x[:, 3:].copy().view(np.uint64)
+        def links(k, node, n, values):
+            left, right = [], []
+            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+            ends = np.concatenate([[0], np.cumsum(n)])
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                for i, j in similar_links(n[a:b], values[ends[a] : ends[b]]) if b - a > 1 else ():
+                    left.append(int(node[a + i]))
+                    right.append(int(node[a + j]))
+            return _link_batch(left, right)
+
         held, size = [], 0
-        for p, q in cross_pairs(k, x[:, 1], x[:, 2], sign, radius):
-            if len(p):
-                held.append((p, q))
-                size += len(p)
-            if size > 50_000:
-                yield _link_batch(*(node[np.concatenate(c)] for c in zip(*held, strict=True)))
-                held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, node, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+            n, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            cut = int(np.searchsorted(k, k[-1]))
+            held.append((k, node, n, values))
+            size += len(values)
+            if size < most or (cut == 0 and held[0][0][0] == k[0]):
+                continue
+            k, node, n, values = (np.concatenate([h[i] for h in held]) for i in range(4))
+            cut, at = int(np.searchsorted(k, k[-1])), 0
+            at = int(n[:cut].sum())
+            yield links(k[:cut], node[:cut], n[:cut], values[:at])
+            held, size = [(k[cut:], node[cut:], n[cut:], values[at:])], len(values) - at
         if held:
-            yield _link_batch(*(node[np.concatenate(c)] for c in zip(*held, strict=True)))
+            yield links(*(np.concatenate([h[i] for h in held]) for i in range(4)))
 
-    return _by_run(found)
+    return run
 
 
 #: Members of a bucket that one task compares.
@@ -506,9 +560,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return reduce(compose, reversed(rounds[:-1]), last)
 
 
-def _classes(rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (with node) joined to class_id (one node of the component) and component_id (its smallest doc_id)."""
-    roots = keep(components(links), "fingerprint-roots")
+def _classes(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (with node) joined to class_id (one node of the component, by roots: node, root) and component_id (its smallest doc_id)."""
     classes = nodes.join(roots.select("node", "root").hint("merge"), "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("class_id"))
     # Written out, so that the join below stands on plain exchanges and a large class can be split.
     classes = keep(classes, "fingerprint-class-ids")
@@ -522,30 +575,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document row: doc_id, th, fingerprint (hex), class_id (one fingerprint of the component), component_id."""
     rows = keep(fingerprint_rows(docs, id_col, text_col), "fingerprints").withColumnRenamed("fp", "node")
     nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "fingerprint-nodes")
-    found = _classes(rows, nodes, fingerprint_links(nodes.select(F.col("node").alias("fp"))))
+    links = fingerprint_links(nodes.select(F.col("node").alias("fp")))
+    found = _classes(rows, nodes, keep(components(links), "fingerprint-roots"))
     return found.select("doc_id", "th", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "class_id", "component_id")
 
 
 def sketch_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, th, node, n, s0..s3, bands, shingles) over whole texts: the set of shingle hashes and its size, a hash of the
-    set (node), its 256-bit SimHash and MinHash band keys. Repeats of a shingle count once. No shuffle."""
+    """(doc_id, th, node, n, s0..s3, bands) over whole texts: a hash of the set of shingle hashes (node), the set's size, its 256-bit SimHash and
+    MinHash band keys. Repeats of a shingle count once. No shuffle."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        def lists(values, ends) -> pa.Array:
-            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-
         def rows(batch, at: int, sets: list) -> pa.RecordBatch:
             x, n = np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
             node = np.array([xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
             y = wide_sketch(x, n).view(np.int64)
-            bands = lists(y[:, WORDS:].ravel(), np.arange(len(n) + 1) * BANDS)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(y[:, WORDS:].ravel()))
             cols = [*(batch.column(i).slice(at, len(n)) for i in range(2)), pa.array(node), pa.array(n), *(pa.array(np.ascontiguousarray(y[:, i])) for i in range(WORDS))]
-            names = ["doc_id", "th", "node", "n", *(f"s{i}" for i in range(WORDS)), "bands", "shingles"]
-            return pa.RecordBatch.from_arrays([*cols, bands, lists(x.view(np.int64), np.concatenate([[0], np.cumsum(n)]))], names)
+            return pa.RecordBatch.from_arrays([*cols, bands], ["doc_id", "th", "node", "n", *(f"s{i}" for i in range(WORDS)), "bands"])
 
         for batch in batches:
             at, sets, size = 0, [], 0
@@ -559,63 +609,64 @@ def sketch_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield rows(batch, at, sets)
 
     d = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
-    return d.mapInArrow(run, "doc_id bigint, th bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>, shingles array<bigint>")
+    return d.mapInArrow(run, "doc_id bigint, th bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>")
 
 
-def confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets (node, shingles; one or more equal rows a node) have Jaccard similarity LEAST or more."""
-    slot, bit = F.col("node").bitwiseAND((1 << 18) - 1), F.shiftrightunsigned("node", 18).bitwiseAND(63).cast("int")
-    # 2**24 bits, whatever the data's size, keep most sets that no pair asks for out of the shuffle.
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
-    some = rows.select("node", "shingles", slot.alias("slot")).join(F.broadcast(asked), "slot").where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
-    sets = some.groupBy("node").agg(F.first("shingles").alias("set"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
-    common = F.size(F.array_intersect("sa", "sb")).cast("bigint")
-    return both.where(LEAST[1] * common >= LEAST[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+def shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(node, shingles) of the asked nodes (node, rep_id, rep_th: the row that stands for it), from their texts. Once for each row of that doc_id and text."""
+    slot, bit = F.col("th").bitwiseAND((1 << 18) - 1), F.shiftrightunsigned("th", 18).bitwiseAND(63).cast("int")
+    # 2**24 bits, whatever the data's size, keep most texts that are not asked for out of the shuffle.
+    bits = asked.select(F.col("rep_th").alias("th")).groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
+    d = d.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
+    texts = d.select("i", "th", "t").join(asked.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "t")
 
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [np.unique(np.array(shingle_hashes(data, shingle), np.uint64)).view(np.int64) for data in slices(batch.column(1))]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, sure: int = 46, chunk: int = CHUNK) -> DataFrame:
+    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, chunk: int = CHUNK) -> DataFrame:
     """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
 
     Null, empty and blank texts have the empty set and are one node; texts of fewer than five words have one shingle of all. Repeated rows give repeated
     rows; component_id is the smallest doc_id, null only if all its rows have none. Extra columns are not read.
 
-    Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7. Their
-    members are compared by 256-bit SimHashes of the sets with the bit-sliced counters, as a filter only: a pair at 0.8 differs
-    in 39 bits (standard deviation 6; 48 if the sets are of four and five shingles). Every link is confirmed on the sets themselves.
-    1. Links within `sure` bits that join components of a bucket are confirmed, which settles large groups of copies.
-    2. All pairs within `radius` whose ends are still in different components are confirmed, so no link that failed
-       in step 1 hides another one.
+    1. Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7.
+    2. In each bucket the members that have another one within `radius` of 256 SimHash bits are found with the bit-sliced counters, as a filter only: a
+       pair at 0.8 differs in 39 bits (standard deviation 6; 48 if the sets are of four and five shingles). Only these members leave
+       it, at most as many rows as there are members.
+    3. Their sets are made from their texts and meet in the same buckets, where every pair is compared exactly; only links that join
+       components of the bucket leave it. No list of pairs is ever made.
     """
-    rows = keep(sketch_rows(docs, id_col, text_col, shingle), "sketches")
     sign = [f"s{i}" for i in range(WORDS)]
-    lean = rows.select("doc_id", "th", "node")
+    rows = keep(sketch_rows(docs, id_col, text_col, shingle), "sketches")
     # One row a node, so copies cost nothing.
-    nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(F.struct("n", *sign, "bands")).alias("x")).select("node", "first_id", "x.*"), "sketch-nodes")
+    nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(F.struct(F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"), "n", *sign, "bands")).alias("x")).select("node", "first_id", "x.*"), "sketch-nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    # A band's bucket of more than CHUNK members is dealt as pairs of chunks, so no task holds it whole.
-    keyed = nodes.select("node", F.posexplode("bands").alias("band", "k")).select("node", F.xxhash64("band", "k").alias("k"))
-    large = keep(keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("k", F.ceil(F.col("n") / chunk).cast("int").alias("m")), "large-bands")
-
-    def candidates(of: DataFrame, columns: list[str], how) -> DataFrame:
-        dealt = of.select(*columns, F.posexplode("bands").alias("band", "k")).select(F.xxhash64("band", "k").alias("k"), *columns)
-        if not large.isEmpty():
-            own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
-            other = F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))
-            dealt = dealt.join(large.hint("shuffle_hash"), "k", "left").withColumn("c", F.coalesce(own, F.lit(0))).withColumn("o", other)
-            pair = F.xxhash64("k", F.least("c", "o"), F.greatest("c", "o"))
-            dealt = dealt.select(F.when(F.col("m").isNull(), F.col("k")).otherwise(pair).alias("k"), *columns)
-        found = dealt.repartition(parts, "k").sortWithinPartitions("k", "node").mapInArrow(how, "a bigint, b bigint").where("a <> b")
-        return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    tried = keep(candidates(nodes, ["node", *sign], _links(sure)), "near-candidates")
-    links = keep(confirmed(tried, rows), "near-links")
+    # A band's bucket of more than `chunk` members is dealt as pairs of chunks, so no task holds it whole.
+    keyed = nodes.select("node", "n", *sign, F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("k"), "node", "n", *sign)
+    large = keep(keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("k", F.ceil(F.col("c") / chunk).cast("int").alias("m")), "large-bands")
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))
+        keyed = keyed.join(large.hint("shuffle_hash"), "k", "left").withColumn("c", F.coalesce(own, F.lit(0))).withColumn("o", other)
+        keyed = keyed.withColumn("k", F.when(F.col("m").isNull(), F.col("k")).otherwise(F.xxhash64("k", F.least("c", "o"), F.greatest("c", "o"))))
+    dealt = keyed.select("k", "node", "n", *sign).repartition(parts, "k").sortWithinPartitions("k", "node")
+    near = keep(dealt.mapInArrow(_near_nodes(radius), "k bigint, node bigint"), "near-nodes")
+    asked = keep(nodes.join(near.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "rep_id", "rep_th"), "near-asked")
+    sets = keep(shingle_sets(docs, asked, id_col, text_col, shingle), "near-sets")
+    meet = near.join(sets.hint("merge"), "node").select("k", "node", "shingles").repartition(parts, "k").sortWithinPartitions("k", "node")
+    links = meet.mapInArrow(_similar_nodes(), "a bigint, b bigint").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     roots = keep(components(links), "near-roots")
-    apart = nodes.join(roots.select("node", "root").hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = candidates(apart, ["node", "root", "n", *sign], _cross_links(radius)).join(tried.hint("merge"), ["a", "b"], "left_anti")
-    links = links.union(keep(confirmed(keep(more, "near-candidates"), rows), "near-links"))
-    return _classes(lean, nodes.select("node", "first_id"), links).select("doc_id", "th", "class_id", "component_id")
+    return _classes(rows.select("doc_id", "th", "node"), nodes.select("node", "first_id"), roots).select("doc_id", "th", "class_id", "component_id")
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near=near_duplicates) -> DataFrame:

@@ -216,16 +216,47 @@ def test_near_copies_are_exact_at_the_similarity(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(d).collect()} == want
 
 
-def test_cross_pairs_finds_every_pair_of_different_roots():
+def test_near_members_are_all_that_have_a_partner():
     import numpy as np
 
     rng = np.random.default_rng(4)
-    keys, root, n = np.sort(rng.integers(0, 4, 300)), rng.integers(0, 3, 300), rng.integers(70, 101, 300)
-    x = rng.integers(0, 2**64, (1, 4), dtype=np.uint64) ^ (rng.integers(0, 2**64, (300, 4), dtype=np.uint64) & rng.integers(0, 2**64, (300, 4), dtype=np.uint64) & rng.integers(0, 2**64, (300, 4), dtype=np.uint64))
+    keys, n = np.sort(rng.integers(0, 4, 300)), rng.integers(70, 101, 300)
+    noise = lambda: rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    x = np.where(rng.random((300, 1)) < 0.5, rng.integers(0, 2**64, (1, 4), dtype=np.uint64) ^ (noise() & noise() & noise()), noise())
     bits = lambda i, j: sum((int(a) ^ int(b)).bit_count() for a, b in zip(x[i], x[j], strict=True))
-    want = sorted((i, j) for j in range(300) for i in range(j) if keys[i] == keys[j] and root[i] != root[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and bits(i, j) <= 56)
-    got = sorted((min(a, b), max(a, b)) for p, q in simhash.cross_pairs(keys, root, n, x, 56) for a, b in zip(p.tolist(), q.tolist(), strict=True))
-    assert got == want and len(want) > 100
+    near = lambda i, j: i != j and keys[i] == keys[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and bits(i, j) <= 56
+    want = [any(near(i, j) for j in range(300)) for i in range(300)]
+    for lags in (1, 8, 1000):
+        assert simhash.near_members(keys, n, x, 56, lags).tolist() == want
+    assert 100 < sum(want) < 200
+
+
+def test_similar_links_are_exact():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 40)
+    sets = [np.unique(np.where(rng.random(40) < rng.choice([0.02, 0.1, 0.3]), rng.integers(0, 2**63, 40), base)) for _ in range(120)] + [np.zeros(0, np.int64)]
+    root = list(range(121))
+
+    def find(i, r):
+        while r[i] != i:
+            i = r[i]
+        return i
+
+    like = lambda a, b: 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))
+    for i in range(120):
+        for j in range(i):
+            if like(sets[i], sets[j]):
+                p, q = sorted((find(i, root), find(j, root)))
+                root[q] = p
+    mine = list(range(121))
+    links = simhash.similar_links(np.array([len(s) for s in sets]), np.concatenate(sets))
+    for i, j in links:
+        assert like(sets[i], sets[j])
+        p, q = sorted((find(i, mine), find(j, mine)))
+        mine[q] = p
+    assert [find(i, mine) for i in range(121)] == [find(i, root) for i in range(121)] and 20 < len(links) < 120
 
 
 def test_simhash_repeated_and_null_ids(spark):
