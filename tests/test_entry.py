@@ -18,6 +18,9 @@ def test_shared_folder(spark):
     assert lineage.scratch(spark, "x").startswith(before)
     d = lineage.keep(spark.range(5).toDF("id"), "five")
     assert d.count() == 5
+    lineage.clean(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(d.inputFiles()[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
     class Cluster:
         """A session of a cluster that names no shared folder."""
