@@ -1,4 +1,4 @@
-"""Training-data operators: ten table jobs over documents, pages and conversations.
+"""Training-data operators: table jobs over documents, pages and conversations.
 
 Nothing else in the library imports this subpackage.
 """

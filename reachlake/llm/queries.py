@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, linededup, lm, mixing, pii, quality, simhash, tokencounts, urlfilter
-from .common import keep, scratch, table
+from . import chat, decontaminate, divergence, linededup, lm, mixing, ngramjoin, pii, quality, runs, simhash, tokencounts, urlfilter
+from .common import SPACE_RE, keep, scratch, table
 
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -70,7 +70,34 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_bitmaps(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_decontamination, op3_pii, op4_url_filter, op5_token_counts, op6_simhash, op7_mixing, op8_quality, op9_line_dedup, op10_lm_score)}
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+#: Documents whose crc32 ends in 0 are made periodic from some word on, as the contract says: h, g, words w, first word a, period p.
+_PERIODIC = f"""
+SELECT doc_id, CASE WHEN crc32(CAST(doc_id AS STRING)) % 10 = 0 THEN
+ transform(array(named_struct('g', crc32(CAST(doc_id AS STRING)) div 10, 'w', filter(split(coalesce(text, ''), '{SPACE_RE}'), x -> x <> ''))), s -> CASE WHEN size(s.w) = 0 THEN '' ELSE
+ transform(array(named_struct('w', s.w, 'a', CAST(s.g % size(s.w) AS INT), 'p', CAST(1 + (size(s.w) - s.g % size(s.w)) div (3 + s.g % 8) AS INT))), r ->
+  array_join(transform(r.w, (x, i) -> CASE WHEN i < r.a THEN x ELSE r.w[r.a + (i - r.a) % r.p] END), ' '))[0] END)[0]
+ ELSE text END AS text FROM {{docs}}"""
+
+
+def made_periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the texts that the contract of op13 asks for."""
+    return docs.sparkSession.sql(_PERIODIC.replace("\\", "\\\\"), docs=docs.select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(made_periodic(table(spark, sf_dir, "documents")), texts=False)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_decontamination, op3_pii, op4_url_filter, op5_token_counts, op6_simhash, op7_mixing, op8_quality, op9_line_dedup, op10_lm_score, op11_divergence, op12_ngram_join, op13_periodic_runs)}
 
 ORACLE_SQL = {
     # Lengths: 12 and 10 characters of turn marks and two line breaks a turn, and one escape for each control string.
@@ -103,4 +130,18 @@ k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || c
 often AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
 r AS (SELECT k.doc_id, k.i, k.line, o.key IS NOT NULL AND k.doc_id <> o.top AS gone FROM k LEFT JOIN often o ON o.key = k.key)
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM r GROUP BY 1""",
+    # Integers of 128 bits; every group gives every kept term.
+    "op11_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT i) >= 10),
+grp AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+s AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER (PARTITION BY lang, source) + 2 * count(*) OVER (PARTITION BY lang, source)) AS p FROM c),
+l AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * count(*) OVER (PARTITION BY lang)) AS q FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY 1, 2)),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(v, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN (SELECT x.lang, x.source AS s1, y.source AS s2, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS v FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) f ON f.lang = a.lang AND f.s1 = a.source AND f.s2 = b.source),
+own AS (SELECT s.lang, s.source, 'term' AS part, s.term AS item, (p - q) * (p - q) // (p + q) AS value FROM s JOIN l ON l.lang = s.lang AND l.term = s.term WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM own))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10""",
 }
