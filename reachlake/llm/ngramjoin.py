@@ -3,7 +3,8 @@
 1. A scan of the whole texts gives a row per document (a hash of its set, the set's size) and counts all shingles in SLOTS slots, a table of one
    fixed size that is broadcast. Equal sets are one node.
 2. A second scan sorts each set rare-first (slot count, then hash: one order for all sets) and keeps its prefix: two sets of similarity t share a
-   shingle of the first n - ceil(t n) + 1. Prefix rows are joined on the shingle; shingles that only one node has in its prefix go.
+   shingle of the first n - ceil(t n) + 1. Prefix rows meet on the shingle, in one shuffle of 32 bytes a row; nodes without a partner that
+   passes the first two filters go at once, which leaves a few rows in a hundred.
 3. Inside a shingle's bucket pairs pass the length filter (a window, as members are sorted by size), the positional filter (the first common shingle at
    places i and j leaves at most 1 + min(rest) common ones) and the suffix filter (counts of the set's shingles in CLASSES classes: the sum of
    their differences is at most the symmetric difference). All three are exact: no similar pair fails them in the bucket of its first common shingle.
@@ -261,6 +262,74 @@ def candidates(n, pos, hist, root, every: bool, least=LEAST):
     return left, right
 
 
+def partnered(n, pos, least=LEAST):
+    """Which members of a bucket (sorted by n) have a partner that passes the length and the positional filter."""
+    import numpy as np
+
+    p, q = least
+    found = np.zeros(len(n), bool)
+    reach = np.searchsorted(n, q * n // p, side="right")
+    for lag in range(1, int((reach - np.arange(len(n))).max()) if len(n) else 0):
+        i = np.flatnonzero(np.arange(len(n)) + lag < reach)
+        i = i[~(found[i] & found[i + lag])]
+        on = i[(p + q) * np.minimum(n[i] - pos[i], n[i + lag] - pos[i + lag]) >= p * (n[i] + n[i + lag])]
+        found[on] = found[on + lag] = True
+        if found.all():
+            break
+    return found
+
+
+def _buckets(chunk: int, least=LEAST):
+    """Rows (token, n, node, pos) sorted by token, n, node -> each node of a token once, of tokens with more than one node; of those with at most `chunk` only nodes that
+    have a partner. Longer runs pass through as they come, so no run is held whole."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def rows(x):
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in x], ["token", "n", "node", "pos"])
+
+        def kept(x):
+            """Of whole runs."""
+            start = np.flatnonzero(np.concatenate([[True], x[0][1:] != x[0][:-1]]))
+            size = np.diff(np.concatenate([start, [len(x[0])]]))
+            on = np.repeat(size > 1, size)
+            if (size == 2).any():  # two members, all at once
+                i = start[size == 2]
+                fit = (least[1] * x[1][i] >= least[0] * x[1][i + 1]) & (sum(least) * np.minimum(x[1][i] - x[3][i], x[1][i + 1] - x[3][i + 1]) >= least[0] * (x[1][i] + x[1][i + 1]))
+                on[i] = on[i + 1] = fit
+            for a, b in zip(start[size > 2].tolist(), (start + size)[size > 2].tolist(), strict=True):
+                if b - a <= chunk:
+                    on[a:b] = partnered(x[1][a:b], x[3][a:b], least)
+            return [v[on] for v in x]
+
+        held, long = None, False  # the last run so far; of a long one, whose rows are on their way, its last row
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [batch.column(i).to_numpy() for i in range(4)]
+            if held is not None:
+                x = [np.concatenate([h, v]) for h, v in zip(held, x, strict=True)]
+            new = np.concatenate([[True], (x[0][1:] != x[0][:-1]) | (x[2][1:] != x[2][:-1])])
+            x = [v[new] for v in x]
+            cut, first = int(np.searchsorted(x[0], x[0][-1])), 0
+            if cut and long:
+                first = int(np.searchsorted(x[0], x[0][0], side="right"))
+                yield rows([v[1:first] for v in x])
+                long = False
+            if cut > first:
+                yield rows(kept([v[first:cut] for v in x]))
+            held = [v[cut:] for v in x]
+            if long or len(held[0]) > chunk:
+                yield rows([v[int(long) :] for v in held])
+                held, long = [v[-1:] for v in held], True
+        if held is not None and not long:
+            yield rows(kept(held))
+
+    return run
+
+
 def _pairs_of(every: bool, least=LEAST):
     """Rows (token, chunk, n, node, pos, hist, root) sorted by token, chunk, n, node -> candidate pairs (a, b), a < b."""
 
@@ -370,16 +439,41 @@ def asked_sets(source: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
     return rows.join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def set_links(source: DataFrame, rows: DataFrame, size: int = 3, least=LEAST, chunk: int = CHUNK) -> DataFrame:
-    """(a, b): links between nodes that connect all sets at the similarity asked for or above. source: (doc_id, th, t); rows: of _set_rows."""
+def _united(batches: Iterator) -> Iterator:
+    """Edges (a, b) -> (node, root): root is the smallest node of the component."""
+    import pyarrow as pa
+
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    yield pa.RecordBatch.from_arrays([pa.array(list(root), pa.int64()), pa.array([find(x) for x in list(root)], pa.int64())], ["node", "root"])
+
+
+def connected(edges: DataFrame, name: str, most: int = 1 << 20) -> DataFrame:
+    """(node, root) of edges (a, b), written: by rounds of contraction, or in one task if there are at most `most` edges (some 100 bytes each)."""
+    edges = keep(edges.select("a", "b"), name)
+    if edges.count() <= most:
+        return keep(edges.coalesce(1).mapInArrow(_united, "node bigint, root bigint"), name)
+    return keep(components(edges, name), name)
+
+
+def set_roots(source: DataFrame, rows: DataFrame, size: int = 3, least=LEAST, chunk: int = CHUNK) -> DataFrame:
+    """(node, root): components of all sets at the similarity asked for or above; nodes without a link may be missing. source: (doc_id, th, t); rows: of _set_rows."""
     spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = spark.sparkContext.broadcast(slot_counts(rows))
     sets = keep(source.mapInArrow(_prefixes(size, counts), "node bigint, n bigint, hist binary, prefix array<bigint>"), "join-prefixes")
-    tokens = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("token")
-    met = tokens.join(shared.hint("shuffle_hash"), "token", "left_semi").groupBy("token", "node").agg(F.first("n").alias("n"), F.first("pos").cast("bigint").alias("pos"))
-    met = keep(met, "join-met")
+    tokens = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "node", F.col("pos").cast("bigint").alias("pos"))
+    tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "n", "node")
+    met = keep(tokens.mapInArrow(_buckets(chunk, least), "token bigint, n bigint, node bigint, pos bigint"), "join-met")
     nodes = keep(met.select("node").distinct(), "join-nodes")
     hists = sets.join(nodes.hint("shuffle_hash"), "node", "left_semi").groupBy("node").agg(F.first("hist").alias("hist"))
     met = met.join(hists.hint("merge"), "node")
@@ -403,8 +497,7 @@ def set_links(source: DataFrame, rows: DataFrame, size: int = 3, least=LEAST, ch
     first = keep(first, "join-pairs-1")
     asked = keep(first.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-asked")
     shingles = keep(asked_sets(source, asked, size), "join-sets")
-    links = keep(verified(first, shingles, least), "join-links-1")
-    roots = keep(components(links), "join-roots-1")
+    roots = connected(verified(first, shingles, least), "join-roots-1")
     # Second step: members of a bucket in different components; the largest one of a large bucket stays in its chunks.
     rooted = keep(met.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "join-rooted")
     open_ = rooted.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
@@ -417,11 +510,17 @@ def set_links(source: DataFrame, rows: DataFrame, size: int = 3, least=LEAST, ch
     second = _deal(dealt(rooted, ~F.col("root").eqNullSafe(F.col("top"))), parts).mapInArrow(_pairs_of(True, least), "a bigint, b bigint").distinct()
     second = keep(second.join(first.hint("shuffle_hash"), ["a", "b"], "left_anti"), "join-pairs-2")
     if second.isEmpty():
-        return links
+        return roots
     more = keep(second.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(asked.hint("shuffle_hash"), "node", "left_anti"), "join-asked-2")
     if not more.isEmpty():
         shingles = shingles.unionByName(keep(asked_sets(source, more, size), "join-sets-2"))
-    return links.unionByName(verified(second, shingles, least))
+    # Later links join components of the first step.
+    links = verified(second, shingles, least)
+    for c in ("a", "b"):
+        links = links.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")).hint("shuffle_hash"), c, "left").withColumn(c, F.coalesce(f"r{c}", c))
+    later = connected(links.select("a", "b").where("a <> b").distinct(), "join-roots-2")
+    all_nodes = roots.unionByName(later.select("node", F.col("node").alias("root"))).groupBy("node").agg(F.min_by("root", F.col("node") == F.col("root")).alias("p"))
+    return all_nodes.join(later.select(F.col("node").alias("p"), "root").hint("shuffle_hash"), "p", "left").select("node", F.coalesce("root", "p").alias("root"))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, least=LEAST, chunk: int = CHUNK) -> DataFrame:
@@ -433,11 +532,11 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = _source(docs, id_col, text_col)
     schema = "doc_id bigint, th bigint, node bigint, n bigint, block int, counts binary"
     rows = keep(source.mapInArrow(_set_rows(size), schema), "join-rows")
-    links = keep(set_links(source, rows, size, least, chunk), "join-links")
+    roots = keep(set_roots(source, rows, size, least, chunk), "join-roots")
     of_docs = rows.where("block is null").select("doc_id", "th", "node", "n")
     full = of_docs.where("n > 0")
     nodes = keep(full.groupBy("node").agg(F.min("doc_id").alias("first_id")), "join-firsts")
-    found = _classes(full, nodes, keep(components(links), "join-roots"))
+    found = _classes(full, nodes, roots)
     found = found.select("doc_id", "th", F.col("n").alias("n_shingles"), "class_id", "component_id")
     empty = of_docs.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), F.lit(None).cast("bigint").alias("class_id"), F.col("doc_id").alias("component_id"))
     return found.unionByName(empty)

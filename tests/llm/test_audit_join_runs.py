@@ -222,6 +222,29 @@ def test_filters_lose_no_pair():
                     assert (i, j) in first
 
 
+def test_buckets_in_batches_of_any_size():
+    """Runs over batch edges, copies of a node, long runs: the same rows, and only nodes without a partner missing."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows = sorted({(t, n, 10_000 * t + n * 100 + k, 0 if k else n // 10) for t in range(60) for k in range(rng.choice([1, 1, 2, 3, 40])) for n in [rng.randint(20, 60)]} | {(99, 50, i, 0) for i in range(300)})
+    rows = [r for r in rows for _ in range(rng.choice([1, 1, 3]))]
+    want = None
+    for size in (1, 7, 64, 10_000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + size], strict=True)], ["token", "n", "node", "pos"]) for i in range(0, len(rows), size)]
+        got = [tuple(r.values()) for b in ngramjoin._buckets(64)(iter(batches)) for r in b.to_pylist()]
+        want = want or got
+        assert got == want and len(set(got)) == len(got)
+    kept = set(want)
+    for t in range(60):
+        own = sorted({r for r in rows if r[0] == t})
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                if 10 * a[1] >= 9 * b[1] and 19 * min(a[1] - a[3], b[1] - b[3]) >= 9 * (a[1] + b[1]):
+                    assert a in kept and b in kept
+    assert sum(r[0] == 99 for r in kept) == 300 and len(kept) < len(set(rows))
+
+
 def test_shingle_sets_of_long_texts():
     """A text hashed in pieces has the set of the text hashed at once, and texts do not touch each other."""
     rng = random.Random(1)
