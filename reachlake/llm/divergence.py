@@ -4,7 +4,7 @@
 2. The kept terms are dealt to shards by hash, and each shard becomes a minimal perfect hash on an executor: levels of bit arrays, where keys that are
    alone at their bit leave, and the rank of the bit is the slot. Beside it lie the keys themselves, by slot.
 3. Recount: a map over the texts asks the shards for each distinct term of a batch, compares the stored key, and adds to dense counters, an array over all slots
-   of the language for each (language, source) that the task meets. Only slots, no terms, are shuffled.
+   of the language for each (language, source) that the task meets. Only counters by slot, no terms, are shuffled.
    The shards are broadcast only if their keys, counted first, have at most BROADCAST bytes; beyond that counts by term are joined with the kept
    terms instead (`counts_by_join`), with equal rows.
 4. A slot's counts in all groups meet in one task, as rows by group. Sums over terms are kept by pair of sources in the task; terms that neither of two
@@ -28,6 +28,7 @@ TOP = 10
 #: Bytes of kept terms, with 48 for each, up to which the shards are broadcast; keys of a shard, about.
 BROADCAST = 64 << 20
 SHARD = 1 << 15
+BLOCK = 4096
 UNIT = 10**9
 #: Bytes to terms: A-Z lower-cased, other ASCII but letters to spaces.
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -239,7 +240,10 @@ def _shard_of(shards: int):
 
 
 def _recount(shared, most: int = 8 << 20):
-    """(lang, source, t) -> (lang, source, slot, n): occurrences of kept terms, from dense counters of at most `most` slots in all, then anew."""
+    """(lang, source, t) -> (lang, source, block, data): occurrences of kept terms, from dense counters of at most `most` slots in all, then anew.
+
+    A row has the counters of BLOCK slots that are not 0, packed: places in the block (uint16), then counts (int64).
+    """
 
     def run(batches: Iterator) -> Iterator:
         from collections import Counter
@@ -252,9 +256,15 @@ def _recount(shared, most: int = 8 << 20):
         counters: dict = {}
 
         def out():
+            rows = []
             for (lang, source), x in counters.items():
                 at = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.binary()), pa.array([source] * len(at), pa.binary()), pa.array(at), pa.array(x[at])], ["lang", "source", "slot", "n"])
+                cuts = np.searchsorted(at, np.arange(0, len(x) + BLOCK, BLOCK))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = at[cuts[k] : cuts[k + 1]]
+                    rows.append((lang, source, k, (own - k * BLOCK).astype(np.uint16).tobytes() + x[own].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["lang", "source", "block", "data"])
 
         for batch in batches:
             by, texts = _batches(batch)
@@ -263,9 +273,9 @@ def _recount(shared, most: int = 8 << 20):
                 if not size:
                     continue
                 slot_of = known.setdefault(lang, {})
-                for at in range(0, len(rows), 64):
+                for at in range(0, len(rows), 256):
                     c: Counter = Counter()
-                    for i in rows[at : at + 64]:
+                    for i in rows[at : at + 256]:
                         c.update(terms(texts[i]))
                     if len(slot_of) > 500_000:
                         slot_of.clear()
@@ -286,6 +296,29 @@ def _recount(shared, most: int = 8 << 20):
     return run
 
 
+def _added(batches: Iterator) -> Iterator:
+    """(lang, source, block, data) sorted by the first three -> (lang, source, slot, n), summed."""
+    import numpy as np
+    import pyarrow as pa
+
+    key, total = None, None
+
+    def out():
+        at = np.flatnonzero(total)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(at), pa.binary()), pa.array([key[1]] * len(at), pa.binary()), pa.array(at + key[2] * BLOCK), pa.array(total[at])], ["lang", "source", "slot", "n"])
+
+    for batch in batches:
+        for lang, source, k, data in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if key != (lang, source, k):
+                if key is not None:
+                    yield out()
+                key, total = (lang, source, k), np.zeros(BLOCK, np.int64)
+            n = len(data) // 10
+            total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.int64, n, 2 * n)
+    if key is not None:
+        yield out()
+
+
 def _term_counts(most: int = 400_000):
     """(lang, source, t) -> (lang, source, term, n) in parts."""
 
@@ -316,14 +349,15 @@ def _term_counts(most: int = 400_000):
     return run
 
 
-def counts_by_join(groups: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) of kept terms where n > 0, with a join instead of a broadcast."""
+def counts_by_join(groups: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, slot, n) where n > 0, and (lang, slot, term), all names binary: with a join on the term instead of a broadcast. Slots are row numbers with gaps."""
+    names = keep(kept.withColumn("slot", F.monotonically_increasing_id()), "audit-names")
     counts = groups.mapInArrow(_term_counts(), "lang binary, source binary, term binary, n bigint").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return counts.join(kept.hint("merge"), ["lang", "term"]).select("lang", "source", "term", "n")
+    return counts.join(names.hint("merge"), ["lang", "term"]).select("lang", "source", "slot", "n"), names.select("lang", "slot", "term")
 
 
-def counts_by_hash(groups: DataFrame, kept: DataFrame, n_kept: int) -> DataFrame:
-    """The same through perfect hashes. The terms come back by a join on language and slot."""
+def counts_by_hash(groups: DataFrame, kept: DataFrame, n_kept: int) -> tuple[DataFrame, DataFrame]:
+    """The same through perfect hashes."""
     spark = groups.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = max(1, n_kept // SHARD)
@@ -331,7 +365,8 @@ def counts_by_hash(groups: DataFrame, kept: DataFrame, n_kept: int) -> DataFrame
     built = keep(dealt.repartition(parts, "lang", "shard").sortWithinPartitions("lang", "shard", "term").mapInArrow(_build(shards), "lang binary, shard bigint, data binary"), "audit-shards")
     rows = [(bytes(r.lang), r.shard, bytes(r.data)) for r in built.collect()]  # at most BROADCAST bytes of keys, checked by the caller
     shared = spark.sparkContext.broadcast((shards, rows))
-    counts = groups.mapInArrow(_recount(shared), "lang binary, source binary, slot bigint, n bigint").groupBy("lang", "slot", "source").agg(F.sum("n").alias("n"))
+    packed = groups.mapInArrow(_recount(shared), "lang binary, source binary, block bigint, data binary")
+    counts = packed.repartition(parts, "lang", "source", "block").sortWithinPartitions("lang", "source", "block").mapInArrow(_added, "lang binary, source binary, slot bigint, n bigint")
 
     def named(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -342,8 +377,7 @@ def counts_by_hash(groups: DataFrame, kept: DataFrame, n_kept: int) -> DataFrame
                 t, first = s.tables[lang, k].keys, s.first[lang, k]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(t), pa.binary()), pa.array(range(first, first + len(t)), pa.int64()), pa.array(t, pa.binary())], ["lang", "slot", "term"])
 
-    names = built.select("lang", "shard").mapInArrow(named, "lang binary, slot bigint, term binary")
-    return counts.join(names.hint("merge"), ["lang", "slot"]).select("lang", "source", "term", "n")
+    return counts, built.select("lang", "shard").mapInArrow(named, "lang binary, slot bigint, term binary")
 
 
 # --- shares and divergences ----------------------------------------------------------------------
@@ -404,10 +438,10 @@ def _pair_sums(most: int = 4 << 20):
 
 
 def _with(rows: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """rows (with a term) joined to a table of groups or languages. A copy of that table goes to each of so many parts, so that one language's rows are spread by term."""
+    """rows (with a slot) joined to a table of groups or languages. A copy of that table goes to each of so many parts, so that one language's rows are spread by slot."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     small = small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(parts)).cast("int")).join(small.hint("shuffle_hash"), [*on, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("slot"), F.lit(parts)).cast("int")).join(small.hint("shuffle_hash"), [*on, "salt"]).drop("salt")
 
 
 def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", least: int = LEAST, top: int = TOP, broadcast: int = BROADCAST) -> DataFrame:
@@ -421,9 +455,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = _groups(docs, lang_col, source_col, text_col)
     kept = keep(kept_terms(groups, least), "audit-kept")
     size = kept.agg(F.count("*").alias("n"), F.sum(F.length("term") + F.length("lang") + 48).alias("b")).first()
-    counts = counts_by_hash(groups, kept, size.n) if (size.b or 0) <= broadcast else counts_by_join(groups, kept)
+    counts, names = counts_by_hash(groups, kept, size.n) if (size.b or 0) <= broadcast else counts_by_join(groups, kept)
     text = lambda c: F.decode(c, "utf-8").alias(c)
-    counts = keep(counts.select(text("lang"), text("source"), text("term"), "n"), "audit-counts")
+    counts = keep(counts.select(text("lang"), text("source"), "slot", "n"), "audit-counts")
     v = kept.groupBy(text("lang")).agg(F.count("*").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     known = keep(groups.select("lang", "source").distinct(), "audit-groups")
@@ -435,7 +469,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     whole = keep(known.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("v").alias("v"), F.sort_array(F.collect_list(F.struct("k", "base"))).getField("base").alias("bases")), "audit-langs")
     placed = _with(counts, known.select("lang", "source", "total", "v", "k"), ["lang", "source"])
     placed = keep(placed.withColumn("p", F.expr(share("n", "total", "v"))), "audit-shares")
-    by_term = placed.groupBy("lang", "term").agg(F.collect_list(F.struct("k", "p")).alias("x"))
+    by_term = placed.groupBy("lang", "slot").agg(F.collect_list(F.struct("k", "p")).alias("x"))
     parts = _with(by_term, whole.select("lang", "bases"), ["lang"]).select("lang", F.col("x.k").alias("at"), "x.p", "bases")
     sums = parts.mapInArrow(_pair_sums(), "lang string, a bigint, b bigint, value bigint").groupBy("lang", "a", "b").agg(F.sum("value").alias("more"))
     one, two = (known.select("lang", F.col("k").cast("bigint").alias(c), F.col("source").alias(s), F.col("base").alias(b), *more) for c, s, b, more in (("i", "source", "pb", ("v",)), ("j", "item", "qb", ())))
@@ -444,11 +478,13 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     pairs = pairs.join(sums.hint("merge"), ["lang", "a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", (absent + F.coalesce("more", F.lit(0))).alias("value"))
     by_rank = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = pairs.withColumn("rank", F.row_number().over(by_rank))
-    wide = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
+    wide = counts.groupBy("lang", "slot").agg(F.sum("n").alias("lang_n"))
     wide = _with(wide, whole.select("lang", "lang_total", "v"), ["lang"])
-    wide = wide.select("lang", "term", F.expr(share("lang_n", "lang_total", "v")).alias("q"))
-    own = placed.join(wide.hint("merge"), ["lang", "term"]).where("p > q")
-    own = own.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(divergence("p", "q")).alias("value"))
+    wide = wide.select("lang", "slot", F.expr(share("lang_n", "lang_total", "v")).alias("q"))
+    own = placed.select("lang", "source", "slot", "p").join(wide.hint("merge"), ["lang", "slot"]).where("p > q").select("lang", "source", "slot", F.expr(divergence("p", "q")).alias("value"))
+    # The first `top` values with all their ties get names; these settle the ties.
+    own = own.withColumn("_r", F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))).where(F.col("_r") <= top)
+    own = own.join(names.select(text("lang"), "slot", text("term")).hint("merge"), ["lang", "slot"]).select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
     own = own.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= top)
     return pairs.unionByName(own)
 
