@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
+from .overlay import _meet, overlay, overlay_areas, plain_edges
 from .spatial import cell_of
 
 
@@ -113,13 +114,33 @@ def area_stats(pieces: DataFrame, key: str) -> DataFrame:
     return d.withColumns({"p10": F.col("_p")[0], "median": F.col("_p")[1], "p90": F.col("_p")[2]}).drop("_p")
 
 
-def coverage_audit(tiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Planned against outer area: tiles are disjoint, so overlap is repeated tiles and the rest is a difference of sums."""
-    by = tiles.groupBy(*keys, "row", "col").agg(F.count("*").alias("c"), F.first("area").alias("a"), F.first("polygon_area").alias("o"))
-    d = by.groupBy(*keys).agg(F.sum(F.col("a") * F.col("c")).alias("planned"), F.first("o").alias("outer_area"), F.sum((F.col("c") - 1) * F.col("a")).alias("overlap"))
-    gap = F.col("outer_area") - (F.col("planned") - F.col("overlap"))
-    d = d.withColumns({"uncovered": F.greatest(gap, F.lit(0.0)), "outside": F.greatest(-gap, F.lit(0.0)), "tolerance": F.greatest(F.lit(0.01), F.col("outer_area") * 0.001)})
-    return d.withColumn("covered", (F.col("uncovered") <= F.col("tolerance")) & (F.col("outside") <= F.col("tolerance")))
+def coverage_audit(pieces: DataFrame, keys: list[str], outer: DataFrame | None = None, lon_lat: bool = False, unit: float = 1e-6) -> DataFrame:
+    """Whether pieces cover an outer polygon once and nothing else: keys, planned, outer_area, difference, uncovered, outside, overlap, tolerance, covered.
+
+    With `outer` (keys, polygon) the areas are those of the exact overlay of the polygons; `lon_lat` projects both to the UTM zone of the outer box's middle first. Areas
+    are multiplied by `unit`: from square metres to square kilometres, in which the tolerance is max(0.01, 0.1 % of the outer area). All of difference, uncovered, outside
+    and overlap must be within it. An outer polygon without pieces is uncovered; pieces without an outer polygon are outside.
+
+    Without `outer` the pieces are rows (row, col, area, polygon_area) of tile_polygons with areas as they come: repeated tiles are overlap, and the rest is a difference of sums.
+    """
+    if outer is None:
+        by = pieces.groupBy(*keys, "row", "col").agg(F.count("*").alias("c"), F.first("area").alias("a"), F.first("polygon_area").alias("o"))
+        d = by.groupBy(*keys).agg(F.sum(F.col("a") * F.col("c")).alias("planned"), F.first("o").alias("outer_area"), F.sum((F.col("c") - 1) * F.col("a")).alias("overlap"))
+        gap = F.col("outer_area") - (F.col("planned") - F.col("overlap"))
+        d = d.withColumns({"uncovered": F.greatest(gap, F.lit(0.0)), "outside": F.greatest(-gap, F.lit(0.0))})
+    else:
+        pieces, outer = (x.select(*keys, "polygon") for x in (pieces, outer))
+        if lon_lat:
+            middle = outer.select(*keys, geo.bbox(F.col("polygon")).alias("b")).groupBy(*keys).agg(((F.min("b.west") + F.max("b.east")) / 2).alias("_lon"))
+            middle = middle.select(*keys, geo.utm_zone(F.col("_lon")).alias("_zone"))
+            meet = lambda x: _meet(x, middle, keys, "merge").select(*keys, geo.utm_polygon(F.col("polygon"), F.col("_zone")).alias("polygon"))
+            stray = _meet(pieces, middle, keys, "merge", "left_anti").select(*keys, geo.utm_polygon(F.col("polygon"), geo.utm_zone(geo.bbox(F.col("polygon"))["west"])).alias("polygon"))
+            pieces, outer = meet(pieces).unionByName(stray), meet(outer)
+        d = overlay(pieces, outer, keys)
+        d = d.select(*keys, *((F.col(c) * unit).alias(c) for c in ("planned", "outer_area", "uncovered", "outside")), (F.greatest(F.col("planned") - F.col("union_area"), F.lit(0.0)) * unit).alias("overlap"))
+    d = d.withColumns({"difference": F.col("planned") - F.col("outer_area"), "tolerance": F.greatest(F.lit(0.01), F.col("outer_area") * 0.001)})
+    within = [F.abs(F.col(c)) <= F.col("tolerance") for c in ("difference", "uncovered", "outside", "overlap")]
+    return d.withColumn("covered", within[0] & within[1] & within[2] & within[3])
 
 
 def piece_report(pieces: DataFrame) -> DataFrame:
@@ -130,57 +151,24 @@ def piece_report(pieces: DataFrame) -> DataFrame:
     return pieces.withColumns({"n_vertices": F.size(F.flatten(rings)), "n_rings": F.size(rings), "n_parts": F.size("polygon"), "json_bytes": F.length(F.to_json("polygon")), "compactness": geo.compactness(area, around)})
 
 
-def _sorted_crossings(edges: list, y: float) -> list[float]:
-    return sorted(x1 + (y - y1) / (y2 - y1) * (x2 - x1) for x1, y1, x2, y2 in edges if (y1 > y) != (y2 > y))
-
-
-def _outside_area(a: list, b: list) -> float:
-    """Area of the polygon of edges a that the polygon of edges b does not cover (even-odd), exact up to rounding.
-
-    Between neighbouring heights of vertices and of crossings no two edges cross, so widths are linear in height and a strip's area is its height times its
-    middle width.
-    """
-    heights = {y for e in (*a, *b) for y in (e[1], e[3])}
-    for ax, ay, bx, by in a:
-        for cx, cy, dx, dy in b:
-            den = (bx - ax) * (dy - cy) - (by - ay) * (dx - cx)
-            if den:
-                t = ((cx - ax) * (dy - cy) - (cy - ay) * (dx - cx)) / den
-                u = ((cx - ax) * (by - ay) - (cy - ay) * (bx - ax)) / den
-                if 0 <= t <= 1 and 0 <= u <= 1:
-                    heights.add(ay + t * (by - ay))
-    total, ys = 0.0, sorted(heights)
-    for low, high in zip(ys, ys[1:]):
-        y = (low + high) / 2
-        marks = sorted([(x, 0) for x in _sorted_crossings(a, y)] + [(x, 1) for x in _sorted_crossings(b, y)])
-        inside, width = [False, False], 0.0
-        for (x, which), (after, _) in zip(marks, [*marks[1:], (0.0, 0)]):
-            inside[which] = not inside[which]
-            if inside[0] and not inside[1]:
-                width += after - x
-        total += (high - low) * width
-    return total
-
-
-@F.pandas_udf(T.DoubleType())
-def outside_area(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Area of one edge list that another does not cover; a null second list covers nothing."""
-    plain = lambda edges: [] if edges is None else [(e["x1"], e["y1"], e["x2"], e["y2"]) for e in edges]
-    for one, other in batches:
-        yield pd.Series([_outside_area(plain(a), plain(b)) for a, b in zip(one, other, strict=True)], dtype="float64")
-
-
 def build_rings(isochrones: DataFrame, tolerance: float = 1e-12) -> DataFrame:
     """Exclusive rings of (analysis_id, range_minutes, area; edges too, if there are any): id, bounds and ring_area, the difference of cumulative areas.
 
-    With edges also exclusive_area, what the polygon has outside the one before it, and nested: whether it covers the one before.
-    Where polygons do not nest the two areas differ.
+    With edges (even-odd) also exclusive_area, what the polygon has outside the one before it, and nested: whether it covers the one before, up to `tolerance` times the areas
+    (at least `tolerance`). Where polygons do not nest the two areas differ. The areas come from an overlay by cells, for polygons of any number of vertices.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("analysis_id").orderBy("range_minutes")
-    d = isochrones.withColumns({"inner_minutes": F.lag("range_minutes", 1, 0).over(w), "ring_area": F.col("area") - F.coalesce(F.lag("area").over(w), F.lit(0.0))})
+    slim = isochrones.drop("edges")
+    d = slim.withColumns({"inner_minutes": F.lag("range_minutes", 1, 0).over(w), "ring_area": F.col("area") - F.coalesce(F.lag("area").over(w), F.lit(0.0))})
     if "edges" in isochrones.columns:
-        d = d.withColumn("_before", F.lag("edges").over(w))
-        d = d.withColumns({"exclusive_area": outside_area("edges", "_before"), "nested": F.coalesce(outside_area("_before", "edges"), F.lit(0.0)) <= tolerance}).drop("_before", "edges")
+        keys = ["analysis_id", "range_minutes"]
+        own = isochrones.select(*keys, "edges")
+        after = slim.select("analysis_id", F.col("range_minutes").alias("_before"), F.lead("range_minutes").over(w).alias("range_minutes")).where("range_minutes IS NOT NULL")
+        before = own.withColumnRenamed("range_minutes", "_before").join(after.hint("merge"), ["analysis_id", "_before"]).select(*keys, "edges")
+        areas = overlay_areas(plain_edges(before, keys, "p").unionByName(plain_edges(own, keys, "q")), keys, parity=True)
+        least = F.greatest(F.lit(tolerance), tolerance * (F.col("planned") + F.col("outer_area")))
+        areas = areas.select(*keys, F.col("uncovered").alias("exclusive_area"), (F.col("outside") <= least).alias("nested"))
+        d = _meet(d, areas, keys, "merge", "left").withColumns({"exclusive_area": F.coalesce("exclusive_area", F.lit(0.0)), "nested": F.coalesce("nested", F.lit(True))})
     return d.withColumn("ring_id", F.concat(F.lit("ring-"), F.col("inner_minutes").cast("string"), F.lit("-"), F.col("range_minutes").cast("string")))

@@ -50,6 +50,15 @@ VIEWS = {
  CASE WHEN a.duration_s <= 600 THEN 'ring-0-10' WHEN a.duration_s <= 1200 THEN 'ring-10-20' ELSE 'ring-20-30' END AS ring_id,
  CASE WHEN p.k % 3 = 0 THEN NULL ELSE CAST(p.k % 6 AS DOUBLE) END AS rating, CASE WHEN p.k % 5 = 0 THEN NULL ELSE CAST(p.k % 9 AS DOUBLE) END AS importance
  FROM v_accessibility a JOIN v_poi p ON p.poi_id = a.poi_id WHERE a.duration_s > 0 AND a.duration_s <= 1800""",
+    # A block of land for each customer, in metres: corner, width, height, and what is wrong with its pieces.
+    "v_block": """SELECT c_custkey AS block_id, CAST(500000 + (c_custkey % 97) * 137 AS DOUBLE) AS x0, CAST(3300000 + (c_custkey % 89) * 211 AS DOUBLE) AS y0, CAST(700 * (2 + c_custkey % 5) AS DOUBLE) AS w, CAST(900 * (1 + c_custkey % 3) AS DOUBLE) AS h, CAST(c_custkey % 6 AS INT) AS mode FROM customer""",
+    # Leaf boxes of the plan of blocks three times as wide and twice as high, by a grid of 5 km and up to two quarterings down to 8 square kilometres.
+    "v_block_leaf": """SELECT block_id, id, level, bx0 + q * (bx1 - bx0) / k AS x0, bx0 + (q + 1) * (bx1 - bx0) / k AS x1, by0 + p * (by1 - by0) / k AS y0, by0 + (p + 1) * (by1 - by0) / k AS y1, q, p FROM
+ (SELECT z.*, CASE WHEN (bx1 - bx0) * (by1 - by0) <= 8000001 THEN 0 WHEN (bx1 - bx0) * (by1 - by0) <= 32000004 THEN 1 ELSE 2 END AS level, CAST(CASE WHEN (bx1 - bx0) * (by1 - by0) <= 8000001 THEN 1 WHEN (bx1 - bx0) * (by1 - by0) <= 32000004 THEN 2 ELSE 4 END AS INT) AS k FROM
+  (SELECT block_id, r.i * 100 + c.i AS id, GREATEST(x0, CASE WHEN whole THEN x0 ELSE 5000 * (FLOOR(x0 / 5000) + c.i) END) AS bx0, LEAST(x0 + 3 * w, CASE WHEN whole THEN x0 + 3 * w ELSE 5000 * (FLOOR(x0 / 5000) + c.i + 1) END) AS bx1,
+    GREATEST(y0, CASE WHEN whole THEN y0 ELSE 5000 * (FLOOR(y0 / 5000) + r.i) END) AS by0, LEAST(y0 + 2 * h, CASE WHEN whole THEN y0 + 2 * h ELSE 5000 * (FLOOR(y0 / 5000) + r.i + 1) END) AS by1
+   FROM (SELECT b.*, 6 * w * h <= 8000001 AS whole FROM v_block b) b CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(i)) r CROSS JOIN (SELECT * FROM (VALUES (0), (1), (2), (3), (4)) AS t(i)) c WHERE NOT whole OR (r.i = 0 AND c.i = 0)) z WHERE bx1 > bx0 AND by1 > by0) y
+ JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(q)) qs ON q < k JOIN (SELECT * FROM (VALUES (0), (1), (2), (3)) AS t(p)) ps ON p < k""",
     # A point, its exclusive ring by brute force: the reference form for everything that builds on ring assignment.
     "v_ring_poi": """SELECT analysis_id, poi_id, MIN(range_minutes) AS outer_minutes FROM (SELECT c.analysis_id, c.range_minutes, c.poi_id,
  SUM(CASE WHEN (e.y1 > c.lat) <> (e.y2 > c.lat) AND c.lon < (e.x2-e.x1)*(c.lat-e.y1)/(e.y2-e.y1)+e.x1 THEN 1 ELSE 0 END) AS crossings,

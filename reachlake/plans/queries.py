@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..operators import categories, layout, ledger, publish, requests, selection, spatial, tiles
+from ..operators import categories, layout, ledger, pieces, publish, requests, selection, spatial, tiles
 from ..sources import datasets, features
 from .fixtures import run_sql, view
 from .registry import ORACLE_SQL, QUERIES, query
@@ -662,16 +662,47 @@ def h7_utm_round_trip(s, d):
     return p.select("poi_id", F.round(F.col("p.x") / 5000, 0).alias("x"), F.round(F.col("p.y") / 5000, 0).alias("y"), near.alias("back"))
 
 
-@query("""WITH p AS (SELECT analysis_id, range_minutes, ABS(SUM(x1 * y2 - x2 * y1)) / 2 AS area FROM (SELECT e.analysis_id, e.range_minutes, x1 - a.lon AS x1, y1 - a.lat AS y1, x2 - a.lon AS x2, y2 - a.lat AS y2 FROM v_edge e JOIN v_analysis a ON a.analysis_id = e.analysis_id) t GROUP BY 1, 2)
-SELECT analysis_id, range_minutes, ROUND(area, 9) AS outer_area, CASE WHEN range_minutes <> 20 THEN ROUND(area * CASE range_minutes WHEN 10 THEN 2 ELSE 1 END, 8) END AS planned, CASE WHEN range_minutes <> 20 THEN ROUND(CASE range_minutes WHEN 10 THEN area ELSE 0 END, 8) END AS overlap, range_minutes <> 20 AS covered FROM p""")
+def _slanted(x0: str, x1: str, y0: str, y1: str) -> str:
+    """SQL for the polygon of a block's part, slanted by a quarter of its height: areas stay as they are."""
+    corner = lambda x, y: f"named_struct('x', x0 + ({x}) + ({y}) / 4, 'y', y0 + ({y}))"
+    return f"array(array(array({corner(x0, y0)}, {corner(x1, y0)}, {corner(x1, y1)}, {corner(x0, y1)})))"
+
+
+@query("""WITH b AS (SELECT block_id, mode, h, w * h / 1000000 AS a FROM v_block),
+ p AS (SELECT block_id, mode, a, CASE mode WHEN 1 THEN a - a / 6 WHEN 2 THEN a + a / 6 ELSE a END AS planned, CASE mode WHEN 1 THEN a / 6 WHEN 3 THEN a / 30 WHEN 4 THEN a / 6 WHEN 5 THEN h / 2000000 ELSE 0 END AS uncovered,
+  CASE mode WHEN 3 THEN a / 30 WHEN 5 THEN h / 2000000 ELSE 0 END AS outside, CASE WHEN mode IN (2, 4) THEN a / 6 ELSE 0 END AS overlap FROM b)
+SELECT block_id, ROUND(planned, 6) AS planned, ROUND(a, 6) AS outer_area, ROUND(planned - a, 6) AS difference, ROUND(uncovered, 6) AS uncovered, ROUND(outside, 6) AS outside, ROUND(overlap, 6) AS overlap, mode IN (0, 5) AS covered FROM p""")
 def d24_coverage_audit(s, d):
-    """Tiles of the 10-minute polygons come twice, and the southern row of those of the 20-minute ones is missing."""
-    t = tiles.tile_polygons(isochrone_polygons(s, d), 1 / 32)
-    m = F.col("range_minutes")
-    t = t.where(~((m == 20) & (F.col("tile_id").startswith("cell-0000")))).unionByName(t.where(m == 10))
-    a = tiles.coverage_audit(t, ["analysis_id", "range_minutes"]).withColumn("covered", (F.col("uncovered") <= F.col("outer_area") * 0.001) & (F.col("outside") <= F.col("outer_area") * 0.001))
-    whole = m != 20
-    return a.select("analysis_id", "range_minutes", F.round("outer_area", 9).alias("outer_area"), F.when(whole, F.round("planned", 8)).alias("planned"), F.when(whole, F.round(F.greatest(F.lit(0.0), "overlap"), 8)).alias("overlap"), "covered")
+    """Blocks of six slanted pieces: as they should be, one missing, one twice, all moved by a tenth of a piece, one missing and another twice (sums agree), moved by half a metre."""
+    v = view(s, d, "v_block")
+    outer = v.select("block_id", F.expr(_slanted("0D", "w", "0D", "h")).alias("polygon"))
+    moved = v.withColumns({"x0": F.col("x0") + F.when(F.col("mode") == 3, F.col("w") / 30).when(F.col("mode") == 5, 0.5).otherwise(0.0), "i": F.explode(F.sequence(F.lit(0), F.lit(2)))}).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(1))))
+    parts = moved.withColumn("times", F.expr("CASE WHEN mode IN (1, 4) AND i = 0 AND j = 0 THEN 0 WHEN mode = 2 AND i = 1 AND j = 1 OR mode = 4 AND i = 2 AND j = 1 THEN 2 ELSE 1 END"))
+    parts = parts.withColumn("_n", F.explode(F.expr("array_repeat(0, times)"))).select("block_id", F.expr(_slanted("i * w / 3", "(i + 1) * w / 3", "j * h / 2", "(j + 1) * h / 2")).alias("polygon"))
+    a = tiles.coverage_audit(parts, ["block_id"], outer)
+    return a.select("block_id", *(F.round(c, 6).alias(c) for c in ("planned", "outer_area", "difference", "uncovered", "outside", "overlap")), "covered")
+
+
+def _block_plan(s: SparkSession, d: str) -> DataFrame:
+    box = "array(array(array(named_struct('x', x0, 'y', y0), named_struct('x', x0 + 3 * w, 'y', y0), named_struct('x', x0 + 3 * w, 'y', y0 + 2 * h), named_struct('x', x0, 'y', y0 + 2 * h))))"
+    return pieces.plan_pieces(view(s, d, "v_block").selectExpr("block_id", f"{box} AS polygon"), ["block_id"], 5000.0, cap=8e6, whole=8e6)
+
+
+@query("SELECT block_id, CAST(level AS BIGINT) AS level, COUNT(*) AS pieces, ROUND(SUM((x1 - x0) * (y1 - y0)), 4) AS area_m2, ROUND(MAX((x1 - x0) * (y1 - y0)), 4) AS largest_m2 FROM v_block_leaf GROUP BY 1, 2")
+def k2_plan_pieces(s, d):
+    """Clipped and quartered pieces of all blocks, by level."""
+    p = _block_plan(s, d).groupBy("block_id", F.col("level").cast("bigint").alias("level"))
+    return p.agg(F.count("*").alias("pieces"), F.round(F.sum("area"), 4).alias("area_m2"), F.round(F.max("area"), 4).alias("largest_m2"))
+
+
+@query("""WITH p AS (SELECT a.block_id, CASE WHEN ABS(a.x1 - b.x0) < 0.000001 OR ABS(b.x1 - a.x0) < 0.000001 THEN LEAST(a.y1, b.y1) - GREATEST(a.y0, b.y0) ELSE 0 END + CASE WHEN ABS(a.y1 - b.y0) < 0.000001 OR ABS(b.y1 - a.y0) < 0.000001 THEN LEAST(a.x1, b.x1) - GREATEST(a.x0, b.x0) ELSE 0 END AS shared,
+  (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS two FROM v_block_leaf a JOIN v_block_leaf b ON a.block_id = b.block_id AND (a.id < b.id OR (a.id = b.id AND (a.p < b.p OR (a.p = b.p AND a.q < b.q))))
+  WHERE (ABS(a.x1 - b.x0) < 0.000001 OR ABS(b.x1 - a.x0) < 0.000001 OR ABS(a.y1 - b.y0) < 0.000001 OR ABS(b.y1 - a.y0) < 0.000001) AND LEAST(a.y1, b.y1) - GREATEST(a.y0, b.y0) > -0.000001 AND LEAST(a.x1, b.x1) - GREATEST(a.x0, b.x0) > -0.000001)
+SELECT block_id, COUNT(*) AS pairs, ROUND(SUM(shared), 2) AS shared_m, COUNT(*) FILTER (two <= 9000001) AS mergeable FROM p WHERE shared > 0.01 GROUP BY 1""")
+def k7_piece_adjacency(s, d):
+    """Pieces of the plan that share a side or part of one, across levels."""
+    a = pieces.piece_adjacency(_block_plan(s, d), ["block_id"], cap=9e6)
+    return a.groupBy("block_id").agg(F.count("*").alias("pairs"), F.round(F.sum("shared"), 2).alias("shared_m"), F.count_if("merge_allowed").alias("mergeable"))
 
 
 @query()
@@ -792,7 +823,7 @@ def h3_clean_name_urls(s, d):
     """A URL alone, a URL and a word, a path with a number, an osm-marked number, a phone number, wide letters, a bare number, and short digits in marks."""
     k = F.col("page_id")
     url = F.coalesce("url", F.lit("none"))
-    forms = [F.when(url.rlike(r"(?i)^https?://\\S+$"), url).otherwise("www.x.org"), F.concat(url, F.lit("  shop ")), F.concat(F.lit("node/"), k.cast("string")), F.concat(F.lit("OSM-node:"), k.cast("string")), F.concat(F.lit("+1 (555) 01-"), F.lpad(k.cast("string"), 7, "0")), F.concat(F.lit(" \uff23afe\t"), k.cast("string")), k.cast("string"), F.concat(F.lit("("), k.cast("string"), F.lit(")"))]
+    forms = [F.when(url.rlike(r"(?i)^https?://\S+$"), url).otherwise("www.x.org"), F.concat(url, F.lit("  shop ")), F.concat(F.lit("node/"), k.cast("string")), F.concat(F.lit("OSM-node:"), k.cast("string")), F.concat(F.lit("+1 (555) 01-"), F.lpad(k.cast("string"), 7, "0")), F.concat(F.lit(" \uff23afe\t"), k.cast("string")), k.cast("string"), F.concat(F.lit("("), k.cast("string"), F.lit(")"))]
     name = F.lit(None).cast("string")
     for i, f in enumerate(forms):
         name = F.when(k % 8 == i, f).otherwise(name)
