@@ -196,7 +196,7 @@ def slot_counts(rows: DataFrame):
     return out.ravel()
 
 
-def _prefixes(size: int, counts):
+def _prefixes(size: int, counts, least=LEAST):
     """(doc_id, th, t) -> (node, n, hist, prefix) once for each set of the task. hist: shingles by class, at most 255."""
 
     def run(batches: Iterator) -> Iterator:
@@ -210,7 +210,7 @@ def _prefixes(size: int, counts):
                 if not len(x) or (k := _node(x)) in seen:
                     continue
                 seen.add(k)
-                m = prefix_size(len(x))
+                m = prefix_size(len(x), least)
                 c = table[_slot(x)]
                 if m < len(x):  # the m smallest, ties included, then in order
                     fit = np.flatnonzero(c <= np.partition(c, m - 1)[m - 1])
@@ -470,7 +470,7 @@ def set_roots(source: DataFrame, rows: DataFrame, size: int = 3, least=LEAST, ch
     spark = source.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = spark.sparkContext.broadcast(slot_counts(rows))
-    sets = keep(source.mapInArrow(_prefixes(size, counts), "node bigint, n bigint, hist binary, prefix array<bigint>"), "join-prefixes")
+    sets = keep(source.mapInArrow(_prefixes(size, counts, least), "node bigint, n bigint, hist binary, prefix array<bigint>"), "join-prefixes")
     tokens = sets.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "n", "node", F.col("pos").cast("bigint").alias("pos"))
     tokens = tokens.repartition(parts, "token").sortWithinPartitions("token", "n", "node")
     met = keep(tokens.mapInArrow(_buckets(chunk, least), "token bigint, n bigint, node bigint, pos bigint"), "join-met")

@@ -436,44 +436,6 @@ def _near_nodes(radius: int):
     return _by_run(found)
 
 
-def _similar_nodes(most: int = 2_000_000):
-    """Rows (k, node, shingles) sorted by k, then node -> links (a, b) of similar_links in each run of k."""
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
-        def links(k, node, n, values):
-            left, right = [], []
-            cut = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
-            ends = np.concatenate([[0], np.cumsum(n)])
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                for i, j in similar_links(n[a:b], values[ends[a] : ends[b]]) if b - a > 1 else ():
-                    left.append(int(node[a + i]))
-                    right.append(int(node[a + j]))
-            return _link_batch(left, right)
-
-        held, size = [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k, node, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            n, values = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
-            cut = int(np.searchsorted(k, k[-1]))
-            held.append((k, node, n, values))
-            size += len(values)
-            if size < most or (cut == 0 and held[0][0][0] == k[0]):
-                continue
-            k, node, n, values = (np.concatenate([h[i] for h in held]) for i in range(4))
-            cut, at = int(np.searchsorted(k, k[-1])), 0
-            at = int(n[:cut].sum())
-            yield links(k[:cut], node[:cut], n[:cut], values[:at])
-            held, size = [(k[cut:], node[cut:], n[cut:], values[at:])], len(values) - at
-        if held:
-            yield links(*(np.concatenate([h[i] for h in held]) for i in range(4)))
-
-    return run
-
-
 #: Members of a bucket that one task compares.
 BUCKET = 4096
 
@@ -612,29 +574,18 @@ def sketch_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return d.mapInArrow(run, "doc_id bigint, th bigint, node bigint, n bigint, s0 bigint, s1 bigint, s2 bigint, s3 bigint, bands array<bigint>")
 
 
-def shingle_sets(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(node, shingles) of the asked nodes (node, rep_id, rep_th: the row that stands for it), from their texts. Once for each row of that doc_id and text."""
+def node_texts(docs: DataFrame, asked: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, t) of the asked nodes (node, rep_id, rep_th: the row that stands for it). Once for each row of that doc_id and text."""
     slot, bit = F.col("th").bitwiseAND((1 << 18) - 1), F.shiftrightunsigned("th", 18).bitwiseAND(63).cast("int")
     # 2**24 bits, whatever the data's size, keep most texts that are not asked for out of the shuffle.
     bits = asked.select(F.col("rep_th").alias("th")).groupBy(slot.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
-    d = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("t"))
+    d = docs.select(F.col(id_col).cast("bigint").alias("i"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("t"))
     d = d.withColumn("slot", slot).join(F.broadcast(bits), "slot").where(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
-    texts = d.select("i", "th", "t").join(asked.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "t")
+    return d.select("i", "th", "t").join(asked.hint("shuffle_hash"), F.col("i").eqNullSafe(F.col("rep_id")) & (F.col("th") == F.col("rep_th"))).select("node", "t")
 
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            sets = [np.unique(np.array(shingle_hashes(data, shingle), np.uint64)).view(np.int64) for data in slices(batch.column(1))]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "shingles"])
-
-    return texts.mapInArrow(run, "node bigint, shingles array<bigint>")
 
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 or more.
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 72, chunk: int = CHUNK, least: tuple[int, int] = LEAST) -> DataFrame:
+    """doc_id, th, class_id, component_id: components of the pairs whose sets of 5-word shingles have Jaccard similarity 0.8 (`least`) or more.
 
     Null, empty and blank texts have the empty set and are one node; texts of fewer than five words have one shingle of all. Repeated rows give repeated
     rows; component_id is the smallest doc_id, null only if all its rows have none. Extra columns are not read.
@@ -642,30 +593,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     1. Equal sets are one node. Buckets come from 21 MinHash bands of three: a pair at 0.8 meets in none with probability 3e-7.
     2. In each bucket the members that have another one within `radius` of 256 SimHash bits are found with the bit-sliced counters, as a filter only: a
        pair at 0.8 differs in 39 bits (standard deviation 6; 48 if the sets are of four and five shingles). Only these members leave
-       it, at most as many rows as there are members.
-    3. Their sets are made from their texts and meet in the same buckets, where every pair is compared exactly; only links that join
-       components of the bucket leave it. No list of pairs is ever made.
+       it. Members of a bucket of over `chunk` all do, unfiltered, so no bucket is compared with itself in more than one task.
+    3. The members' texts are joined exactly by the n-gram join (rare-first prefixes, verified pairs), which cuts its own buckets and never holds one whole.
     """
+    from .ngramjoin import jaccard_classes
+
     sign = [f"s{i}" for i in range(WORDS)]
     rows = keep(sketch_rows(docs, id_col, text_col, shingle), "sketches")
     # One row a node, so copies cost nothing.
     nodes = keep(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first(F.struct(F.col("doc_id").alias("rep_id"), F.col("th").alias("rep_th"), "n", *sign, "bands")).alias("x")).select("node", "first_id", "x.*"), "sketch-nodes")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # A band's bucket of more than `chunk` members is dealt as pairs of chunks, so no task holds it whole.
     keyed = nodes.select("node", "n", *sign, F.posexplode("bands").alias("band", "key")).select(F.xxhash64("band", "key").alias("k"), "node", "n", *sign)
-    large = keep(keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("k", F.ceil(F.col("c") / chunk).cast("int").alias("m")), "large-bands")
-    if not large.isEmpty():
-        own = F.pmod(F.xxhash64("node", F.lit(1)), F.col("m")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.coalesce("m", F.lit(1)) - 1))
-        keyed = keyed.join(large.hint("shuffle_hash"), "k", "left").withColumn("c", F.coalesce(own, F.lit(0))).withColumn("o", other)
-        keyed = keyed.withColumn("k", F.when(F.col("m").isNull(), F.col("k")).otherwise(F.xxhash64("k", F.least("c", "o"), F.greatest("c", "o"))))
-    dealt = keyed.select("k", "node", "n", *sign).repartition(parts, "k").sortWithinPartitions("k", "node")
-    near = keep(dealt.mapInArrow(_near_nodes(radius), "k bigint, node bigint"), "near-nodes")
-    asked = keep(nodes.join(near.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "rep_id", "rep_th"), "near-asked")
-    sets = keep(shingle_sets(docs, asked, id_col, text_col, shingle), "near-sets")
-    meet = near.join(sets.hint("merge"), "node").select("k", "node", "shingles").repartition(parts, "k").sortWithinPartitions("k", "node")
-    links = meet.mapInArrow(_similar_nodes(), "a bigint, b bigint").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = keep(components(links), "near-roots")
+    large = keep(keyed.groupBy("k").agg(F.count("*").alias("c")).where(F.col("c") > chunk).select("k"), "large-bands")
+    some = large.isEmpty()
+    small = keyed if some else keyed.join(large.hint("shuffle_hash"), "k", "left_anti")
+    dealt = small.select("k", "node", "n", *sign).repartition(parts, "k").sortWithinPartitions("k", "node")
+    near = dealt.mapInArrow(_near_nodes(radius), "k bigint, node bigint").select("node")
+    if not some:
+        near = near.unionByName(keyed.join(large.hint("shuffle_hash"), "k", "left_semi").select("node"))
+    near = keep(near.distinct(), "near-nodes")
+    asked = keep(nodes.join(near.hint("merge"), "node", "left_semi").select("node", "rep_id", "rep_th"), "near-asked")
+    texts = keep(node_texts(docs, asked, id_col, text_col), "near-texts")
+    roots = jaccard_classes(texts, "node", "t", shingle, least).where("component_id IS NOT NULL").select(F.col("doc_id").alias("node"), F.col("component_id").alias("root")).distinct()
+    roots = keep(roots, "near-roots")
     return _classes(rows.select("doc_id", "th", "node"), nodes.select("node", "first_id"), roots).select("doc_id", "th", "class_id", "component_id")
 
 

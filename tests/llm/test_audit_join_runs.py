@@ -318,3 +318,22 @@ def test_shares_are_exact_beyond_64_bits(spark):
     n, total, v = 4 * 10**15, 8 * 10**15, 10**6
     got = spark.range(1).select(F.expr(divergence.share(f"{n}L", f"{total}L", f"{v}L")).alias("p")).first().p
     assert got == 1 + 10**9 * (n + 2) // (total + 2 * v) and math.log2(10**9 * n) > 64
+
+
+def test_near_copies_of_many_unlike_members(spark):
+    """Texts at Jaccard 0.6 to 0.79 that fill whole buckets: none is linked but the planted pairs, with buckets over and under the chunk. The members are compared by rare shingles only."""
+    from reachlake.llm import simhash
+
+    rng = random.Random(7)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for k in range(1500):
+        w = list(base)
+        a = rng.randrange(75)
+        w[a : a + 12] = [f"x{k}y{i}" for i in range(12)]  # 16 of 96 shingles are new: 64/128 to each other at most
+        rows.append((k, " ".join(w)))
+    rows += [(5000 + k, rows[k][1] + f" tail{k}") for k in range(0, 1500, 100)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = {i: i - 5000 if i >= 5000 else i for i, _ in rows}
+    for chunk in (200, simhash.CHUNK):
+        assert {r.doc_id: r.component_id for r in simhash.near_copies(d, chunk=chunk).collect()} == want
