@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .paircounts import MOST, order_counts
 from .spatial import box_cells, cell_of, nearest_gap, rect_overlaps
 
 
@@ -41,25 +42,18 @@ def direction_metrics(angled: DataFrame, eps: float = 1e-9) -> DataFrame:
     return d.groupBy("layout_id").agg(*out)
 
 
-def pairwise_retention(angled: DataFrame, eps_src: float = 1e-6, eps_dst: float = 1e-6) -> DataFrame:
-    """Per layout, over all node pairs: how many keep their left-right and up-down order, and how many are excluded.
+def pairwise_retention(angled: DataFrame, eps_src: float = 1e-6, eps_dst: float = 1e-6, most: int = MOST) -> DataFrame:
+    """Per layout of two nodes or more, over all node pairs: how many keep their left-right and up-down order, and how many are excluded.
 
-    The pairs are the metric's definition. The join is keyed by layout; each layout is cut into blocks of 512 nodes
-    by rank and block pairs are the join key, so a large layout spreads over tasks. Pairs are counted where
-    they are made (partial aggregation) and never leave their task.
+    Pairs are counted, not made (`paircounts`): n log n, and a layout of over `most` nodes is cut in blocks. A node without a place (null) is apart from none.
     """
-    w = Window.partitionBy("layout_id").orderBy("node_id")
-    d = angled.select("layout_id", "node_id", "sx", "sy", "tx", "ty").withColumn("ord", F.row_number().over(w)).withColumn("block", F.floor(F.col("ord") / 512).cast("int"))
-    last = d.groupBy("layout_id").agg(F.max("block").alias("last"))
-    d = d.join(last.hint("merge"), "layout_id")
-    a = d.withColumn("other", F.explode(F.sequence("block", "last"))).select("layout_id", F.col("block").alias("b1"), F.col("other").alias("b2"), "ord", "sx", "sy", "tx", "ty")
-    b = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("block")))).select("layout_id", F.col("other").alias("b1"), F.col("block").alias("b2"), *(F.col(c).alias(f"{c}2") for c in ("ord", "sx", "sy", "tx", "ty")))
-    p = a.join(b.hint("merge"), ["layout_id", "b1", "b2"]).where("ord < ord2")
+    d = order_counts(angled, "layout_id", {"lr": (F.col("sx"), F.col("tx")), "ud": (F.col("sy"), F.col("ty"))}, eps_src, eps_dst, most).where("n > 1")
+    pairs = F.expr("n * (n - 1) div 2")
     out = []
-    for name, s, t in (("lr", "sx", "tx"), ("ud", "sy", "ty")):
-        src, dst = geo.sign_eps(F.col(f"{s}2") - F.col(s), eps_src), geo.sign_eps(F.col(f"{t}2") - F.col(t), eps_dst)
-        out += [F.count_if(src == 0).alias(f"{name}_source_excluded"), F.count_if((src != 0) & (dst == 0)).alias(f"{name}_layout_excluded"), F.count_if((src != 0) & (dst != 0)).alias(f"{name}_base"), F.count_if((src != 0) & (src == dst)).alias(f"{name}_kept")]
-    return p.groupBy("layout_id").agg(*out)
+    for name in ("lr", "ud"):
+        far, both, same = (F.col(f"{name}_{c}") for c in ("far", "both", "same"))
+        out += [(pairs - far).alias(f"{name}_source_excluded"), (far - both).alias(f"{name}_layout_excluded"), both.alias(f"{name}_base"), same.alias(f"{name}_kept")]
+    return d.select("layout_id", *out)
 
 
 def layout_completeness(nodes: DataFrame, eligible: DataFrame, bands: DataFrame | None = None) -> DataFrame:
