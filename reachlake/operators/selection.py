@@ -142,7 +142,7 @@ def merge_piece_results(results: DataFrame, pieces: DataFrame, outer: DataFrame)
     """
     r = _publishable(results, pieces).withColumns({"_o": F.struct("piece", "pos"), "source_id": F.nullif("source_id", F.lit(""))})
     ok = F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90)
-    hit = points_in_polygons(r.where(ok).withColumnRenamed("plan_id", "_plan"), outer).where("plan_id = _plan").drop("_plan")
+    hit = points_in_polygons(r.where(ok), outer, on=("plan_id",))
     inside = keep(hit, "merge-inside")
     # Rows with an id: the first of each; rows without one go on as they are.
     first = inside.where("source_id is not null").groupBy("plan_id", "source", "source_id").agg(F.min("_o").alias("_o"))

@@ -46,9 +46,7 @@ def _deal_polygons(polygons: DataFrame, cell: float | None, side: int) -> DataFr
     edge comes near is inside or outside as a whole: outside ones go, inside ones carry no edges. Others carry the edges
     of their row that are not left of them.
     """
-    box = F.col("box")
-    span = F.greatest(box["east"] - box["west"], box["north"] - box["south"], F.lit(2.0**-20))
-    level = F.ceil(F.log2(span / side)).cast("int") if cell is None else F.lit(0)
+    box, level = F.col("box"), _level(cell, side)
     size = F.pow(F.lit(2.0), F.col("_level")) if cell is None else F.lit(cell)
     at = lambda a: F.floor(box[a] / F.col("_size")).cast("bigint")
     d = polygons.withColumn("_level", level).withColumn("_size", size)
@@ -62,14 +60,20 @@ def _deal_polygons(polygons: DataFrame, cell: float | None, side: int) -> DataFr
     return d.withColumn("_whole", F.size("_edges") == 0).drop("_size", "_x0", "_y0", "_x1", "_y1", "edges")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, side: int = 16) -> DataFrame:
-    """Every pair of a point (lon, lat) and a polygon (edges, box) that covers it, boundary included."""
-    dealt = keep(_deal_polygons(polygons, cell, side), "polygon-cells")
-    levels = [r["_level"] for r in dealt.select("_level").distinct().collect()]  # powers of two between the smallest and the largest box
+def _level(cell: float | None, side: int) -> Column:
+    box = F.col("box")
+    span = F.greatest(box["east"] - box["west"], box["north"] - box["south"], F.lit(2.0**-20))
+    return F.ceil(F.log2(span / side)).cast("int") if cell is None else F.lit(0)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | None = None, side: int = 16, on: tuple[str, ...] = ()) -> DataFrame:
+    """Every pair of a point (lon, lat) and a polygon (edges, box) that covers it, boundary included. Columns named in `on` must be equal too: they are part of the join's key."""
+    dealt = _deal_polygons(polygons, cell, side)
+    levels = [r[0] for r in polygons.select(_level(cell, side)).distinct().collect() if r[0] is not None]  # powers of two between the smallest and the largest box
     size = F.pow(F.lit(2.0), F.col("_level")) if cell is None else F.lit(cell)
     p = points.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     p = p.withColumns({"_cx": F.floor(F.col("lon") / size).cast("bigint"), "_cy": F.floor(F.col("lat") / size).cast("bigint")})
-    near = p.join(dealt.hint("merge"), ["_level", "_cx", "_cy"]).where(F.col("_whole") | (F.col("lon").between(F.col("box.west"), F.col("box.east")) & F.col("lat").between(F.col("box.south"), F.col("box.north"))))
+    near = p.join(dealt.hint("merge"), [*on, "_level", "_cx", "_cy"]).where(F.col("_whole") | (F.col("lon").between(F.col("box.west"), F.col("box.east")) & F.col("lat").between(F.col("box.south"), F.col("box.north"))))
     return near.where(F.col("_whole") | geo.covers(F.col("_edges"), F.col("lon"), F.col("lat"))).drop("_level", "_cx", "_cy", "_edges", "_whole", "box")
 
 
@@ -109,44 +113,112 @@ def within_radius(points: DataFrame, centres: DataFrame, radii: tuple[int, ...]
     return d.withColumn("radius_m", level).where("radius_m is not null").withColumn("ring_id", F.concat(F.lit("ring-preview-"), F.col("radius_m").cast("string"))).drop("west", "east", "south", "north")
 
 
-def near_pairs(df: DataFrame, key: str, order: str, metres: float = 5.0) -> DataFrame:
-    """(first, second): rows of equal key at planar distance metres or less, first before second in order."""
+def _near_pairs(df: DataFrame, key: str, order: str, metres: float) -> DataFrame:
+    """(key, first, second, and lon and lat of both)."""
     step = metres / 96000.0
     d = df.withColumns({"cx": cell_of(F.col("lon"), step), "cy": cell_of(F.col("lat"), metres / 111000.0)})
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("dx"), F.lit(j).alias("dy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     b = d.withColumn("d", around).select(F.col(key).alias("key"), (F.col("cx") + F.col("d.dx")).alias("cx"), (F.col("cy") + F.col("d.dy")).alias("cy"), F.col(order).alias("second"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     a = d.select(F.col(key).alias("key"), "cx", "cy", F.col(order).alias("first"), "lon", "lat")
     near = a.join(b.hint("merge"), ["key", "cx", "cy"]).where(F.col("first") < F.col("second"))
-    return near.where(F.hypot((F.col("lon") - F.col("lon2")) * 96000.0, (F.col("lat") - F.col("lat2")) * 111000.0) <= metres).select("key", "first", "second")
+    return near.where(F.hypot((F.col("lon") - F.col("lon2")) * 96000.0, (F.col("lat") - F.col("lat2")) * 111000.0) <= metres).select("key", "first", "second", "lon", "lat", "lon2", "lat2")
 
 
-def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None, fixed: Column | None = None) -> DataFrame:
+def near_pairs(df: DataFrame, key: str, order: str, metres: float = 5.0) -> DataFrame:
+    """(first, second): rows of equal key at planar distance metres or less, first before second in order."""
+    return _near_pairs(df, key, order, metres).select("key", "first", "second")
+
+
+def _settle():
+    """Pairs (g, first, second, own, root) sorted by g, second -> (row, gone, depth) of the rows that can be decided inside g; depth: decisions in a row.
+
+    own: first belongs to g, so all pairs that could take it are there; root: nothing anywhere can. Values are compared as Spark has sorted them.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        group, state, row, hits, open_, deep = None, {}, None, False, False, 0
+        out: tuple[list, list, list] = ([], [], [])
+
+        def end():
+            if row is not None:
+                state[row] = (hits, deep + 1) if hits or not open_ else None
+                if state[row]:
+                    for column, v in zip(out, (row, *state[row]), strict=True):
+                        column.append(v)
+
+        value = lambda v: tuple(v.values()) if isinstance(v, dict) else v
+        back = lambda rows, kind: pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind) if pa.types.is_struct(kind) else pa.array(rows, kind)
+        for batch in batches:
+            kind = batch.schema.field(2).type
+            for g, a, b, own, root in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                a, b = value(a), value(b)
+                if g != group or b != row:
+                    end()
+                    if g != group:
+                        group, state = g, {}
+                    row, hits, open_, deep = b, False, False, 0
+                # A first row of this group that has not come as a second one before, in order, never will: it stays.
+                known = (False, 0) if root else state.get(a, (False, 0)) if own else None
+                if known is None:
+                    open_ = True
+                else:
+                    hits, deep = hits or not known[0], max(deep, known[1])
+            if len(out[0]) > 100_000:
+                yield pa.RecordBatch.from_arrays([back(out[0], kind), pa.array(out[1]), pa.array(out[2], pa.int64())], ["row", "gone", "depth"])
+                out = ([], [], [])
+        end()
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([back(out[0], kind), pa.array(out[1]), pa.array(out[2], pa.int64())], ["row", "gone", "depth"])
+
+    return run
+
+
+def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None, fixed: Column | None = None, most: int = 1 << 17) -> DataFrame:
     """Keep-first near-duplicates: in order, a row goes if an earlier row that stays is within metres and has its name.
 
-    Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. Rounds settle rows without an
-    undecided earlier neighbour, all groups at once, until none is left; a chain of n rows takes at most n
-    rounds, real ones two or three. With `rounds`, more of them than that raise an error. Rows that are `fixed` stay whatever is before them.
+    Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. The pairs of a name are walked in order in one task, and nothing is left. A name
+    of over `most` pairs is dealt by squares, each walked as far as rows of other squares allow; the pairs that wait for these go on to the next
+    round, a few squares or one name again. With `rounds`, more decisions than that, each waiting for the one before, raise an error. Rows that are `fixed` stay whatever is before them.
     """
     key = F.regexp_replace(F.trim(F.lower(F.col(name))), r"\s+", " ")
     d = df.withColumn("_key", key)
-    found = near_pairs(d, "_key", order, metres).select("first", "second").distinct()
+    found = _near_pairs(d, "_key", order, metres).dropDuplicates(["first", "second"])
     if fixed is not None:
         found = found.join(d.where(fixed).select(F.col(order).alias("_fixed")).hint("merge"), F.col("second") == F.col("_fixed"), "left_anti")
     pairs = keep(found, "near-pairs")
-    gone = None
-    done = 0
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = pairs.schema["second"].dataType
+    gone, done = None, 0
     while not pairs.isEmpty():
-        if done == rounds:
-            raise ValueError(f"near-duplicates are left after {rounds} rounds")
-        done += 1
-        # Rows that are nobody's second stay; their seconds go, and so do all pairs that a settled row is in.
-        stay = pairs.select(F.col("first").alias("r")).join(pairs.select(F.col("second").alias("r")), "r", "left_anti").distinct()
-        out = keep(pairs.join(stay, pairs["first"] == stay["r"], "left_semi").select(F.col("second").alias("r")).distinct(), "near-gone")
+        large = keep(pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "near-large")
+        whole = large.isEmpty()
+        if whole:
+            dealt = pairs.select(F.xxhash64("key").alias("g"), "first", "second", F.lit(True).alias("own"), F.lit(False).alias("root"))
+        else:
+            # Squares halve as pairs quadruple, down to four times the distance.
+            edge = F.greatest(F.lit(4.0 * metres), F.lit(2048.0 * metres) / F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most) / 2)))
+            square = lambda x, y: F.xxhash64("key", F.when(F.col("n").isNotNull(), F.floor(F.col(x) * 96000.0 / edge)), F.when(F.col("n").isNotNull(), F.floor(F.col(y) * 111000.0 / edge)))
+            seconds = pairs.select(F.col("second").alias("_second")).distinct()
+            d2 = pairs.join(large.hint("shuffle_hash"), "key", "left").join(seconds.hint("merge"), F.col("first") == F.col("_second"), "left")
+            dealt = d2.select(square("lon2", "lat2").alias("g"), "first", "second", (square("lon", "lat") == square("lon2", "lat2")).alias("own"), F.col("_second").isNull().alias("root"))
+        dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "second", "first")
+        row_type = kind.simpleString()
+        settled = keep(dealt.mapInArrow(_settle(), f"row {row_type}, gone boolean, depth bigint"), "near-settled")
+        if rounds is not None:
+            done += settled.agg(F.max("depth")).first()[0]
+            if done > rounds:
+                raise ValueError(f"near-duplicates are left after {rounds} rounds")
+        out = settled.where("gone").select(F.col("row").alias("_gone"))
         gone = out if gone is None else gone.union(out)
-        pairs = pairs.join(stay, pairs["first"] == stay["r"], "left_anti").join(out.withColumnRenamed("r", "o1"), F.col("first") == F.col("o1"), "left_anti")
-        pairs = keep(pairs.join(out.withColumnRenamed("r", "o2"), F.col("second") == F.col("o2"), "left_anti"), "near-pairs")
+        if whole:
+            break
+        # Pairs go on whose second row is undecided and whose first one has not gone.
+        left = pairs.join(settled.select(F.col("row").alias("_r")).hint("merge"), F.col("second") == F.col("_r"), "left_anti")
+        pairs = keep(left.join(out.hint("merge"), F.col("first") == F.col("_gone"), "left_anti"), "near-pairs")
     d = d.drop("_key")
-    return d if gone is None else d.join(gone.withColumnRenamed("r", "_gone"), d[order] == F.col("_gone"), "left_anti")
+    return d if gone is None else d.join(gone, d[order] == F.col("_gone"), "left_anti")
 
 
 def rect_overlaps(nodes: DataFrame, cell: float = 64.0) -> DataFrame:

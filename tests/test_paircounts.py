@@ -69,3 +69,27 @@ def test_one_layout_of_many_nodes(spark):
     pairs = n * (n - 1) // 2
     assert (r.lr_source_excluded, r.lr_layout_excluded, r.lr_base, r.lr_kept) == (0, 0, pairs, pairs - 200_000 * 100_000)
     assert (r.ud_source_excluded, r.ud_layout_excluded, r.ud_base, r.ud_kept) == (pairs, 0, 0, 0)
+
+
+def test_keep_first_of_long_chains_and_large_names(spark):
+    """A chain of 10,000 rows, and names of more pairs than a task takes: as the plain walk, in few rounds, whatever the order runs along."""
+    import math
+
+    from reachlake.operators import spatial
+
+    rng = random.Random(4)
+    step = 4 / 96000
+    rows = [(i, "chain", i * step, 0.0) for i in range(10_000)]
+    d = spark.createDataFrame(rows, "pos int, name string, lon double, lat double").repartition(4)
+    assert sorted(r.pos for r in spatial.dedupe_near(d).select("pos").collect()) == list(range(0, 10_000, 2))
+    some = [(x, "zig" if x % 3 else "zag", rng.random() * 300 * step, rng.random() * 3 * step) for x in range(700)]
+    line = list(range(300))
+    rng.shuffle(line)
+    some += [(1000 + k, "line", at * step, 0.0) for k, at in enumerate(line)]
+    kept = []
+    for pos, name, lon, lat in sorted(some):
+        if not any(n == name and math.hypot((lon - a) * 96000, (lat - b) * 111000) <= 5 for _, n, a, b in kept):
+            kept.append((pos, name, lon, lat))
+    d = spark.createDataFrame(some, "pos int, name string, lon double, lat double").repartition(4)
+    for most in (1 << 17, 60):
+        assert sorted(r.pos for r in spatial.dedupe_near(d, most=most).select("pos").collect()) == [r[0] for r in kept]
