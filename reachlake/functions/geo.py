@@ -90,8 +90,13 @@ def utm_zone(lon: Column) -> Column:
     return F.least(F.lit(60), F.greatest(F.lit(1), F.floor((lon + 180) / 6) + 1)).cast("int")
 
 
-def utm_forward(lon: Column, lat: Column, zone: Column) -> Column:
-    """Struct of easting and northing by the usual WGS84 series; northings run on below the equator without a false one."""
+#: False easting, and false northing of the southern hemisphere.
+UTM_EAST, UTM_SOUTH = 500000.0, 10000000.0
+
+
+def utm_forward(lon: Column, lat: Column, zone: Column, south: Column | None = None) -> Column:
+    """Struct of easting and northing by the usual WGS84 series (fixed values). Where `south` (without it: the point lies below the equator) the northing has its false one."""
+    south = lat < 0 if south is None else south
     e2 = WGS84_F * (2 - WGS84_F)
     ep2 = e2 / (1 - e2)
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
@@ -101,13 +106,14 @@ def utm_forward(lon: Column, lat: Column, zone: Column) -> Column:
         (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
         + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi)
     )
-    x = UTM_K0 * n * (a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(a, 5) / 120) + 500000.0
+    x = UTM_K0 * n * (a + (1 - t + c) * F.pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * F.pow(a, 5) / 120) + UTM_EAST
     y = UTM_K0 * (m + n * F.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * F.pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * F.pow(a, 6) / 720))
-    return F.struct(x.alias("x"), y.alias("y"))
+    return F.struct(x.alias("x"), (y + F.when(south, UTM_SOUTH).otherwise(0.0)).alias("y"))
 
 
-def utm_inverse(x: Column, y: Column, zone: Column) -> Column:
-    """Struct of lon and lat for easting and northing."""
+def utm_inverse(x: Column, y: Column, zone: Column, south: Column | None = None) -> Column:
+    """Struct of lon and lat for easting and northing; `south` says that the northing has its false one."""
+    y = y if south is None else y - F.when(south, UTM_SOUTH).otherwise(0.0)
     e2 = WGS84_F * (2 - WGS84_F)
     ep2, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
     mu = y / UTM_K0 / (WGS84_A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
@@ -115,14 +121,16 @@ def utm_inverse(x: Column, y: Column, zone: Column) -> Column:
     c, t = ep2 * F.pow(F.cos(p), 2), F.pow(F.tan(p), 2)
     root = 1 - e2 * F.pow(F.sin(p), 2)
     n, r = WGS84_A / F.sqrt(root), WGS84_A * (1 - e2) / F.pow(root, 1.5)
-    d = (x - 500000.0) / (n * UTM_K0)
+    d = (x - UTM_EAST) / (n * UTM_K0)
     lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep2) * F.pow(d, 4) / 24 + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep2 - 3 * c * c) * F.pow(d, 6) / 720)
     lon = (d - (1 + 2 * t + c) * F.pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep2 + 24 * t * t) * F.pow(d, 5) / 120) / F.cos(p)
     return F.struct((F.degrees(lon) + (zone * 6 - 183)).alias("lon"), F.degrees(lat).alias("lat"))
 
 
-def utm_polygon(polygon: Column, zone: Column) -> Column:
-    return F.transform(polygon, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: utm_forward(p["x"], p["y"], zone))))
+def utm_polygon(polygon: Column, zone: Column, south: Column | None = None) -> Column:
+    """A polygon in metres, all of it with the false northing or (without `south`) none of it, so that one over the equator stays whole."""
+    south = F.lit(False) if south is None else south
+    return F.transform(polygon, lambda part: F.transform(part, lambda ring: F.transform(ring, lambda p: utm_forward(p["x"], p["y"], zone, south))))
 
 
 def centroid(polygon: Column) -> Column:

@@ -76,9 +76,21 @@ def merge_tags(properties: Column, tags: Column) -> Column:
     return F.map_from_entries(F.concat(kept, own))
 
 
+#: Letters whose full case folding is not the lower case of their upper case, and their foldings.
+_FOLDS = {"ς": "σ", "ı": "\ue000"}
+
+
+def case_fold(c: Column) -> Column:
+    """Full case folding: the sharp s is two letters, ligatures come apart, the final sigma is a sigma, the dotless i stays one. By way of upper case, where letters that differ in case
+    only are one; Cherokee letters come out in lower case."""
+    held = F.replace(c, F.lit("ı"), F.lit(_FOLDS["ı"]))
+    high = F.replace(F.upper(held), F.lit("ς"), F.lit("Σ"))  # without a step between, the optimizer takes lower(upper(c)) for lower(c)
+    return F.replace(F.replace(F.lower(high), F.lit("ς"), F.lit(_FOLDS["ς"])), F.lit(_FOLDS["ı"]), F.lit("ı"))
+
+
 def name_key(c: Column) -> Column:
-    """Lower-cased, white space collapsed. Full case folding differs for a few letters such as the German sharp s."""
-    return F.regexp_replace(F.trim(F.lower(c)), r"\s+", " ")
+    """Case-folded, white space collapsed."""
+    return F.regexp_replace(F.trim(case_fold(c)), r"\s+", " ")
 
 
 def stable_id(kind: Column, ident: Column) -> Column:
@@ -95,9 +107,11 @@ def distance_text(metres: Column) -> Column:
 
 
 def fnv1a32(c: Column) -> Column:
-    """FNV-1a over the characters' code points (equal to UTF-16 units in the basic plane), as eight hex digits."""
-    chars = F.filter(F.split(c, ""), lambda x: x != "")
-    h = F.aggregate(chars, F.lit(2166136261).cast("bigint"), lambda a, x: (a.bitwiseXOR(F.ascii(x).cast("bigint")) * 16777619).bitwiseAND(4294967295))
+    """FNV-1a over UTF-16 units (a character beyond the basic plane is two), as eight hex digits."""
+    points = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("bigint"))
+    high, low = (lambda p: F.lit(0xD800) + F.shiftright(p - 0x10000, 10)), (lambda p: F.lit(0xDC00) + (p - 0x10000).bitwiseAND(0x3FF))
+    units = F.flatten(F.transform(points, lambda p: F.when(p > 0xFFFF, F.array(high(p), low(p))).otherwise(F.array(p))))
+    h = F.aggregate(units, F.lit(2166136261).cast("bigint"), lambda a, x: (a.bitwiseXOR(x) * 16777619).bitwiseAND(4294967295))
     return F.lower(F.lpad(F.hex(h), 8, "0"))
 
 

@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, text
 from ..lineage import keep
 
 
@@ -182,7 +182,7 @@ def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: f
     of over `most` pairs is dealt by squares, each walked as far as rows of other squares allow; the pairs that wait for these go on to the next
     round, a few squares or one name again. With `rounds`, more decisions than that, each waiting for the one before, raise an error. Rows that are `fixed` stay whatever is before them.
     """
-    key = F.regexp_replace(F.trim(F.lower(F.col(name))), r"\s+", " ")
+    key = text.name_key(F.col(name))
     d = df.withColumn("_key", key)
     found = _near_pairs(d, "_key", order, metres).dropDuplicates(["first", "second"])
     if fixed is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.publish import set_hashes
@@ -87,6 +87,39 @@ def write_geojson_features(points: DataFrame, properties: list[str], path: str)
     geojson_lines(points, properties)[0].write.text(path)
 
 
+def _geometry_text(polygon) -> Column:
+    """GeoJSON text of a polygon column: Polygon for one part, MultiPolygon for more; rings are closed."""
+    ring = lambda r: F.transform(F.when(F.element_at(r, -1) == r[0], r).otherwise(F.concat(r, F.slice(r, 1, 1))), lambda v: F.array(v["x"], v["y"]))
+    parts = F.transform(polygon, lambda p: F.transform(p, ring))
+    text = lambda kind, coordinates: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), F.to_json(coordinates), F.lit("}"))
+    return F.when(F.size(polygon) == 1, text("Polygon", parts[0])).otherwise(text("MultiPolygon", parts))
+
+
+def _feature_text(ident, geometry, properties: list) -> Column:
+    return F.concat(F.lit('{"type":"Feature","id":'), F.to_json(F.array(ident)).substr(F.lit(2), F.length(F.to_json(F.array(ident))) - 2), F.lit(',"properties":'), F.to_json(F.struct(*properties)), F.lit(',"geometry":'), geometry, F.lit("}"))
+
+
+def ring_features(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(analysis_id, value: a GeoJSON feature a ring; rejected) of rings (analysis_id, ring_id, inner_minutes, outer_minutes, polygon).
+
+    Rings without a polygon have no feature; one with a vertex out of bounds is rejected. A null ring_id becomes ring- and the outer minutes.
+    """
+    d = rings.where(F.size("polygon") > 0)
+    inside = lambda v: F.coalesce(v["x"].between(-180, 180) & v["y"].between(-90, 90), F.lit(False))
+    ok = F.forall(F.flatten(F.flatten("polygon")), inside) & F.forall(F.flatten("polygon"), lambda r: F.size(r) > 2)
+    ident = F.coalesce("ring_id", F.concat(F.lit("ring-"), F.col("outer_minutes").cast("string")))
+    value = _feature_text(ident, _geometry_text(F.col("polygon")), [ident.alias("ringId"), F.col("inner_minutes").alias("innerRangeMinutes"), F.col("outer_minutes").alias("outerRangeMinutes")])
+    return d.where(ok).select("analysis_id", value.alias("value")), d.where(~ok).withColumn("reason", F.lit("invalid-coordinates"))
+
+
+def centre_features(centres: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of centres (analysis_id, label, lon, lat), with the id analysis-center; a null label is empty."""
+    ok = F.coalesce(F.col("lon").between(-180, 180) & F.col("lat").between(-90, 90), F.lit(False))
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
+    value = _feature_text(F.lit("analysis-center"), point, [F.coalesce("label", F.lit("")).alias("label")])
+    return centres.where(ok).select("analysis_id", value.alias("value")), centres.where(~ok).withColumn("reason", F.lit("invalid-coordinates"))
+
+
 def nested_results(published: DataFrame) -> DataFrame:
     """One document an analysis; rows are gathered by ring first. An analysis's document has to fit a row."""
     rings = published.groupBy("analysis_id", "ring_id").agg(F.array_sort(F.collect_list(F.struct("poi_id", "travel_time_s", "distance_m"))).alias("pois"))
