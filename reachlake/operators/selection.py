@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..lineage import keep
+from .overlay import _meet
+from .ranks import MOST, ranked
 from .spatial import dedupe_near, points_in_polygons
 
 
@@ -14,13 +16,13 @@ def score_of(*columns: str) -> Column:
     return F.coalesce(*(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")) for c in columns))
 
 
-def select_by_quota(eligible: DataFrame, quotas: dict[str, int], columns: tuple[str, ...] = ("rating", "importance")) -> DataFrame:
+def select_by_quota(eligible: DataFrame, quotas: dict[str, int], columns: tuple[str, ...] = ("rating", "importance"), most: int = MOST) -> DataFrame:
     """Adds rank and is_selected: per analysis and ring by score (missing last), time, id; rings are not back-filled."""
-    w = Window.partitionBy("analysis_id", "ring_id").orderBy(F.desc_nulls_last("score"), "travel_time_s", "poi_id")
     quota = F.lit(0)
     for ring, n in quotas.items():
         quota = F.when(F.col("ring_id") == ring, n).otherwise(quota)
-    return eligible.withColumn("score", score_of(*columns)).withColumn("rank", F.row_number().over(w)).withColumn("is_selected", F.col("rank") <= quota)
+    order = [F.desc_nulls_last("score"), "travel_time_s", "poi_id"]
+    return ranked(eligible.withColumn("score", score_of(*columns)), ["analysis_id", "ring_id"], order, "rank", most).withColumn("is_selected", F.col("rank") <= quota)
 
 
 def nested_presets(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def nested_presets(small: DataFrame, large: DataFrame) -> DataFrame:
 
 def match_order(matches: DataFrame) -> DataFrame:
     """Adds position: by ring_id, top_id, hierarchy (arrays compare place by place) and poi_id in each analysis."""
-    return matches.withColumn("position", F.row_number().over(Window.partitionBy("analysis_id").orderBy("ring_id", "top_id", "hierarchy", "poi_id")))
+    return ranked(matches, ["analysis_id"], ["ring_id", "top_id", "hierarchy", "poi_id"], "position")
 
 
 def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFrame:
@@ -43,10 +45,11 @@ def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFr
     """
     groups = ["analysis_id", "ring_id", "top_id"]
     order = ["hierarchy", "poi_id"] if "hierarchy" in matches.columns else ["poi_id"]
-    ranked = matches.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    first = matches.withColumn("rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    first = first.where(F.col("rn") <= n)  # no group gives more rows; each map task keeps n of a group at most
     if not exact:
         w = Window.partitionBy("analysis_id").orderBy("rn", "ring_id", "top_id")
-        return ranked.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("rn")
+        return first.withColumn("position", F.row_number().over(w)).where(F.col("position") <= n).drop("rn")
 
     def deal(pdf):
         import pandas as pd
@@ -67,7 +70,7 @@ def round_robin_limit(matches: DataFrame, n: int, exact: bool = False) -> DataFr
 
     kind = matches.schema["analysis_id"].dataType.simpleString()
     plan = matches.groupBy(*groups).agg(F.count("*").alias("n")).groupBy("analysis_id").applyInPandas(deal, f"analysis_id {kind}, ring_id string, top_id string, rn int, position int")
-    return ranked.join(plan.hint("merge"), [*groups, "rn"]).drop("rn")
+    return first.join(plan.hint("merge"), [*groups, "rn"]).drop("rn")
 
 
 def limit_per_analysis(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
@@ -79,18 +82,21 @@ def selection_stats(selected: DataFrame) -> DataFrame:
     return selected.groupBy("analysis_id").agg(F.count("*").alias("matched"), F.count_if("is_selected").alias("returned")).withColumn("truncated", F.col("returned") < F.col("matched"))
 
 
-def time_visual_model(df: DataFrame) -> DataFrame:
+def time_visual_model(df: DataFrame, most: int = MOST) -> DataFrame:
     """font_size by time rank in the analysis (12 + 14 (1 - rank/(n-1))^0.75) and opacity by rank in the ring (1 to 0.55)."""
-    w, r = Window.partitionBy("analysis_id"), Window.partitionBy("analysis_id", "ring_id")
-    order = ("travel_time_s", "poi_id")
-    d = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w), "_j": F.row_number().over(r.orderBy(*order)) - 1, "_m": F.count("*").over(r)})
+    order = ["travel_time_s", "poi_id"]
+    ring = ["analysis_id", "ring_id"]
+    sizes = keep(df.groupBy(*ring).agg(F.count("*").alias("_m")), "ring-sizes")
+    whole = sizes.groupBy("analysis_id").agg(F.sum("_m").alias("_n"))
+    d = ranked(ranked(df, ["analysis_id"], order, "_i", most), ring, order, "_j", most)
+    d = _meet(d, _meet(sizes, whole, ["analysis_id"], "merge"), ring, "merge").withColumns({"_i": F.col("_i") - 1, "_j": F.col("_j") - 1})
     font = 12 + 14 * F.pow(1 - F.col("_i") / F.greatest(F.col("_n") - 1, F.lit(1)), F.lit(0.75))
     return d.withColumns({"font_size": F.round(font, 6), "opacity": F.round(1 - 0.45 * F.col("_j") / F.greatest(F.col("_m") - 1, F.lit(1)), 6)}).drop("_i", "_n", "_j", "_m")
 
 
-def matrix_batches(poi: DataFrame, size: int = 500) -> DataFrame:
+def matrix_batches(poi: DataFrame, size: int = 500, most: int = MOST) -> DataFrame:
     """Batches of ids in order: (analysis_id, batch, poi_ids, n, fingerprint)."""
-    d = poi.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("analysis_id").orderBy("poi_id")) - 1) / size))
+    d = ranked(poi, ["analysis_id"], ["poi_id"], "_number", most).withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")
     b = d.groupBy("analysis_id", "batch").agg(F.array_sort(F.collect_list("poi_id")).alias("poi_ids"))
     return b.withColumns({"n": F.size("poi_ids"), "fingerprint": F.sha2(F.array_join("poi_ids", "|"), 256)})
 
@@ -103,9 +109,9 @@ def validate_batches(plan: DataFrame, results: DataFrame) -> DataFrame:
     return j.select("batch_id", why.alias("verdict"))
 
 
-def number_rows(df: DataFrame, key: str, *order: str) -> DataFrame:
+def number_rows(df: DataFrame, key: str, *order: str, most: int = MOST) -> DataFrame:
     """Stable numbers from 1 in each key."""
-    return df.withColumn("number", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return ranked(df, [key], list(order), "number", most)
 
 
 def dedupe_first(df: DataFrame, keys: list[str], *order: str) -> DataFrame:

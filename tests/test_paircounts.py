@@ -93,3 +93,27 @@ def test_keep_first_of_long_chains_and_large_names(spark):
     d = spark.createDataFrame(some, "pos int, name string, lon double, lat double").repartition(4)
     for most in (1 << 17, 60):
         assert sorted(r.pos for r in spatial.dedupe_near(d, most=most).select("pos").collect()) == [r[0] for r in kept]
+
+
+def test_ranks_of_a_hot_key(spark):
+    """One analysis with most rows, a null one, ties in the score: the same numbers as by a window, and no partition with more than its share."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from reachlake.operators import ranks, selection
+
+    rng = random.Random(1)
+    rows = [(rng.choice([1, 1, 1, 1, 2, None]), rng.choice(["a", "a", "a", "b"]), f"p{i:05d}", rng.choice([None, 1.0, 2.0]), float(rng.randrange(50))) for i in range(4000)]
+    d = spark.createDataFrame(rows, "analysis_id int, ring_id string, poi_id string, rating double, travel_time_s double").withColumn("importance", F.lit(None).cast("double")).repartition(5)
+    order = [F.desc_nulls_last("rating"), "travel_time_s", "poi_id"]
+    want = {r.poi_id: r.n for r in d.withColumn("n", F.row_number().over(Window.partitionBy("analysis_id", "ring_id").orderBy(*order))).collect()}
+    got = ranks.ranked(d, ["analysis_id", "ring_id"], order, "n", most=500)
+    assert {r.poi_id: r.n for r in got.collect()} == want
+    q = {"a": 30, "b": 10}
+    a, b = (sorted(r.poi_id for r in selection.select_by_quota(d, q, most=m).where("is_selected").collect()) for m in (500, 1 << 20))
+    assert a == b and len(a) > 60
+    for f in (lambda m: selection.time_visual_model(d, most=m), lambda m: selection.matrix_batches(d, 100, most=m), lambda m: selection.number_rows(d, "analysis_id", "poi_id", most=m)):
+        assert sorted(map(str, f(500).collect())) == sorted(map(str, f(1 << 20).collect()))
+    stored = spark.read.parquet(max(__import__("glob").glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/rank-rows-*"), key=__import__("os").path.getmtime))
+    sizes = [r["count"] for r in stored.groupBy(F.shiftright("_rank_at", 33)).count().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[1]
