@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .overlay import _meet
+from .ranks import MOST, at_places, by_size
+
 BANDS = ((600, "ring-0-10"), (1200, "ring-10-20"), (1800, "ring-20-30"))
 OUT_OF_RANGE = "matrix-out-of-range"
 
@@ -103,13 +106,28 @@ def accessibility_summary(acc: DataFrame) -> DataFrame:
     )
 
 
-def distribution(acc: DataFrame) -> DataFrame:
-    """Per analysis, over ok rows: min, median (middle pair averaged), nearest-rank p90 and max of time and distance."""
-    d = with_status(acc).where("status = 'ok'")
-    out = []
+def distribution(acc: DataFrame, most: int = MOST) -> DataFrame:
+    """Per analysis, over ok rows: min, median (middle pair averaged), nearest-rank p90 and max of time and distance. Values of an analysis of over `most` rows are
+    never in one buffer: their order is spread over tasks."""
+    few, many = by_size(with_status(acc).where("status = 'ok'"), ["analysis_id"], most)
+
+    def summary(d: DataFrame, middle: bool) -> DataFrame:
+        out = []
+        for c, name in (("duration_s", "time"), ("distance_m", "distance")):
+            out += [F.round(F.min(c), 3).alias(f"{name}_min"), F.round(F.max(c), 3).alias(f"{name}_max")]
+            if middle:
+                out += [F.round(F.median(c), 3).alias(f"{name}_median"), F.round(F.expr(f"percentile_disc(0.9) within group (order by {c})"), 3).alias(f"{name}_p90")]
+        return d.groupBy("analysis_id").agg(F.count("*").alias("n"), *out)
+
+    names = ["analysis_id", "n", *(f"{x}_{y}" for x in ("time", "distance") for y in ("min", "median", "p90", "max"))]
+    found = summary(few, True).select(*names)
+    if many is None:
+        return found
+    large = summary(many, False)
     for c, name in (("duration_s", "time"), ("distance_m", "distance")):
-        out += [F.round(F.min(c), 3).alias(f"{name}_min"), F.round(F.median(c), 3).alias(f"{name}_median"), F.round(F.expr(f"percentile_disc(0.9) within group (order by {c})"), 3).alias(f"{name}_p90"), F.round(F.max(c), 3).alias(f"{name}_max")]
-    return d.groupBy("analysis_id").agg(F.count("*").alias("n"), *out)
+        places = at_places(many, ["analysis_id"], c, {"median": "(n - 1) / 2", "p90": "ceil(0.9 * n) - 1"})
+        large = _meet(large, places.select("analysis_id", *(F.round(x, 3).alias(f"{name}_{x}") for x in ("median", "p90"))), ["analysis_id"], "merge", "left")
+    return found.unionByName(large.select(*names))
 
 
 def band_migration(published: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import geo
 from .overlay import _meet, overlay, overlay_areas, plain_edges
+from .ranks import MOST, at_places, by_size
 from .spatial import cell_of
 
 
@@ -107,11 +108,16 @@ def tile_adjacency(tiles: DataFrame, key: str | list[str], size: float) -> DataF
     return a.join(tiles.select(*keys, "row", "col").hint("merge"), [*keys, "row", "col"]).select(*keys, "row1", "col1", F.col("row").alias("row2"), F.col("col").alias("col2"), F.lit(float(size)).alias("shared"))
 
 
-def area_stats(pieces: DataFrame, key: str) -> DataFrame:
-    """Areas by key: count, min, max, median, interpolated p10 and p90, and how many are below 0.1, 1, 5 or above 40."""
+def area_stats(pieces: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """Areas by key: count, min, max, median, interpolated p10 and p90, and how many are below 0.1, 1, 5 or above 40. Areas of a key of over `most` pieces are never in one buffer."""
+    few, many = by_size(pieces, [key], most)
+    counts = [F.count("*").alias("n"), F.min("area").alias("area_min"), F.max("area").alias("area_max"), *(F.count_if(F.col("area") < x).alias(f"below_{str(x).replace('.', '_')}") for x in (0.1, 1, 5)), F.count_if(F.col("area") > 40).alias("above_40")]
     p = F.percentile("area", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    d = pieces.groupBy(key).agg(F.count("*").alias("n"), F.min("area").alias("area_min"), F.max("area").alias("area_max"), p.alias("_p"), *(F.count_if(F.col("area") < x).alias(f"below_{str(x).replace('.', '_')}") for x in (0.1, 1, 5)), F.count_if(F.col("area") > 40).alias("above_40"))
-    return d.withColumns({"p10": F.col("_p")[0], "median": F.col("_p")[1], "p90": F.col("_p")[2]}).drop("_p")
+    d = few.groupBy(key).agg(*counts, p.alias("_p")).withColumns({"p10": F.col("_p")[0], "median": F.col("_p")[1], "p90": F.col("_p")[2]}).drop("_p")
+    if many is None:
+        return d
+    places = at_places(many, [key], "area", {"p10": "0.1 * (n - 1)", "median": "0.5 * (n - 1)", "p90": "0.9 * (n - 1)"})
+    return d.unionByName(_meet(many.groupBy(key).agg(*counts), places, [key], "merge", "left"))
 
 
 def coverage_audit(pieces: DataFrame, keys: list[str], outer: DataFrame | None = None, lon_lat: bool = False, unit: float = 1e-6) -> DataFrame:

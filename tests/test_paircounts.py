@@ -117,3 +117,18 @@ def test_ranks_of_a_hot_key(spark):
     stored = spark.read.parquet(max(__import__("glob").glob(f"{spark.conf.get('spark.checkpoint.dir')}/*/rank-rows-*"), key=__import__("os").path.getmtime))
     sizes = [r["count"] for r in stored.groupBy(F.shiftright("_rank_at", 33)).count().collect()]
     assert len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[1]
+
+
+def test_percentiles_of_a_hot_key(spark):
+    """As by aggregates that hold all values: ties, nulls, even and odd numbers, a null key, one row."""
+    from pyspark.sql import functions as F
+
+    from reachlake.operators import publish, tiles
+
+    rng = random.Random(2)
+    d = spark.createDataFrame([(rng.choice([1, 1, 1, 2, None]), rng.choice([0.05, 0.5, 3.0, 60.0, rng.random() * 50, None])) for _ in range(1500)] + [(3, 7.0)], "k int, area double").repartition(5)
+    a, b = (sorted(map(tuple, tiles.area_stats(d, "k", most=m).select("k", "n", "area_min", "area_max", "p10", "median", "p90", "below_1", "above_40").collect()), key=str) for m in (200, 1 << 20))
+    assert len(a) == 4 and all(x[0] == y[0] and x[1:] == pytest.approx(y[1:], rel=1e-12) for x, y in zip(a, b, strict=True))
+    acc = d.select(F.col("k").alias("analysis_id"), F.monotonically_increasing_id().cast("string").alias("poi_id"), (F.col("area") * 20).alias("duration_s"), (F.col("area") * 7).alias("distance_m"))
+    a, b = (sorted(map(tuple, publish.distribution(acc, most=m).collect()), key=str) for m in (200, 1 << 20))
+    assert len(a) == 4 and a == b
