@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.publish import set_hashes
+from ..operators.tiles import morton
+
+#: Bits of a coordinate in the order by place.
+PLACE_BITS = 20
 
 
 def content_fingerprint(df: DataFrame) -> DataFrame:
@@ -28,12 +32,21 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def publish_dataset(df: DataFrame, path: str, dataset_id: str, release: str, replace: bool = False, region_id: str | None = None) -> str:
+def by_place(df: DataFrame) -> DataFrame:
+    """Rows (lon, lat) range-partitioned and sorted along a Z curve, so that a file and a row group are a small area; rows without a place come first."""
+    side = 1 << PLACE_BITS
+    step = lambda c, low, span: F.least(F.lit(side - 1), F.greatest(F.lit(0), F.floor((F.col(c) - low) / span * side))).cast("bigint")
+    z = F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), morton(step("lon", -180, 360), step("lat", -90, 180), PLACE_BITS))
+    return df.withColumn("_z", z).repartitionByRange("_z").sortWithinPartitions("_z").drop("_z")
+
+
+def publish_dataset(df: DataFrame, path: str, dataset_id: str, release: str, replace: bool = False, region_id: str | None = None, places: bool = False) -> str:
     """Write rows under dataset_id: "unchanged" for equal content, an error for other content without replace, else "published".
 
     Rows go to a folder of their own for each content; the registry row that names it is the commit, and older folders of the
     dataset are deleted after it. A writer that dies before leaves the old content in place, one that dies after
-    leaves folders that no reader of the registry takes (read_dataset). No rows are content like any other.
+    leaves folders that no reader of the registry takes (read_dataset). No rows are content like any other. With `places`, rows (lon, lat) are laid out by place and a
+    table of each file's bounds is written beside them for read_box.
     """
     spark = df.sparkSession
     fp = content_fingerprint(df).first()
@@ -45,7 +58,11 @@ def publish_dataset(df: DataFrame, path: str, dataset_id: str, release: str, rep
             return "unchanged"
         if old and not replace:
             raise ValueError(f"dataset {dataset_id} has other content; pass replace=True")
-    df.write.mode("overwrite").parquet(f"{rows}/content={mark}")
+    (by_place(df) if places else df).write.mode("overwrite").parquet(f"{rows}/content={mark}")
+    if places:
+        bounds = [f(c).alias(f"{n}_{c}") for c in ("lon", "lat") for n, f in (("least", F.min), ("most", F.max))]
+        files = spark.read.schema(df.schema).parquet(f"{rows}/content={mark}").groupBy(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")).agg(*bounds, F.count("*").alias("n"))
+        files.write.mode("overwrite").parquet(f"{path}/places/dataset_id={dataset_id}/content={mark}")
     row = spark.createDataFrame([(dataset_id, release, region_id, mark, int(fp["n"]), True)], "dataset_id string, release string, region_id string, fingerprint string, n_rows bigint, ready boolean")
     row.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(registry)
     folder = spark._jvm.org.apache.hadoop.fs.Path(rows)
@@ -63,6 +80,20 @@ def read_dataset(spark: SparkSession, path: str, dataset_id: str) -> DataFrame:
     return spark.read.parquet(f"{path}/rows/dataset_id={dataset_id}/content={row['fingerprint']}")
 
 
+def read_box(spark: SparkSession, path: str, dataset_id: str, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The dataset's rows in a box, bounds included. Of a dataset published with places only files that reach into the box are opened, and of these the row groups that do."""
+    row = spark.read.parquet(f"{path}/registry").where(F.col("dataset_id") == dataset_id).first()
+    if row is None:
+        raise ValueError(f"no dataset {dataset_id}")
+    content = f"dataset_id={dataset_id}/content={row['fingerprint']}"
+    rows = spark.read.parquet(f"{path}/rows/{content}")
+    if _exists(spark, f"{path}/places/{content}"):
+        fit = (F.col("least_lon") <= east) & (F.col("most_lon") >= west) & (F.col("least_lat") <= north) & (F.col("most_lat") >= south)
+        names = [r["file"] for r in spark.read.parquet(f"{path}/places/{content}").where(fit).select("file").collect()]  # as many as files are read
+        rows = spark.read.schema(rows.schema).parquet(*(f"{path}/rows/{content}/{n}" for n in names)) if names else rows.where("false")
+    return rows.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
 def list_ready_datasets(registry: DataFrame) -> DataFrame:
     """Datasets that are ready, by release, region and id."""
     return registry.where("ready").orderBy("release", "region_id", "dataset_id")

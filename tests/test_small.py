@@ -57,3 +57,28 @@ def test_ring_and_centre_features(spark):
     assert [r.ring_id for r in bad.collect()] == ["bad"]
     good, bad = datasets.centre_features(spark.createDataFrame([(1, None, 114.0, 30.0), (2, "x", None, 30.0)], "analysis_id int, label string, lon double, lat double"))
     assert json.loads(good.first().value) == {"type": "Feature", "id": "analysis-center", "properties": {"label": ""}, "geometry": {"type": "Point", "coordinates": [114.0, 30.0]}} and bad.count() == 1
+
+
+def test_boxes_open_only_files_that_reach_into_them(spark, tmp_path):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, rng.uniform(113, 116), rng.uniform(29, 32)) for i in range(4000)] + [(-1, None, 30.0), (-2, 114.0, None)]
+    d = spark.createDataFrame(rows, "id int, lon double, lat double").repartition(3)
+    path = str(tmp_path / "ds")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert datasets.publish_dataset(d, path, "here", "r1", places=True) == "published"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    whole = datasets.read_dataset(spark, path, "here")
+    assert whole.count() == 4002 and len(whole.inputFiles()) >= 24
+    for box in ((114.1, 30.1, 114.3, 30.2), (113.0, 29.0, 116.0, 32.0), (10.0, 10.0, 11.0, 11.0), (rows[7][1], rows[7][2], rows[7][1], rows[7][2])):
+        got = datasets.read_box(spark, path, "here", *box)
+        want = {i for i, x, y in rows if x is not None and y is not None and box[0] <= x <= box[2] and box[1] <= y <= box[3]}
+        assert {r.id for r in got.collect()} == want
+    small = datasets.read_box(spark, path, "here", 114.1, 30.1, 114.3, 30.2)
+    assert len(small.inputFiles()) <= 8 and "PushedFilters: [" in small._jdf.queryExecution().executedPlan().toString()
+    assert datasets.publish_dataset(d, path, "plain", "r1") == "published" and datasets.read_box(spark, path, "plain", 113, 29, 114, 30).count() > 0
