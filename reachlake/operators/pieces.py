@@ -1,11 +1,13 @@
-"""Piece plans in metres: polygons clipped to a grid and split until small, and which pieces share a boundary. Native expressions only."""
+"""Piece plans in metres: polygons clipped to a grid and split until small (numpy over the rings of a batch), and which pieces share a boundary."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..lineage import keep
@@ -16,60 +18,172 @@ from .spatial import cell_of
 SAFE_AREA, AREA_EPSILON = 45e6, 1.0
 
 
-def clip_polygon(polygon: Column, west: Column, south: Column, east: Column, north: Column) -> Column:
-    """The part of a planar polygon inside a box: each ring is cut along the four sides in turn, and vertices on a side lie on it exactly.
+def _clip(x, y, count, bounds):
+    """Vertices (x, y) of rings with `count` vertices each, cut along the four sides of each ring's box (west, south, east, north) in turn; the new x, y and counts.
 
-    Areas are exact. A ring that leaves the box and comes back stays one ring, whose extra edges run along the box's sides there and back and
-    cancel. Parts without area go; a polygon outside the box gives an empty array.
+    Vertices on a side lie on it exactly.
     """
-    side = lambda a, b, c: F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), c.cast("double").alias("c"))
-    sides = F.array(side(-1, 0, -west), side(1, 0, east), side(0, -1, -south), side(0, 1, north))  # inside: a x + b y <= c
+    for axis, sign, limit in ((0, -1.0, bounds[0]), (0, 1.0, bounds[2]), (1, -1.0, bounds[1]), (1, 1.0, bounds[3])):
+        at = np.repeat(limit, count)
+        far = sign * (y if axis else x) - sign * at
+        inside = far <= 0
+        if inside.all():
+            continue
+        after = _next(count)
+        crosses = inside != inside[after]
+        put = np.cumsum(inside + crosses.astype(np.int64))
+        total = int(put[-1]) if len(put) else 0
+        i, j = np.flatnonzero(crosses), after[crosses]
+        t = far[i] / (far[i] - far[j])
+        new = []
+        for k, v in enumerate((x, y)):
+            out = np.empty(total)
+            out[put[inside] - 1 - crosses[inside]] = v[inside]
+            out[put[i] - 1] = at[i] if k == axis else v[i] + t * (v[j] - v[i])
+            new.append(out)
+        ends = np.concatenate([[0], put])[np.concatenate([[0], np.cumsum(count)])]
+        (x, y), count = new, np.diff(ends)
+    return x, y, count
 
-    def cut(ring: Column, s: Column) -> Column:
-        far = lambda v: s["a"] * v["x"] + s["b"] * v["y"] - s["c"]
 
-        def step(z: Column) -> Column:
-            p, q = z["p"], z["q"]
-            t = F.try_divide(z["fp"], z["fp"] - z["fq"])
-            x = F.when(s["a"] != 0, s["a"] * s["c"]).otherwise(p["x"] + t * (q["x"] - p["x"]))
-            y = F.when(s["b"] != 0, s["b"] * s["c"]).otherwise(p["y"] + t * (q["y"] - p["y"]))
-            own, cross = F.array(F.struct(p["x"].alias("x"), p["y"].alias("y"))), F.array(F.struct(x.alias("x"), y.alias("y")))
-            return F.concat(F.filter(own, lambda _: z["fp"] <= 0), F.filter(cross, lambda _: (z["fp"] <= 0) != (z["fq"] <= 0)))
+def _next(count):
+    """The index of the vertex after each one in its ring."""
+    ends = np.cumsum(count)
+    after = np.arange(1, (int(ends[-1]) if len(ends) else 0) + 1)
+    some = count > 0
+    after[ends[some] - 1] = (ends - count)[some]
+    return after
 
-        n = F.size(ring)
-        ends = F.transform(ring, lambda p, i: F.struct(p.alias("p"), F.element_at(ring, F.pmod(i + 1, n) + 1).alias("q")))
-        with_far = F.transform(ends, lambda z: F.struct(z["p"].alias("p"), z["q"].alias("q"), far(z["p"]).alias("fp"), far(z["q"]).alias("fq")))
-        return F.flatten(F.transform(with_far, step))
 
-    ring_in_box = lambda r: F.aggregate(sides, F.transform(r, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"))), lambda acc, s: F.when(F.size(acc) > 0, cut(acc, s)).otherwise(acc))
-    parts = F.transform(polygon, lambda part: F.transform(part, ring_in_box))
-    parts = F.filter(parts, lambda p: (F.size(p) > 0) & (F.abs(geo.signed_area(p[0])) > 0))
-    return F.transform(parts, lambda p: F.filter(p, lambda r: F.size(r) > 2))
+def _ring_areas(x, y, count):
+    """Shoelace areas without sign, taken from the first vertex; 0 below three vertices. Terms are added in order."""
+    after, ring = _next(count), np.repeat(np.arange(len(count)), count)
+    first = np.repeat((np.cumsum(count) - count), count)
+    dx, dy = x - x[first], y - y[first]
+    terms = np.stack([dx * dy[after], -(dx[after] * dy)], axis=1).ravel()
+    return np.where(count > 2, np.abs(np.bincount(np.repeat(ring, 2), terms, len(count)) / 2), 0.0)
+
+
+def _ragged(start, count):
+    """The numbers start .. start + count - 1 of each entry, one after the other."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - start, count)
+
+
+def _clip_rows(kind: str, grid: float, most: int = 1 << 17):
+    """Batches whose last columns are piece_id, level, polygon -> a row for each grid cell (kind grid) or quarter (kind quarter) of its polygon's box that has area, with area.
+
+    Polygons are copied for a slice of boxes at a time, some `most` vertices or one box.
+    """
+
+    def boxes(x, y, row, n):
+        """For each box: its row, number of row and column, and bounds."""
+        low = [np.full(n, np.inf) for _ in range(2)]
+        high = [np.full(n, -np.inf) for _ in range(2)]
+        for k, v in enumerate((x, y)):
+            np.fmin.at(low[k], row, v)
+            np.fmax.at(high[k], row, v)
+        (w, s), (e, north) = low, high
+        real = np.flatnonzero((w <= e) & (s <= north))
+        if not all(np.isfinite(v[real]).all() for v in (w, s, e, north)):
+            raise ValueError("a polygon has an infinite coordinate")
+        if kind == "quarter":
+            r, i = np.repeat(real, 4), np.tile(np.arange(4), len(real))
+            up, right = i // 2, i % 2
+            mx, my = (w[r] + e[r]) / 2, (s[r] + north[r]) / 2
+            return r, up, right, [np.where(right, mx, w[r]), np.where(up, my, s[r]), np.where(right, e[r], mx), np.where(up, north[r], my)]
+        at = lambda v: np.floor(v[real] / grid).astype(np.int64)
+        c0, r0 = at(w), at(s)
+        wide, n_cells = at(e) - c0 + 1, (at(e) - c0 + 1) * (at(north) - r0 + 1)
+        r, i = np.repeat(real, n_cells), _ragged(np.zeros(len(real), np.int64), n_cells)
+        up, right = i // np.repeat(wide, n_cells), i % np.repeat(wide, n_cells)
+        col, line = np.repeat(c0, n_cells) + right, np.repeat(r0, n_cells) + up
+        return r, up, right, [col * grid, line * grid, (col + 1) * grid, (line + 1) * grid]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            poly = batch.column("polygon")
+            parts = poly.values
+            rings = parts.values
+            points = rings.values
+            o1, o2, o3 = (np.asarray(a.offsets, dtype=np.int64) for a in (poly, parts, rings))
+            x, y = (points.field(k).to_numpy(zero_copy_only=False) for k in ("x", "y"))
+            # Rings of a row follow each other: row -> its rings, ring -> its vertices.
+            ring_at, n_rings = o2[o1[:-1]], o2[o1[1:]] - o2[o1[:-1]]
+            n_points = o3[o2[o1[1:]]] - o3[o2[o1[:-1]]]
+            own = _ragged(o3[o2[o1[:-1]]], n_points)
+            row, up, right, bounds = boxes(x[own], y[own], np.repeat(np.arange(len(n_points)), n_points), len(n_points))
+            # A ring is a shell if a part begins with it.
+            part = np.repeat(np.arange(len(o2) - 1), np.diff(o2))
+            size = np.cumsum(n_points[row])
+            start = 0
+            while start < len(row):
+                end = max(start + 1, int(np.searchsorted(size, (size[start - 1] if start else 0) + most, "right")))
+                cut, start = slice(start, end), end
+                r = row[cut]
+                ring = _ragged(ring_at[r], n_rings[r])
+                box = np.repeat(np.arange(len(r)), n_rings[r])
+                count = np.diff(o3)[ring]
+                v = _ragged(o3[ring], count)
+                cx, cy, count = _clip(x[v], y[v], count, [b[cut][box] for b in bounds])
+                area = _ring_areas(cx, cy, count)
+                key = np.stack([box, part[ring]])
+                head = np.ones(len(ring), bool)
+                head[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+                p = np.cumsum(head) - 1
+                shell, n_parts = area[head], int(head.sum())
+                holes = np.bincount(p[~head], area[~head], n_parts)
+                good = shell > 0
+                total = np.bincount(box[head][good], (shell - holes)[good], len(r))
+                full = total > 0
+                keep_ring = good[p] & full[box] & (count > 2)
+                keep_part = good & full[box[head]]
+                kv = np.repeat(keep_ring, count)
+                offsets = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                flat = pa.StructArray.from_arrays([pa.array(cx[kv]), pa.array(cy[kv])], ["x", "y"])
+                out = pa.ListArray.from_arrays(offsets(count[keep_ring]), flat)
+                out = pa.ListArray.from_arrays(offsets(np.bincount(p[keep_ring], minlength=n_parts)[keep_part]), out)
+                out = pa.ListArray.from_arrays(offsets(np.bincount(box[head][keep_part], minlength=len(r))[full]), out)
+                base = batch.select(batch.schema.names[:-3]).take(pa.array(r[full]))
+                ids = zip(batch.column("piece_id").take(pa.array(r[full])).to_pylist(), up[cut][full].tolist(), right[cut][full].tolist(), strict=True)
+                names = [f"{a}-{i}{j}" if kind == "quarter" else f"cell-{i:04d}-{j:04d}" for a, i, j in ids]
+                level = np.asarray(batch.column("level"))[r[full]] + (kind == "quarter")
+                if len(names):
+                    yield pa.RecordBatch.from_arrays([*base.columns, pa.array(names, pa.string()), pa.array(level, pa.int32()), out, pa.array(total[full])], [*base.schema.names, "piece_id", "level", "polygon", "area"])
+
+    return run
+
+
+#: Polygons as they go to numpy.
+_POLYGON = "array<array<array<struct<x:double,y:double>>>>"
+
+
+def _cut(d: DataFrame, keys: list[str], kind: str, grid: float = 0.0) -> DataFrame:
+    """keys, piece_id, level, polygon, area: d (keys, piece_id, level, polygon) cut by boxes, see _clip_rows. A ring that leaves its box and comes back
+    stays one ring, whose extra edges run along the box's sides there and back and cancel; parts and boxes without area go."""
+    if d.schema["polygon"].dataType.simpleString() != _POLYGON:
+        vertex = lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y"))
+        d = d.withColumn("polygon", F.transform("polygon", lambda p: F.transform(p, lambda r: F.transform(r, vertex))))
+    types = T.StructType([d.schema[k] for k in keys])
+    out = T.StructType([*types.fields, *T.StructType.fromDDL(f"piece_id string, level int, polygon {_POLYGON}, area double").fields])
+    return d.select(*keys, "piece_id", "level", "polygon").mapInArrow(_clip_rows(kind, float(grid)), out)
 
 
 def grid_pieces(polygons: DataFrame, keys: list[str], grid: float, whole: float | None = SAFE_AREA) -> DataFrame:
     """keys, piece_id, level 0, polygon, area: planar polygons in metres, clipped to a grid anchored at whole numbers of `grid`; ids cell-rrrr-cccc from the polygon's
     south-west cell. A polygon of at most `whole` (no None) is one piece named `whole`. Null and empty polygons have none."""
-    d = polygons.select(*keys, "polygon").where(F.size("polygon") > 0).withColumns({"_b": geo.bbox(F.col("polygon")), "area": geo.polygon_area(F.col("polygon"))})
+    # A small file of many polygons is one task: they are dealt by key first.
+    parts = int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = polygons.select(*keys, "polygon").repartition(parts, *keys).where(F.size("polygon") > 0).withColumn("area", geo.polygon_area(F.col("polygon")))
     small = F.lit(False) if whole is None else F.col("area") <= whole + AREA_EPSILON
     one = d.where(small).where("area > 0").select(*keys, F.lit("whole").alias("piece_id"), F.lit(0).alias("level"), "polygon", "area")
-    span = lambda lo, hi: F.explode(F.sequence(cell_of(F.col(lo), grid), cell_of(F.col(hi), grid)))
-    t = d.where(~small).withColumn("_row", span("_b.south", "_b.north")).withColumn("_col", span("_b.west", "_b.east"))
-    name = F.format_string("cell-%04d-%04d", F.col("_row") - cell_of(F.col("_b.south"), grid), F.col("_col") - cell_of(F.col("_b.west"), grid))
-    box = [F.col("_col") * F.lit(float(grid)), F.col("_row") * F.lit(float(grid)), (F.col("_col") + 1) * F.lit(float(grid)), (F.col("_row") + 1) * F.lit(float(grid))]
-    t = t.select(*keys, name.alias("piece_id"), F.lit(0).alias("level"), clip_polygon(F.col("polygon"), *box).alias("polygon"))
-    t = t.withColumn("area", geo.polygon_area(F.col("polygon"))).where("area > 0")
-    return one.unionByName(t)
+    return one.unionByName(_cut(d.where(~small).withColumns({"piece_id": F.lit(""), "level": F.lit(0)}), keys, "grid", grid))
 
 
 def quarter(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """The four parts of each piece by the middle lines of its own box, with ids -rc; parts without area go. Other columns are dropped."""
-    b, mx, my = F.col("_b"), (F.col("_b.west") + F.col("_b.east")) / 2, (F.col("_b.south") + F.col("_b.north")) / 2
-    box = lambda r, c: F.struct(F.lit(f"-{r}{c}").alias("id"), (mx if c else b["west"]).alias("w"), (my if r else b["south"]).alias("s"), (b["east"] if c else mx).alias("e"), (b["north"] if r else my).alias("n"))
-    d = pieces.select(*keys, "piece_id", "level", "polygon", geo.bbox(F.col("polygon")).alias("_b"))
-    d = d.withColumn("q", F.explode(F.array(*(box(r, c) for r in (0, 1) for c in (0, 1)))))
-    d = d.select(*keys, F.concat("piece_id", "q.id").alias("piece_id"), (F.col("level") + 1).alias("level"), clip_polygon(F.col("polygon"), F.col("q.w"), F.col("q.s"), F.col("q.e"), F.col("q.n")).alias("polygon"))
-    return d.withColumn("area", geo.polygon_area(F.col("polygon"))).where("area > 0")
+    return _cut(pieces, keys, "quarter")
 
 
 def plan_pieces(polygons: DataFrame, keys: list[str], grid: float, cap: float = SAFE_AREA, depth: int = 2, points: DataFrame | None = None, limit: int | None = None, least: float = 0.0, whole: float | None = SAFE_AREA) -> DataFrame:

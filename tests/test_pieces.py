@@ -199,6 +199,29 @@ def test_whole_pieces_and_edges_of_the_plan(spark):
     assert (f.vertices, f.perimeter, f.holes, f.parts, f.box_share) == (8, 42_000.0, 1, 1, pytest.approx(26 / 42))
 
 
+def test_plan_is_dealt_over_tasks(spark):
+    """Polygons that come in one partition are cut in several tasks, with holes, parts and rings of no vertices, slice by slice as at once."""
+    rnd = random.Random(3)
+    rows = [(i, [[star(rnd, 3000 * i, 0, 9000), star(rnd, 3000 * i, 0, 500)], [star(rnd, 3000 * i, 30_000, 4000)], []]) for i in range(40)]
+    d = frame(spark, rows).coalesce(1)
+    p = pieces.grid_pieces(d, ["id"], 2000.0, None).withColumn("part", F.spark_partition_id())
+    got = {(r.id, r.piece_id): r for r in p.collect()}
+    assert len({r.part for r in got.values()}) > 1
+    for i, (big, other, _) in rows:
+        own = [r for (j, _), r in got.items() if i == j]
+        assert sum(r.area for r in own) == pytest.approx(plain_area(big[0]) - plain_area(big[1]) + plain_area(other[0]), rel=1e-9)
+        assert all(min(len(q) for q in r.polygon) > 0 for r in own)
+    import pyarrow as pa
+
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))))
+    shape = [[[[{"x": x, "y": y} for x, y in g] for g in q] for q in r] for _, r in rows]
+    b = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([""] * 40), pa.array([0] * 40, pa.int32()), pa.array(shape, kind)], ["id", "piece_id", "level", "polygon"])
+    at_once, sliced = (pa.Table.from_batches(list(pieces._clip_rows("grid", 2000.0, most)([b]))) for most in (1 << 30, 100))
+    assert at_once.equals(sliced) and at_once.num_rows == len(got)
+    with pytest.raises(ValueError):
+        list(pieces._clip_rows("grid", 1.0)([pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([[[[{"x": math.inf, "y": 0.0}]]]] * 40, kind)], b.schema.names)]))
+
+
 def test_adjacency_of_mixed_levels_and_any_pieces(spark):
     """Against overlaps of all edge pairs: quadtree pieces of several levels, a turned copy, and pieces that touch in a point only."""
     rnd = random.Random(9)
