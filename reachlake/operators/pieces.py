@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -225,37 +223,42 @@ def plan_pieces(polygons: DataFrame, keys: list[str], grid: float, cap: float =
     return done
 
 
-def piece_adjacency(pieces: DataFrame, keys: list[str], cap: float = SAFE_AREA, tolerance: float = 0.01, stretch: float = 4096.0) -> DataFrame:
-    """keys, left_id, right_id (left_id < right_id), shared, union_area, merge_allowed: pieces (piece_id, polygon, area; planar, in metres, not overlapping) with a common boundary
-    longer than `tolerance`, of any shapes and levels.
-
-    Edges meet on their line: direction in steps of 1e-5 and distance from the origin in steps of the tolerance, with neighbouring steps on one side, and in stretches along it, so
-    neither a long line nor a large key is one group. The shared length is the overlap of edges that run in opposite directions, less that of edges in the same one:
-    a ring that runs along a side and back shares nothing there. Two pieces may merge if their union has at most `cap` and they meet along a line.
-    """
-    rings = pieces.select(*keys, "piece_id", F.explode("polygon").alias("_part")).select(*keys, "piece_id", F.posexplode("_part").alias("_i", "_r"))
+def _edge_rows(pieces: DataFrame, keys: list[str], tolerance: float, stretch: float) -> tuple[DataFrame, DataFrame]:
+    """Edges by the step of direction (dir), distance (row) and stretch (k) they lie in, with a_ before their columns; and by all steps they may meet another one in, with b_."""
+    rings = pieces.select(*keys, "piece_id", "area", F.explode("polygon").alias("_part")).select(*keys, "piece_id", "area", F.posexplode("_part").alias("_i", "_r"))
     turn = F.signum(geo.signed_area(F.col("_r"))) * F.when(F.col("_i") == 0, 1).otherwise(-1)
-    e = rings.select(*keys, "piece_id", turn.alias("turn"), F.explode(geo.ring_edges(F.col("_r"))).alias("e")).where("e.x1 <> e.x2 OR e.y1 <> e.y2")
+    e = rings.select(*keys, "piece_id", "area", turn.alias("turn"), F.explode(geo.ring_edges(F.col("_r"))).alias("e")).where("e.x1 <> e.x2 OR e.y1 <> e.y2")
     forward = F.expr("e.x2 > e.x1 OR (e.x2 = e.x1 AND e.y2 > e.y1)")
     e = e.withColumns({"sign": F.when(forward, F.col("turn")).otherwise(-F.col("turn")), "len": F.expr("hypot(e.x2 - e.x1, e.y2 - e.y1)")})
     e = e.withColumns({"ux": F.expr("CASE WHEN e.x2 > e.x1 OR (e.x2 = e.x1 AND e.y2 > e.y1) THEN 1 ELSE -1 END * (e.x2 - e.x1) / len"), "uy": F.expr("CASE WHEN e.x2 > e.x1 OR (e.x2 = e.x1 AND e.y2 > e.y1) THEN 1 ELSE -1 END * (e.y2 - e.y1) / len")})
     e = e.withColumns({"off": F.expr("ux * e.y1 - uy * e.x1"), "s1": F.expr("least(ux * e.x1 + uy * e.y1, ux * e.x2 + uy * e.y2)"), "s2": F.expr("greatest(ux * e.x1 + uy * e.y1, ux * e.x2 + uy * e.y2)")})
-    # The direction as an angle, where straight up and straight down are one.
-    e = e.withColumns({"dir": F.floor(F.atan2("uy", "ux") / 1e-5), "row": F.floor(F.col("off") / tolerance)})
+    # Steps are moved so that upright and level edges at round distances lie inside one. The direction is an angle, where straight up and straight down are one.
+    at = {"dir": (F.atan2("uy", "ux"), 1e-5), "row": (F.col("off"), tolerance)}
+    step = lambda name, by=0.0: F.floor((at[name][0] + by * at[name][1]) / (100 * at[name][1]) + 0.37)
     e = e.withColumn("k", F.explode(F.sequence(F.floor(F.col("s1") / stretch), F.floor(F.col("s2") / stretch))))
-    cols = ["piece_id", "sign", "ux", "uy", "off", "s1", "s2"]
-    one = e.select(*keys, *(F.col(c).alias(f"a_{c}") for c in cols), "dir", "row", "k")
-    near = F.explode(F.expr("flatten(transform(array(-1, 0, 1), i -> transform(array(-1, 0, 1), j -> struct(i AS i, j AS j))))"))
-    two = e.select(*keys, *(F.col(c).alias(f"b_{c}") for c in cols), "dir", "row", F.col("k"), near.alias("z")).withColumns({"dir": F.col("dir") + F.col("z.i"), "row": F.col("row") + F.col("z.j")}).drop("z")
+    cols = ["piece_id", "area", "sign", "ux", "uy", "off", "s1", "s2"]
+    one = e.select(*keys, *(F.col(c).alias(f"a_{c}") for c in cols), step("dir").alias("dir"), step("row").alias("row"), "k")
+    # A hair more than the difference, for rounding on the way.
+    both = lambda name: F.explode(F.sequence(step(name, -1.001), step(name, 1.001))).alias(name)
+    two = e.select(*keys, *cols, "k", both("dir")).select(*keys, *(F.col(c).alias(f"b_{c}") for c in cols), "k", "dir", both("row"))
+    return one, two
+
+
+def piece_adjacency(pieces: DataFrame, keys: list[str], cap: float = SAFE_AREA, tolerance: float = 0.01, stretch: float = 4096.0) -> DataFrame:
+    """keys, left_id, right_id (left_id < right_id), shared, union_area, merge_allowed: pieces (piece_id, polygon, area; planar, in metres, not overlapping) with a common boundary
+    longer than `tolerance`, of any shapes and levels.
+
+    Edges meet on their line: by direction, distance from the origin, and stretches along the line, so neither a long line nor a large key is one group. Steps of direction and distance are
+    100 times what edges may differ by, and an edge goes to a second step only if it lies that near to it. The shared length is the overlap of edges that run in opposite directions,
+    less that of edges in the same one: a ring that runs along a side and back shares nothing there. Two pieces may merge if their union has at most `cap` and they meet along a line.
+    """
+    one, two = _edge_rows(pieces, keys, tolerance, stretch)
     met = _meet(one, two, [*keys, "dir", "row", "k"], "merge").where("a_piece_id < b_piece_id")
     same = F.expr(f"abs(a_off - b_off) <= {tolerance} AND abs(a_ux * b_uy - a_uy * b_ux) <= 1e-5")
     lo, hi = F.greatest("a_s1", "b_s1", F.col("k") * stretch), F.least("a_s2", "b_s2", (F.col("k") + 1) * stretch)
     met = met.where(same).withColumn("o", F.greatest(hi - lo, F.lit(0.0)) * -F.col("a_sign") * F.col("b_sign"))
-    pairs = met.groupBy(*keys, F.col("a_piece_id").alias("left_id"), F.col("b_piece_id").alias("right_id")).agg(F.sum("o").alias("shared")).where(F.col("shared") > tolerance)
-    area = lambda name: pieces.select(*keys, F.col("piece_id").alias(f"{name}_id"), F.col("area").alias(f"_{name}"))
-    out = reduce(lambda d, name: _meet(d, area(name), [*keys, f"{name}_id"], "shuffle_hash"), ("left", "right"), pairs)
-    out = out.withColumn("union_area", F.col("_left") + F.col("_right"))
-    return out.select(*keys, "left_id", "right_id", "shared", "union_area", (F.col("union_area") <= cap + AREA_EPSILON).alias("merge_allowed"))
+    pairs = met.groupBy(*keys, F.col("a_piece_id").alias("left_id"), F.col("b_piece_id").alias("right_id")).agg(F.sum("o").alias("shared"), (F.max("a_area") + F.max("b_area")).alias("union_area")).where(F.col("shared") > tolerance)
+    return pairs.select(*keys, "left_id", "right_id", "shared", "union_area", (F.col("union_area") <= cap + AREA_EPSILON).alias("merge_allowed"))
 
 
 def fragmentation(pieces: DataFrame) -> DataFrame:

@@ -258,6 +258,21 @@ def test_adjacency_of_mixed_levels_and_any_pieces(spark):
     assert again.keys() == want.keys() and all(again[k] == pytest.approx(o, abs=0.02) for k, o in want.items())
 
 
+def test_edges_go_to_few_steps(spark):
+    """Hardly an edge is copied to a second step, and edges on both sides of a step's border still meet."""
+    rnd = random.Random(5)
+    p = pieces.plan_pieces(frame(spark, [(i, [[star(rnd, 7919 * i, 104_729 * i, 9000)]]) for i in range(20)]), ["id"], 1000.0, whole=None)
+    one, two = pieces._edge_rows(p, ["id"], 0.01, 4096.0)
+    n = one.count()
+    assert n > 4000 and two.count() < 1.2 * n
+    # Neighbours with a gap of 8 mm, at distances all over two steps of a metre.
+    box = lambda w, e: [[[(w, 0.0), (e, 0.0), (e, 10.0), (w, 10.0)]]]
+    rows = [(i, k, q, 100.0) for i in range(200) for k, q in (("a", box(0.0, 20 + i / 100)), ("b", box(20.008 + i / 100, 50.0)))]
+    d = spark.createDataFrame(rows, f"id int, piece_id string, polygon {POLYGON}, area double")
+    got = pieces.piece_adjacency(d, ["id"], cap=200.0).collect()
+    assert len(got) == 200 and all(r.shared == pytest.approx(10.0) and r.union_area == 200.0 and r.merge_allowed for r in got)
+
+
 def test_exclusive_rings_of_many_vertices(spark):
     """Polygons of 5,000 vertices, the second wider by half: no edge list meets another one in a task."""
     n = 5000
