@@ -129,96 +129,166 @@ def near_pairs(df: DataFrame, key: str, order: str, metres: float = 5.0) -> Data
     return _near_pairs(df, key, order, metres).select("key", "first", "second")
 
 
-def _settle():
-    """Pairs (g, first, second, own, root) sorted by g, second -> (row, gone, depth) of the rows that can be decided inside g; depth: decisions in a row.
-
-    own: first belongs to g, so all pairs that could take it are there; root: nothing anywhere can. Values are compared as Spark has sorted them.
+class _Near:
+    """Points in squares of 1.4 times `metres`, cut in four: two points of one quarter are always near."""
+
+    def __init__(self, metres: float) -> None:
+        self.metres, self.squares, self.quarters = metres, {}, set()
+
+    def add(self, x: float, y: float, square: tuple, quarter: tuple) -> None:
+        self.squares.setdefault(square, []).append((x, y))
+        self.quarters.add(quarter)
+
+    def has(self, x: float, y: float, square: tuple, quarter: tuple) -> bool:
+        """Whether a point lies within metres of this one."""
+        if quarter in self.quarters:
+            return True
+        if not self.squares:
+            return False
+        i, j = square
+        for cell in ((i, j), (i - 1, j), (i + 1, j), (i, j - 1), (i, j + 1), (i - 1, j - 1), (i - 1, j + 1), (i + 1, j - 1), (i + 1, j + 1)):
+            points = self.squares.get(cell, ())
+            for at, (px, py) in enumerate(points):
+                if math.hypot((px - x) * 96000.0, (py - y) * 111000.0) <= self.metres:
+                    # A point that is met goes to the front, so that a full square is not read through again and again.
+                    points[0], points[at] = points[at], points[0]
+                    return True
+        return False
+
+
+def _walk(metres: float, everything: bool, deep: bool):
+    """Rows (key, sx, sy, row, lon, lat, sure, own) sorted by key, square and row -> (key, row, lon, lat, gone, depth) of a square's own rows that are not sure: those that go, or (everything)
+    all, with a null where rows of other squares decide first.
+
+    Only rows that stay or wait are held, of one key and square, and a row is held against those around it, so no pair is made. Rows of equal order are decided together. depth, if asked
+    for: decisions in a row, for which all rows are held.
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
-
-        group, state, row, hits, open_, deep = None, {}, None, False, False, 0
-        out: tuple[list, list, list] = ([], [], [])
-
-        def end():
-            if row is not None:
-                state[row] = (hits, deep + 1) if hits or not open_ else None
-                if state[row]:
-                    for column, v in zip(out, (row, *state[row]), strict=True):
-                        column.append(v)
-
-        value = lambda v: tuple(v.values()) if isinstance(v, dict) else v
-        back = lambda rows, kind: pa.array([dict(zip(kind.names, r, strict=True)) for r in rows], kind) if pa.types.is_struct(kind) else pa.array(rows, kind)
+        import pyarrow.compute as pc
+
+        def changes(column):
+            if pa.types.is_struct(column.type):
+                return np.logical_or.reduce([changes(c) for c in column.flatten()])
+            c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+            return pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy(zero_copy_only=False) | (c.slice(1).is_null().to_numpy(zero_copy_only=False) != c.slice(0, len(c) - 1).is_null().to_numpy(zero_copy_only=False))
+
+        stay = wait = None
+        past: list[tuple[float, float, int]] = []
+
+        def decide(unit):
+            """The fate of rows of one order: [(x, y, square, quarter, sure, own)]; each is (gone, depth)."""
+            depth = 0
+            if deep:
+                before = [z for x, y, *_ in unit for px, py, z in past if math.hypot((px - x) * 96000.0, (py - y) * 111000.0) <= metres]
+                depth = 1 + max(before) if before else 0
+            free = [u for u in unit if not u[4]]
+            gone = any(stay.has(*u[:4]) for u in free)
+            open_ = not gone and any(not u[5] or wait.has(*u[:4]) for u in free)
+            for u in unit:
+                if u[4] or not gone:
+                    (wait if open_ and not u[4] else stay).add(*u[:4])
+                if deep:
+                    past.append((u[0], u[1], 0 if u[4] else depth))
+            return (None if open_ else gone), depth
+
+        def decided(table, first):
+            """Fates of all rows of a table that begins with a new key or square (first), or a new row."""
+            nonlocal stay, wait, past
+            n = table.num_rows
+            group = np.concatenate([[first], np.logical_or.reduce([changes(table.column(i)) for i in range(3)])])
+            row = np.concatenate([[True], changes(table.column(3))]) | group
+            x, y = (table.column(i).to_numpy() for i in (4, 5))
+            q = [np.floor(v * k / (0.7 * metres)) for v, k in ((x, 96000.0), (y, 111000.0))]
+            squares, quarters = zip(*(np.floor(v / 2).tolist() for v in q), strict=True), zip(*(v.tolist() for v in q), strict=True)
+            rows = list(zip(x.tolist(), y.tolist(), squares, quarters, table.column(6).to_pylist(), table.column(7).to_pylist(), strict=True))
+            starts = np.flatnonzero(row).tolist()
+            gone, depth = [None] * n, [0] * n
+            for at, end in zip(starts, [*starts[1:], n], strict=True):
+                if group[at]:
+                    stay, wait, past = _Near(metres), _Near(metres), []
+                fate = decide(rows[at:end])
+                gone[at:end], depth[at:end] = [fate[0]] * (end - at), [fate[1]] * (end - at)
+            verdict = pa.array(gone, pa.bool_())
+            mine = pc.and_(table.column(7), pc.invert(table.column(6)))
+            out = pa.table([table.column(i) for i in (0, 3, 4, 5)] + [verdict, pa.array(depth, pa.int64())], ["key", "row", "lon", "lat", "gone", "depth"])
+            yield from out.filter(mine if everything or deep else pc.and_(mine, verdict)).combine_chunks().to_batches()
+
+        # The last row of a batch may have others of its order in the next one.
+        held, first = None, True
         for batch in batches:
-            kind = batch.schema.field(2).type
-            for g, a, b, own, root in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                a, b = value(a), value(b)
-                if g != group or b != row:
-                    end()
-                    if g != group:
-                        group, state = g, {}
-                    row, hits, open_, deep = b, False, False, 0
-                # A first row of this group that has not come as a second one before, in order, never will: it stays.
-                known = (False, 0) if root else state.get(a, (False, 0)) if own else None
-                if known is None:
-                    open_ = True
-                else:
-                    hits, deep = hits or not known[0], max(deep, known[1])
-            if len(out[0]) > 100_000:
-                yield pa.RecordBatch.from_arrays([back(out[0], kind), pa.array(out[1]), pa.array(out[2], pa.int64())], ["row", "gone", "depth"])
-                out = ([], [], [])
-        end()
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([back(out[0], kind), pa.array(out[1]), pa.array(out[2], pa.int64())], ["row", "gone", "depth"])
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            new = np.flatnonzero(np.logical_or.reduce([changes(table.column(i)) for i in range(4)]))
+            if not len(new):
+                held = table
+                continue
+            end = int(new[-1]) + 1
+            yield from decided(table.slice(0, end), first)
+            held = table.slice(end)
+            first = any(bool(changes(table.column(i).slice(end - 1, 2))[0]) for i in range(3))
+        if held is not None:
+            yield from decided(held, first)
 
     return run
 
 
-def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None, fixed: Column | None = None, most: int = 1 << 17) -> DataFrame:
+def dedupe_near(df: DataFrame, name: str = "name", order: str = "pos", metres: float = 5.0, rounds: int | None = None, fixed: Column | None = None, most: int = 1 << 18) -> DataFrame:
     """Keep-first near-duplicates: in order, a row goes if an earlier row that stays is within metres and has its name.
 
-    Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. The pairs of a name are walked in order in one task, and nothing is left. A name
-    of over `most` pairs is dealt by squares, each walked as far as rows of other squares allow; the pairs that wait for these go on to the next
-    round, a few squares or one name again. With `rounds`, more decisions than that, each waiting for the one before, raise an error. Rows that are `fixed` stay whatever is before them.
+    Not a transitive closure: if A-B and B-C are close and A-C are not, B goes and C stays. No pairs are made: the rows of a name are walked in order in one task, against the rows around them that stay. A name
+    of over `most` rows (whose order must be unique) is dealt by squares with the rows around their borders, each walked as far as rows of other squares allow; rows that wait for these
+    go on to the next round with those that stay near them, a few squares or one name again. With `rounds`, more decisions than that, each waiting for the one before, raise an
+    error. Rows that are `fixed` stay whatever is before them.
     """
-    key = text.name_key(F.col(name))
-    d = df.withColumn("_key", key)
-    found = _near_pairs(d, "_key", order, metres).dropDuplicates(["first", "second"])
-    if fixed is not None:
-        found = found.join(d.where(fixed).select(F.col(order).alias("_fixed")).hint("merge"), F.col("second") == F.col("_fixed"), "left_anti")
-    pairs = keep(found, "near-pairs")
+    d = df.withColumn("_key", text.name_key(F.col(name)))
+    sure = F.lit(False) if fixed is None else F.coalesce(fixed, F.lit(False))
+    real = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c).cast("double")) < math.inf)
+    # Rows without a name, a place in the order or coordinates are near to none.
+    left = d.where(F.col("_key").isNotNull() & F.col(order).isNotNull() & real("lon") & real("lat")).select(F.col("_key").alias("key"), F.col(order).alias("row"), F.col("lon").cast("double").alias("lon"), F.col("lat").cast("double").alias("lat"), sure.alias("sure"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = pairs.schema["second"].dataType
-    gone, done = None, 0
-    while not pairs.isEmpty():
-        large = keep(pairs.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "near-large")
+    kind = left.schema["row"].dataType.simpleString()
+    x, y = F.col("lon") * 96000.0, F.col("lat") * 111000.0
+    gone, done, whole = None, 0, False
+    while not whole:
+        large = keep(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most), "near-large")
         whole = large.isEmpty()
         if whole:
-            dealt = pairs.select(F.xxhash64("key").alias("g"), "first", "second", F.lit(True).alias("own"), F.lit(False).alias("root"))
+            dealt = left.select("key", F.lit(0).cast("bigint").alias("sx"), F.lit(0).cast("bigint").alias("sy"), "row", "lon", "lat", "sure", F.lit(True).alias("own"))
         else:
-            # Squares halve as pairs quadruple, down to four times the distance.
-            edge = F.greatest(F.lit(4.0 * metres), F.lit(2048.0 * metres) / F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most) / 2)))
-            square = lambda x, y: F.xxhash64("key", F.when(F.col("n").isNotNull(), F.floor(F.col(x) * 96000.0 / edge)), F.when(F.col("n").isNotNull(), F.floor(F.col(y) * 111000.0 / edge)))
-            seconds = pairs.select(F.col("second").alias("_second")).distinct()
-            d2 = pairs.join(large.hint("shuffle_hash"), "key", "left").join(seconds.hint("merge"), F.col("first") == F.col("_second"), "left")
-            dealt = d2.select(square("lon2", "lat2").alias("g"), "first", "second", (square("lon", "lat") == square("lon2", "lat2")).alias("own"), F.col("_second").isNull().alias("root"))
-        dealt = dealt.repartition(parts, "g").sortWithinPartitions("g", "second", "first")
-        row_type = kind.simpleString()
-        settled = keep(dealt.mapInArrow(_settle(), f"row {row_type}, gone boolean, depth bigint"), "near-settled")
+            # Squares get half as wide as rows quadruple, down to four times the distance; a row goes to its own square and those it comes near to.
+            edge = F.when(F.col("n").isNotNull(), F.greatest(F.lit(4.0 * metres), F.lit(2048.0 * metres) / F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most) / 2))))
+            at = lambda v, by=0.0: F.coalesce(F.floor((v + by * metres) / F.col("edge")), F.lit(0)).cast("bigint")
+            span = lambda v, c: F.explode(F.sequence(at(v, -1.001), at(v, 1.001))).alias(c)
+            dealt = left.join(large.hint("shuffle_hash"), "key", "left").withColumn("edge", edge).select("*", span(x, "sx")).select("*", span(y, "sy"))
+            dealt = dealt.select("key", "sx", "sy", "row", "lon", "lat", "sure", ((F.col("sx") == at(x)) & (F.col("sy") == at(y))).alias("own"))
+        dealt = dealt.repartition(parts, "key", "sx", "sy").sortWithinPartitions("key", "sx", "sy", "row")
+        settled = dealt.mapInArrow(_walk(metres, not whole, rounds is not None), f"key string, row {kind}, lon double, lat double, gone boolean, depth bigint")
+        if not whole or rounds is not None:
+            settled = keep(settled, "near-settled")
         if rounds is not None:
-            done += settled.agg(F.max("depth")).first()[0]
+            done += settled.agg(F.max("depth")).first()[0] or 0
             if done > rounds:
                 raise ValueError(f"near-duplicates are left after {rounds} rounds")
         out = settled.where("gone").select(F.col("row").alias("_gone"))
         gone = out if gone is None else gone.union(out)
         if whole:
             break
-        # Pairs go on whose second row is undecided and whose first one has not gone.
-        left = pairs.join(settled.select(F.col("row").alias("_r")).hint("merge"), F.col("second") == F.col("_r"), "left_anti")
-        pairs = keep(left.join(out.hint("merge"), F.col("first") == F.col("_gone"), "left_anti"), "near-pairs")
-    d = d.drop("_key")
-    return d if gone is None else d.join(gone, d[order] == F.col("_gone"), "left_anti")
+        waiting = settled.where("gone is null")
+        if waiting.isEmpty():
+            break
+        # Rows that stay go on only if a row that waits is around.
+        cell = {"cx": F.floor(x / (1.01 * metres)), "cy": F.floor(y / (1.01 * metres))}
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        cells = waiting.select("key", *(c.alias(k) for k, c in cell.items()), around.alias("z")).select("key", (F.col("cx") + F.col("z.i")).alias("cx"), (F.col("cy") + F.col("z.j")).alias("cy")).distinct()
+        rows = lambda d, s: d.select("key", "row", "lon", "lat", F.lit(s).alias("sure"))
+        staying = rows(left.where("sure"), True).unionByName(rows(settled.where("not gone"), True)).withColumns(cell)
+        staying = staying.join(cells.hint("merge"), ["key", "cx", "cy"], "left_semi").drop("cx", "cy")
+        left = keep(staying.unionByName(rows(waiting, False)), "near-rows")
+    return d.drop("_key").join(gone.hint("merge"), d[order] == F.col("_gone"), "left_anti")
 
 
 def rect_overlaps(nodes: DataFrame, cell: float = 64.0) -> DataFrame:

@@ -95,6 +95,37 @@ def test_keep_first_of_long_chains_and_large_names(spark):
         assert sorted(r.pos for r in spatial.dedupe_near(d, most=most).select("pos").collect()) == [r[0] for r in kept]
 
 
+def test_keep_first_of_a_dense_name_makes_no_pairs(spark):
+    """60,000 rows of one name within 20 m (1.8e9 pairs), fixed rows among them, whole and by squares with rows that wait: as the plain walk; rows without coordinates stay."""
+    import math
+
+    from pyspark.sql import functions as F
+
+    from reachlake.operators import spatial
+
+    rng = random.Random(8)
+    rows = [(i, "x", rng.random() * 20 / 96000, rng.random() * 20 / 111000, i % 5000 == 7) for i in range(60_000)]
+    rows += [(60_000 + i, "y", rng.random() * 300 / 96000, rng.random() * 90 / 111000, i % 50 == 7) for i in range(3000)]
+    rows += [(70_000, "x", None, 0.0, False), (70_001, "x", math.nan, 0.0, False), (70_002, None, 0.0, 0.0, False), (70_003, "x", math.inf, 0.0, False)]
+    kept = []
+    for pos, name, lon, lat, fixed in rows[:63_000]:
+        if fixed or not any(n == name and math.hypot((lon - a) * 96000, (lat - b) * 111000) <= 5 for _, n, a, b in kept):
+            kept.append((pos, name, lon, lat))
+    want = [r[0] for r in kept] + [70_000, 70_001, 70_002, 70_003]
+    d = spark.createDataFrame(rows, "pos int, name string, lon double, lat double, fixed boolean").repartition(3)
+    for most in (1 << 20, 2000):
+        at = d if most > 2000 else d.where("pos >= 60000 OR pos % 8 = 0 OR fixed").withColumn("pos", F.struct("name", "pos"))
+        got = sorted((r.pos if most > 2000 else r.pos.pos) for r in spatial.dedupe_near(at, fixed=F.col("fixed"), most=most).select("pos").collect())
+        if most > 2000:
+            assert got == want
+        else:
+            again = []
+            for pos, name, lon, lat, fixed in (r for r in rows[:63_000] if r[0] >= 60_000 or r[0] % 8 == 0 or r[4]):
+                if fixed or not any(n == name and math.hypot((lon - a) * 96000, (lat - b) * 111000) <= 5 for _, n, a, b in again):
+                    again.append((pos, name, lon, lat))
+            assert got == [r[0] for r in again] + want[-4:]
+
+
 def test_ranks_of_a_hot_key(spark):
     """One analysis with most rows, a null one, ties in the score: the same numbers as by a window, and no partition with more than its share."""
     from pyspark.sql import Window
