@@ -126,6 +126,22 @@ def test_keep_first_of_a_dense_name_makes_no_pairs(spark):
             assert got == [r[0] for r in again] + want[-4:]
 
 
+def test_keep_first_with_equal_orders(spark):
+    """Rows of one order are decided together, also where they come in several batches."""
+    from reachlake.operators import spatial
+
+    step = 4 / 96000
+    rows = [(1, "a", 0.0, 0.0), (2, "a", step, 0.0), (2, "a", 9 * step, 0.0), (3, "a", 10 * step, 0.0), (3, "a", 30 * step, 0.0)]
+    d = spark.createDataFrame(rows, "pos int, name string, lon double, lat double")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for n in ("1", "2", "3", "100"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", n)
+            assert sorted(r.pos for r in spatial.dedupe_near(d).select("pos").collect()) == [1, 3, 3]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_ranks_of_a_hot_key(spark):
     """One analysis with most rows, a null one, ties in the score: the same numbers as by a window, and no partition with more than its share."""
     from pyspark.sql import Window
