@@ -348,6 +348,6 @@ def ring_counts(rings: DataFrame, assigned: DataFrame) -> DataFrame:
 
 
 def candidate_guard(candidates: DataFrame, limit: int, key: str = "analysis_id") -> DataFrame:
-    """Adds status: candidate-limit for all rows of an analysis with more than limit of them, else ok."""
+    """Adds status: candidate-limit for all rows of an analysis with more than limit of them, else ok. Counts are the hashed side, so an analysis's rows pass by unsorted."""
     n = candidates.groupBy(key).agg(F.count("*").alias("_n"))
-    return candidates.join(n.hint("merge"), key).withColumn("status", F.when(F.col("_n") > limit, "candidate-limit").otherwise("ok")).drop("_n")
+    return candidates.join(n.hint("shuffle_hash"), key).withColumn("status", F.when(F.col("_n") > limit, "candidate-limit").otherwise("ok")).drop("_n")

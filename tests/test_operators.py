@@ -86,6 +86,15 @@ def test_near_duplicates_settle_whole_chains_or_fail(spark):
         spatial.dedupe_near(d, rounds=1)
 
 
+def test_candidate_guard_sorts_no_rows(spark):
+    """Few analyses hold all rows, which are neither sorted nor hashed for their status."""
+    d = spark.range(3000).select(F.when(F.col("id") % 10 == 0, 1).otherwise(2).alias("analysis_id"), F.col("id").alias("poi_id"))
+    got = spatial.candidate_guard(d, 300)
+    assert {tuple(r) for r in got.groupBy("analysis_id", "status").count().collect()} == {(1, "ok", 300), (2, "candidate-limit", 2700)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan.replace("SortAggregate", "") and "BuildRight" in plan
+
+
 def test_merge_pieces(spark):
     rows = [(1, 0, 1, "n1", "osm"), (1, 1, 2, "n1", "osm"), (1, 1, 3, None, "osm"), (1, 1, 4, None, "osm"), (2, 0, 1, "n1", "osm")]
     r = spark.createDataFrame(rows, "plan_id int, piece int, pos int, source_id string, source string")
