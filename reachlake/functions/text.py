@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import unicodedata
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,11 +37,25 @@ def address_text(addresses: Column) -> Column:
     return F.coalesce(*(filled(a[k]) for k in ("freeform", "value", "locality", "street", "postcode")))
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _normal(values):
+    """Arrow strings in Unicode NFKC."""
+    return pa.array([s if s is None or s.isascii() else unicodedata.normalize("NFKC", s) for s in values.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfkc(values: pa.Array) -> pa.Array:
     """Unicode NFKC; Spark has no built-in form."""
-    for s in batches:
-        yield s.str.normalize("NFKC")
+    return _normal(values)
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("locale", T.StringType())])))
+def nfkc_names(names: pa.Array) -> pa.Array:
+    """Names with their values in NFKC: one call for all candidates of a row, as each call may cost a Python process a task."""
+    flat = names.flatten()
+    value, locale = flat.flatten()
+    counts = pc.fill_null(pc.list_value_length(names), 0)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([_normal(value), locale.cast(pa.string())], ["value", "locale"]))
 
 
 def clean_name(c: Column, normalise: bool = True) -> Column:
@@ -58,14 +74,15 @@ NAME_LANGUAGES = ("zh-CN", "zh", "en", "default")
 
 def provider_name(properties: Column, normalise: bool = True) -> Column:
     """Struct of name and locale from a map of tags: the first tag with a clean name; a tag's value may be a JSON map by language."""
+    pick = lambda value, locale: F.struct(value.alias("value"), F.lit(locale).cast("string").alias("locale"))
     picks = []
     for tag, locale in NAME_TAGS:
         value = F.try_element_at(properties, F.lit(tag))
         nested = F.when(value.startswith("{"), F.from_json(value, "map<string,string>"))
-        for language in NAME_LANGUAGES:
-            picks.append((clean_name(F.try_element_at(nested, F.lit(language)), normalise), language))
-        picks.append((clean_name(F.when(nested.isNull(), value), normalise), locale))
-    return F.coalesce(*(F.when(name.isNotNull(), F.struct(name.alias("name"), F.lit(locale).cast("string").alias("locale"))) for name, locale in picks))
+        picks.append(F.when(nested.isNull(), F.array(pick(value, locale))).otherwise(F.array(*(pick(F.try_element_at(nested, F.lit(n)), n) for n in NAME_LANGUAGES))))
+    names = F.filter(F.flatten(F.array(*picks)), lambda n: n["value"].isNotNull())
+    clean = F.transform(nfkc_names(names) if normalise else names, lambda n: F.struct(clean_name(n["value"], False).alias("name"), n["locale"].alias("locale")))
+    return F.get(F.filter(clean, lambda n: n["name"].isNotNull()), F.lit(0))
 
 
 def merge_tags(properties: Column, tags: Column) -> Column:

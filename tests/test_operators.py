@@ -86,6 +86,14 @@ def test_near_duplicates_settle_whole_chains_or_fail(spark):
         spatial.dedupe_near(d, rounds=1)
 
 
+def test_provider_names_take_one_python_step(spark):
+    """All candidates of a row go to Python at once; wide letters are normalised in tags and in nested maps."""
+    rows = [({"name": "\uff21\uff22"},), ({"name:zh": "https://x.org", "name": '{"zh": "12345678", "en": "\uff23 d"}'},), ({"name": "{bad", "name:en": "E"},), ({"shop": "x"},), (None,), ({"name": None, "name:en": "\u2460 Caf\u00e9"},)]
+    d = spark.createDataFrame(rows, "p map<string,string>").coalesce(1).select(text.provider_name(F.col("p")).alias("n"))
+    assert d._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.n and tuple(r.n) for r in d.collect()] == [("AB", None), ("C d", "en"), ("{bad", None), None, None, ("1 Caf\u00e9", "en")]
+
+
 def test_candidate_guard_sorts_no_rows(spark):
     """Few analyses hold all rows, which are neither sorted nor hashed for their status."""
     d = spark.range(3000).select(F.when(F.col("id") % 10 == 0, 1).otherwise(2).alias("analysis_id"), F.col("id").alias("poi_id"))
