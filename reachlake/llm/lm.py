@@ -74,8 +74,9 @@ def ef_encode(values, universe: int) -> bytes:
     bits = np.zeros((int(high[-1]) + n + 8) // 8 * 8 if n else 8, np.uint8)
     bits[high + np.arange(n)] = 1
     if low:
-        part = values & np.uint64((1 << low) - 1)
-        lows = np.packbits(((part[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        # In slices of a multiple of eight values, whose bits are whole bytes: a bit of all values at once would take eight bytes.
+        part = lambda v: np.packbits(((v[:, None] >> np.arange(low, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+        lows = b"".join(part(values[i : i + (1 << 14)]) for i in range(0, n, 1 << 14))
     else:
         lows = b""
     lows += b"\x00" * (-len(lows) % 8 + 16)

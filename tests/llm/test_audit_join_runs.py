@@ -337,3 +337,20 @@ def test_near_copies_of_many_unlike_members(spark):
     want = {i: i - 5000 if i >= 5000 else i for i, _ in rows}
     for chunk in (200, simhash.CHUNK):
         assert {r.doc_id: r.component_id for r in simhash.near_copies(d, chunk=chunk).collect()} == want
+
+
+def test_elias_fano_encoding_takes_little_memory():
+    """Half a million values of some 40 low bits each: the same numbers come back, and no slot of eight bytes is taken for each bit."""
+    import tracemalloc
+
+    from reachlake.llm import lm
+
+    n = 500_003
+    values = np.sort(np.random.default_rng(2).integers(0, 1 << 60, n, dtype=np.uint64))
+    tracemalloc.start()
+    data = lm.ef_encode(values, 1 << 60)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    at = np.concatenate([np.arange(40_000), np.arange(n - 40_000, n)])
+    assert (lm.EliasFano(data, 0).get(at) == values[at]).all()
