@@ -37,6 +37,31 @@ def test_dedupe_near_query_against_brute_force(spark):
     assert sorted(r.pos for r in got.collect()) == [r[0] for r in kept] and len(kept) < len(rows)
 
 
+def test_dedupe_near_query_makes_no_pairs(spark, tmp_path):
+    """Sixty times the orders: the rows of the plain walk, and what is written on the way is less than the rows, which have more pairs than that."""
+    import glob
+    import math
+
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    n = orders.count()
+    orders.crossJoin(spark.range(60).withColumnRenamed("id", "copy")).withColumn("o_orderkey", F.col("o_orderkey") + n * F.col("copy")).drop("copy").write.parquet(f"{tmp_path}/orders.parquet")
+    kept, names, pairs = [], {}, 0
+    rows = sorted(tuple(r) for r in queries.run_sql(spark, str(tmp_path), queries._NAMED).collect())
+    near = lambda a, b: math.hypot((a[2] - b[2]) * 96000, (a[3] - b[3]) * 111000) <= 5
+    for r in rows:
+        before = names.setdefault(r[1], [])
+        close = [(o, stays) for o, stays in before if near(r, o)]
+        pairs += len(close)
+        stays = not any(s for _, s in close)
+        before.append((r, stays))
+        kept += [r[0]] * stays
+    stored = lambda: set(glob.glob(f"{spark.conf.get('spark.checkpoint.dir')}/{spark.sparkContext.applicationId}/near-*"))
+    old = stored()
+    got = queries.QUERIES["c10_dedupe_near"](spark, str(tmp_path))
+    assert sorted(r.pos for r in got.collect()) == kept
+    assert sum(spark.read.parquet(p).count() for p in stored() - old) <= len(rows) < pairs
+
+
 def test_exact_round_robin_query_against_the_rule(spark):
     from tests.test_operators import plain_round_robin
 
